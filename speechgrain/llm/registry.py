@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing, simhash, url_filter
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
