@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, simhash, url_filter
+from . import byte_bpe, line_dedup, mixing, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_token_files": token_files.op4_token_files,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
