@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, mixing, simhash, token_files, url_filter
+from . import byte_bpe, line_crf, line_dedup, mixing, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_line_crf": line_crf.op3_line_crf,
     "op4_token_files": token_files.op4_token_files,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
