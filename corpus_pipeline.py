@@ -1,6 +1,66 @@
-"""A corpus pipeline of five operators; each stage's rows are written and reread as the next stage's documents."""
+"""A corpus pipeline of five operators; each stage's rows are written and reread as the next stage's documents.
+
+Order: quality rules, line de-duplication, near-duplicates, mixing, byte-level BPE. All stages but the last return the
+columns of ``documents``; the last returns token ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from speechgrain.llm import byte_bpe, line_dedup, mixing, quality_rules, simhash
+from speechgrain.llm.common import shared_folder, table
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.kept_documents(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    lengths = F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
+    return out.select(*[lengths.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_first(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each pass that the mix makes over a document, in order of training position."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, checked by decoding."""
+    found = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing", mix),
+    ("byte-level BPE", tokens),
+]
+
+#: Fingerprints and BPE have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

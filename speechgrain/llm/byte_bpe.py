@@ -110,35 +110,43 @@ def _vocabulary(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, digests_only: bool = False) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids`` and ``decoded`` (binary); columns of these names are replaced.
+#: What ``encode_documents`` adds: ids with a check of the round trip, ids and decoded bytes, or digests of both.
+MODES = {
+    "checked": "n_tokens long, ids binary, round_trip boolean",
+    "bytes": "n_tokens long, ids binary, decoded binary",
+    "digests": "n_tokens long, ids_sha256 string, decoded_sha256 string",
+}
 
-    With ``digests_only`` the SHA-256 of ids and decoded bytes come instead, as ``ids_sha256`` and ``decoded_sha256``.
+
+def _row(mode: str, text: str | None, ids: bytes, back: bytes) -> tuple:
+    if mode == "checked":
+        return len(ids) // 4, ids, back == (text or "").encode("utf-8", "surrogatepass")
+    if mode == "bytes":
+        return len(ids) // 4, ids, back
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, mode: str = "checked") -> DataFrame:
+    """``docs`` with the columns of ``MODES[mode]``; columns of these names are replaced.
+
+    ``ids`` are little-endian unsigned 32-bit integers. Every text is encoded, and its ids are decoded again.
     """
     model = docs.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(_vocabulary(docs.sparkSession, path))))
-    kind = "string" if digests_only else "binary"
+    names = [x.split()[0] for x in MODES[mode].split(", ")]
 
-    @F.pandas_udf(f"struct<n_tokens:long,ids:{kind},decoded:{kind}>")
+    @F.pandas_udf("struct<" + MODES[mode].replace(" ", ":").replace(",:", ",") + ">")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = ByteBpe(model.value, pattern)
         for texts in batches:
-            n, left, right = [], [], []
-            for text in texts:
-                ids = coder.encode(text)
-                back = coder.decode(ids)
-                n.append(len(ids) // 4)
-                left.append(hashlib.sha256(ids).hexdigest() if digests_only else ids)
-                right.append(hashlib.sha256(back).hexdigest() if digests_only else back)
-            yield pd.DataFrame({"n_tokens": n, "ids": left, "decoded": right})
+            rows = [_row(mode, text, ids := coder.encode(text), coder.decode(ids)) for text in texts]
+            yield pd.DataFrame(rows, columns=names)
 
-    names = ("ids_sha256", "decoded_sha256") if digests_only else ("ids", "decoded")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", *names)]
-    found = docs.select(*kept, run("text").alias("_run"))
-    return found.select(*kept, "_run.n_tokens", F.col("_run.ids").alias(names[0]), F.col("_run.decoded").alias(names[1]))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*kept, run("text").alias("_run")).select(*kept, *(F.col(f"_run.{n}") for n in names))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests_only=True).drop("text")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, mode="digests").drop("text")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_crf, line_dedup, mixing, simhash, token_files, toxicity, url_filter
+import corpus_pipeline
+
+from . import byte_bpe, itq, line_crf, line_dedup, mixing, quality_rules, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,8 +12,10 @@ QUERIES = {
     "op3_line_crf": line_crf.op3_line_crf,
     "op4_token_files": token_files.op4_token_files,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_itq": itq.op6_itq,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
@@ -20,8 +24,8 @@ SQL = {
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
