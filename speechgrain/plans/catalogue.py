@@ -1,17 +1,505 @@
-"""Named queries over the driver's tables, each with the SQL that states the same result."""
+"""Named queries over the driver's tables. ``oracle`` has the SQL of the same names."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from speechgrain.functions import text as T
+from speechgrain.operators import catalog, chunks, cluster, intervals, matching, pcm, render, segments, speakers
+from speechgrain.plans import datasets as D
+from speechgrain.plans import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+THRESHOLD, MARGIN = 0.2, 0.05
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
+
+
+def joined(c: str) -> Column:
+    return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), "|").alias(c)
+
+
+def ranges(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
+    return spark.createDataFrame(rows, "source string, range_start_ms long, range_end_ms long")
+
+
+RANGES = [("mic", 0, 400_000), ("mic", 300_000, 900_000), ("system", 1_000_000, 1_500_000), ("system", 2_400_000, 2_500_000)]
+
+# --- segments ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def speaker_summary(spark, sf):
+    return speakers.summary(D.seg(spark, sf)).select("session_id", "speaker_id", "segments", "useful_segments", "speech_ms", "useful_speech_ms", "source", "speaker_name", joined("examples"))
+
+
+@query
+def speaker_stats(spark, sf):
+    return speakers.stats(D.seg(spark, sf))
+
+
+@query
+def source_extent(spark, sf):
+    return speakers.source_extent(D.seg(spark, sf))
+
+
+@query
+def session_sources(spark, sf):
+    s = D.seg(spark, sf)
+    return s.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"), F.max("end_ms").alias("duration_ms"))
+
+
+@query
+def normalize_segments(spark, sf):
+    e = D.table(spark, sf, "events")
+    raw = e.select(F.col("event_id").alias("seg_idx"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("start_time"), F.col("value").cast("string").alias("start"), F.when(F.col("event_id") % 7 == 0, F.lit("none")).otherwise((F.floor(F.col("value")) + 5).cast("string")).alias("end_time"), F.col("user_id").alias("speaker"), F.when(F.col("event_id") % 11 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("event_type"), F.lit(" "))).alias("text"))
+    return segments.shift(segments.normalize(raw), 5000).select("seg_idx", "speaker_id", "start_ms", "end_ms", "duration_ms", "text")
+
+
+@query
+def speech_predicates(spark, sf):
+    p = D.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("["), F.col("p_name"), F.lit("]"))).when(F.col("p_partkey") % 6 == 1, F.lit("[]")).when(F.col("p_partkey") % 6 == 2, F.concat(F.lit("[a] "), F.col("p_name"), F.lit(" [b]"))).when(F.col("p_partkey") % 6 == 3, F.lit("  ")).otherwise(F.col("p_name")).alias("text"))
+    return p.select("p_partkey", T.is_bracketed(F.col("text")).alias("bracketed"), T.is_tag(F.col("text")).alias("tag"), T.is_useful(F.col("text")).alias("useful"))
+
+
+@query
+def track_merge_order(spark, sf):
+    s = D.seg(spark, sf)
+    tracks = {name: s.where(F.col("source") == name).drop("source") for name in ("mic", "system")}
+    return segments.merge_tracks(tracks).select("session_id", "seg_idx", "source", "start_ms", "position")
+
+
+@query
+def render_lines(spark, sf):
+    return render.transcript(D.turns(spark, sf))
+
+
+@query
+def flatten_text(spark, sf):
+    t = D.turns(spark, sf).withColumn("start_ms", F.col("seg_idx") * 2000).withColumn("end_ms", F.col("seg_idx") * 2000 + 1500)
+    return segments.flattened(t.withColumn("speaker_id", F.when(F.col("seg_idx") % 2 == 0, F.col("speaker_id"))))
+
+
+@query
+def first_examples(spark, sf):
+    return speakers.first_texts(D.turns(spark, sf), ["session_id", "speaker_id"]).select("session_id", "speaker_id", "seg_idx", F.col("rank").cast("long").alias("rank"), "text")
+
+
+@query
+def positional_labels(spark, sf):
+    s = D.seg(spark, sf).select("session_id", F.col("source").alias("track"), "seg_idx", "start_ms")
+    labels = s.select("session_id", "track", "seg_idx", (F.col("seg_idx") % 4).cast("string").alias("speaker_id"))
+    return segments.write_labels(s, labels).select("session_id", "track", "seg_idx", "speaker_id")
+
+
+@query
+def named_speakers(spark, sf):
+    names = spark.createDataFrame([("click", "Ana"), ("view", "Ben")], "speaker_id string, speaker_name string")
+    return segments.stamp_names(D.seg(spark, sf), names, ("speaker_id",)).select("session_id", "seg_idx", "speaker_id", "speaker_name")
+
+
+# --- intervals ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def range_clip(spark, sf):
+    clips = intervals.clip(D.seg(spark, sf), ranges(spark, RANGES), ["source"])
+    return clips.groupBy("session_id", "speaker_id").agg(F.count("*").alias("pieces"), F.sum(F.col("clip_end_ms") - F.col("clip_start_ms")).alias("clipped_ms"))
+
+
+@query
+def overlap_relabel(spark, sf):
+    s = D.seg(spark, sf).where("speaker_id = 'click'").withColumn("speaker_name", F.lit(None).cast("string"))
+    return intervals.relabel(s, ranges(spark, RANGES), ["source"], "Ana").where("speaker_name is not null").select("session_id", "seg_idx", "start_ms", "end_ms", "speaker_name")
+
+
+@query
+def labels_before(spark, sf):
+    s = D.seg(spark, sf).withColumn("speaker_name", F.when(F.col("seg_idx") % 3 == 0, F.upper("speaker_id")))
+    return speakers.names_before(s).select("session_id", joined("labels"))
+
+
+@query
+def cap_duration(spark, sf):
+    r = intervals.speaker_ranges(D.seg(spark, sf))
+    return intervals.cap(r, 120_000).select("session_id", "speaker_id", "seg_idx", "start_ms", "end_ms")
+
+
+@query
+def speech_midpoint(spark, sf):
+    return intervals.timestamps(intervals.speaker_ranges(D.seg(spark, sf), useful_only=True))
+
+
+@query
+def purity_windows(spark, sf):
+    return intervals.purity_windows(intervals.speaker_ranges(D.seg(spark, sf), useful_only=True))
+
+
+@query
+def equal_speech_windows(spark, sf):
+    return intervals.equal_speech_windows(intervals.speaker_ranges(D.seg(spark, sf)), 2).withColumn("window", F.col("window").cast("long"))
+
+
+@query
+def safety_audit(spark, sf):
+    return speakers.audit(D.seg(spark, sf)).select("session_id", "speaker_id", "segments", "useful_segments", "useful_speech_ms", "first_ms", "middle_half_ms", "last_ms", "span_ms", "status", "safe")
+
+
+@query
+def audit_join_list(spark, sf):
+    s = D.seg(spark, sf).withColumn("speaker_name", F.when((F.col("session_id") % 2 == 0) & (F.col("speaker_id") == "click"), "Ana"))
+    return speakers.listing(s, speakers.audit(s), unnamed_only=True).select("session_id", "speaker_id", "segments", "useful_speech_ms", "status", "safe")
+
+
+@query
+def enrolment_guard(spark, sf):
+    s = D.seg(spark, sf)
+    audited = speakers.audit(s.where("source = 'mic'"))
+    return speakers.guard(s.select("session_id", "speaker_id").distinct(), audited).select("session_id", "speaker_id", "decision", "reason")
+
+
+@query
+def all_clusters_safe(spark, sf):
+    return speakers.all_safe(speakers.audit(segments.useful(D.seg(spark, sf)), ratio=20.0))
+
+
+# --- labels and chunks -------------------------------------------------------------------------------------------------
+
+
+@query
+def forward_fill_speaker(spark, sf):
+    s = D.seg(spark, sf)
+    known = s.withColumn("speaker_id", F.when(segments.clusterable(5000), F.col("speaker_id")))
+    return speakers.fill_labels(known).select("session_id", "seg_idx", "assigned_id")
+
+
+@query
+def first_appearance_labels(spark, sf):
+    return speakers.sequential_labels(D.seg(spark, sf)).select("session_id", "seg_idx", "speaker_id", "label_no")
+
+
+@query
+def chunk_windows(spark, sf):
+    s = D.seg(spark, sf).groupBy("session_id").agg(F.max("end_ms").alias("duration_ms"))
+    return chunks.windows(s).select("session_id", "chunk_idx", "chunk_start_ms", "chunk_end_ms")
+
+
+def chunked(spark, sf) -> DataFrame:
+    step = chunks.LENGTH_MS - chunks.OVERLAP_MS
+    return D.seg(spark, sf).withColumn("chunk_idx", F.floor(F.col("start_ms") / step)).withColumn("chunk_start_ms", F.col("chunk_idx") * step)
+
+
+@query
+def boundary_dedup(spark, sf):
+    return chunks.boundary_dedup(chunked(spark, sf), exact=True).select("session_id", "chunk_idx", "seg_idx", "start_ms", "text")
+
+
+@query
+def boundary_dedup_fuzzy(spark, sf):
+    s = chunked(spark, sf).withColumn("text", F.concat(F.col("text"), F.lit(" event"), F.when(F.col("seg_idx") % 2 == 0, "s").otherwise("")))
+    return chunks.boundary_dedup(s).select("session_id", "chunk_idx", "seg_idx", "start_ms", "text")
+
+
+@query
+def fuzzy_dup_pairs(spark, sf):
+    """Different names of parts of one brand that are alike by matching blocks of letters; each name is compared once."""
+    names = D.table(spark, sf, "part").select("p_brand", T.match_key(F.col("p_name")).alias("k")).distinct()
+    pairs = names.select("p_brand", F.col("k").alias("left_key")).join(names.select("p_brand", F.col("k").alias("right_key")), "p_brand").where("left_key < right_key")
+    return pairs.withColumn("ratio", F.round(T.letter_ratio(F.col("left_key"), F.col("right_key")), 6)).where("ratio >= 0.7")
+
+
+# --- embeddings --------------------------------------------------------------------------------------------------------
+
+
+def matches(spark, sf) -> DataFrame:
+    return matching.best(matching.scores(D.candidates(spark, sf), D.profiles(spark, sf)), THRESHOLD, MARGIN)
+
+
+@query
+def cosine_match(spark, sf):
+    return matches(spark, sf).select("candidate_id", "profile_id", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"), "status")
+
+
+@query
+def skipped_profiles(spark, sf):
+    p = D.profiles(spark, sf)
+    k = F.pmod("profile_id", F.lit(4))
+    odd = p.withColumns({"provider": F.when(k == 0, "other").otherwise(F.col("provider")), "embedding": F.when(k == 1, F.array().cast("array<double>")).when(k == 2, F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))})
+    return matching.skipped(D.candidates(spark, sf), odd).select("candidate_id", "profile_id", "reason")
+
+
+@query
+def label_resolution(spark, sf):
+    m = matches(spark, sf).select((F.col("candidate_id") % 20).alias("session_id"), F.col("candidate_id").alias("speaker_id"), (F.col("candidate_id") % 9 != 0).alias("extracted"), "profile_id", "display_name", "confidence", "margin", "status")
+    out = matching.resolve(m.withColumn("speaker_id", F.lpad(F.col("speaker_id").cast("string"), 8, "0")))
+    return out.select("session_id", "speaker_id", "label", "profile_id", F.round("confidence", 6).alias("confidence"), "status")
+
+
+def session_matches(spark, sf) -> DataFrame:
+    m = matches(spark, sf)
+    return m.select((F.col("candidate_id") % 20).alias("session_id"), F.lpad(F.col("candidate_id").cast("string"), 8, "0").alias("speaker_id"), "profile_id", "display_name", "confidence", "status")
+
+
+@query
+def duplicate_groups(spark, sf):
+    return matching.duplicate_groups(session_matches(spark, sf)).select("session_id", "profile_id", "clusters", joined("speaker_ids"), F.round("best_confidence", 6).alias("best_confidence"))
+
+
+def window_matches(spark, sf) -> DataFrame:
+    m = matches(spark, sf)
+    return m.select(F.lit(0).alias("session_id"), F.floor(F.col("candidate_id") / 5).alias("speaker_id"), "profile_id", "display_name", "status")
+
+
+@query
+def mixed_windows(spark, sf):
+    return matching.mixed_clusters(window_matches(spark, sf)).select("speaker_id", joined("profile_ids"), joined("names"))
+
+
+@query
+def label_suggestions(spark, sf):
+    return matching.suggestions(session_matches(spark, sf)).select("session_id", "speaker_id", "profile_id", "status", "recommendation")
+
+
+@query
+def suggestion_summary(spark, sf):
+    m = session_matches(spark, sf)
+    return matching.suggestion_summary(m, matching.duplicate_groups(m), matching.mixed_clusters(window_matches(spark, sf)))
+
+
+def clustered(spark, sf) -> DataFrame:
+    v = D.vectors(spark, sf)
+    return v.select((F.col("vec_id") % 10).alias("session_id"), F.col("vec_id").alias("seg_idx"), F.col("label").cast("string").alias("cluster"), (F.col("vec_id") % 7 * 1000 + F.col("label") * 900).alias("duration_ms"), "embedding")
+
+
+@query
+def centroid_nearest(spark, sf):
+    return cluster.nearest_large(clustered(spark, sf), 30_000).select("session_id", "cluster", "target", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def agglomerative(spark, sf):
+    rows = clustered(spark, sf).withColumn("session_id", F.floor(F.col("seg_idx") / 100)).select("session_id", "seg_idx", "embedding")
+    return cluster.cluster(rows, distance=0.85).select("session_id", "seg_idx", "cluster")
+
+
+@query
+def merged_clusters(spark, sf):
+    return cluster.merge_tiny(clustered(spark, sf), 30_000).select("session_id", "seg_idx", "cluster")
+
+
+@query
+def profile_lookup(spark, sf):
+    c = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("profile_id"), F.col("c_mktsegment").alias("display_name"))
+    asked = spark.createDataFrame([(" building ",), ("Machinery",), ("Customer#1",), ("nobody",)], "name string")
+    return matching.profile_by_name(asked, c)
+
+
+# --- samples -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def loudness_band(spark, sf):
+    e = D.table(spark, sf, "events").select(F.col("user_id").alias("track"), "event_id", "value")
+    rows = e.withColumn("idx", F.row_number().over(W.partitionBy("track").orderBy("event_id")) - 1).withColumn("value", F.col("value") / 500.0)
+    return pcm.speech_loudness(rows, 5).select("track", "frames", F.round("loudness", 6).alias("loudness"))
+
+
+@query
+def speech_gain(spark, sf):
+    e = D.table(spark, sf, "events").select(F.col("user_id").alias("track"), "event_id", (F.col("value") / 50000.0).alias("value"))
+    rows = e.withColumn("idx", F.row_number().over(W.partitionBy("track").orderBy("event_id")) - 1)
+    return pcm.speech_loudness(rows, 5).select("track", F.round(pcm.speech_gain(F.col("loudness")), 6).alias("gain"))
+
+
+@query
+def gated_rms_peak(spark, sf):
+    s = D.samples(spark, sf)
+    return s.groupBy("track").agg(F.round(pcm.gated_rms(F.col("value")), 6).alias("rms")).join(pcm.payload(s), "track")
+
+
+def two_tracks(spark, sf) -> tuple[DataFrame, DataFrame]:
+    s = D.samples(spark, sf)
+    rows = s.withColumn("half", F.col("event_id") % 2).withColumn("idx", F.row_number().over(W.partitionBy("track", "half").orderBy("event_id")) - 1)
+    return rows.where("half = 0").select("track", "idx", "value"), rows.where("half = 1").select("track", "idx", "value")
+
+
+@query
+def mix_tracks(spark, sf):
+    return pcm.mix(*two_tracks(spark, sf)).select("track", F.col("idx").cast("long").alias("idx"), "value")
+
+
+@query
+def mix_balanced(spark, sf):
+    a, b = two_tracks(spark, sf)
+    return pcm.mix(a, b.withColumn("value", F.floor(F.col("value") / 7)), balanced=True).groupBy("track").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max(F.abs("value")).alias("peak"))
+
+
+@query
+def track_drift(spark, sf):
+    a, b = (t.groupBy("track").agg((F.count("*") / 4.0).alias("duration_s")) for t in two_tracks(spark, sf))
+    return pcm.drift(a, b, "track")
+
+
+def arrays(spark, sf) -> DataFrame:
+    s = D.samples(spark, sf)
+    return s.groupBy("track").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("samples"))
+
+
+@query
+def resample_linear(spark, sf):
+    out = arrays(spark, sf).select("track", F.posexplode(pcm.resample(F.col("samples"), F.lit(4), F.lit(6))).alias("idx", "value"))
+    return out.select("track", F.col("idx").cast("long").alias("idx"), "value")
+
+
+@query
+def float_to_int16(spark, sf):
+    return D.table(spark, sf, "events").select("event_id", pcm.float_to_16((F.col("value") - 50) / 100).cast("long").alias("sample"))
+
+
+@query
+def interleaved(spark, sf):
+    a, b = two_tracks(spark, sf)
+    pack = lambda d, n: d.groupBy("track").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias(n))
+    out = pack(a, "a").join(pack(b, "b"), "track").select("track", F.posexplode(pcm.interleave(F.array("a", "b"))).alias("idx", "value"))
+    return out.select("track", F.col("idx").cast("long").alias("idx"), "value")
+
+
+@query
+def energy_topk(spark, sf):
+    r = intervals.speaker_ranges(D.seg(spark, sf)).withColumn("score", F.col("end_ms") - F.col("start_ms"))
+    return intervals.best_energy(r, 90_000).select("session_id", "speaker_id", "seg_idx", "start_ms", "end_ms")
+
+
+@query
+def band_features(spark, sf):
+    out = arrays(spark, sf).select("track", F.posexplode(pcm.band_features(F.col("samples"))).alias("dim", "feature"))
+    return out.select("track", F.col("dim").cast("long").alias("dim"), F.round("feature", 6).alias("feature"))
+
+
+# --- catalogue ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def meeting_now(spark, sf):
+    s = D.seg(spark, sf)
+    events = s.select("session_id", F.col("seg_idx").alias("event_id"), F.col("start_ms").alias("start_s"), F.col("end_ms").alias("end_s"), (F.col("seg_idx") % 13 == 0).alias("is_all_day"))
+    now = s.select("session_id").distinct().withColumn("now_s", F.lit(1_200_000).cast("long"))
+    return catalog.select_meeting(events, now, 60_000, "session_id")
+
+
+@query
+def timeout_by_session(spark, sf):
+    files = D.seg(spark, sf).select("session_id", ((F.col("end_ms") - F.col("start_ms")) / 100.0).alias("duration_s"))
+    return catalog.timeouts(files)
+
+
+@query
+def board_lanes(spark, sf):
+    return catalog.lane_counts(D.sessions(spark, sf))
+
+
+@query
+def board_cards(spark, sf):
+    s = D.sessions(spark, sf).withColumns({"ended_at": F.col("started_at"), "failed_at": F.col("started_at"), "transcribed_at": F.col("started_at"), "transcription_started_at": F.col("started_at"), "failure_reason": F.lit("no audio"), "mode": F.lit("meeting")})
+    return catalog.board(s).select("lane", F.col("place").cast("long").alias("place"), "session_id", "card")
+
+
+@query
+def pending_sessions(spark, sf):
+    return catalog.newest(catalog.pending(D.sessions(spark, sf)), 20).select("session_id", "status", "started_at")
+
+
+@query
+def chosen_session(spark, sf):
+    return catalog.choose(D.sessions(spark, sf)).select("session_id", "status", "started_at")
+
+
+@query
+def slug_titles(spark, sf):
+    return D.table(spark, sf, "part").select("p_partkey", T.slug(F.concat(F.lit("  "), F.col("p_name"), F.lit(" / "), F.col("p_brand"), F.lit("! "))).alias("slug"))
+
+
+TIMES = ["12.5-20", "00:10-01:00", "1:00:00-1:30:00", "5-5", "9-3", "-1-2", "abc-3", "10", "01:02-", "3 - 4.25", "00:00:01-59.5"]
+
+
+@query
+def parse_ranges(spark, sf):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TIMES)], "id long, text string")
+    return rows.select("id", "text", T.parse_range(F.col("text"))["start"].alias("start_s"), T.parse_range(F.col("text"))["end"].alias("end_s"))
+
+
+PEOPLE = ["Sam Rivera <sam.rivera@example.com>, alex.chen@example.com, Dana Vega", "WU, Park <park.wu@example.com>", "", "a@b.co,, Solo"]
+
+
+@query
+def attendee_lists(spark, sf):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(PEOPLE)], "id long, text string")
+    return rows.select("id", F.posexplode(T.attendees(F.col("text"))).alias("pos", "a")).select("id", F.col("pos").cast("long").alias("pos"), "a.name", "a.address")
+
+
+JOURNAL = [
+    (1, "transcript.md", True, True, "a", "a"),
+    (1, "transcript.json", False, True, "b", "x"),
+    (2, "transcript.md", True, True, "a", "a"),
+    (2, "transcript.json", True, False, "b", "x"),
+    (3, "transcript.md", False, True, "a", "z"),
+    (3, "notes.md", False, False, "c", None),
+    (4, "transcript.md", True, False, "d", "d"),
+]
+
+
+@query
+def journal_decision(spark, sf):
+    rows = spark.createDataFrame(JOURNAL, "journal_id long, name string, existed boolean, replaced boolean, new_sha256 string, found_sha256 string")
+    return catalog.journal_action(rows).select("journal_id", "name", "action")
+
+
+@query
+def resume_decision(spark, sf):
+    s = D.sessions(spark, sf).withColumns({"alive": F.col("session_id") % 4 == 0, "staged_valid": F.col("session_id") % 4 == 1, "legacy_valid": F.col("session_id") % 4 == 2, "legacy_at": F.lit("1995-01-01")})
+    return catalog.resume_action(s).groupBy("status", "action").agg(F.count("*").alias("sessions"))
+
+
+@query
+def foreign_runs(spark, sf):
+    s = D.sessions(spark, sf).select("session_id", (F.col("session_id") % 7).cast("string").alias("run_id"))
+    owners = s.select("session_id", F.when(F.col("session_id") % 2 == 0, (F.col("session_id") % 5).cast("string")).alias("reserved_by"), F.when(F.col("session_id") % 3 == 0, (F.col("session_id") % 7).cast("string")).alias("metadata_run"))
+    return catalog.foreign_runs(s, owners).select("session_id", "run_id")
+
+
+def session_events(spark, sf) -> DataFrame:
+    e = D.table(spark, sf, "events")
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_OF.items() for x in kv]), F.col("event_type"))
+    return e.select(F.col("user_id").alias("session_id"), "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").alias("at_ms"), status.alias("status"))
+
+
+STATUS_OF = {"signup": "scheduled", "click": "recording", "view": "stopped", "purchase": "transcribed", "error": "transcription_failed"}
+
+
+@query
+def lifecycle_fold(spark, sf):
+    states = catalog.fold_status(session_events(spark, sf))
+    return catalog.expire_scheduled(states, F.lit(2_600_000_000).cast("long")).select("session_id", "status", "at_ms", "events")
+
+
+@query
+def lifecycle_stream(spark, sf):
+    from speechgrain.streaming import lifecycle
+
+    return lifecycle.run_once(spark, sf)
