@@ -21,9 +21,9 @@ class Cache:
             pass
         young, old = self.young, self.old
         missing = set(parts).difference(young)
-        known = missing.intersection(old)
-        new = list(missing - known)
-        now = {k: old[k] for k in known} | dict(zip(new, self.encode(new), strict=True))
+        now = {k: old[k] for k in missing if k in old}
+        new = [k for k in missing if k not in now]
+        now.update(zip(new, self.encode(new), strict=True))
         if len(young) + len(now) > self.size:
             out = b"".join([now[p] if p in now else young[p] for p in parts])
             self.old, self.young = young, (now if len(now) <= self.size else {})
