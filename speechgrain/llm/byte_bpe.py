@@ -141,8 +141,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, mode: str = "chec
             rows = [_row(mode, text, ids := coder.encode(text), coder.decode(ids)) for text in texts]
             yield pd.DataFrame(rows, columns=names)
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.select(*kept, run("text").alias("_run")).select(*kept, *(F.col(f"_run.{n}") for n in names))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), run("text").alias("_run"))
+    return whole.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in names], *(F.col(f"_run.{n}") for n in names))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,4 +21,4 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, seed
     known = known.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
     chosen = [r for k in (0, 1) for r in known.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class).collect()]
     listed = docs.sparkSession.createDataFrame([(r.doc_id, r.label) for r in chosen], "_id long, label int")
-    return docs.join(F.broadcast(listed), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(listed), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")

@@ -37,7 +37,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
     if min_docs == 2:  # two distinct documents hold it if the least and the greatest differ
         shared = lines.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
     else:
-        shared = lines.groupBy("_h1", "_h2", "_id").agg().groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
+        shared = lines.select("_h1", "_h2", "_id").distinct().groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
     drop = lines.join(shared.select("_h1", "_h2", "_first"), ["_h1", "_h2"]).where("_id <> _first")
     return drop.groupBy("_id", "_text_hash").agg(F.array_sort(F.collect_set("_pos")).alias("_drop"))
 
@@ -48,24 +48,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     A key of at least ``min_chars`` code points that ``min_docs`` documents hold stays in the smallest ``doc_id`` only.
     Columns of ``docs`` called ``n_lines`` or ``n_dropped`` are replaced.
     """
-    drop = dropped_positions(docs, min_chars, min_docs)
-    keep = [F.col(f"_d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
-    text, lines = F.col("_d.text"), _lines(F.col("_d.text"))
-    n = (F.char_length(F.coalesce(text, F.lit(""))) - F.char_length(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    drop = dropped_positions(docs.select("doc_id", "text"), min_chars, min_docs)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = whole.join(drop, (F.col("_row.doc_id") == F.col("_id")) & (F.xxhash64("_row.text") == F.col("_text_hash")), "left")
+    text, hit = F.coalesce("_row.text", F.lit("")), F.col("_drop").isNotNull()
+    lines = _lines(text)
+    n = (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     ends = F.concat(F.array(F.lit(-1)), F.col("_drop"), F.array(F.size(lines)))
     runs = F.transform(F.sequence(F.lit(1), F.size("_ends") - 1), lambda i: F.slice("_all", F.get("_ends", i - 1) + 2, F.get("_ends", i) - F.get("_ends", i - 1) - 1))
-    joined = docs.alias("_d").join(drop, (F.col("_d.doc_id") == F.col("_id")) & (F.xxhash64("_d.text") == F.col("_text_hash")), "left")
-    out = joined.select(
-        *keep,
-        text.alias("_text"),
-        F.when(F.col("_drop").isNotNull(), lines).alias("_all"),
-        F.when(F.col("_drop").isNotNull(), ends).alias("_ends"),
-        n.alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
-    kept = F.when(F.col("_ends").isNotNull(), F.array_join(F.flatten(runs), "\n")).otherwise(F.coalesce("_text", F.lit("")))
-    order = [F.col(f"`{c}`") if c != "text" else kept.alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*order, "n_lines", "n_dropped")
+    cut = joined.select("_row", F.when(hit, lines).alias("_all"), F.when(hit, ends).alias("_ends"), n.alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    kept = F.when(F.col("_ends").isNotNull(), F.array_join(F.flatten(runs), "\n")).otherwise(F.coalesce("_row.text", F.lit("")))
+    order = [kept.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return cut.select(*order, "n_lines", "n_dropped")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,8 +117,8 @@ def judge(docs: DataFrame, host: str = "source", share: float = SHARE, least_doc
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, texts untouched, columns as they were."""
     good = judge(docs, **options).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"), "_key").distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn("_key", F.xxhash64("text"))
-    return keyed.join(good, ["_id", "_key"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"), F.xxhash64("text").alias("_key"))
+    return keyed.join(good, ["_id", "_key"], "left_semi").select("_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
