@@ -77,15 +77,16 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, **options) -> DataFrame:
     """``pages`` with host, path, rule and verdict; columns of these names are replaced."""
     host, path = host_and_path(F.col("url"))
-    judged = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), "html", host.alias("host"), path.alias("path"))
+    # own columns travel under numbered names: they can't clash, and those that nobody asks for are pruned from the scan
+    own = {c: f"_c{k}" for k, c in enumerate(pages.columns) if c not in ("host", "path", "rule", "verdict", "host_trust", "host_distrust")}
+    judged = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], host.alias("host"), path.alias("path"))
     judged = judged.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     share = lambda v: F.sum((F.col("_rule.verdict").eqNullSafe(v)).cast("double")) / F.count("*")
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(seeds, host_edges(judged), **options)
+    scores = propagate(seeds, host_edges(judged.select("host", F.col(own["html"]).alias("html"))), **options)
     blocked = scores.select("host", (F.col("distrust") - F.col("trust") >= threshold).alias("_blocked"), "trust", "distrust")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked"), "block").otherwise("allow"))
-    kept = [F.col(f"_row.`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", "host_trust", "host_distrust")]
-    return judged.drop("html").join(blocked, "host", "left").select(*kept, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"))
+    return judged.join(blocked, "host", "left").select(*[F.col(n).alias(c) for c, n in own.items()], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
