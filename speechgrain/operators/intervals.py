@@ -84,26 +84,29 @@ def time_at(target: Column, scale: int = 1) -> Column:
 
 def timestamps(ranges: DataFrame) -> DataFrame:
     """First start, time at half the speech (in half milliseconds), and last end of each speaker."""
-    rows = running(ranges)
-    return rows.groupBy(*GROUP).agg(
+    return running(ranges).groupBy(*GROUP).agg(*_times())
+
+
+def _times() -> list[Column]:
+    return [
         F.min_by("start_ms", "ord").alias("first_ms"),
         time_at(F.col("total_ms"), 2).alias("middle_half_ms"),
         F.max_by("end_ms", "ord").alias("last_ms"),
         F.max("total_ms").alias("speech_ms"),
-    )
+    ]
 
 
-def purity_windows(ranges: DataFrame, preview_ms: int = 12_000, min_ms: int = MIN_MS) -> DataFrame:
-    """Early, middle and late windows of each speaker by cumulative speech, in half milliseconds.
+def window_ends(ranges: DataFrame, preview_ms: int = 12_000, min_ms: int = MIN_MS) -> DataFrame:
+    """``timestamps`` with the ends of the early, middle and late windows, in half milliseconds, and which of them stand.
 
-    Windows shorter than ``min_ms`` go, and so does one whose ends both lie within ``min_ms`` of an earlier one's. Columns:
-    label, start_half, end_half, segment_count, speech_half.
+    A window shorter than ``min_ms`` falls, and so does one whose ends both lie within ``min_ms`` of an earlier one's. One
+    shuffle serves the running sums and the aggregate. Columns: _e0, _e1, _m0, ... and has_e, has_m, has_l.
     """
     budget, eps = max(100, preview_ms), 2 * min_ms
-    rows = running(ranges)
     total = F.col("total_ms")  # the half of the total is total in half milliseconds
     zero = F.lit(0).cast("long")
-    found = rows.groupBy(*GROUP).agg(
+    found = running(ranges).groupBy(*GROUP).agg(
+        *_times(),
         (F.min_by("start_ms", "ord") * 2).alias("_e0"),
         time_at(F.least(F.lit(2 * budget), 2 * total), 2).alias("_e1"),
         time_at(F.greatest(zero, total - budget), 2).alias("_m0"),
@@ -113,10 +116,19 @@ def purity_windows(ranges: DataFrame, preview_ms: int = 12_000, min_ms: int = MI
     )
     near = lambda a, b: (F.abs(F.col(f"_{a}0") - F.col(f"_{b}0")) < eps) & (F.abs(F.col(f"_{a}1") - F.col(f"_{b}1")) < eps)
     long = lambda a: F.col(f"_{a}1") - F.col(f"_{a}0") >= eps
-    kept = found.withColumn("_ke", long("e")).withColumn("_km", long("m") & ~(F.col("_ke") & near("m", "e")))
-    kept = kept.withColumn("_kl", long("l") & ~(F.col("_ke") & near("l", "e")) & ~(F.col("_km") & near("l", "m")))
-    one = lambda label, a: F.when(F.col(f"_k{a}"), F.struct(F.lit(label).alias("label"), F.col(f"_{a}0").alias("start_half"), F.col(f"_{a}1").alias("end_half")))
-    windows = kept.select(*GROUP, F.explode(F.filter(F.array(one("early", "e"), one("middle", "m"), one("late", "l")), lambda x: x.isNotNull())).alias("_w")).select(*GROUP, "_w.*")
+    kept = found.withColumn("has_e", long("e")).withColumn("has_m", long("m") & ~(F.col("has_e") & near("m", "e")))
+    return kept.withColumn("has_l", long("l") & ~(F.col("has_e") & near("l", "e")) & ~(F.col("has_m") & near("l", "m")))
+
+
+def purity_windows(ranges: DataFrame, preview_ms: int = 12_000, min_ms: int = MIN_MS) -> DataFrame:
+    """Early, middle and late windows of each speaker by cumulative speech, in half milliseconds.
+
+    Columns: label, start_half, end_half, segment_count, speech_half.
+    """
+    eps = 2 * min_ms
+    one = lambda label, a: F.when(F.col(f"has_{a}"), F.struct(F.lit(label).alias("label"), F.col(f"_{a}0").alias("start_half"), F.col(f"_{a}1").alias("end_half")))
+    standing = F.filter(F.array(one("early", "e"), one("middle", "m"), one("late", "l")), lambda x: x.isNotNull())
+    windows = window_ends(ranges, preview_ms, min_ms).select(*GROUP, F.explode(standing).alias("_w")).select(*GROUP, "_w.*")
     inside = F.least(F.col("end_ms") * 2, F.col("end_half")) - F.greatest(F.col("start_ms") * 2, F.col("start_half"))
     pieces = windows.join(ranges, list(GROUP)).withColumn("_in", inside)
     counted = F.when(F.col("_in") >= eps, F.col("_in"))

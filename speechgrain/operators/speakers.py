@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from speechgrain.functions.text import is_useful
-from speechgrain.operators.intervals import GROUP, purity_windows, speaker_ranges, timestamps
+from speechgrain.operators.intervals import GROUP, purity_windows, speaker_ranges, window_ends
 from speechgrain.operators.segments import speech_ms
 
 MIN_USEFUL_MS, MIXED_RATIO = 5_000, 3.0
@@ -99,20 +99,21 @@ ADVICE = {
 }
 
 
-def audit(segments: DataFrame, preview_ms: int = 12_000, min_useful_ms: int = MIN_USEFUL_MS, ratio: float = MIXED_RATIO) -> DataFrame:
-    """The summary of each speaker with times, span, windows, status and whether the whole cluster may be enrolled."""
+def audit(segments: DataFrame, preview_ms: int = 12_000, min_useful_ms: int = MIN_USEFUL_MS, ratio: float = MIXED_RATIO, with_windows: bool = False) -> DataFrame:
+    """The summary of each speaker with times, span, status and whether the whole cluster may be enrolled.
+
+    ``with_windows`` adds the purity windows with their counts, which costs a join back to the ranges.
+    """
     ranges = speaker_ranges(segments, useful_only=True)
-    times = timestamps(ranges).withColumnRenamed("speech_ms", "range_ms").withColumn("span_ms", F.col("last_ms") - F.col("first_ms"))
-    windows = purity_windows(ranges, preview_ms).groupBy(*GROUP).agg(
-        F.bool_or(F.col("label") == "early").alias("has_early"),
-        F.bool_or(F.col("label") == "late").alias("has_late"),
-        F.array_sort(F.collect_list(F.struct("start_half", "end_half", "label", "segment_count", "speech_half"))).alias("windows"),
-    )
-    out = summary(segments).join(times, list(GROUP), "left").join(windows, list(GROUP), "left")
+    ends = window_ends(ranges, preview_ms).select(*GROUP, "first_ms", "middle_half_ms", "last_ms", F.col("speech_ms").alias("range_ms"), (F.col("last_ms") - F.col("first_ms")).alias("span_ms"), "has_e", "has_l")
+    out = summary(segments).join(ends, list(GROUP), "left")
+    if with_windows:
+        windows = purity_windows(ranges, preview_ms).groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("start_half", "end_half", "label", "segment_count", "speech_half"))).alias("windows"))
+        out = out.join(windows, list(GROUP), "left")
     false = F.lit(False)
-    status = safety(F.col("range_ms"), F.col("span_ms"), F.coalesce("has_early", false), F.coalesce("has_late", false), min_useful_ms, ratio)
+    status = safety(F.col("range_ms"), F.col("span_ms"), F.coalesce("has_e", false), F.coalesce("has_l", false), min_useful_ms, ratio)
     advice = F.element_at(F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv]), F.col("status"))
-    return out.withColumn("status", status).withColumn("safe", F.col("status") == "pure_likely").withColumn("recommendation", advice).drop("has_early", "has_late")
+    return out.withColumn("status", status).withColumn("safe", F.col("status") == "pure_likely").withColumn("recommendation", advice).drop("has_e", "has_l")
 
 
 def all_safe(audited: DataFrame) -> DataFrame:

@@ -73,6 +73,7 @@ def test_audit_classes(spark):
     s = spread.unionByName(dense).unionByName(short).unionByName(tags)
     assert [r.status for r in speakers.audit(s).orderBy("session_id").collect()] == ["mixed_suspected", "pure_likely", "unknown", "unknown"]
     assert speakers.audit(spread, ratio=50.0).first().status == "pure_likely"
+    assert [w.label for w in speakers.audit(dense, with_windows=True).first().windows] == ["early", "middle", "late"]
     guard = speakers.guard(spark.createDataFrame([(1, "0"), (2, "0"), (2, "9"), (99, "0")], "session_id long, speaker_id string"), speakers.audit(s))
     assert [r.decision for r in guard.orderBy("session_id", "speaker_id").collect()] == ["refuse", "allow", "warn", "warn"]
     assert rows(speakers.all_safe(speakers.audit(s)), "session_id")[:2] == [(1, False), (2, True)]
