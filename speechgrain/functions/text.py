@@ -106,27 +106,31 @@ def lane(status: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), status), F.lit("To Transcribe"))
 
 
+#: Words of a session card by status, the columns whose first filled one gives the time, and the column of a
+#: reason; or, in its place, closing words after a dash.
+CARDS = {
+    "scheduled": ("scheduled for", ("scheduled_start_at",), None, None),
+    "recording": ("started", ("started_at",), None, None),
+    "recording_failed": ("recording failed to launch", ("failed_at",), "failure_reason", None),
+    "scheduled_cancelled": ("scheduled start cancelled", ("cancelled_at",), "cancel_reason", None),
+    "stopped": ("stopped", ("ended_at",), None, None),
+    "transcribing": ("transcribing since", ("transcription_started_at",), None, None),
+    "transcribed": ("transcribed", ("transcribed_at",), None, None),
+    "transcription_failed": ("failed", ("failed_at", "ended_at"), "failure_reason", None),
+    "transcription_interrupted": ("interrupted", ("interrupted_at", "ended_at"), None, "resume with transcribe --resume"),
+}
+
+
 def card_text(s: dict[str, Column]) -> Column:
-    """The status line of a session card from the session's columns."""
-    empty = F.lit("")
-    col = lambda *names: F.coalesce(*[F.nullif(s[n], F.lit("")) for n in names if n in s], empty)
-    status = s["status"]
-
-    def reason(name: str) -> Column:
-        return F.when(col(name) == "", empty).otherwise(F.concat(F.lit(" — "), col(name)))
-
-    return (
-        F.when(status == "transcribed", F.concat(F.lit("transcribed "), col("transcribed_at")))
-        .when(status == "transcription_failed", F.concat(F.lit("failed "), col("failed_at", "ended_at"), reason("failure_reason")))
-        .when(status == "recording_failed", F.concat(F.lit("recording failed to launch "), col("failed_at"), reason("failure_reason")))
-        .when(status == "transcription_interrupted", F.concat(F.lit("interrupted "), col("interrupted_at", "ended_at"), F.lit(" — resume with transcribe --resume")))
-        .when(status == "transcribing", F.concat(F.lit("transcribing since "), col("transcription_started_at")))
-        .when(status == "stopped", F.concat(F.lit("stopped "), col("ended_at")))
-        .when(status == "recording", F.concat(F.lit("started "), col("started_at")))
-        .when(status == "scheduled", F.concat(F.lit("scheduled for "), col("scheduled_start_at")))
-        .when(status == "scheduled_cancelled", F.concat(F.lit("scheduled start cancelled "), col("cancelled_at"), reason("cancel_reason")))
-        .otherwise(F.coalesce(status, empty))
-    )
+    """The status line of a session card from the session's columns, missing ones counting as empty; others show the status."""
+    filled = lambda names: F.coalesce(*[F.nullif(s[n], F.lit("")) for n in names if n in s], F.lit(""))
+    out = F.lit(None)
+    for status, (words, times, reason, closing) in CARDS.items():
+        said = F.concat(F.lit(words + " "), filled(times))
+        extra = F.lit(closing or "") if reason is None else filled((reason,))
+        line = F.when(extra == "", said).otherwise(F.concat(said, F.lit(" — "), extra))
+        out = F.when(s["status"] == status, line).otherwise(out)
+    return F.coalesce(out, s["status"], F.lit(""))
 
 
 def mentions_any(text: Column, words: list[str]) -> Column:
