@@ -246,7 +246,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str) ->
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     done = ordered.mapInPandas(run, "part long, path string, n_docs long, n_ids long")
-    return [(r.path, r.n_docs, r.n_ids) for r in done.orderBy("part").collect()]  # a row per file
+    return [(r.path, r.n_docs, r.n_ids) for r in sorted(done.collect(), key=lambda r: r.part)]  # a row per file
 
 
 def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
