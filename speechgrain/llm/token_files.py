@@ -17,16 +17,20 @@ by text; extra columns are ignored; an empty table writes no documents.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_characters
 from .common import shared_folder, table
 from .pieces import Cache, cut_before
 
@@ -38,23 +42,22 @@ _CUTS = " \t\n\r"
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
-    """Words for ``ids`` (unsigned 64-bit), each holding as many as fit."""
+    """Words for ``ids`` (unsigned, of 32 or 64 bits), each holding as many as fit."""
     n = len(ids)
     if n == 0:
         return np.zeros(0, "<u8")
-    ids = ids.astype(np.uint64)
-    bits = np.frexp(ids.astype(np.float64))[1]
-    large = ids >= np.uint64(1) << np.uint64(60)
-    bits[large] = 64
-    bits[(bits > 60) & ~large] = 60  # what rounding to a double lifted over the edge
-    at = np.arange(n)
     choice = np.full(n, ESCAPE, np.int8)
     for s, count in reversed(list(enumerate(COUNTS))):
-        fits = bits <= 60 // count
+        fits = ids <= ids.dtype.type(min((1 << 60 // count) - 1, np.iinfo(ids.dtype).max))
         if np.count_nonzero(fits) < count:
             break
-        first_bad = np.minimum.accumulate(np.where(fits, n, at)[::-1])[::-1]
-        choice[first_bad - at >= count] = s
+        run = 1  # fits[i] tells whether ids i to i + run - 1 are small enough
+        while run < count:
+            by = min(run, count - run)
+            fits, run = fits[:-by] & fits[by:], run + by
+        choice[: len(fits)][fits] = s
+    at = np.arange(n)
+    ids = ids.astype(np.uint64)
     step = np.ones(16, np.int64)
     step[: len(COUNTS)] = COUNTS
     follow, starts, p = (at + step[choice]).tolist(), [], 0
@@ -187,8 +190,11 @@ class Reader:
 
 
 class WordTokenizer:
-    """Ids of a tokenizers file. Its normaliser turns white space into cuts no piece crosses, so pieces between spaces,
-    tabs and line ends are encoded once each."""
+    """Ids of a tokenizers file whose normaliser lower-cases and whose pre-tokens never cross white space.
+
+    A text is cut at spaces, tabs and line ends, and where letters or digits meet an ASCII mark; both are ends of pre-tokens. Pieces are encoded once each and kept in a bounded cache. A piece of letters that normalising leaves as
+    it is goes straight to the library's BPE model, all others through its whole chain.
+    """
 
     def __init__(self, definition: str, cache: int = 200_000):
         import os
@@ -198,15 +204,45 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_str(definition)
         self.model.encode_special_tokens = True
+        self.bpe = self.model.model
+        self.shown = dict(enumerate(byte_characters()))
+        self.find = re.compile(r"[^\W_]+(?=[!-/:-@\[-`{-~ \t\n\r]|\Z)|[^ \t\n\r]+").findall
+        self.find_whole = re.compile(r"[^ \t\n\r]+").findall
+        self.joins = re.compile("[\u0130\u03a3\u0300-\u036f]").search
         self.cache = Cache(self._encode, cache)
-        self.spaces = str.maketrans(dict.fromkeys(_CUTS, " "))
+
+    def _direct(self, part: str) -> bytes | None:
+        if not part.isalpha() or part != part.lower() or not (part.isascii() or is_normalized("NFC", part)):
+            return None
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.bpe.tokenize(mapped)]).tobytes()
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+        out = [self._direct(p) for p in parts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.model.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def _pieces(self, text: str) -> list[str]:
+        # lower-casing first gives more cache hits; where normalising could move marks, words stay whole and as they are
+        if not text.isascii() and (self.joins(text) or not is_normalized("NFC", text)):
+            return self.find_whole(text)
+        return self.find(text.lower())
 
     def encode(self, text: str | None) -> bytes:
-        cut = cut_before(text or "", lambda t, i: t[i] in _CUTS)
-        return b"".join(self.cache.join([w for w in piece.translate(self.spaces).split(" ") if w]) for piece in cut)
+        return b"".join(self.cache.join(self._pieces(piece)) for piece in cut_before(text or "", lambda t, i: t[i] in _CUTS))
+
+
+_CODERS: dict[str, WordTokenizer] = {}
+
+
+def coder_for(definition: str) -> WordTokenizer:
+    """The worker's own tokenizer, with its cache kept from task to task."""
+    if definition not in _CODERS:
+        _CODERS.clear()
+        _CODERS[definition] = WordTokenizer(definition)
+    return _CODERS[definition]
 
 
 def _open(path: str):
@@ -231,7 +267,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str) ->
         coder = writer = stream = None
         for batch in batches:
             if coder is None:
-                coder = WordTokenizer(shared.value)
+                coder = coder_for(shared.value)
                 where.create_dir(base, recursive=True)
                 stream = where.open_output_stream(f"{base}/{name}")
                 writer = Writer(stream)

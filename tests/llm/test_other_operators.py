@@ -104,6 +104,21 @@ def test_token_files_equal_the_library(spark, tmp_path):
         token_files.Reader(token_files._open(str(tmp_path / "bad"))[0].open_input_file(str(tmp_path / "bad")))
 
 
+def test_pieces_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    own = token_files.WordTokenizer(open(path).read(), cache=500)
+    rng = random.Random(2)
+    letters = [*ODD, "B", "\u03a3", "\u03c2", "\u0130", "I\u0307", "J\u030c", "e\u0301", "E\u0301", "\u1e9e", "\u00bd", "\x0b", "\x1c", "\x85", "\u0301", ".", "...", "_", "-", "\u03a9", "\u01c5", "\uff41", "\ufb01", "\u212b", "\u0345", "\u0958", "\u0915\u094d", "\u200d", "DON'T"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 8, 30, 100]))) for _ in range(4000)]
+    texts += ["".join(chr(rng.randint(1, 0x2FFF)) for _ in range(20)) for _ in range(4000)]
+    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want.ids, ascii(text)
+
+
 # --- classifiers -------------------------------------------------------------------------------------------------------
 
 
