@@ -1,9 +1,9 @@
 """Quality rules: figures of a text, and lines that too many documents of a host hold.
 
-Lines are normalised (white space stripped, A-Z lower-cased) and hashed to 128 bits. Distinct documents are counted for
-each host and hash, combined before the shuffle. A line is too frequent when more than ``SHARE`` of its host's documents
+Lines are normalised (white space stripped, A-Z lower-cased) and hashed to 128 bits. Distinct documents (exact copies are
+one) are counted for each host and hash, combined before the shuffle. A line is too frequent when more than ``SHARE`` of its host's documents
 and more than ``LEAST_DOCS`` hold it. It is then removed, save in the smallest ``doc_id`` of the host that holds it, so
-that one copy of a much copied document stays whole. A document is rejected when what is left is less than ``LEFT`` of its
+that one of many near copies stays whole. A document is rejected when what is left is less than ``LEFT`` of its
 words or less than ``LEAST_WORDS`` words. Texts are read once: figures and line hashes are written to the shared folder,
 and only hashes are shuffled. A line that a whole host holds is one joined key, which Spark splits or broadcasts.
 
@@ -101,9 +101,12 @@ def figures(docs: DataFrame, host: str) -> DataFrame:
 def judge(docs: DataFrame, host: str = "source", share: float = SHARE, least_docs: int = LEAST_DOCS, left: float = LEFT, least_words: int = LEAST_WORDS, repeats: float = REPEATS) -> DataFrame:
     """``doc_id``, ``_key`` (hash of the text), the figures, ``base_failed``, ``n_removed_words`` and ``kept`` for every row."""
     found = checkpointed(figures(docs, host).withColumn("_row", F.monotonically_increasing_id()))
-    lines = found.select("_row", "doc_id", "_host", F.explode(F.arrays_zip("lines", "words")).alias("_l")).select("_row", "doc_id", "_host", F.col("_l.lines").alias("line"), F.col("_l.words").alias("n"))
-    counts = lines.groupBy("_host", "line").agg(F.count("*").alias("_docs"), F.min("doc_id").alias("_first")).where(F.col("_docs") > least_docs)
-    hosts = found.groupBy("_host").agg(F.count("*").alias("_all"))
+    lines = found.select("_row", "doc_id", "_host", "_key", F.explode(F.arrays_zip("lines", "words")).alias("_l"))
+    lines = lines.select("_row", "doc_id", "_host", "_key", F.col("_l.lines").alias("line"), F.col("_l.words").alias("n"))
+    # documents are distinct by their text: copies count once, in a line's documents and in the host's
+    once = lines.groupBy("_host", "line", "_key").agg(F.min("doc_id").alias("_first"))
+    counts = once.groupBy("_host", "line").agg(F.count("*").alias("_docs"), F.min("_first").alias("_first")).where(F.col("_docs") > least_docs)
+    hosts = found.select("_host", "_key").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
     often = counts.join(hosts, "_host").where(F.col("_docs") > share * F.col("_all")).select("_host", "line", "_first")
     gone = lines.join(often, ["_host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("_first"))).groupBy("_row").agg(F.sum("n").alias("_gone"))
     removed = F.coalesce("_gone", F.lit(0)).cast("long")
