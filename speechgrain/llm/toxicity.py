@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Training sees a bounded sample (``PER_CLASS`` labelled documents of each class, whole texts): their hashed n-grams of
-``LENGTHS`` code points, counted once a document, get log-count ratios r; the ``FEATURES`` strongest are kept, and a
+``LENGTHS`` code points, counted once a document by Spark, get log-count ratios r; the ``FEATURES`` strongest are kept, and a
 logistic regression with L2 penalty is fitted on presence times r. The product of its weights and r is a table of
 ``2**HASH_BITS`` numbers, the only thing that scoring needs. Scoring is one Arrow pass over whole texts.
 
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 from .labelled import held_out, sample
 
 LENGTHS = (3, 4, 5, 6, 7)
@@ -68,25 +68,34 @@ def _gradient_fit(rows: list[np.ndarray], y: np.ndarray, n: int, scale: np.ndarr
     return w, float(b)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, features: int = FEATURES, penalty: float = 1e-4, smooth: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights by hash and intercept, from presence arrays and labels of 0 and 1."""
-    if len(y) == 0 or y.min() == y.max():
-        return np.zeros(1 << HASH_BITS, np.float32), -1e9
-    count = [np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)]
-    for r, label in zip(rows, y, strict=True):
-        count[label][r] += 1
-    share = [(c + smooth) / (np.sum(y == k) + 2 * smooth) for k, c in enumerate(count)]
-    ratio = np.log(share[1] / share[0])
-    strength = np.abs(ratio) * np.sqrt(count[0] + count[1])
-    strength[count[0] + count[1] < 4] = 0
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:features])
-    place = np.full(1 << HASH_BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    kept = [p[p >= 0] for p in (place[r] for r in rows)]
-    w, b = _gradient_fit(kept, y, len(chosen), ratio[chosen], penalty)
-    out = np.zeros(1 << HASH_BITS, np.float32)
-    out[chosen] = w * ratio[chosen]
-    return out, b
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of each class by n-gram of a partition, and the documents themselves under hash -1."""
+    seen, docs = np.zeros((2, 1 << HASH_BITS), np.int64), [0, 0]
+    for batch in batches:
+        for text, label in zip(batch["text"], batch["label"].tolist(), strict=True):
+            seen[label][presence(text)] += 1
+            docs[label] += 1
+    yield pd.DataFrame({"hash": [-1], "n0": [docs[0]], "n1": [docs[1]]})
+    found = np.flatnonzero(seen.any(axis=0))
+    for k in range(0, len(found), 100_000):
+        part = found[k : k + 100_000]
+        yield pd.DataFrame({"hash": part, "n0": seen[0][part], "n1": seen[1][part]})
+
+
+def choose_features(rows: DataFrame, features: int = FEATURES, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray] | None:
+    """Hashes (ascending) and log-count ratios of the strongest n-grams of ``rows(text, label)``, or None without both classes.
+
+    Counts meet in Spark; the driver gets ``features`` rows.
+    """
+    counts = checkpointed(rows.mapInPandas(_counts, "hash long, n0 long, n1 long").groupBy("hash").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    docs = counts.where("hash = -1").first()
+    if docs is None or not docs.n0 or not docs.n1:
+        return None
+    share = lambda c, n: (F.col(c) + smooth) / (n + 2 * smooth)
+    ratio = F.log(share("n1", docs.n1) / share("n0", docs.n0))
+    strong = counts.where("hash >= 0 and n0 + n1 >= 4").select("hash", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("n0") + F.col("n1"))).alias("strength"))
+    top = sorted((r.hash, r.ratio) for r in strong.orderBy(F.desc("strength"), "hash").limit(features).collect())
+    return np.array([h for h, _ in top], dtype=np.int64), np.array([r for _, r in top])
 
 
 def score(text: str | None, weights: np.ndarray, intercept: float) -> float:
@@ -95,14 +104,24 @@ def score(text: str | None, weights: np.ndarray, intercept: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(intercept + weights[found].sum(dtype=np.float64), -60, 60))))
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = PER_CLASS, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights by hash and intercept. Two passes over the sample: one counts n-grams, one gathers the chosen ones."""
+    rows = sample(docs, labels, column, per_class)
+    out, chosen = np.zeros(1 << HASH_BITS, np.float32), choose_features(rows)
+    if chosen is None:
+        return out, -1e9
+    hashes, ratio = chosen
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "found": [presence(t).tobytes() for t in batch["text"]]})
+            found = [np.flatnonzero(np.isin(hashes, presence(t), assume_unique=True)).astype("<u4").tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "found": found})
 
-    rows = sample(docs, labels, column, per_class).mapInPandas(features, "doc_id long, label int, found binary").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, len(r.found)))
-    return fit([np.frombuffer(r.found, "<u4") for r in rows], np.array([r.label for r in rows], dtype=np.int64))
+    kept = sorted(rows.mapInPandas(gather, "doc_id long, label int, found binary").collect(), key=lambda r: (r.doc_id, bytes(r.found)))
+    y = np.array([r.label for r in kept], dtype=np.int64)
+    w, b = _gradient_fit([np.frombuffer(r.found, "<u4").astype(np.int64) for r in kept], y, len(hashes), ratio, penalty)
+    out[hashes] = w * ratio
+    return out, b
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
