@@ -3,8 +3,10 @@
 1. Equal vectors collapse to classes (128 bits of hash), each with a member count; its smallest vec_id stands for it.
 2. A rotation of the principal axes is learned on a bounded sample (``SAMPLE`` classes of smallest hash), so that the signs
    of the rotated coordinates are balanced binary codes. Every class is coded.
-3. ``TABLES`` Hamming tables index the codes by different subsets of bits. Their width grows with the logarithm of the
-   number of classes, so the size of a bucket doesn't grow with the input.
+3. Hamming tables index the codes by different subsets of bits. Their width grows with the logarithm of the number of
+   classes, so the size of a bucket doesn't grow with the input; their number grows with the width, until a share ``RECALL``
+   of trial pairs at the least cosine (and of the sample's own links) have a bucket in common. Of the widths that do so the
+   cheapest is taken; where none is cheaper than comparing all pairs, one table of width 0 compares all.
 4. Bucket mates are reranked with their original vectors in double precision. A bucket of more than ``CHUNK`` rows is split
    into chunks that meet pair by pair, so that no task holds more than two chunks. A pair counts in the first table that
    holds it. Buckets give counts per class and a spanning forest of their links, never their pairs.
@@ -28,26 +30,37 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 from .components import components
 
-SAMPLE, TABLES, CHUNK, MOST_BITS, ROUNDS = 20_000, 24, 2048, 64, 40
+SAMPLE, RECALL, CHUNK, BITS, ROUNDS = 20_000, 0.95, 2048, 64, 40
+#: Trial pairs of each kind; the cost of an indexed row in products of two vectors.
+TRIALS, ROW_COST = 4000, 64
 
 
 def learn(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) whose signs are the code: principal axes, rotated towards the corners of the cube."""
+    """(mean, projection) whose signs are the code: principal axes, rotated towards the corners of the cube.
+
+    Vectors of fewer than ``bits`` components get the rest of their bits from random rotations of the axes.
+    """
     mean = x.mean(axis=0)
-    _, axes = np.linalg.eigh(np.cov((x - mean).T) if len(x) > 1 else np.eye(x.shape[1]))
+    _, axes = np.linalg.eigh(np.cov((x - mean).T).reshape(x.shape[1], x.shape[1]) if len(x) > 1 else np.eye(x.shape[1]))
     axes = axes[:, ::-1][:, :bits]
-    flat = (x - mean) @ axes
-    rotation, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
+    flat, rng = (x - mean) @ axes, np.random.default_rng(seed)
+    random = lambda: np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
+    rotation = random()
     for _ in range(rounds):
         u, _, vt = np.linalg.svd(np.where(flat @ rotation >= 0, 1.0, -1.0).T @ flat)
         rotation = (u @ vt).T
-    return mean, axes @ rotation
+    more = [random() for _ in range(1, math.ceil(bits / axes.shape[1]))]
+    return mean, (axes @ np.hstack([rotation, *more]))[:, :bits]
+
 
+def encode(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    return ((unit - mean) @ projection >= 0) @ (np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64))
 
-def masks(bits: int, width: int, tables: int = TABLES, seed: int = 9) -> list[int]:
-    """Bit subsets of the tables: each run of tables deals out all bits before any is used again."""
-    rng, deck, out = np.random.default_rng(seed), [], []
-    for _ in range(tables):
+
+def masks(bits: int, width: int, seed: int = 9) -> Iterator[int]:
+    """Bit subsets of the tables without end: all bits are dealt out before any is used again."""
+    rng, deck = np.random.default_rng(seed), []
+    while True:
         chosen: list[int] = []
         while len(chosen) < width:
             if not deck:
@@ -58,8 +71,50 @@ def masks(bits: int, width: int, tables: int = TABLES, seed: int = 9) -> list[in
                 continue
             deck.remove(b)
             chosen.append(b)
-        out.append(sum(1 << b for b in chosen))
-    return out
+        yield sum(1 << b for b in chosen)
+
+
+def trials(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, least: float, seed: int = 7, n: int = TRIALS) -> list[np.ndarray]:
+    """Differing bits of pairs at cosine ``least``: sampled vectors turned any way, and turned towards another sampled vector;
+    and of pairs of sampled vectors that link, if there are 50."""
+    rng = np.random.default_rng(seed)
+    u = unit[rng.integers(len(unit), size=n)]
+    codes, out = encode(u, mean, projection), []
+    for aim in (rng.normal(size=u.shape), unit[rng.integers(len(unit), size=n)]):
+        side = aim - (aim * u).sum(axis=1, keepdims=True) * u
+        size = np.linalg.norm(side, axis=1)
+        turned = least * u + math.sqrt(max(1 - least * least, 0)) * side / np.maximum(size, 1e-12)[:, None]
+        real = size > 1e-6
+        out.append((codes ^ encode(turned, mean, projection))[real])
+    some = unit[rng.permutation(len(unit))[:2048]]
+    i, j = np.nonzero(np.triu(some @ some.T >= least, 1))
+    if len(i) >= 50:
+        picked = rng.permutation(len(i))[:n]
+        own = encode(some, mean, projection)
+        out.append(own[i[picked]] ^ own[j[picked]])
+    return [x for x in out if len(x)]
+
+
+def choose_tables(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, n: int, least: float, recall: float = RECALL) -> list[int]:
+    """Masks of the cheapest tables for ``n`` vectors like the sample ``unit`` that hold ``recall`` of each kind of trial pairs."""
+    bits, pairs = projection.shape[1], trials(unit, mean, projection, least)
+    some = encode(unit[:4096], mean, projection)
+    best, lowest = [0], float(ROW_COST + n)
+    for width in range(min(bits, math.ceil(math.log2(n))), 0, -1):
+        open_, chosen, cost = pairs, [], 0.0
+        for mask in masks(bits, width):
+            m = np.uint64(mask)
+            size = np.unique(some & m, return_counts=True)[1].astype(float)
+            mates = n * max((size * (size - 1)).sum() / max(len(some) * (len(some) - 1), 1), 2.0**-width)
+            chosen.append(mask)
+            cost += ROW_COST + mates
+            if cost >= lowest:
+                break
+            open_ = [x[(x & m) != 0] for x in open_]
+            if all(len(x) <= (1 - recall) * len(all_) for x, all_ in zip(open_, pairs, strict=True)):
+                best, lowest = chosen, cost
+                break
+    return best
 
 
 def _links_in(rep: np.ndarray, members: np.ndarray, codes: np.ndarray, unit: np.ndarray, left: np.ndarray, right: np.ndarray, earlier: list[int], least: float):
@@ -134,7 +189,7 @@ def link_buckets(rows: DataFrame, mask_list: list[int], least: float, kind: str)
     return rows.mapInPandas(run, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES, chunk: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = RECALL, chunk: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``."""
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     e = F.col("embedding")
@@ -150,16 +205,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES
     classes = marked.where("embedding is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"), F.min_by("embedding", F.coalesce("vec_id", F.lit(2**62))).alias("embedding"))
     classes = checkpointed(classes.where("rep is not null"))
     n = classes.count()
-    bits = min(dims, MOST_BITS)
-    if n < 2 or not bits:
+    if n < 2:
         groups, counts = None, None
     else:
         x = np.array([r.embedding for r in classes.orderBy("h1", "h2").select("embedding").limit(sample).collect()], dtype=np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        mean, projection = learn(x, bits)
-        width = min(bits, max(4, math.ceil(math.log2(n)) - 2))
-        found = _link(classes, mean, projection, masks(bits, width, tables), least, chunk, kind)
-        found = checkpointed(found)
+        mean, projection = learn(x, BITS)
+        found = checkpointed(_link(classes, mean, projection, choose_tables(x, mean, projection, n, least, recall), least, chunk, kind))
         counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_linked"))
         groups = components(found.where("n = 0").select("a", "b"))
     about = classes.select("h1", "h2", "rep", "members")
@@ -176,19 +228,17 @@ def _link(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, mask_lis
     shared = classes.sparkSession.sparkContext.broadcast((mean, projection))
 
     @F.pandas_udf("struct<code:long,vector:binary>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def coding(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         centre, axes = shared.value
-        place = np.uint64(1) << np.arange(axes.shape[1], dtype=np.uint64)
         for part in batches:
             if part.empty:
                 yield pd.DataFrame({"code": np.zeros(0, np.int64), "vector": []})
                 continue
             x = np.stack(part.to_numpy())
             unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-            code = ((unit - centre) @ axes >= 0) @ place
-            yield pd.DataFrame({"code": code.view(np.int64), "vector": [v.tobytes() for v in x.astype(kind)]})
+            yield pd.DataFrame({"code": encode(unit, centre, axes).view(np.int64), "vector": [v.tobytes() for v in x.astype(kind)]})
 
-    coded = checkpointed(classes.select("rep", "members", encode("embedding").alias("_c")).select("rep", "members", "_c.code", "_c.vector"))
+    coded = checkpointed(classes.select("rep", "members", coding("embedding").alias("_c")).select("rep", "members", "_c.code", "_c.vector"))
     signed = [m - (1 << 64) if m >> 63 else m for m in mask_list]
     keys = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for t, m in enumerate(signed)])
     placed = coded.select("rep", F.explode(keys).alias("_k")).select("rep", "_k.t", "_k.bucket")

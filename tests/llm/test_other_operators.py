@@ -261,6 +261,30 @@ def test_vectors_against_brute_force(spark, chunk):
     assert all(got[i].kept == (got[i].component_id == i) for i in range(len(x)))
 
 
+def test_recall_holds_for_few_components(spark):
+    x = np.random.default_rng(3).normal(size=(3000, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum() - len(x)
+    found = itq.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    assert 0.9 * want <= found <= want
+
+
+@pytest.mark.parametrize("n", [2_000, 100_000, 10_000_000, 1_000_000_000])
+def test_recall_holds_as_tables_grow(n):
+    rng = np.random.default_rng(n)
+    u = rng.normal(size=(20_000, 64)) * np.linspace(2, 0.5, 64) + 0.3
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    mean, projection = itq.learn(u[:10_000], 64)
+    chosen = itq.choose_tables(u[:10_000], mean, projection, n, 0.9)
+    side = rng.normal(size=u.shape)
+    side -= (side * u).sum(axis=1, keepdims=True) * u
+    turned = 0.9 * u + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    differ = (itq.encode(u, mean, projection) ^ itq.encode(turned, mean, projection))[10_000:]
+    assert np.any([(differ & np.uint64(m)) == 0 for m in chosen], axis=0).mean() >= 0.93
+    assert n < 100_000 or len(chosen) * n / 2 ** min(m.bit_count() for m in chosen) < n / 20  # far from all pairs
+
+
 def test_vector_cases(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0]), (9, []), (None, [1.0, 0.0]), (10, [0.0, 1.0])]
