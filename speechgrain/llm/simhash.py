@@ -33,29 +33,44 @@ from .components import components
 
 WORDS, SEED, BITS = 3, 42, 2
 PIVOTS, BUCKET = 16, 64
+#: Near copies of texts: shingles of SIMILAR_WORDS words with a Jaccard similarity of LEAST or more. A pair at LEAST has one of
+#: BANDS keys of BAND_ROWS least hashes in common with probability 1 - (1 - 0.8**6)**20 = 0.998, whatever the number of texts.
+SIMILAR_WORDS, LEAST, BANDS, BAND_ROWS = 5, 0.8, 20, 6
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """The unsigned 64-bit fingerprint of a text."""
-    import xxhash
-
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    found = _words(text)
     if not found:
         return 0
-    joined = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest, n, ones = xxhash.xxh64_intdigest, len(found) - words + 1, np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):  # a bounded piece of a very long text at a time
-        cut = zip(starts[k : min(k + (1 << 16), n)].tolist(), ends[k + words - 1 : min(k + (1 << 16), n) + words - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[i:j], seed) for i, j in cut], dtype="<u8")
+        return int(next(_hashes(found, words, seed))[0])
+    n, ones = len(found) - words + 1, np.zeros(64, np.int64)
+    for hashes in _hashes(found, words, seed):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def _hashes(found: list[bytes], words: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles in order, a bounded piece of a very long text at a time."""
+    import xxhash
+
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    if len(found) <= words:
+        yield np.array([digest(joined, seed)], dtype="<u8")
+        return
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts, n = np.concatenate(([0], ends[:-1] + 1)), len(found) - words + 1
+    for k in range(0, n, 1 << 16):
+        cut = zip(starts[k : min(k + (1 << 16), n)].tolist(), ends[k + words - 1 : min(k + (1 << 16), n) + words - 1].tolist(), strict=True)
+        yield np.array([digest(joined[i:j], seed) for i, j in cut], dtype="<u8")
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """``(doc_id, fp)`` for every row of ``docs``; fp is the fingerprint's bits as a signed long."""
 
@@ -129,6 +144,86 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     return docs.join(first, "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id is null"))
 
 
+def shingle_set(text: str | None, words: int = SIMILAR_WORDS, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text; none without words."""
+    found = _words(text)
+    return np.unique(np.concatenate(list(_hashes(found, words, seed)))) if found else np.zeros(0, "<u8")
+
+
+def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """A key for each band: its least shingle hashes under ``rows`` permutations, mixed into a long."""
+    rng = np.random.default_rng(SEED)
+    factor, plus, mix = (rng.integers(1, 1 << 63, bands * rows, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[k : k + 4096, None] * factor + plus).min(axis=0))
+    return (((least ^ (least >> np.uint64(31))) * mix).reshape(bands, rows).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def _prints(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """A row for each of ``docs``: doc_id, ``h`` (hash of the words), fingerprint, shingle set and band keys.
+
+    The set holds 32 bits of each hash: in a text of n shingles n**2 / 2**33 of them meet by chance, a share of 1e-5 in 100,000.
+    """
+    import xxhash
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 1000):
+                part = batch.iloc[k : k + 1000]
+                sets = [shingle_set(t, words, seed) for t in part["text"]]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"], "h": np.array([xxhash.xxh3_64_intdigest(b" ".join(_words(t))) for t in part["text"]], np.uint64).view(np.int64),
+                    "fp": np.array([fingerprint(t) for t in part["text"]], np.uint64).view(np.int64), "shingles": [np.unique(x.astype("<u4")).view(np.int32) for x in sets], "bands": [band_keys(x) if len(x) else [] for x in sets],
+                })
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, h long, fp long, shingles array<int>, bands array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets have a Jaccard similarity of ``least`` or more."""
+
+    both, all_ = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    joined = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
+    return checkpointed(joined.where(both >= least * (all_ - both)).select("a", "b"))
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LEAST, seed: int = SEED) -> DataFrame:
+    """``(doc_id, component_id)`` for every row with an id: fingerprints within ``BITS`` link, and texts whose shingles of
+    ``words`` words have a Jaccard similarity of ``least`` or more.
+
+    A radius of bits that reaches 0.8 (about 16 of 64) is met by chance too often to index, so these links have band keys of
+    their own. Each text is first verified against the smallest of its bucket, so a group of near copies falls together
+    in linear time; then all pairs of a bucket that aren't yet in one component are.
+    """
+    made = checkpointed(_prints(docs.where("doc_id is not null"), words, seed))
+    by_print = checkpointed(made.groupBy("fp").agg(F.min("h").alias("node")))
+    edges = made.select("h", "fp").distinct().join(by_print, "fp").select(F.col("h").alias("a"), F.col("node").alias("b")).unionByName(links(by_print))
+    keyed = made.select("h", F.posexplode("bands").alias("t", "key")).distinct()
+    shared = keyed.groupBy("t", "key").agg(F.min("h").alias("low"), F.count("*").alias("_n")).where("_n > 1")
+    keyed = checkpointed(keyed.join(shared, ["t", "key"]))
+    sets = checkpointed(made.select("h", "shingles").join(keyed.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]))
+    first = checkpointed(keyed.where("h <> low").select(F.col("low").alias("a"), F.col("h").alias("b")).distinct())
+    edges = checkpointed(edges.unionByName(_verified(first, sets, least)).where("a <> b"))
+    known = components(edges)
+    named = keyed.join(known, keyed.h == known.node, "left").select("t", "key", "h", F.coalesce("component", "h").alias("c"))
+    mixed = named.groupBy("t", "key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("t", "key")
+    open_ = checkpointed(named.join(mixed, ["t", "key"]))
+    x, y = open_.alias("x"), open_.alias("y")
+    rest = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")))
+    rest = checkpointed(rest.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    groups = components(edges.unionByName(_verified(rest, sets, least)))
+    ids = made.select("doc_id", "h").join(groups, F.col("h") == F.col("node"), "left").select("doc_id", F.coalesce("component", "h").alias("c"))
+    return ids.join(ids.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
+
+
+def keep_first_similar(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each of ``similar_groups``: that of its smallest ``doc_id``. Rows without an id all stay."""
+    first = similar_groups(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(first, "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id is null"))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")

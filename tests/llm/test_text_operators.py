@@ -119,6 +119,44 @@ def test_links_of_random_fingerprints_are_complete(spark):
         assert dict(rows(C.components(simhash.links(df, bucket=bucket)))) == want
 
 
+def edited(seed=9):
+    """Texts, and copies of each with more and more single words replaced."""
+    rng = random.Random(seed)
+    out = []
+    for n in (60, 200, 600, 1500):
+        for _ in range(6):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            out.append(" ".join(base))
+            for share in (0.005, 0.01, 0.02, 0.04):
+                copy = base[:]
+                for k in rng.sample(range(n), max(1, int(share * n))):
+                    copy[k] = f"new{rng.randrange(5000)}"
+                out.append(" ".join(copy))
+    return out
+
+
+def test_pipeline_links_texts_of_similarity_four_fifths(spark):
+    import corpus_pipeline
+
+    items = [*edited(), None, "", "one two", "ONE  two"]
+    sets = []
+    for t in items:
+        w = WORD.findall((t or "").translate(LOW))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    near = lambda p, q: len(p & q) >= 0.8 * len(p | q)
+    want = groups([(i, i) for i in range(len(items))] + [(i, j) for i in range(len(items)) for j in range(i) if near(sets[i], sets[j])])
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, items), "").where("doc_id is not null").collect()}
+    first = {i for i, c in want.items() if i == c}
+    assert kept == first and len(first) < len(items) - 40
+
+
+def test_similar_cases(spark):
+    assert simhash.keep_first_similar(empty(spark)).count() == 0
+    kept = simhash.keep_first_similar(frame(spark, ["a b c d", "A B  C D", None, "", "other words here"]))
+    assert [r.doc_id for r in kept.where("doc_id is not null").orderBy("doc_id").collect()] == [0, 2, 4]
+    assert kept.where("doc_id is null").count() == 2 and "_row" in kept.columns
+
+
 # --- lines -------------------------------------------------------------------------------------------------------------
 
 
