@@ -16,16 +16,20 @@ from speechgrain.llm import byte_bpe, line_dedup, mixing, quality_rules, simhash
 from speechgrain.llm.common import shared_folder, table
 
 
+def _sized(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``out``; ``n_chars`` follows the text."""
+    lengths = F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
+    return out.select(*[lengths.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.kept_documents(docs)
+    """Documents that the quality rules reject go, and from the others the lines that too many of their host's hold."""
+    return _sized(quality_rules.kept_documents(docs), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    lengths = F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
-    return out.select(*[lengths.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    """Lines that an earlier document holds go."""
+    return _sized(line_dedup.dedup_lines(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ and only hashes are shuffled. A line that a whole host holds is one joined key,
 
 Defined cases: a null text has no words and fails; a null host is a host of its own; rows that repeat a doc_id are
 documents of their own; a null doc_id never comes first; an empty table gives an empty table; extra columns are ignored by
-``judge`` and kept by ``kept_documents``.
+``judge`` and kept by ``kept_documents``. ``judge`` counts the words of removed lines; ``kept_documents`` removes the lines.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
@@ -81,6 +81,10 @@ def line_counts(text: str | None) -> dict[bytes, int]:
     return out
 
 
+def _named(host: str) -> Column:
+    return F.when(F.col(host).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(host)))
+
+
 def figures(docs: DataFrame, host: str) -> DataFrame:
     """A row for each document: its keys, figures, and the hashes and words of its distinct lines."""
 
@@ -93,13 +97,12 @@ def figures(docs: DataFrame, host: str) -> DataFrame:
                 out[name] = np.array(values, dtype=np.int64)
             yield out
 
-    named = F.when(F.col(host).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(host)))
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_key"), named.alias("_host"), F.col("text").alias("_text"))
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_key"), _named(host).alias("_host"), F.col("text").alias("_text"))
     return asked.mapInPandas(run, "doc_id long, _key long, _host string, lines array<binary>, words array<int>, " + ", ".join(f"{n} long" for n in FIGURES))
 
 
-def judge(docs: DataFrame, host: str = "source", share: float = SHARE, least_docs: int = LEAST_DOCS, left: float = LEFT, least_words: int = LEAST_WORDS, repeats: float = REPEATS) -> DataFrame:
-    """``doc_id``, ``_key`` (hash of the text), the figures, ``base_failed``, ``n_removed_words`` and ``kept`` for every row."""
+def _judged(docs: DataFrame, listed: bool, host: str = "source", share: float = SHARE, least_docs: int = LEAST_DOCS, left: float = LEFT, least_words: int = LEAST_WORDS, repeats: float = REPEATS) -> DataFrame:
+    """The columns of ``judge``, and if ``listed`` also ``_host`` and the hashes of the lines to remove (``_lines``, or null)."""
     found = checkpointed(figures(docs, host).withColumn("_row", F.monotonically_increasing_id()))
     lines = found.select("_row", "doc_id", "_host", "_key", F.explode(F.arrays_zip("lines", "words")).alias("_l"))
     lines = lines.select("_row", "doc_id", "_host", "_key", F.col("_l.lines").alias("line"), F.col("_l.words").alias("n"))
@@ -108,20 +111,41 @@ def judge(docs: DataFrame, host: str = "source", share: float = SHARE, least_doc
     counts = once.groupBy("_host", "line").agg(F.count("*").alias("_docs"), F.min("_first").alias("_first")).where(F.col("_docs") > least_docs)
     hosts = found.select("_host", "_key").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
     often = counts.join(hosts, "_host").where(F.col("_docs") > share * F.col("_all")).select("_host", "line", "_first")
-    gone = lines.join(often, ["_host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("_first"))).groupBy("_row").agg(F.sum("n").alias("_gone"))
+    gone = lines.join(often, ["_host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("_first"))).groupBy("_row").agg(F.sum("n").alias("_gone"), *[F.collect_set("line").alias("_lines")][: int(listed)])
     removed = F.coalesce("_gone", F.lit(0)).cast("long")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > round(100 * repeats) * F.col("n_words"))
     rest = F.col("n_words") - F.col("n_removed_words")
     judged = found.drop("lines", "words").join(gone, "_row", "left").withColumn("n_removed_words", removed).withColumn("base_failed", failed)
     depleted = (F.col("n_removed_words") > 0) & ((rest < least_words) | (rest < left * F.col("n_words")))
-    return judged.select("doc_id", "_key", *FIGURES, "base_failed", "n_removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
+    return judged.select("doc_id", "_key", *FIGURES, "base_failed", "n_removed_words", (~F.col("base_failed") & ~depleted).alias("kept"), *["_host", "_lines"][: 2 * listed])
+
+
+def judge(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id``, ``_key`` (hash of the text), the figures, ``base_failed``, ``n_removed_words`` and ``kept`` for every row."""
+    return _judged(docs, False, **options)
+
+
+def without_lines(text: str, gone: set[bytes]) -> str:
+    """The text without the lines whose normalised form has one of the hashes ``gone``."""
+    import xxhash
+
+    key = lambda line: xxhash.xxh3_128_digest(_bytes(line).translate(_LOWER).strip(_SPACE))
+    return "\n".join(line for line in text.split("\n") if key(line) not in gone)
+
+
+def kept_documents(docs: DataFrame, host: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, their too frequent lines removed, columns as they were."""
 
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without_lines(t, set(g)) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, texts untouched, columns as they were."""
-    good = judge(docs, **options).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"), "_key").distinct()
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"), F.xxhash64("text").alias("_key"))
-    return keyed.join(good, ["_id", "_key"], "left_semi").select("_row.*")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id")
+    good = _judged(docs, True, host=host, **options).where("kept").select(name, "_key", "_host", "_lines").dropDuplicates(["_id", "_key", "_host"])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name, F.xxhash64("text").alias("_key"), _named(host).alias("_host"))
+    joined = keyed.join(good, ["_id", "_key", "_host"])
+    text = F.coalesce(cut(F.when(F.col("_lines").isNotNull(), F.col("_row.text")), F.coalesce("_lines", F.array().cast("array<binary>"))), F.col("_row.text"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,17 @@ def test_depleted_documents(spark):
     assert quality_rules.judge(empty(spark)).count() == 0
 
 
+def test_frequent_lines_are_cut_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    data = [(i, f"Share\n{own(i)}\n  SHARE \n\nlast {i}", "en", "a" if i < 60 else None, 0) for i in range(65)]
+    got = {r.doc_id: r for r in corpus_pipeline.rules(spark, spark.createDataFrame(data, DOCS), "").collect()}
+    for i, text, _, host, _ in data:
+        want = f"{own(i)}\n\nlast {i}" if host and i else text  # the first holder keeps the line; five are no custom
+        assert (got[i].text, got[i].n_chars, got[i].source) == (want, len(want), host)
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------------
 
 
