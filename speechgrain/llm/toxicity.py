@@ -2,8 +2,9 @@
 
 Training sees a bounded sample (``PER_CLASS`` labelled documents of each class, whole texts): their hashed n-grams of
 ``LENGTHS`` code points, counted once a document by Spark, get log-count ratios r; the ``FEATURES`` strongest are kept, and a
-logistic regression with L2 penalty is fitted on presence times r. The product of its weights and r is a table of
-``2**HASH_BITS`` numbers, the only thing that scoring needs. Scoring is one Arrow pass over whole texts.
+logistic regression with L2 penalty is fitted on presence times r. N-grams are told apart by 64-bit hashes at fitting and
+at scoring; the chosen hashes, in order, and the products of weights and r are all that scoring needs. It is one Arrow pass
+over whole texts; a table of ``2**SIEVE_BITS`` flags passes over most n-grams before the exact look-up.
 
 Defined cases: null and empty texts have no n-grams and score as the intercept says; without labels of both classes every
 score is 0; repeated rows are scored alike; null ids aren't held out; extra columns are ignored.
@@ -22,15 +23,17 @@ from .common import checkpointed, table
 from .labelled import held_out, sample
 
 LENGTHS = (3, 4, 5, 6, 7)
-HASH_BITS, FEATURES, PER_CLASS = 20, 8000, 2000
+SIEVE_BITS, FEATURES, PER_CLASS = 20, 8000, 2000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 PIECE = 1 << 18
+#: N-grams that a task holds before it counts them.
+HELD = 1 << 22
 
 
-def ngrams(text: str | None, lengths=LENGTHS, bits: int = HASH_BITS) -> Iterator[np.ndarray]:
-    """Hashes of the n-grams of the lower-cased text, a bounded piece at a time; n-grams across pieces come once."""
+def ngrams(text: str | None, lengths=LENGTHS) -> Iterator[np.ndarray]:
+    """64-bit hashes (signed) of the n-grams of the lower-cased text, a bounded piece at a time; n-grams across pieces come once."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    most, shift = max(lengths), np.uint64(64 - bits)
+    most = max(lengths)
     for begin in range(0, max(len(codes), 1), PIECE):
         part = codes[begin : begin + PIECE + most - 1].astype(np.uint64)
         state = np.zeros(len(part), np.uint64)
@@ -39,15 +42,19 @@ def ngrams(text: str | None, lengths=LENGTHS, bits: int = HASH_BITS) -> Iterator
                 break
             state = state[: len(part) - n + 1] * _STEP + part[n - 1 :] + np.uint64(1)
             if n in lengths:
-                yield ((state[: PIECE if begin + PIECE < len(codes) else None] + np.uint64(n)) * _MIX) >> shift
+                yield ((state[: PIECE if begin + PIECE < len(codes) else None] + np.uint64(n)) * _MIX).view(np.int64)
 
 
 def presence(text: str | None) -> np.ndarray:
-    """Distinct hashed n-grams of a text."""
-    seen = np.zeros(1 << HASH_BITS, bool)
+    """Distinct n-grams of a text as sorted hashes."""
+    found, held = [np.zeros(0, np.int64)], 0
     for h in ngrams(text):
-        seen[h] = True
-    return np.flatnonzero(seen).astype("<u4")
+        found.append(np.unique(h))
+        held += len(found[-1])
+        if held > HELD:
+            found = [np.unique(np.concatenate(found))]
+            held = 0
+    return np.unique(np.concatenate(found))
 
 
 def _gradient_fit(rows: list[np.ndarray], y: np.ndarray, n: int, scale: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -69,17 +76,25 @@ def _gradient_fit(rows: list[np.ndarray], y: np.ndarray, n: int, scale: np.ndarr
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents of each class by n-gram of a partition, and the documents themselves under hash -1."""
-    seen, docs = np.zeros((2, 1 << HASH_BITS), np.int64), [0, 0]
+    """Documents of each class by n-gram, some ``HELD`` n-grams counted at a time, and the documents themselves under null."""
+    held, docs = ([], []), [0, 0]
+
+    def counted() -> Iterator[pd.DataFrame]:
+        for label, parts in enumerate(held):
+            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+            parts.clear()
+            for k in range(0, len(found), 100_000):
+                part, none = n[k : k + 100_000], np.zeros(len(n[k : k + 100_000]), np.int64)
+                yield pd.DataFrame({"hash": found[k : k + 100_000], "n0": none if label else part, "n1": part if label else none})
+
     for batch in batches:
         for text, label in zip(batch["text"], batch["label"].tolist(), strict=True):
-            seen[label][presence(text)] += 1
+            held[label].append(presence(text))
             docs[label] += 1
-    yield pd.DataFrame({"hash": [-1], "n0": [docs[0]], "n1": [docs[1]]})
-    found = np.flatnonzero(seen.any(axis=0))
-    for k in range(0, len(found), 100_000):
-        part = found[k : k + 100_000]
-        yield pd.DataFrame({"hash": part, "n0": seen[0][part], "n1": seen[1][part]})
+            if sum(map(len, held[0])) + sum(map(len, held[1])) > HELD:
+                yield from counted()
+    yield from counted()
+    yield pd.DataFrame({"hash": pd.array([None], dtype="Int64"), "n0": [docs[0]], "n1": [docs[1]]})
 
 
 def choose_features(rows: DataFrame, features: int = FEATURES, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray] | None:
@@ -87,29 +102,44 @@ def choose_features(rows: DataFrame, features: int = FEATURES, smooth: float = 1
 
     Counts meet in Spark; the driver gets ``features`` rows.
     """
-    counts = checkpointed(rows.mapInPandas(_counts, "hash long, n0 long, n1 long").groupBy("hash").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    docs = counts.where("hash = -1").first()
+    counts = checkpointed(rows.mapInPandas(_counts, "hash long, n0 long, n1 long").groupBy("hash").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("hash is null or n0 + n1 >= 4"))
+    docs = counts.where("hash is null").first()
     if docs is None or not docs.n0 or not docs.n1:
         return None
     share = lambda c, n: (F.col(c) + smooth) / (n + 2 * smooth)
     ratio = F.log(share("n1", docs.n1) / share("n0", docs.n0))
-    strong = counts.where("hash >= 0 and n0 + n1 >= 4").select("hash", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("n0") + F.col("n1"))).alias("strength"))
+    strong = counts.where("hash is not null").select("hash", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("n0") + F.col("n1"))).alias("strength"))
     top = sorted((r.hash, r.ratio) for r in strong.orderBy(F.desc("strength"), "hash").limit(features).collect())
     return np.array([h for h, _ in top], dtype=np.int64), np.array([r for _, r in top])
 
 
-def score(text: str | None, weights: np.ndarray, intercept: float) -> float:
-    hits = [h[weights[h] != 0] for h in ngrams(text)]
-    found = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.uint64)
-    return float(1 / (1 + np.exp(-np.clip(intercept + weights[found].sum(dtype=np.float64), -60, 60))))
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+
+
+def sieve(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << SIEVE_BITS, bool)
+    out[_slots(hashes)] = True
+    return out
+
+
+def score(text: str | None, hashes: np.ndarray, weights: np.ndarray, intercept: float, passing: np.ndarray) -> float:
+    """``hashes`` ascend, ``weights`` belong to them; ``passing`` is their sieve."""
+    found = np.zeros(len(hashes), bool)
+    for h in ngrams(text):
+        h = h[passing[_slots(h)]]
+        if len(h):
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            found[at[hashes[at] == h]] = True
+    return float(1 / (1 + np.exp(-np.clip(intercept + weights[found].sum(), -60, 60))))
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = PER_CLASS, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights by hash and intercept. Two passes over the sample: one counts n-grams, one gathers the chosen ones."""
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = PER_CLASS, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes, their weights, and intercept. Two passes over the sample: one counts n-grams, one gathers the chosen ones."""
     rows = sample(docs, labels, column, per_class)
-    out, chosen = np.zeros(1 << HASH_BITS, np.float32), choose_features(rows)
+    chosen = choose_features(rows)
     if chosen is None:
-        return out, -1e9
+        return np.zeros(0, np.int64), np.zeros(0), -1e9
     hashes, ratio = chosen
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,19 +150,19 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     kept = sorted(rows.mapInPandas(gather, "doc_id long, label int, found binary").collect(), key=lambda r: (r.doc_id, bytes(r.found)))
     y = np.array([r.label for r in kept], dtype=np.int64)
     w, b = _gradient_fit([np.frombuffer(r.found, "<u4").astype(np.int64) for r in kept], y, len(hashes), ratio, penalty)
-    out[hashes] = w * ratio
-    return out, b
+    return hashes, w * ratio, b
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """``(doc_id, score)`` for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights, intercept = shared.value
+        hashes, weights, intercept = shared.value
+        passing = sieve(hashes)
         for texts in batches:
-            yield pd.Series([score(t, weights, intercept) for t in texts], dtype="float64")
+            yield pd.Series([score(t, hashes, weights, intercept, passing) for t in texts], dtype="float64")
 
     return docs.select("doc_id", run("text").alias("score"))
 

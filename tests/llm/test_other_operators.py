@@ -185,6 +185,15 @@ def test_ngrams_do_not_depend_on_pieces(monkeypatch):
     assert (np.sort(np.concatenate(list(toxicity.ngrams(text)))) == whole).all() and len(whole) == sum(len(text) - n + 1 for n in toxicity.LENGTHS)
 
 
+def test_length_alone_makes_no_text_toxic(spark):
+    docs, labels = corpus(spark)
+    strange = "".join(map(chr, np.random.default_rng(6).integers(0x4E00, 0x9FFF, 1_500_000)))  # no n-gram of the training texts
+    model = toxicity.train(docs, labels, per_class=150)
+    asked = spark.createDataFrame([(1, ""), (2, strange)], "doc_id long, text string")
+    empty, long = rows(toxicity.score_documents(asked, model).select("score"), "doc_id")
+    assert long == empty
+
+
 # --- urls --------------------------------------------------------------------------------------------------------------
 
 
