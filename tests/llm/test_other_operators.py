@@ -194,6 +194,14 @@ def test_length_alone_makes_no_text_toxic(spark):
     assert long == empty
 
 
+def test_shares_count_all_characters_of_long_lines():
+    for line in ["BUYNOW " * 585, "BUYNOW " * 586, "x" + "BUYNOW " * 586, "x12345 " * 585, "x12345 " * 586, "BUY NOW " * 600, "\u0130" + "BUY NOW " * 600, "\u0130 Ab 1\u0663", "\u03a3\u0663\u00b2a" * 2000, "\U0001d7d8\ud800 A" * 2000]:
+        row = line_crf.line_features([line])[0]
+        upper = sum(c != c.lower() for c in line) / len(line)
+        assert np.isclose(row[6], upper) and row[7] == (upper > 0.5)
+        assert np.isclose(row[11], sum(c.isdigit() for c in line) / len(line))
+
+
 # --- urls --------------------------------------------------------------------------------------------------------------
 
 
