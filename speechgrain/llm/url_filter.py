@@ -46,11 +46,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", ascii_lower(F.col("dst")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, settled: float = 1e-4) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 300, settled: float = 1e-4) -> DataFrame:
     """``seeds(host, trust, distrust)`` -> the same columns after propagation over ``edges(src, dst, n)``.
 
-    Solves ``r = seed + damping * P r`` by up to ``rounds`` steps, stopping when no host moves by ``settled``; a host
-    without links keeps its seed. P spreads trust over the links out of a host, distrust over the links into it.
+    Solves ``r = seed + damping * P r`` by steps until no host moves by ``settled``, and raises if ``rounds`` don't suffice: what
+    moves shrinks by ``damping`` a round. A host without links keeps its seed. P spreads trust over the links out of a host, distrust over the links into it.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("_out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("_in"))
@@ -70,8 +70,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         moved = step.alias("a").join(now.alias("b"), "host").agg(F.max(F.greatest(F.abs(F.col("a.trust") - F.col("b.trust")), F.abs(F.col("a.distrust") - F.col("b.distrust"))))).first()[0]
         now = step
         if moved is None or moved < settled:
-            break
-    return now
+            return now
+    raise RuntimeError(f"propagation did not settle in {rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, **options) -> DataFrame:

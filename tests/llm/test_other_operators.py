@@ -240,6 +240,15 @@ def test_propagation_equals_dense_iteration(spark):
         assert np.allclose(got[h], (t[k[h]], d[k[h]]), atol=1e-5)
 
 
+def test_propagation_settles_or_raises(spark):
+    seeds = spark.createDataFrame([("a", 1.0, 1.0)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    got = {r.host: r.trust for r in url_filter.propagate(seeds, edges).collect()}
+    assert abs(got["a"] - 1 / (1 - 0.85**2)) < 1e-3 and abs(got["b"] - 0.85 / (1 - 0.85**2)) < 1e-3
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(seeds, edges, rounds=5)
+
+
 def test_distrust_flows_against_links(spark):
     farm = [(i, f"http://farm{i}.org/en/", '<a href="http://bad.net/x">') for i in range(3)]
     df = spark.createDataFrame([*farm, (9, "http://bad.net/x", ""), (10, "http://fine.org/en/", '<a href="http://farm0.org/">')], "page_id long, url string, html string")
