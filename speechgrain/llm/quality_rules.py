@@ -1,19 +1,26 @@
 """Quality rules: figures of a text, and lines that too many documents of a host hold.
 
-Lines are normalised (white space stripped, A-Z lower-cased) and hashed to 128 bits. Distinct documents (exact copies are
-one) are counted for each host and hash, combined before the shuffle. A line is too frequent when more than ``SHARE`` of its host's documents
-and more than ``LEAST_DOCS`` hold it. It is then removed, save in the smallest ``doc_id`` of the host that holds it, so
-that one of many near copies stays whole. A document is rejected when what is left is less than ``LEFT`` of its
-words or less than ``LEAST_WORDS`` words. Texts are read once: figures and line hashes are written to the shared folder,
-and only hashes are shuffled. A line that a whole host holds is one joined key, which Spark splits or broadcasts.
-
-Defined cases: a null text has no words and fails; a null host is a host of its own; rows that repeat a doc_id are
-documents of their own; a null doc_id never comes first; an empty table gives an empty table; extra columns are ignored by
-``judge`` and kept by ``kept_documents``. ``judge`` counts the words of removed lines; ``kept_documents`` removes the lines.
+Lines are normalised (white space stripped, A-Z lower-cased) and hashed to 128 bits. Distinct documents are counted for each
+host and hash, combined before the shuffle. A line is too frequent when more than ``SHARE`` of its host's documents and more
+than ``LEAST_DOCS`` hold it; it is then removed from all of them. A document is rejected when what is left is less than
+``LEFT`` of its words or less than ``LEAST_WORDS`` words. Texts are read once: figures and line hashes are written to the
+shared folder, and only hashes are shuffled. The frequent lines are written too: a host has at most 1 / ``SHARE`` times as many
+of them as its documents hold lines on average, and a line that a whole host holds is a joined key that Spark may split.
+
+``keep_first`` (off by default) leaves a frequent line in the smallest ``doc_id`` of the host that holds it, so that one of
+a large group of copies stays whole. The pipeline's stage uses it, since its later stages choose among copies.
+
+Defined cases: a null text has no words and fails; a null host is a host of its own; rows that repeat a doc_id are one
+document of their host and get a row each; a null doc_id is a document of its own for each row and never comes first; ties
+need no order, for all holders of a line are treated alike (with ``keep_first`` rows that repeat the smallest id all keep
+it); a very long text costs time and memory in proportion to its length; an empty table gives an empty table; extra columns
+are ignored by ``judge`` and kept by ``kept_documents``. ``judge`` counts the words of removed lines, ``kept_documents``
+removes the lines.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +32,7 @@ from .common import checkpointed, table
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEATS = 8, 20, 0.30
-SHARE, LEAST_DOCS, LEFT = 0.05, 20, 0.30
+SHARE, LEAST_DOCS, LEFT = 0.10, 4, 0.30
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -50,9 +57,14 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
         sums += (ids[k : k + n] ^ (ids[k : k + n] >> np.uint64(29))) * factor
     order = np.argsort(sums, kind="stable")
     same = sums[order][1:] == sums[order][:-1]
+    one, other = order[1:][same], order[:-1][same]
     twice = np.zeros(n, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    if all((ids[one + k] == ids[other + k]).all() for k in range(window)):
+        twice[one] = twice[other] = True
+    else:  # sums of different windows met by chance
+        windows = [tuple(words[k : k + window]) for k in range(n)]
+        counts = Counter(windows)
+        twice[:] = [counts[w] > 1 for w in windows]
     edges = np.zeros(len(words) + 1, np.int64)
     np.add.at(edges, np.flatnonzero(twice), 1)
     np.add.at(edges, np.flatnonzero(twice) + window, -1)
@@ -101,17 +113,20 @@ def figures(docs: DataFrame, host: str) -> DataFrame:
     return asked.mapInPandas(run, "doc_id long, _key long, _host string, lines array<binary>, words array<int>, " + ", ".join(f"{n} long" for n in FIGURES))
 
 
-def _judged(docs: DataFrame, listed: bool, host: str = "source", share: float = SHARE, least_docs: int = LEAST_DOCS, left: float = LEFT, least_words: int = LEAST_WORDS, repeats: float = REPEATS) -> DataFrame:
+def _judged(docs: DataFrame, listed: bool, host: str = "source", share: float = SHARE, least_docs: int = LEAST_DOCS, left: float = LEFT, least_words: int = LEAST_WORDS, repeats: float = REPEATS, keep_first: bool = False) -> DataFrame:
     """The columns of ``judge``, and if ``listed`` also ``_host`` and the hashes of the lines to remove (``_lines``, or null)."""
-    found = checkpointed(figures(docs, host).withColumn("_row", F.monotonically_increasing_id()))
-    lines = found.select("_row", "doc_id", "_host", "_key", F.explode(F.arrays_zip("lines", "words")).alias("_l"))
-    lines = lines.select("_row", "doc_id", "_host", "_key", F.col("_l.lines").alias("line"), F.col("_l.words").alias("n"))
-    # documents are distinct by their text: copies count once, in a line's documents and in the host's
-    once = lines.groupBy("_host", "line", "_key").agg(F.min("doc_id").alias("_first"))
-    counts = once.groupBy("_host", "line").agg(F.count("*").alias("_docs"), F.min("_first").alias("_first")).where(F.col("_docs") > least_docs)
-    hosts = found.select("_host", "_key").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
-    often = counts.join(hosts, "_host").where(F.col("_docs") > share * F.col("_all")).select("_host", "line", "_first")
-    gone = lines.join(often, ["_host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("_first"))).groupBy("_row").agg(F.sum("n").alias("_gone"), *[F.collect_set("line").alias("_lines")][: int(listed)])
+    found = figures(docs, host).withColumn("_row", F.monotonically_increasing_id())
+    found = checkpointed(found.withColumn("_none", F.when(F.col("doc_id").isNull(), F.col("_row"))))  # a document of its own
+    lines = found.select("_row", "doc_id", "_none", "_host", F.explode(F.arrays_zip("lines", "words")).alias("_l"))
+    lines = lines.select("_row", "doc_id", "_none", "_host", F.col("_l.lines").alias("line"), F.col("_l.words").alias("n"))
+    once = lines.select("_host", "line", "doc_id", "_none").distinct()
+    counts = once.groupBy("_host", "line").agg(F.count("*").alias("_docs"), F.min("doc_id").alias("_first")).where(F.col("_docs") > least_docs)
+    hosts = found.select("_host", "doc_id", "_none").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
+    often = checkpointed(counts.join(hosts, "_host").where(F.col("_docs") > share * F.col("_all")).select("_host", "line", "_first"))
+    held = lines.join(often, ["_host", "line"])
+    if keep_first:
+        held = held.where(~F.col("doc_id").eqNullSafe(F.col("_first")))
+    gone = held.groupBy("_row").agg(F.sum("n").alias("_gone"), *[F.collect_set("line").alias("_lines")][: int(listed)])
     removed = F.coalesce("_gone", F.lit(0)).cast("long")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > round(100 * repeats) * F.col("n_words"))
     rest = F.col("n_words") - F.col("n_removed_words")
@@ -150,3 +165,42 @@ def kept_documents(docs: DataFrame, host: str = "source", **options) -> DataFram
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("_key")
+
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS pos
+  FROM documents
+), windows AS (
+  SELECT doc_id, word, pos, list(word) OVER w AS win, count(*) OVER w AS n
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+), twice AS (
+  SELECT doc_id, word, pos, n = 8 AND count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice FROM windows
+), covered AS (
+  SELECT doc_id, word, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS again FROM twice
+), of_words AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, sum(len(regexp_extract_all(word, '[#*$%&|<>]'))) AS n_symbols, sum(again) AS n_repeat_words
+  FROM covered GROUP BY doc_id
+), raw AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents
+), lines AS (
+  SELECT doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), hosts AS (
+  SELECT source, count(DISTINCT doc_id) AS held FROM documents GROUP BY source
+), often AS (
+  SELECT l.source, key FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+  GROUP BY l.source, key, held HAVING count(DISTINCT doc_id) > 4 AND count(DISTINCT doc_id) > 0.1::DOUBLE * held
+), of_lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(n) FILTER (o.key IS NOT NULL) AS removed
+  FROM lines l LEFT JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.key = o.key GROUP BY doc_id
+), figures AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, coalesce(n_symbols, 0)::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS n_removed_words
+  FROM documents LEFT JOIN of_words USING (doc_id) LEFT JOIN of_lines USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words - n_removed_words AS rest FROM figures
+)
+SELECT * EXCLUDE (rest), NOT base_failed AND NOT (n_removed_words > 0 AND (rest < 20 OR rest < 0.3::DOUBLE * n_words)) AS kept FROM judged
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 }
 SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op9_quality_rules": quality_rules.OP9_SQL,
 }
 
 
