@@ -23,8 +23,11 @@ def _sized(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, and from the others the lines that too many of their host's hold."""
-    return _sized(quality_rules.kept_documents(docs), docs)
+    """Documents that the quality rules reject go, and from the others the lines that too many of their host's hold.
+
+    The first holder of such a line keeps it, so that one of a large group of copies is left for the later stages.
+    """
+    return _sized(quality_rules.kept_documents(docs, keep_first=True), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
