@@ -7,7 +7,8 @@ pre-token pattern, each pre-token is encoded alone, and ids are decoded by the i
 Workers get the vocabulary bytes in the closure (its size is that of the file); nothing is read from a local path there.
 
 Defined cases: a null text is empty and has no ids; repeated rows and null ids get their rows; extra columns pass through;
-very long texts are cut where the pattern is sure to end a match; an empty table gives an empty table.
+very long texts are cut where the pattern is sure to end a match, so only a single match without such a place is held whole;
+of pieces that tie none exist, ranks being distinct; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def sentencepiece_model(tokens: list[bytes]) -> bytes:
 class ByteBpe:
     """Encodes texts to little-endian unsigned 32-bit ids and decodes them, with a sentencepiece model inside."""
 
-    def __init__(self, model: bytes, pattern: str, cache: int = 200_000):
+    def __init__(self, model: bytes, pattern: str, cache: int = 32 << 20):
         import regex
         import sentencepiece
 

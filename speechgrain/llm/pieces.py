@@ -6,10 +6,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 
 class Cache:
-    """A bounded memo in two generations: when the young one is full it becomes the old one, and the old one is dropped."""
+    """A bounded memo in two generations: when the young one is full it becomes the old one, and the old one is dropped.
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence[bytes]], size: int = 200_000):
-        self.encode, self.size = encode, size
+    ``size`` bounds the bytes of a generation: those of keys and values, and ``ENTRY`` more for each. Pieces that are too long
+    for any generation are encoded and not kept.
+    """
+
+    ENTRY = 150
+
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence[bytes]], size: int = 32 << 20):
+        self.encode, self.size, self.held = encode, size, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -24,16 +30,19 @@ class Cache:
         now = {k: old[k] for k in missing if k in old}
         new = [k for k in missing if k not in now]
         now.update(zip(new, self.encode(new), strict=True))
-        if len(young) + len(now) > self.size:
+        cost = sum(map(len, now)) + sum(map(len, now.values())) + self.ENTRY * len(now)
+        if self.held + cost > self.size:
             out = b"".join([now[p] if p in now else young[p] for p in parts])
-            self.old, self.young = young, (now if len(now) <= self.size else {})
+            self.old = young
+            self.young, self.held = (now, cost) if cost <= self.size else ({}, 0)
             return out
         young.update(now)
+        self.held += cost
         return b"".join(map(young.__getitem__, parts))
 
 
 def cut_before(text: str, is_cut: Callable[[str, int], bool], size: int = 1 << 20) -> Iterator[str]:
-    """``text`` in pieces of about ``size``, each later one beginning where ``is_cut(text, i)`` holds."""
+    """``text`` in pieces of about ``size``, each later one beginning where ``is_cut(text, i)`` holds; whole if it never does."""
     begin = 0
     while len(text) - begin > size:
         at = begin + size
