@@ -7,12 +7,17 @@ fewer) and no word spans blocks. File layout, little-endian:
     magic | blocks of words | block offsets u64[b+1] | document ids i64[d] | id-is-null u8[d] | document ends u64[d]
     | n blocks u64 | n documents u64 | n ids u64 | footer offset u64 | magic
 
-Documents are range-partitioned by id, one file to a partition, so the files in order hold the ids in ascending doc_id
-order. A file is written under a name of its task attempt, and only files that the manifest names count, so lost or
+Documents are range-partitioned by id and the hash of their text, one file to a partition, so the files in order hold the
+ids in ascending doc_id order, and rows that share an id, or have none, may spread over files. Spark coalesces partitions to
+its advisory size. A file is written under a name of its task attempt, and only files that the manifest names count, so lost or
 repeated tasks leave no trace in the result. Encoding and decoding hold one block group at a time.
 
+Texts of special tokens, such as ``<|endoftext|>``, are ordinary text, as the vocabulary's documentation has it; with
+``special_as_text=False`` the tokenizer is used as loaded and gives their ids.
+
 Defined cases: a null text is empty and has the end id only; null doc_ids come first; rows that repeat a doc_id are ordered
-by text; extra columns are ignored; an empty table writes no documents.
+by the hash of their text, then by text; very long texts are cut at white space, so only a single word is held whole; extra
+columns are ignored; an empty table writes no documents.
 """
 
 from __future__ import annotations
@@ -196,14 +201,16 @@ class WordTokenizer:
     it is goes straight to the library's BPE model, all others through its whole chain.
     """
 
-    def __init__(self, definition: str, cache: int = 200_000):
+    def __init__(self, definition: str, cache: int = 32 << 20, special_as_text: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(definition)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [t.content for t in self.model.get_added_tokens_decoder().values() if t.special]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else None
         self.bpe = self.model.model
         self.shown = dict(enumerate(byte_characters()))
         self.find = re.compile(r"[^\W_]+(?=[!-/:-@\[-`{-~ \t\n\r]|\Z)|[^ \t\n\r]+").findall
@@ -231,18 +238,21 @@ class WordTokenizer:
         return self.find(text.lower())
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(self.cache.join(self._pieces(piece)) for piece in cut_before(text or "", lambda t, i: t[i] in _CUTS))
+        text = text or ""
+        if self.special and self.special(text):  # a special token may hold or touch white space
+            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.cache.join(self._pieces(piece)) for piece in cut_before(text, lambda t, i: t[i] in _CUTS))
 
 
-_CODERS: dict[str, WordTokenizer] = {}
+_CODERS: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def coder_for(definition: str) -> WordTokenizer:
+def coder_for(definition: str, special_as_text: bool) -> WordTokenizer:
     """The worker's own tokenizer, with its cache kept from task to task."""
-    if definition not in _CODERS:
+    if (definition, special_as_text) not in _CODERS:
         _CODERS.clear()
-        _CODERS[definition] = WordTokenizer(definition)
-    return _CODERS[definition]
+        _CODERS[definition, special_as_text] = WordTokenizer(definition, special_as_text=special_as_text)
+    return _CODERS[definition, special_as_text]
 
 
 def _open(path: str):
@@ -253,7 +263,7 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str) -> list[tuple[str, int, int]]:
+def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str, special_as_text: bool = True) -> list[tuple[str, int, int]]:
     """Encode ``docs(doc_id, text)`` and write a file for each non-empty partition; returns (path, n documents, n ids) in order."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(definition)
@@ -267,7 +277,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str) ->
         coder = writer = stream = None
         for batch in batches:
             if coder is None:
-                coder = coder_for(shared.value)
+                coder = coder_for(shared.value, special_as_text)
                 where.create_dir(base, recursive=True)
                 stream = where.open_output_stream(f"{base}/{name}")
                 writer = Writer(stream)
@@ -279,8 +289,8 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str) ->
             stream.close()
             yield pd.DataFrame({"part": [context.partitionId()], "path": [f"{folder}/{name}"], "n_docs": [len(writer.docs)], "n_ids": [writer.n]})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     done = ordered.mapInPandas(run, "part long, path string, n_docs long, n_ids long")
     return [(r.path, r.n_docs, r.n_ids) for r in sorted(done.collect(), key=lambda r: r.part)]  # a row per file
 
