@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
 SYMBOLS = b"#*$%&|<>"
-WINDOW, LEAST_WORDS, REPEATS = 8, 20, 0.30
+WINDOW, LEAST_WORDS, REPEATS, HELD = 8, 20, 0.30, 100_000
 SHARE, LEAST_DOCS, LEFT = 0.10, 4, 0.30
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -98,19 +99,29 @@ def _named(host: str) -> Column:
 
 
 def figures(docs: DataFrame, host: str) -> DataFrame:
-    """A row for each document: its keys, figures, and the hashes and words of its distinct lines."""
+    """A row for each document: its keys, figures, and the hashes and words of its distinct lines.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A worker holds one Arrow batch of texts, and writes after 500 of them or ``HELD`` lines.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("_host", pa.string()), ("lines", pa.list_(pa.binary())), ("words", pa.list_(pa.int32())), *[(n, pa.int64()) for n in FIGURES]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
         for batch in batches:
-            rows, lines = [text_figures(t) for t in batch["_text"]], [line_counts(t) for t in batch["_text"]]
-            out = batch[["doc_id", "_key", "_host"]].assign(lines=[list(x) for x in lines], words=[list(x.values()) for x in lines])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            for name, values in zip(FIGURES, zip(*rows, strict=True), strict=True):
-                out[name] = np.array(values, dtype=np.int64)
-            yield out
+            rows, held = [], 0
+            for *keys, text in zip(*batch.columns, strict=True):
+                text = text.as_py()
+                lines = line_counts(text)
+                rows.append((*[k.as_py() for k in keys], list(lines), list(lines.values()), *text_figures(text)))
+                held += len(lines)
+                if len(rows) == 500 or held > HELD:
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_key"), _named(host).alias("_host"), F.col("text").alias("_text"))
-    return asked.mapInPandas(run, "doc_id long, _key long, _host string, lines array<binary>, words array<int>, " + ", ".join(f"{n} long" for n in FIGURES))
+    return asked.mapInArrow(run, "doc_id long, _key long, _host string, lines array<binary>, words array<int>, " + ", ".join(f"{n} long" for n in FIGURES))
 
 
 def _judged(docs: DataFrame, listed: bool, host: str = "source", share: float = SHARE, least_docs: int = LEAST_DOCS, left: float = LEFT, least_words: int = LEAST_WORDS, repeats: float = REPEATS, keep_first: bool = False) -> DataFrame:
@@ -164,7 +175,8 @@ def kept_documents(docs: DataFrame, host: str = "source", **options) -> DataFram
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("_key")
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", *FIGURES, "base_failed", "kept", "n_removed_words")
 
 
 OP9_SQL = r"""
