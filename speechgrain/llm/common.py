@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +42,43 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its size is known, so Spark may broadcast it if it is small."""
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by ``keys`` as frames that each hold whole groups."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        found = batch[keys].to_numpy()
+        starts = np.flatnonzero((found[1:] != found[:-1]).any(axis=1)) + 1
+        if held and (held[-1][keys].iloc[-1].to_numpy() != found[0]).any():
+            starts = np.concatenate(([0], starts))
+        if len(starts):  # what lies before the last start is whole groups
+            ready = pd.concat([*held, batch.iloc[: starts[-1]]])
+            held, batch = [], batch.iloc[starts[-1] :]
+            if len(ready):
+                yield ready
+        held.append(batch)
+    if held:
+        yield pd.concat(held)
+
+
+def group_starts(rows: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """(begin, end) of each group in ``rows`` sorted by ``keys``."""
+    found = rows[keys].to_numpy()
+    cuts = [0, *(np.flatnonzero((found[1:] != found[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))

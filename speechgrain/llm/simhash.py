@@ -19,16 +19,17 @@ repeated rows each get their row; an empty table gives an empty table; extra col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, group_starts, table, whole_groups, written
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -36,6 +37,8 @@ PIVOTS, BUCKET = 16, 64
 #: Near copies of texts: shingles of SIMILAR_WORDS words with a Jaccard similarity of LEAST or more. A pair at LEAST has one of
 #: BANDS keys of BAND_ROWS least hashes in common with probability 1 - (1 - 0.8**6)**20 = 0.998, whatever the number of texts.
 SIMILAR_WORDS, LEAST, BANDS, BAND_ROWS = 5, 0.8, 20, 6
+#: Texts of a bucket that a task compares with as many others at once; shingles that a worker holds before it writes them.
+CHUNK, HELD = 1024, 1 << 21
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -160,24 +163,59 @@ def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -
     return (((least ^ (least >> np.uint64(31))) * mix).reshape(bands, rows).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def _prints(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """A row for each of ``docs``: doc_id, ``h`` (hash of the words), fingerprint, shingle set and band keys.
+def _word_hash(text: str | None) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b" ".join(_words(text)))
+
+
+def _by_text(docs: DataFrame, make: Callable[[str | None], tuple], kinds: dict[str, pa.DataType], size: int) -> DataFrame:
+    """``(doc_id, *kinds)`` for ``docs(doc_id, text)``: a row of ``make(text)`` for each, written as soon as some ``size`` bytes
+    or 1000 rows are held, so that a worker holds one Arrow batch of texts and little more."""
+    schema = pa.schema([("doc_id", pa.int64()), *kinds.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        for batch in batches:
+            rows, held = [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                rows.append((doc_id.as_py(), *make(text.as_py())))
+                held += sum(x.nbytes for x in rows[-1] if isinstance(x, np.ndarray))
+                if len(rows) == 1000 or held > size:
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
+
+    names = {pa.int64(): "long", pa.int32(): "int", pa.list_(pa.int64()): "array<long>", pa.list_(pa.int32()): "array<int>"}
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {names[t]}" for c, t in kinds.items()))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def prints(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """``(doc_id, h, fp, bands)``: hash of the words, fingerprint and band keys of each text; texts without words have no bands."""
+
+    def make(text: str | None) -> tuple:
+        whole = shingle_set(text, words, seed)
+        return _signed(_word_hash(text)), _signed(fingerprint(text)), band_keys(whole) if len(whole) else []
+
+    return _by_text(docs, make, {"h": pa.int64(), "fp": pa.int64(), "bands": pa.list_(pa.int64())}, 4 * HELD)
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """``(doc_id, h, m, shingles)``: the sorted shingle set of each text and its size.
 
     The set holds 32 bits of each hash: in a text of n shingles n**2 / 2**33 of them meet by chance, a share of 1e-5 in 100,000.
     """
-    import xxhash
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.iloc[k : k + 1000]
-                sets = [shingle_set(t, words, seed) for t in part["text"]]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"], "h": np.array([xxhash.xxh3_64_intdigest(b" ".join(_words(t))) for t in part["text"]], np.uint64).view(np.int64),
-                    "fp": np.array([fingerprint(t) for t in part["text"]], np.uint64).view(np.int64), "shingles": [np.unique(x.astype("<u4")).view(np.int32) for x in sets], "bands": [band_keys(x) if len(x) else [] for x in sets],
-                })
+    def make(text: str | None) -> tuple:
+        found = np.unique(shingle_set(text, words, seed).astype("<u4")).view(np.int32)
+        return _signed(_word_hash(text)), len(found), found
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, h long, fp long, shingles array<int>, bands array<long>")
+    return _by_text(docs, make, {"h": pa.int64(), "m": pa.int64(), "shingles": pa.list_(pa.int32())}, 4 * HELD)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -188,40 +226,122 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return checkpointed(joined.where(both >= least * (all_ - both)).select("a", "b"))
 
 
-def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LEAST, seed: int = SEED) -> DataFrame:
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Elements in common of each set at ``left`` and each at ``right``, by products of 0/1 matrices of ``width`` elements."""
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[at] > 1  # elements of one set alone count nowhere
+    order = np.argsort(at[shared], kind="stable")
+    of, place = of[shared][order], (np.cumsum(times > 1) - 1)[at[shared][order]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(np.count_nonzero(times > 1)), width):
+        begin, end = np.searchsorted(place, (low, low + width))
+        held = np.zeros((len(sets), width), np.float32)
+        held[of[begin:end], place[begin:end] - low] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def _linked_in(h: np.ndarray, group: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between rows at ``left`` and at ``right`` that join different groups: a spanning forest, not all of them."""
+    sizes = np.array([len(x) for x in sets], np.float64)
+    both = common_counts(sets, left, right)
+    i, j = np.nonzero((both >= least * (sizes[left][:, None] + sizes[right][None, :] - both)) & (group[left][:, None] != group[right][None, :]))
+    i, j = left[i], right[j]
+    names, number = np.unique(group, return_inverse=True)
+    _, one = np.unique(np.minimum(number[i], number[j]) * len(names) + np.maximum(number[i], number[j]), return_index=True)
+    parent, out = list(range(len(names))), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k in one.tolist():
+        p, q = find(int(number[i[k]])), find(int(number[j[k]]))
+        if p != q:
+            parent[p] = q
+            out.append((int(h[i[k]]), int(h[j[k]])))
+    return out
+
+
+def _linked_in_buckets(open_: DataFrame, sets: DataFrame, least: float, chunk: int) -> DataFrame:
+    """``(a, b)``: links between different groups of a bucket, for ``open_(bucket, h, m, c, low)`` of groups ``c``, m shingles in a text.
+
+    Rows of the group ``low`` and the others are dealt into chunks of about ``chunk`` rows and ``HELD`` shingles; the others'
+    chunks meet all, those of ``low`` the others' only. A task holds two chunks, computes their similarities in matrices and
+    emits a spanning forest.
+    """
+    inside = F.col("c") == F.col("low")
+    number = lambda x: F.ceil(F.greatest(F.sum(x.cast("int")) / chunk, F.sum(F.when(x, F.col("m"))) / HELD))
+    sizes = open_.groupBy("bucket").agg(number(~inside).alias("k_out"), number(inside).alias("k_in"))
+    dealt = open_.join(sizes, "bucket").withColumn("chunk", F.when(inside, F.col("k_out") + F.pmod(F.xxhash64("h"), "k_in")).otherwise(F.pmod(F.xxhash64("h"), "k_out")))
+    partners = F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("k_out")).otherwise(F.col("k_out") + F.col("k_in")) - 1)
+    pairs = F.transform(partners, lambda p: F.struct(F.least("chunk", p).alias("i"), F.greatest("chunk", p).alias("j")))
+    tasks = dealt.select("bucket", "h", "c", "chunk", F.explode(pairs).alias("_p")).select("bucket", "h", "c", "chunk", "_p.i", "_p.j")
+    keys = ["bucket", "i", "j"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches, keys):
+            h, group, chunks, found = part["h"].to_numpy(), part["c"].to_numpy(), part["chunk"].to_numpy(), []
+            for s, e in group_starts(part, keys):
+                _, i, j = part[keys].iloc[s].tolist()
+                left, right = np.flatnonzero(chunks[s:e] == i), np.flatnonzero(chunks[s:e] == j)
+                if len(left) and len(right):
+                    found += _linked_in(h[s:e], group[s:e], part["shingles"].iloc[s:e].tolist(), left, right, least)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    full = tasks.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys, "h")
+    return checkpointed(full.mapInPandas(run, "a long, b long"))
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = LEAST, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """``(doc_id, component_id)`` for every row with an id: fingerprints within ``BITS`` link, and texts whose shingles of
     ``words`` words have a Jaccard similarity of ``least`` or more.
 
     A radius of bits that reaches 0.8 (about 16 of 64) is met by chance too often to index, so these links have band keys of
-    their own. Each text is first verified against the smallest of its bucket, so a group of near copies falls together
-    in linear time; then all pairs of a bucket that aren't yet in one component are.
+    their own. Each text is first verified against the smallest of its bucket, so a group of near copies that are alike falls
+    together in linear time. Then texts of a bucket that aren't in one component yet are compared in blocks (``_linked_in_buckets``).
+    Texts are read twice: for their fingerprints and band keys, and, those that share a key, for their shingles.
     """
-    made = checkpointed(_prints(docs.where("doc_id is not null"), words, seed))
-    by_print = checkpointed(made.groupBy("fp").agg(F.min("h").alias("node")))
-    edges = made.select("h", "fp").distinct().join(by_print, "fp").select(F.col("h").alias("a"), F.col("node").alias("b")).unionByName(links(by_print))
-    keyed = made.select("h", F.posexplode("bands").alias("t", "key")).distinct()
-    shared = keyed.groupBy("t", "key").agg(F.min("h").alias("low"), F.count("*").alias("_n")).where("_n > 1")
-    keyed = checkpointed(keyed.join(shared, ["t", "key"]))
-    sets = checkpointed(made.select("h", "shingles").join(keyed.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]))
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    made = checkpointed(prints(docs, words, seed))
+    texts = checkpointed(made.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
+    by_print = checkpointed(texts.groupBy("fp").agg(F.min("h").alias("node")))
+    edges = texts.select("h", "fp").join(by_print, "fp").select(F.col("h").alias("a"), F.col("node").alias("b")).unionByName(links(by_print))
+    every = made.select("h", F.explode("bands").alias("key"))
+    shared = written(every.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("_high")).where("low < _high").select("key", "low"))
+    keyed = checkpointed(every.join(shared, "key").select("key", "low", "h").distinct())
+    wanted = written(keyed.select("h").distinct().join(texts, "h").select(F.col("id").alias("doc_id")).distinct())
+    sets = checkpointed(shingle_sets(docs.join(wanted, "doc_id"), words, seed).drop("doc_id").dropDuplicates(["h"]))
     first = checkpointed(keyed.where("h <> low").select(F.col("low").alias("a"), F.col("h").alias("b")).distinct())
     edges = checkpointed(edges.unionByName(_verified(first, sets, least)).where("a <> b"))
-    known = components(edges)
-    named = keyed.join(known, keyed.h == known.node, "left").select("t", "key", "h", F.coalesce("component", "h").alias("c"))
-    mixed = named.groupBy("t", "key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("t", "key")
-    open_ = checkpointed(named.join(mixed, ["t", "key"]))
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")))
-    rest = checkpointed(rest.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    groups = components(edges.unionByName(_verified(rest, sets, least)))
-    ids = made.select("doc_id", "h").join(groups, F.col("h") == F.col("node"), "left").select("doc_id", F.coalesce("component", "h").alias("c"))
-    return ids.join(ids.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
+    known = checkpointed(components(edges))
+    # buckets of the same texts, as their number, least and sign tell, are compared once; those of two texts have been
+    sizes = keyed.groupBy("key").agg(F.first("low").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("sign")).where("n > 2")
+    once = written(sizes.groupBy("n", "low", "sign").agg(F.min("key").alias("key")).select("key"))
+    named = checkpointed(keyed.join(once, "key").join(known, F.col("h") == F.col("node"), "left").select("key", "h", "low", F.coalesce("component", "h").alias("c")))
+    mixed = named.groupBy("key").agg(F.min("c").alias("_least"), F.max("c").alias("_most"), F.max(F.when(F.col("h") == F.col("low"), F.col("c"))).alias("_c")).where("_least < _most")
+    open_ = named.join(written(mixed.select("key", "_c")), "key").select(F.col("key").alias("bucket"), "h", "c", F.col("_c").alias("low"))
+    open_ = checkpointed(open_.join(checkpointed(sets.select("h", "m")), "h"))
+    groups = components(edges.unionByName(_linked_in_buckets(open_, sets, least, chunk)))
+    joined = checkpointed(texts.select("h", "id").join(groups, F.col("h") == F.col("node"), "left").select("h", "id", F.coalesce("component", "h").alias("c")))
+    first_ids = checkpointed(joined.groupBy("c").agg(F.min("id").alias("component_id")))
+    named = checkpointed(joined.join(first_ids, "c").select("h", "component_id"))
+    return made.select("doc_id", "h").join(named, "h").select("doc_id", "component_id")
 
 
 def keep_first_similar(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each of ``similar_groups``: that of its smallest ``doc_id``. Rows without an id all stay."""
-    first = similar_groups(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(first, "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each of ``similar_groups``: that of its smallest ``doc_id``. Rows without an id all stay.
+
+    The ids that go are fewer than those that stay, and are written first; so texts are shuffled only if the ids are too many to
+    broadcast.
+    """
+    mine = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    gone = written(similar_groups(docs, **options).groupBy("doc_id").agg(mine.alias("_mine")).where("not _mine").select(F.col("doc_id").alias("_gone")))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
