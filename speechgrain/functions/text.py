@@ -62,6 +62,16 @@ def same_text(left: Column, right: Column, by_letters: float = 0.85, by_words: f
     return run(left, right)
 
 
+def letter_bound(left: Column, right: Column) -> Column:
+    """At least the ratio of matching letters: twice the letters that both have, however placed, by all of them."""
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, x, F.lit("")))
+    letters = F.array_distinct(F.filter(F.split(left, ""), lambda x: x != ""))
+    both = F.aggregate(letters, F.lit(0), lambda n, x: n + F.least(count(left, x), count(right, x)))
+    size = F.length(left) + F.length(right)
+    short = 2.0 * F.least(F.length(left), F.length(right)) / size
+    return F.when(size == 0, 1.0).otherwise(F.least(short, 2.0 * both / size))
+
+
 def letter_ratio(left: Column, right: Column) -> Column:
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -106,31 +116,65 @@ def lane(status: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), status), F.lit("To Transcribe"))
 
 
-#: Words of a session card by status, the columns whose first filled one gives the time, and the column of a
-#: reason; or, in its place, closing words after a dash.
-CARDS = {
-    "scheduled": ("scheduled for", ("scheduled_start_at",), None, None),
-    "recording": ("started", ("started_at",), None, None),
-    "recording_failed": ("recording failed to launch", ("failed_at",), "failure_reason", None),
-    "scheduled_cancelled": ("scheduled start cancelled", ("cancelled_at",), "cancel_reason", None),
-    "stopped": ("stopped", ("ended_at",), None, None),
-    "transcribing": ("transcribing since", ("transcription_started_at",), None, None),
-    "transcribed": ("transcribed", ("transcribed_at",), None, None),
-    "transcription_failed": ("failed", ("failed_at", "ended_at"), "failure_reason", None),
-    "transcription_interrupted": ("interrupted", ("interrupted_at", "ended_at"), None, "resume with transcribe --resume"),
+#: How the text of a card begins for each status, and the event whose time follows.
+OPENINGS = {
+    "recording": "started",
+    "recording_failed": "recording failed to launch",
+    "scheduled": "scheduled for",
+    "scheduled_cancelled": "scheduled start cancelled",
+    "stopped": "stopped",
+    "transcribed": "transcribed",
+    "transcribing": "transcribing (PID {pid}) since",
+    "transcription_failed": "failed",
+    "transcription_interrupted": "interrupted",
+}
+EVENTS = {
+    "recording": "started",
+    "recording_failed": "failed",
+    "scheduled": "scheduled_start",
+    "scheduled_cancelled": "cancelled",
+    "stopped": "ended",
+    "transcribed": "transcribed",
+    "transcribing": "transcription_started",
+    "transcription_failed": "failed",
+    "transcription_interrupted": "interrupted",
 }
+RESUME_HINT = "resume with transcribe --resume"
+
+
+def _lookup(key: Column, values: dict[str, Column | str]) -> Column:
+    """The value of ``key`` in a map literal; null for other keys."""
+    pairs = [x for k, v in values.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))]
+    return F.element_at(F.create_map(*pairs), F.coalesce(key, F.lit("")))
+
+
+def event_time(columns: dict[str, Column], event: str) -> Column:
+    """When an event of a session was: as people wrote it (``_at_human``), else as it is stored (``_at``), else null."""
+    known = [F.nullif(columns[c], F.lit("")) for c in (f"{event}_at_human", f"{event}_at") if c in columns]
+    return F.coalesce(*known, F.lit(None).cast("string"))
+
+
+def card_text(columns: dict[str, Column]) -> Column:
+    """What a session's card says of its status: opening words, the time of the event, and a reason or hint after a dash.
+
+    ``columns`` are the session's, by name; missing ones count as empty. A status without a text of its own is shown as it is.
+    """
+    get = lambda c: F.coalesce(F.nullif(columns[c], F.lit("")), F.lit("")) if c in columns else F.lit("")
+    status = F.coalesce(columns["status"], F.lit(""))
+    times = {e: event_time({c: x for c, x in columns.items() if not c.startswith("transcription_started_at_")}, e) for e in set(EVENTS.values())}
+    when = _lookup(_lookup(status, EVENTS), times)
+    if "ended_at_human" in columns:  # what went wrong with a transcription has at least the end of the recording
+        when = F.coalesce(when, F.when(status.startswith("transcription_"), F.nullif(columns["ended_at_human"], F.lit(""))))
+    pid = F.coalesce(columns["transcription_pid"], F.lit("?")) if "transcription_pid" in columns else F.lit("?")
+    rest = _lookup(status, {"recording_failed": get("failure_reason"), "transcription_failed": get("failure_reason"), "scheduled_cancelled": get("cancel_reason"), "transcription_interrupted": RESUME_HINT})
+    said = F.concat(F.replace(_lookup(status, OPENINGS), F.lit("{pid}"), pid), F.lit(" "), F.coalesce(when, F.lit("")))
+    return F.coalesce(F.concat(said, F.when(F.coalesce(rest, F.lit("")) != "", F.concat(F.lit(" — "), rest)).otherwise(F.lit(""))), status)
 
 
-def card_text(s: dict[str, Column]) -> Column:
-    """The status line of a session card from the session's columns, missing ones counting as empty; others show the status."""
-    filled = lambda names: F.coalesce(*[F.nullif(s[n], F.lit("")) for n in names if n in s], F.lit(""))
-    out = F.lit(None)
-    for status, (words, times, reason, closing) in CARDS.items():
-        said = F.concat(F.lit(words + " "), filled(times))
-        extra = F.lit(closing or "") if reason is None else filled((reason,))
-        line = F.when(extra == "", said).otherwise(F.concat(said, F.lit(" — "), extra))
-        out = F.when(s["status"] == status, line).otherwise(out)
-    return F.coalesce(out, s["status"], F.lit(""))
+def note_link(session_dir: Column, title: Column, vault: str) -> Column:
+    """A wiki link to a session's note by its path below the vault."""
+    inside = F.when(session_dir.startswith(vault.rstrip("/") + "/"), F.substring(session_dir, len(vault.rstrip("/")) + 2, F.length(session_dir))).otherwise(session_dir)
+    return F.concat(F.lit("[["), inside, F.lit("/session|"), link_title(F.coalesce(title, F.lit("Untitled"))), F.lit("]]"))
 
 
 def mentions_any(text: Column, words: list[str]) -> Column:
@@ -143,8 +187,8 @@ def mentions_any(text: Column, words: list[str]) -> Column:
 
 
 #: Parts of error texts.
-GPU_TIMEOUT = ["timeout", "timed out"]
-OUT_OF_MEMORY = ["out of memory", "insufficient memory", "memory"]
+GPU_TIMEOUT = ["gpu timeout error", "command buffer execution failed"]
+OUT_OF_MEMORY = ["out of memory", "resource exhausted", "insufficient memory", "memory pressure", "failed to allocate", "allocation failed"]
 
 
 def device_error(text: Column) -> Column:
@@ -155,23 +199,33 @@ def device_error(text: Column) -> Column:
 def attendees(text: Column) -> Column:
     """``array<struct<name, address>>`` of a comma-separated list.
 
-    A comma separates when a ``>`` precedes it or no ``<`` comes before the next comma, so that "Last, First <a@b>" stays whole.
+    The list is cut at every comma, and a piece that doesn't end with ``>`` takes up the next one if that has a ``<``:
+    "Last, First <a@b>" is one person.
     """
-    t = F.coalesce(text, F.lit(""))
-    # a comma that belongs to a name has no > right before it, and a < before the next comma
-    marked = F.regexp_replace(t, r"(?<!>)(?<!>[ \t]),(?=[^,<]*<)", "\u0001")
-    parts = F.transform(F.split(marked, ","), lambda p: F.btrim(F.replace(p, F.lit("\u0001"), F.lit(",")), F.lit(" \t")))
-    parts = F.filter(parts, lambda p: p != "")
-    named = r"^(.*?)\s*<([^<>]+)>\s*$"
-
-    def one(p: Column) -> Column:
-        has = p.rlike(named)
-        bare = p.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
-        name = F.when(has, F.trim(F.regexp_extract(p, named, 1))).when(bare, F.lit("")).otherwise(p)
-        address = F.when(has, F.trim(F.regexp_extract(p, named, 2))).when(bare, p).otherwise(F.lit(""))
-        return F.struct(name.alias("name"), address.alias("address"))
-
-    return F.transform(parts, one)
+    def add(done: Column, piece: Column) -> Column:
+        last = F.btrim(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), F.lit(" \t"))
+        joins = (last != "") & ~last.endswith(">") & piece.contains("<")
+        joined = F.concat(F.element_at(done, -1), F.lit(","), piece)
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(piece)))
+
+    entries = F.aggregate(F.split(F.coalesce(text, F.lit("")), ","), F.array().cast("array<string>"), add)
+    return F.transform(F.filter(F.transform(entries, _strip), lambda p: p != ""), _person)
+
+
+def _strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r"))
+
+
+def _person(entry: Column) -> Column:
+    """Name and address of one entry: ``name <address>``, a bare address (one @ with a dot somewhere after it), or a name."""
+    opens = F.when(entry.contains("<"), F.length(entry) - F.instr(F.reverse(entry), "<") + 1).otherwise(F.lit(0))
+    inner = F.substring(entry, opens + 1, F.length(entry) - opens - 1)
+    bracketed = (opens > 0) & entry.endswith(">") & (inner != "") & ~inner.contains(">")
+    local, domain = F.substring_index(entry, "@", 1), F.substring_index(entry, "@", -1)
+    bare = (F.size(F.split(entry, "@")) == 2) & ~entry.rlike(r"\s") & (local != "") & domain.rlike(r"^.+\..")
+    name = F.when(bracketed, _strip(F.substring(entry, F.lit(1), opens - 1))).when(bare, F.lit("")).otherwise(entry)
+    address = F.when(bracketed, _strip(inner)).when(bare, entry).otherwise(F.lit(""))
+    return F.struct(name.alias("name"), address.alias("address"))
 
 
 # --- times -------------------------------------------------------------------------------------------------------------

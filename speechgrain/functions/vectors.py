@@ -15,6 +15,7 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine similarity; 0 if either vector is zero, null if the lengths differ."""
+    """Cosine similarity; 0 if either vector is zero. Vectors of different lengths raise, null ones give null."""
     length = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
-    return F.when(F.size(a) == F.size(b), F.when(length == 0, 0.0).otherwise(dot(a, b) / length))
+    unlike = F.raise_error(F.concat(F.lit("vectors of lengths "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(F.size(a) != F.size(b), unlike.cast("double")).when(length == 0, 0.0).otherwise(dot(a, b) / length)

@@ -11,15 +11,26 @@ from speechgrain.functions.vectors import cosine, norm
 THRESHOLD, MARGIN = 0.78, 0.05
 
 
-def scores(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
+#: Profiles up to this many numbers in all their vectors are broadcast; others meet candidates dealt over ``SALTS`` parts.
+BROADCAST_CELLS, SALTS = 4_000_000, 64
+
+
+def scores(candidates: DataFrame, profiles: DataFrame, cells: int = BROADCAST_CELLS) -> DataFrame:
     """A row for each candidate and comparable profile: same provider and model, an embedding, equal length.
 
     ``candidates(candidate_id, provider, model, embedding)``, ``profiles(profile_id, display_name, provider, model,
-    embedding)``. Norms are taken once a row, before the join; Spark broadcasts the profiles if they are small enough.
+    embedding)``. Provider and model are often the same for all rows, so a join on them would meet in one task: profiles are
+    broadcast if their vectors have at most ``cells`` numbers, which is counted first; else they are repeated ``SALTS`` times,
+    and candidates are dealt over the copies. Norms are taken once a row, before the join.
     """
-    c = candidates.where(F.size("embedding") > 0).select("candidate_id", "provider", "model", F.col("embedding").alias("_a"), norm(F.col("embedding")).alias("_na"))
-    p = profiles.where(F.size("embedding") > 0).select("profile_id", "display_name", "provider", "model", F.col("embedding").alias("_b"), norm(F.col("embedding")).alias("_nb"))
-    pairs = c.join(p, ["provider", "model"]).where(F.size("_a") == F.size("_b"))
+    c = candidates.where(F.size("embedding") > 0).select("candidate_id", "provider", "model", F.size("embedding").alias("_k"), F.col("embedding").alias("_a"), norm(F.col("embedding")).alias("_na"))
+    p = profiles.where(F.size("embedding") > 0).select("profile_id", "display_name", "provider", "model", F.size("embedding").alias("_k"), F.col("embedding").alias("_b"), norm(F.col("embedding")).alias("_nb"))
+    keys = ["provider", "model", "_k"]
+    if (profiles.agg(F.sum(F.greatest(F.size("embedding"), F.lit(1)))).first()[0] or 0) <= cells:
+        pairs = c.join(F.broadcast(p), keys)
+    else:
+        salted = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = c.withColumn("_salt", F.pmod(F.xxhash64("candidate_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"])
     return pairs.select("candidate_id", "profile_id", "display_name", cosine(F.col("_a"), F.col("_b"), F.col("_na"), F.col("_nb")).alias("score"))
 
 
@@ -33,15 +44,27 @@ def best(scored: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN
 
 
 def skipped(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Profiles that can't be compared with a candidate, and why.
+    """Profiles that can't be compared with candidates, and why, for each class of candidates.
 
-    The result is candidates times profiles by its nature; it is a report for a session's few candidates.
+    What a profile is skipped for depends on the candidate's provider, model and dimension alone. So the result has a row for
+    each profile and class, with the number of candidates, instead of each pair; classes are few, and are counted first.
     """
-    c = candidates.where(F.size("embedding") > 0).select("candidate_id", F.col("provider").alias("_p"), F.col("model").alias("_m"), F.size("embedding").alias("_n"))
-    p = profiles.select("profile_id", "display_name", "provider", "model", F.coalesce(F.size("embedding"), F.lit(0)).alias("_k"))
-    same = F.col("_p").eqNullSafe(F.col("provider")) & F.col("_m").eqNullSafe(F.col("model"))
-    reason = F.when(~same, "provider_model_mismatch").when(F.col("_k") <= 0, "missing_embedding").when(F.col("_k") != F.col("_n"), "embedding_dimension_mismatch")
-    return c.join(p, ~same | (F.col("_k") <= 0) | (F.col("_k") != F.col("_n"))).select("candidate_id", "profile_id", "display_name", reason.alias("reason"))
+    c = candidates.where(F.size("embedding") > 0).groupBy(F.col("provider").alias("_p"), F.col("model").alias("_m"), F.size("embedding").alias("_n")).agg(F.count("*").alias("_candidates"))
+    classes = F.array_sort(F.collect_list(F.struct(F.col("_p").alias("provider"), F.col("_m").alias("model"), F.col("_n").alias("dimension"), F.col("_candidates").alias("candidates"))))
+    all_ = c.agg(classes.alias("c")).first()["c"]
+    known = F.array(*[F.struct(F.lit(x.provider).alias("provider"), F.lit(x.model).alias("model"), F.lit(x.dimension).alias("dimension"), F.lit(x.candidates).cast("long").alias("candidates")) for x in all_])
+    if not all_:
+        known = F.array().cast("array<struct<provider:string,model:string,dimension:int,candidates:bigint>>")
+    p = profiles.select("profile_id", "display_name", F.col("provider").alias("_p"), F.col("model").alias("_m"), F.coalesce(F.size("embedding"), F.lit(0)).alias("_k"), F.explode(known).alias("_c"))
+    same = F.col("_c.provider").eqNullSafe(F.col("_p")) & F.col("_c.model").eqNullSafe(F.col("_m"))
+    reason = F.when(~same, "provider_model_mismatch").when(F.col("_k") <= 0, "missing_embedding").when(F.col("_k") != F.col("_c.dimension"), "embedding_dimension_mismatch")
+    return p.withColumn("reason", reason).where("reason is not null").select("_c.*", "profile_id", "display_name", "reason")
+
+
+def skipped_of(candidates: DataFrame, skipped_: DataFrame) -> DataFrame:
+    """``(candidate_id, profile_id, reason)`` of some candidates (a session's) from the classes of ``skipped``."""
+    c = candidates.where(F.size("embedding") > 0).select("candidate_id", "provider", "model", F.size("embedding").alias("dimension"))
+    return c.join(skipped_, ["provider", "model", "dimension"]).select("candidate_id", "profile_id", "reason")
 
 
 def resolve(speakers: DataFrame, has_profiles: bool = True) -> DataFrame:

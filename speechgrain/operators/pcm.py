@@ -7,8 +7,10 @@ rows of ``(track, idx, value)``, so that frames and mixes are ordinary aggregate
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Fixed values of levels: silence, percentiles of speech, frames; targets and limits of gain; gate and peak of mixing.
 FLOOR, LOW, HIGH, LEAST_FRAMES = 0.002, 0.50, 0.95, 10
 TARGET_DBFS, MOST_GAIN = -19.0, 40.0
 GATE, PEAK, MIX_PEAK, MIX_GAIN = 32, 32767.0, 0.8, 16.0
@@ -75,6 +77,63 @@ def normalize_speech(samples: DataFrame, frame: int, by: str = "track") -> DataF
     return out.withColumn("value", F.when(F.col("gain") == 1.0, F.col("value").cast("long")).otherwise(clamp16(F.rint(F.col("value") * F.col("gain")).cast("long"))))
 
 
+def counts(samples: DataFrame, by: str = "track") -> DataFrame:
+    """The number of samples of each track: ``(by, _size)``."""
+    return samples.groupBy(by).agg(F.count("*").alias("_size"))
+
+
+def resample_rows(samples: DataFrame, source: int, target: int, by: str = "track") -> DataFrame:
+    """``resample`` of rows ``(by, idx, value)``: each sample makes the output places up to the next one, by linear interpolation.
+
+    A row needs its successor and its track's length only, so no track is held whole.
+    """
+    if source == target:
+        return samples.select(by, F.col("idx").cast("long").alias("idx"), F.col("value").cast("long").alias("value"))
+    ratio = F.lit(float(target)) / source
+    following = W.partitionBy(by).orderBy("idx")
+    rows = samples.select(by, F.col("idx").cast("long").alias("_i"), F.col("value").cast("long").alias("_a"), F.lead("value").over(following).cast("long").alias("_b")).join(counts(samples, by), by)
+    made = round_away(F.col("_size") * ratio)  # places in all; the last sample also makes those behind it
+    first = F.greatest(F.ceil(F.col("_i") * ratio) - 1, F.lit(0))
+    last = F.when(F.col("_b").isNull(), made - 1).otherwise(F.least(F.floor((F.col("_i") + 1) * ratio) + 1, made - 1))
+    spread = rows.where(last >= first).select(by, "_i", "_a", "_b", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("idx"))
+    place = F.col("idx") / ratio
+    mine = (F.floor(place) == F.col("_i")) | (F.col("_b").isNull() & (F.floor(place) > F.col("_i")))
+    value = F.col("_a").cast("double") + F.coalesce(F.col("_b") - F.col("_a"), F.lit(0)).cast("double") * (place - F.col("_i"))
+    return spread.where(mine).select(by, "idx", clamp16(round_away(value)).alias("value"))
+
+
+def interleave_rows(channels: list[DataFrame], by: str = "track") -> DataFrame:
+    """Frames of channels of rows ``(by, idx, value)``, up to the end of the shortest; one channel passes as it is."""
+    n = len(channels)
+    if n == 1:
+        return channels[0].select(by, F.col("idx").cast("long").alias("idx"), "value")
+    shortest = None
+    for c in channels:
+        size = counts(c, by)
+        shortest = size if shortest is None else shortest.withColumnRenamed("_size", "_other").join(size, by).select(by, F.least("_size", "_other").alias("_size"))
+    out = None
+    for k, c in enumerate(channels):
+        part = c.select(by, (F.col("idx").cast("long") * n + k).alias("idx"), "value", F.col("idx").alias("_frame"))
+        out = part if out is None else out.unionByName(part)
+    return out.join(shortest, by).where(F.col("_frame") < F.col("_size")).select(by, "idx", "value")
+
+
+def band_rows(samples: DataFrame, bands: int = 13, by: str = "track") -> DataFrame:
+    """``band_features`` of rows ``(by, idx, value)`` as ``(by, dim, feature)``: aggregates over bands, no track held whole."""
+    numbered = samples.join(counts(samples, by), by).withColumn("_band", F.least(F.floor(F.col("idx") / F.greatest(F.floor(F.col("_size") / bands), F.lit(1))), F.lit(bands - 1)).cast("int"))
+    sign = F.col("value") >= 0
+    turned = sign != F.lag(sign).over(W.partitionBy(by, "_band").orderBy("idx"))
+    rows = numbered.select(by, "_band", F.abs(F.col("value").cast("long")).alias("_size"), turned.alias("_turned"))
+    found = rows.groupBy(by, "_band").agg((F.sum("_size") / F.count("*")).alias("_mean"), (F.count_if("_turned") / F.greatest(F.count("*") - 1, F.lit(1)) * 1000.0).alias("_turns"))
+    # a short track has fewer bands than asked; the others are 0
+    packed = found.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("_band", F.struct("_mean", "_turns").alias("_f")))).alias("_all"), F.sqrt(F.sum(F.col("_mean") * F.col("_mean") + F.col("_turns") * F.col("_turns"))).alias("_length"))
+    band = F.floor(F.col("dim") / 2).cast("int")
+    of = F.try_element_at("_all", band)
+    each = packed.select(by, "_all", "_length", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * bands - 1).cast("long"))).alias("dim"))
+    feature = F.coalesce(F.when(F.col("dim") % 2 == 0, of["_mean"]).otherwise(of["_turns"]), F.lit(0.0))
+    return each.select(by, "dim", (feature / F.when(F.col("_length") > 0, F.col("_length")).otherwise(1.0)).alias("feature"))
+
+
 def gated_rms(value: Column, gate: int = GATE) -> Column:
     """Aggregate: RMS of the samples of magnitude ``gate`` or more, else 0."""
     v = F.when(F.abs(value.cast("double")) >= gate, value.cast("double"))
@@ -124,10 +183,14 @@ def slice_seconds(samples: Column, start: Column, end: Column, rate: Column | in
     return F.slice(samples, (first + 1).cast("int"), (last - first).cast("int"))
 
 
-def concat_ranges(samples: Column, ranges: Column, rate: Column | int) -> Column:
-    """The samples of all ranges (struct of start and end), in their order; empty ranges are skipped."""
+def concat_ranges(samples: Column, ranges: Column, rate: Column | int, may_be_empty: bool = False) -> Column:
+    """The samples of all ranges (struct of start and end), in their order; empty ranges are skipped.
+
+    Ranges that hold no sample at all raise, unless that ``may_be_empty``.
+    """
     good = F.filter(ranges, lambda r: r["end"] > r["start"])
-    return F.flatten(F.transform(good, lambda r: slice_seconds(samples, r["start"], r["end"], rate)))
+    out = F.flatten(F.transform(good, lambda r: slice_seconds(samples, r["start"], r["end"], rate)))
+    return out if may_be_empty else F.when(F.size(out) == 0, F.raise_error(F.lit("no range holds any audio"))).otherwise(out)
 
 
 def resample(samples: Column, source: Column, target: Column) -> Column:

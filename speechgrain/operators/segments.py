@@ -68,11 +68,16 @@ def with_position(segments: DataFrame) -> DataFrame:
     return segments.withColumn("position", F.row_number().over(order).cast("long"))
 
 
+def fallback(tracks: DataFrame) -> DataFrame:
+    """A row for each track that has text, over its whole length: ``tracks(session_id, source, text, duration_ms)``."""
+    zero = F.lit(0).cast("long")
+    return tracks.where(F.trim("text") != "").select("session_id", "source", zero.alias("seg_idx"), F.trim("text").alias("text"), zero.alias("start_ms"), F.coalesce("duration_ms", zero).cast("long").alias("end_ms"))
+
+
 def text_fallback(segments: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Sessions without segments get a row for each track that has text; ``tracks(session_id, source, text, duration_ms)``."""
-    empty = tracks.join(segments.select("session_id").distinct(), "session_id", "left_anti").where(F.trim("text") != "")
-    rows = empty.select("session_id", "source", F.lit(0).cast("long").alias("seg_idx"), F.trim("text").alias("text"), F.lit(0).cast("long").alias("start_ms"), F.coalesce("duration_ms", F.lit(0)).cast("long").alias("end_ms"))
-    return segments.unionByName(rows, allowMissingColumns=True)
+    """``segments``, and for sessions without any the rows of ``fallback``."""
+    empty = tracks.join(segments.select("session_id").distinct(), "session_id", "left_anti")
+    return segments.unionByName(fallback(empty), allowMissingColumns=True)
 
 
 def write_labels(segments: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechgrain.operators.segments import normalize
+from speechgrain.sources.files import as_text, exists, write_files
 
 #: All scalars are read as text, so ids that are numbers in one file and strings in another agree.
 SEGMENT = "struct<text:string,start_time:string,start:string,end_time:string,end:string,duration:string,speaker_id:string,speaker:string,source:string,speaker_name:string>"
@@ -40,10 +43,63 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def profile_list(profiles_: DataFrame) -> DataFrame:
-    """One JSON document with all profiles."""
+    """One JSON document with all profiles: what other programs read as one file, so it must fit in one row."""
     return profiles_.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(*profiles_.columns))).alias("profiles"))).alias("json"))
 
 
+#: What the index of a profile folder has of each profile: enough to list them without their embeddings.
+SUMMARY = ("id", "displayName", "createdAt", "updatedAt", "embeddingProvider", "embeddingModel")
+
+
+def index_of(profiles_: DataFrame) -> DataFrame:
+    return profiles_.select(*SUMMARY)
+
+
+def profile_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of a profile folder; without an index file it is empty."""
+    summary = ", ".join(f"{c} string" for c in SUMMARY)
+    if not exists(f"{folder}/index.json"):
+        return spark.createDataFrame([], summary)
+    raw = spark.read.schema(f"profiles array<struct<{summary.replace(' string', ':string')}>>").option("multiLine", "true").json(f"{folder}/index.json")
+    return raw.select(F.explode("profiles").alias("p")).select("p.*")
+
+
+def name_order(name: Column) -> Column:
+    """A key that sorts names as people do: case aside, and numbers in them by value."""
+    parts = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.ltrim(p, F.lit("0")), 24, "0")).otherwise(p)), "")
+
+
+def list_profiles(index: DataFrame, profiles_: DataFrame | None = None) -> DataFrame:
+    """The index in order of names, then ids; with ``profiles_`` the whole profiles that it names."""
+    rows = index if profiles_ is None else profiles_.join(index.select("id"), "id", "left_semi")
+    return rows.orderBy(name_order(F.col("displayName")), "displayName", "id")
+
+
+def rename(profiles_: DataFrame, renames: DataFrame, at: Column) -> DataFrame:
+    """``profiles_`` with the names of ``renames(id, new_name)``, changed at ``at``."""
+    joined = profiles_.join(renames.select("id", "new_name"), "id", "left")
+    hit = F.col("new_name").isNotNull()
+    return joined.withColumns({"displayName": F.coalesce("new_name", "displayName"), "updatedAt": F.when(hit, at.cast("string")).otherwise(F.col("updatedAt"))}).select(*profiles_.columns)
+
+
+def remove(profiles_: DataFrame, ids: DataFrame) -> DataFrame:
+    """``profiles_`` without those of ``ids(id)``."""
+    return profiles_.join(ids.select("id"), "id", "left_anti")
+
+
+def unknown_ids(profiles_: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ``ids(id)`` that no profile has: what a rename or removal must report."""
+    return ids.select("id").distinct().join(profiles_.select("id"), "id", "left_anti")
+
+
+def save_profiles(profiles_: DataFrame, folder: str) -> DataFrame:
+    """A file for each profile and the index of all of them; files of other profiles in the folder stay."""
+    files = as_text(profiles_, F.concat(F.col("id"), F.lit(".json")), F.to_json(F.struct(*profiles_.columns)))
+    index = profiles_.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(*SUMMARY))).alias("profiles"))).alias("j"))
+    return write_files(files.unionByName(as_text(index, F.lit("index.json"), F.col("j"))), folder)
+
+
 def sessions(spark: SparkSession, root: str) -> DataFrame:
     """``*/metadata.json`` below ``root``, unreadable ones left out, newest first."""
     raw = spark.read.schema(SESSION).option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(f"{root}/*/metadata.json")
@@ -55,17 +111,34 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
-def publish(df: DataFrame, root: str, run_id: str) -> DataFrame:
+def publish(df: DataFrame, root: str, run_id: str, valid: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """Write under ``root/staging/run_id`` with a completion mark; readers use ``read_published``.
 
-    Spark's committer makes the run's files appear together; a run that died leaves no ``_SUCCESS`` and is never read.
+    Spark's committer makes the run's files appear together; a run that died leaves no ``_SUCCESS`` and is never read. A run
+    whose written rows ``valid`` refuses stays staged, and what was published before stays in place.
     """
     at = f"{root}/staging/{run_id}"
     df.write.mode("errorifexists").parquet(at)
     spark = df.sparkSession
+    if valid is not None and not valid(spark.read.parquet(at)):
+        raise ValueError(f"run {run_id} isn't valid; it stays in {at}")
+    _point(spark, root, run_id, at)
+    return spark.read.parquet(at)
+
+
+def _point(spark: SparkSession, root: str, run_id: str, at: str) -> None:
     manifest = spark.createDataFrame([(run_id, at)], "run_id string, path string").withColumn("published_at", F.current_timestamp())
     manifest.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
-    return spark.read.parquet(at)
+
+
+def roll_back(spark: SparkSession, root: str) -> str | None:
+    """Publish again what was published before the present run; returns its run id, or None if there is none."""
+    runs = spark.read.parquet(f"{root}/manifest").orderBy(F.desc("published_at"), F.desc("run_id"))
+    earlier = runs.where(F.col("path") != runs.first()["path"]).first()
+    if earlier is None:
+        return None
+    _point(spark, root, earlier["run_id"], earlier["path"])
+    return earlier["run_id"]
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:

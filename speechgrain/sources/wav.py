@@ -1,36 +1,72 @@
-"""16-bit PCM WAV files: header scan with built-in expressions, and a Python data source that reads and writes samples."""
+"""16-bit PCM WAV files: a header scan that reads a few bytes of each file, and a data source that reads and writes samples."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-HEADER = 44
+from speechgrain.sources.files import file_system
+
 SCHEMA = "path string, sample_rate long, channels int, bit_depth int, samples array<int>"
+ARROW = pa.schema([("path", pa.string()), ("sample_rate", pa.int64()), ("channels", pa.int32()), ("bit_depth", pa.int32()), ("samples", pa.list_(pa.int32()))])
+#: Codes of PCM data in a format chunk: plain, and extensible.
+PCM = (1, 0xFFFE)
 
 
-def _little(content: Column, at: int, size: int) -> Column:
-    """An unsigned little-endian number of ``size`` bytes at offset ``at``."""
-    digits = [F.hex(F.substring(content, at + k + 1, 1)) for k in reversed(range(size))]
-    return F.conv(F.concat(*digits), 16, 10).cast("long")
+def read_header(file) -> tuple[int, int, int, int] | None:
+    """(rate, channels, sample width, frames) of an open file, or None if it isn't a PCM file.
+
+    Chunk heads are walked by seeking, so a file costs some dozens of bytes however long its chunks are.
+    """
+    head = file.read(12)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:] != b"WAVE":
+        return None
+    at, form = 12, None
+    while True:
+        file.seek(at)
+        name_size = file.read(8)
+        if len(name_size) < 8:
+            return None
+        name, size = name_size[:4], struct.unpack("<I", name_size[4:])[0]
+        if name == b"fmt " and size >= 16:
+            form = struct.unpack("<HHIIHH", file.read(16))
+        elif name == b"data":
+            if form is None or form[0] not in PCM or not form[1] or not form[5]:
+                return None
+            width = (form[5] + 7) // 8
+            return form[2], form[1], width, size // (form[1] * width)
+        at += 8 + size + size % 2
 
 
 def probe(files: DataFrame) -> DataFrame:
-    """Header figures of ``binaryFile`` rows with the usual 44-byte header; the duration is 0 where the rate is 0.
+    """Header figures of ``files(path, length)``, of which only heads are read; the duration is 0 where the rate is 0.
 
-    Only the first bytes are looked at; files that don't begin as RIFF/WAVE have nulls.
+    Files that aren't PCM files, or can't be read, have nulls. Frames are those that the header states.
     """
-    c = F.col("content")
-    riff = (F.substring(c, 1, 4).cast("string") == "RIFF") & (F.substring(c, 9, 4).cast("string") == "WAVE")
-    get = lambda at, size: F.when(riff, _little(c, at, size))
-    rate, channels, bits = get(24, 4), get(22, 2), get(34, 2)
-    frames = F.floor(F.least(get(40, 4), F.col("length") - HEADER) / F.nullif(channels * bits / 8, F.lit(0))).cast("long")
-    out = files.select("path", "length", rate.alias("sample_rate"), channels.alias("channels"), (bits / 8).cast("int").alias("sample_width"), frames.alias("frame_count"))
-    return out.withColumn("duration_s", F.when(F.col("sample_rate") > 0, F.col("frame_count") / F.col("sample_rate")).otherwise(F.lit(0.0)))
+    names = ("sample_rate", "channels", "sample_width", "frame_count")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    where, name = file_system(path)
+                    with where.open_input_file(name) as file:
+                        found.append(read_header(file))
+                except (OSError, struct.error):
+                    found.append(None)
+            columns = [pa.array([f and f[k] for f in found], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["path", "length", *names])
+
+    out = files.select("path", "length").mapInArrow(run, "path string, length long, " + ", ".join(f"{n} long" for n in names))
+    out = out.withColumns({"channels": F.col("channels").cast("int"), "sample_width": F.col("sample_width").cast("int")})
+    return out.withColumn("duration_s", F.when(F.col("sample_rate") > 0, F.col("frame_count") / F.col("sample_rate")).when(F.col("sample_rate") == 0, F.lit(0.0)))
 
 
 def list_wavs(spark: SparkSession, path: str) -> DataFrame:
@@ -42,45 +78,51 @@ def is_normalized(probed: DataFrame, rate: int = 16_000) -> DataFrame:
     return probed.withColumn("normalized", F.coalesce((F.col("sample_rate") == rate) & (F.col("channels") == 1) & (F.col("sample_width") == 2), F.lit(False)))
 
 
-def parse_wav(data: bytes) -> tuple[int, int, int, list[int]]:
+def parse_wav(data: bytes) -> tuple[int, int, int, np.ndarray]:
     """(rate, channels, bits, interleaved samples) of a PCM file; chunks may come in any order, padded to even lengths."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     at, form, body = 12, None, None
     while at + 8 <= len(data) and (form is None or body is None):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        part = data[at + 8 : at + 8 + size]
         if name == b"fmt ":
-            form = struct.unpack_from("<HHIIHH", part)
+            form = struct.unpack_from("<HHIIHH", data, at + 8)
         elif name == b"data":
-            body = part
+            body = memoryview(data)[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     if form is None or body is None:
         raise ValueError("a WAVE file needs fmt and data chunks")
     if form[0] != 1 or form[5] != 16:
         raise ValueError(f"only 16-bit PCM is supported, not format {form[0]} with {form[5]} bits")
-    n = len(body) // 2
-    return form[2], form[1], form[5], list(struct.unpack(f"<{n}h", body[: 2 * n]))
+    return form[2], form[1], form[5], np.frombuffer(body[: len(body) // 2 * 2], "<i2")
 
 
-def wav_bytes(rate: int, channels: int, samples: list[int]) -> bytes:
-    """A file with a 44-byte header."""
-    body = struct.pack(f"<{len(samples)}h", *samples)
+def wav_bytes(rate: int, channels: int, samples) -> bytes:
+    """A file with a 44-byte header; sizes wrap beyond 4 GiB."""
+    whole = np.asarray(samples, dtype=np.int64)
+    if len(whole) and (whole.min() < -32768 or whole.max() > 32767):
+        raise ValueError("samples must fit in 16 bits")
+    body = whole.astype("<i2").tobytes()
     head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", (36 + len(body)) & 0xFFFFFFFF, b"WAVE", b"fmt ", 16, 1, channels, rate, rate * channels * 2, channels * 2, 16, b"data", len(body) & 0xFFFFFFFF)
     return head + body
 
 
+def _row(path: str, data: bytes) -> pa.RecordBatch:
+    """One file as a batch; its samples go from NumPy to Arrow without Python objects."""
+    rate, channels, bits, samples = parse_wav(data)
+    packed = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rate], pa.int64()), pa.array([channels], pa.int32()), pa.array([bits], pa.int32()), packed], schema=ARROW)
+
+
 def read_wavs(spark: SparkSession, path: str) -> DataFrame:
     """Samples of every file below ``path``, through Spark's own file listing (any file system that Spark knows)."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *parse_wav(bytes(c))) for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "bit_depth", "samples"])
+            for p, c in zip(*batch.columns, strict=True):
+                yield _row(p.as_py(), c.as_py())
 
-    return list_wavs(spark, path).select("path", "content").mapInPandas(run, SCHEMA)
+    return list_wavs(spark, path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
 class _Partition(InputPartition):
@@ -95,14 +137,14 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        where, base = _file_system(self.path)
+        where, base = file_system(self.path)
         found = where.get_file_info(fs.FileSelector(base, recursive=True))
         return [_Partition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(".wav")]
 
-    def read(self, partition: _Partition) -> Iterator[tuple]:
-        where, _ = _file_system(self.path)
+    def read(self, partition: _Partition) -> Iterator[pa.RecordBatch]:
+        where, _ = file_system(self.path)
         with where.open_input_file(partition.path) as f:
-            yield (partition.path, *parse_wav(f.read()))
+            yield _row(partition.path, f.read())
 
 
 class _Message(WriterCommitMessage):
@@ -119,36 +161,30 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> _Message:
         from pyspark import TaskContext
 
-        where, base = _file_system(self.path)
+        where, base = file_system(self.path)
         where.create_dir(base, recursive=True)
         moves = []
         for k, row in enumerate(rows):
             target = f"{base}/{row['path'].rsplit('/', 1)[-1]}"
             draft = f"{target}.{TaskContext.get().taskAttemptId()}-{k}.tmp"
             with where.open_output_stream(draft) as f:
-                f.write(wav_bytes(row["sample_rate"], row["channels"], list(row["samples"])))
+                f.write(wav_bytes(row["sample_rate"], row["channels"], row["samples"]))
             moves.append((draft, target))
         return _Message(moves)
 
     def commit(self, messages: list) -> None:
-        where, _ = _file_system(self.path)
+        where, _ = file_system(self.path)
         for m in messages:
             for draft, target in m.moves if m else ():
                 where.move(draft, target)
 
     def abort(self, messages: list) -> None:
-        where, _ = _file_system(self.path)
+        where, _ = file_system(self.path)
         for m in messages:
             for draft, _ in m.moves if m else ():
                 where.delete_file(draft)
 
 
-def _file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class WavDataSource(DataSource):
     """``spark.read.format("wav").load(folder)`` and ``df.write.format("wav").mode("append").save(folder)``."""
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from speechgrain.operators.catalog import GRACE_S, fold_status
@@ -72,17 +73,22 @@ def folder(spark: SparkSession) -> str:
 
 
 def run_to_end(states: DataFrame, spark: SparkSession) -> DataFrame:
-    """Run a streaming aggregate over what is there and return its final rows, written by each batch as Parquet."""
+    """Run a streaming aggregate with ``session_id`` over what is there and return its final rows.
+
+    Each batch writes the rows that it changed, under its number; a batch that is run again writes the same place. The last
+    row of each session counts.
+    """
     at = folder(spark)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    job = states.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    job = states.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     job.awaitTermination()
-    done = spark.read.schema(states.schema.add("batch", "long")).parquet(f"{at}/out")
-    last = done.agg(F.max("batch")).first()[0]
-    return done.where(F.col("batch") == (last if last is not None else -1)).drop("batch")
+    done = spark.read.schema(StructType([*states.schema.fields, StructField("batch", LongType())])).parquet(f"{at}/out")
+    rest = [c for c in states.columns if c != "session_id"]
+    last = done.groupBy("session_id").agg(F.max_by(F.struct(*rest), "batch").alias("_s"))
+    return last.select("session_id", "_s.*").select(*states.columns)
 
 
 def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,8 @@
+import hashlib
+import json
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from conftest import rows
 
@@ -5,7 +10,7 @@ from pyspark.sql import functions as F
 
 from speechgrain.functions import text as T
 from speechgrain.functions.config import Matching
-from speechgrain.operators import clips
+from speechgrain.operators import catalog, clips
 
 
 def test_audio_by_source(spark):
@@ -23,9 +28,22 @@ def test_devices(spark):
 
 
 def test_tokens_tell_requests_apart(spark):
-    d = spark.createDataFrame([("4", "mic", [(0, 1000)], 30_000, True), ("4", "mic", [(0, 1000)], 30_000, True), ("4", "mic", [(0, 1001)], 30_000, True)], "s string, src string, r array<struct<start_ms:long,end_ms:long>>, ms long, n boolean")
-    t = [r[0] for r in d.select(clips.request_token(*[F.col(c) for c in ("s", "src", "r", "ms", "n")])).collect()]
+    data = [("4", "mic", [(0, 1000)], 30_000, True), ("4", "mic", [(0, 1000)], 30_000, True), ("4", "mic", [(0, 1001)], 30_000, True), ("12", "sys", [(1500, 2000), (7, 86_400_010)], 0, False)]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "i int, s string, src string, r array<struct<start_ms:long,end_ms:long>>, ms long, n boolean")
+    t = [r[0] for r in d.orderBy("i").select(clips.request_token(*[F.col(c) for c in ("s", "src", "r", "ms", "n")])).collect()]
     assert t[0] == t[1] != t[2] and all(len(x) == 12 for x in t)
+    for token, (speaker, source, ranges, ms, norm) in zip(t, data, strict=True):
+        doc = {"speaker_id": speaker, "source": source, "ranges": [[a / 1000, b / 1000] for a, b in ranges], "sample_seconds": ms / 1000, "normalize": norm}
+        assert token == hashlib.sha1(json.dumps(doc, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
+    names = [tuple(r) for r in d.orderBy("i").select(clips.sample_name(F.col("s"), F.lit("abc"), F.col("n")), clips.clip_name(F.col("s"), F.col("ms"), F.col("n"))).collect()]
+    assert names[0] == ("speaker-4-enroll-ranges-abc-norm", "speaker-4-30s-norm") and names[3] == ("speaker-12-enroll-ranges-abc-raw", "speaker-12-all-raw")
+
+
+def test_fallback_devices(spark):
+    d = spark.createDataFrame([(0, "Built-in"), (1, "My Aggregate Device"), (2, "BlackHole 16ch"), (3, "blackhole")], "ordinal int, name string")
+    assert rows(clips.fallback_device(d).select("ordinal")) == [(2,)]
+    assert rows(clips.fallback_device(d.where("ordinal <> 2 and ordinal <> 3")).select("ordinal")) == [(1,)]
+    assert clips.fallback_device(d.where("ordinal = 0")).count() == 0 and rows(clips.fallback_device(d, "built").select("ordinal")) == [(0,)]
 
 
 def test_outcomes_and_metadata(spark):
@@ -33,21 +51,69 @@ def test_outcomes_and_metadata(spark):
     have = spark.createDataFrame([("1", "Ana"), ("2", "cy")], "profile_id string, display_name string")
     assert rows(clips.enrolment_outcome(r, have).select("name", "outcome"), "name") == [("Ana", "skipped"), ("Ben", "failed"), ("Cy", "enrolled")]
     assert rows(clips.enrolment_outcome(r, have, True).where("name = 'Cy'").select("outcome")) == [("dry_run",)]
+    assert rows(clips.enrolment_outcome(r.withColumn("error", F.lit("x")), have).where("name = 'Cy'").select("outcome")) == [("error",)]
     sel = spark.createDataFrame([(1, "0", 0, 1500), (1, "0", 2000, 2600)], "session_id long, speaker_id string, start_ms long, end_ms long")
     req = spark.createDataFrame([(1, "0", 0, 3000)], "session_id long, speaker_id string, range_start_ms long, range_end_ms long")
     m = clips.range_metadata(sel, req).first()
     assert (m.selected_segments, m.selected_seconds, len(m.requested_ranges)) == (2, 2.1, 1)
 
 
-def test_cards_and_notes(spark):
-    s = spark.createDataFrame([("transcription_failed", None, "t1", "no audio"), ("transcription_interrupted", "t0", "t1", None), ("stopped", None, "t1", None), ("odd", None, None, None), (None, None, None, None)], "status string, interrupted_at string, ended_at string, failure_reason string")
-    got = [r[0] for r in s.select(T.card_text({c: F.col(c) for c in s.columns})).collect()]
-    assert got == ["failed t1 — no audio", "interrupted t0 — resume with transcribe --resume", "stopped t1", "odd", ""]
+def test_cards(spark):
+    columns = "status string, started_at string, ended_at string, ended_at_human string, failed_at string, failure_reason string, interrupted_at string, interrupted_at_human string, cancelled_at string, cancel_reason string, transcription_pid string, transcription_started_at string, transcribed_at_human string"
+    told = [
+        ({"status": "transcription_failed", "failed_at": "t1", "failure_reason": "no audio"}, "failed t1 — no audio"),
+        ({"status": "transcription_failed", "ended_at": "e", "ended_at_human": "e h"}, "failed e h"),
+        ({"status": "recording_failed", "ended_at_human": "e h"}, "recording failed to launch "),
+        ({"status": "transcription_interrupted", "interrupted_at": "t", "interrupted_at_human": "t h"}, "interrupted t h — resume with transcribe --resume"),
+        ({"status": "transcribing", "transcription_pid": "42", "transcription_started_at": "t"}, "transcribing (PID 42) since t"),
+        ({"status": "transcribing"}, "transcribing (PID ?) since "),
+        ({"status": "stopped", "ended_at": "e"}, "stopped e"),
+        ({"status": "transcribed", "transcribed_at_human": "noon"}, "transcribed noon"),
+        ({"status": "scheduled_cancelled", "cancelled_at": "c", "cancel_reason": "late"}, "scheduled start cancelled c — late"),
+        ({"status": "odd", "failure_reason": "x"}, "odd"),
+        ({}, ""),
+    ]
+    names = [c.split()[0] for c in columns.split(", ")]
+    s = spark.createDataFrame([(i, *[d.get(c) for c in names]) for i, (d, _) in enumerate(told)], "i int, " + columns)
+    assert [r[0] for r in s.orderBy("i").select(T.card_text({c: F.col(c) for c in names})).collect()] == [x for _, x in told]
+
+
+def test_boards_and_notes(spark):
+    s = spark.createDataFrame([(1, "/v/rec/a", "A|b]]", "stopped", "2026-01-02T09", "e"), (2, "/v/rec/b", None, "stopped", "2026-01-02T10", "e"), (3, "/elsewhere/c", "C", "stopped", "2026-01-03", "e"), (4, "/v/d", "D", "transcribed", None, None)], "session_id long, session_dir string, title string, status string, started_at string, ended_at string")
+    got = {r.session_id: (r.lane, r.place, r.card) for r in catalog.board(s, "/v").collect()}
+    assert got[1] == ("To Transcribe", 3, "- [ ] [[rec/a/session|A-b] ]]] — stopped e — mode unknown") and got[2][:2] == ("To Transcribe", 2) and "|Untitled]]" in got[2][2]
+    assert got[3][1] == 1 and got[3][2].startswith("- [ ] [[/elsewhere/c/session|") and got[4][:2] == ("Transcribed", 1)
     n = spark.createDataFrame([("Sync", "stopped", ["a.wav"], [("Ana", "a@b.co"), ("Ben", "")])], "title string, status string, audio_files array<string>, attendees array<struct<name:string,address:string>>")
     note = clips.session_note(n).first().note
     assert note.startswith("# Sync\n") and "- attendees: Ana <a@b.co>, Ben" in note and note.endswith("- a.wav")
 
 
+def test_attendees(spark):
+    told = {
+        "Kim Ode <kim@ex.org>, lee@ex.org, Noor Sol": [("Kim Ode", "kim@ex.org"), ("", "lee@ex.org"), ("Noor Sol", "")],
+        "Ode, Kim <kim@ex.org>    ,  Sol, Noor<noor@ex.org>": [("Ode, Kim", "kim@ex.org"), ("Sol, Noor", "noor@ex.org")],
+        "a <x@y>,  b": [("a", "x@y"), ("b", "")],
+        "a@b, a@b., @b.c, a@.c, a b@c.d, a@@b.c": [("a@b", ""), ("a@b.", ""), ("@b.c", ""), ("a@.c", ""), ("a b@c.d", ""), ("a@@b.c", "")],
+        "  , , ": [],
+        "x <a <b@c.d>, < only@ad.dr >, open <a@b.c": [("x <a", "b@c.d"), ("", "only@ad.dr"), ("open <a@b.c", "")],
+    }
+    d = spark.createDataFrame([(k,) for k in told], "t string")
+    assert {r.t: [tuple(a) for a in r.a] for r in d.select("t", T.attendees(F.col("t")).alias("a")).collect()} == told
+    assert d.limit(1).select(T.attendees(F.lit(None).cast("string"))).first()[0] == []
+
+
+def test_device_errors(spark):
+    d = spark.createDataFrame([("kernel: GPU Timeout Error (x)",), ("Command buffer execution failed",), ("network read timed out",), ("Resource exhausted",), ("failed to allocate 3 bytes",), ("memory card missing",), (None,)], "t string")
+    assert [r[0] for r in d.select(T.device_error(F.col("t"))).collect()] == ["timeout", "timeout", None, "memory", "memory", None, None]
+
+
+def test_letter_bound_is_one(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc d") for _ in range(rng.randint(0, 12)))
+    d = spark.createDataFrame([(word(), word()) for _ in range(300)], "a string, b string")
+    assert all(r.bound >= SequenceMatcher(None, r.a, r.b).ratio() - 1e-12 for r in d.select("a", "b", T.letter_bound(F.col("a"), F.col("b")).alias("bound")).collect())
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.json").write_text('{"threshold": 0.9, "other": 1}')
     assert Matching.read(tmp_path / "c.json").threshold == 0.9 and Matching.read(tmp_path / "none").margin == 0.05

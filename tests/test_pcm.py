@@ -1,6 +1,8 @@
 import math
+import random
 import struct
 
+import pytest
 from conftest import rows
 
 from pyspark.sql import functions as F
@@ -94,6 +96,76 @@ def test_interleave(spark):
     assert [r[0] for r in df.select(pcm.interleave(F.col("c"))).collect()] == [[1, 4, 2, 5], [7, 8]]
 
 
+def test_rows_equal_arrays(spark):
+    rng = random.Random(4)
+    data = {"one": [7], "two": [1, -2], **{f"t{k}": [rng.randint(-32768, 32767) for _ in range(rng.randint(3, 90))] for k in range(12)}}
+    both = spark.createDataFrame([(k, i, v) for k, x in data.items() for i, v in enumerate(x)], "track string, idx long, value long")
+    whole = spark.createDataFrame(list(data.items()), "track string, samples array<long>")
+    for a, b in ((4, 6), (6, 4), (16000, 44100), (10, 10), (3, 1)):
+        want = {r.track: r.s for r in whole.select("track", pcm.resample(F.col("samples"), F.lit(a), F.lit(b)).alias("s")).collect()}
+        got = {k: [] for k in data}
+        for r in pcm.resample_rows(both, a, b).orderBy("track", "idx").collect():
+            assert r.idx == len(got[r.track])
+            got[r.track].append(r.value)
+        assert got == want, (a, b)
+    bands_ = {r.track: r.f for r in pcm.band_rows(both).groupBy("track").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "feature"))), lambda x: x["feature"]).alias("f")).collect()}
+    assert all(math.isclose(a, b, abs_tol=1e-12) for k in data for a, b in zip(bands_[k], bands(data[k]), strict=True))
+    other = both.where("idx % 2 = 0").withColumn("idx", F.floor(F.col("idx") / 2))
+    got = {r.track: r.s for r in pcm.interleave_rows([both, other]).groupBy("track").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("s")).collect()}
+    assert got == {k: [v for pair in zip(x, x[::2], strict=False) for v in pair] for k, x in data.items()}
+
+
+def test_nothing_to_concatenate_raises(spark):
+    df = spark.createDataFrame([([1, 2, 3],)], "s array<int>")
+    none = F.array(F.struct(F.lit(9.0).alias("start"), F.lit(9.5).alias("end")))
+    with pytest.raises(Exception, match="no range holds any audio"):
+        df.select(pcm.concat_ranges(F.col("s"), none, 2)).collect()
+    assert df.select(pcm.concat_ranges(F.col("s"), none, 2, may_be_empty=True)).first()[0] == []
+
+
+def chunked_wav(path, rate, channels, samples, before=b"", between=b""):
+    plain = wav.wav_bytes(rate, channels, samples)
+    rest = plain[8:12] + before + plain[12:36] + between + plain[36:]
+    path.write_bytes(b"RIFF" + struct.pack("<I", len(rest)) + rest)
+
+
+def test_probe_agrees_with_the_standard_library(spark, tmp_path):
+    import wave
+
+    chunk = lambda name, data: name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    chunked_wav(tmp_path / "junk.wav", 16000, 1, range(100), before=chunk(b"JUNK", b"x" * 27))
+    chunked_wav(tmp_path / "list.wav", 8000, 2, range(200), between=chunk(b"LIST", b"abc"))
+    chunked_wav(tmp_path / "far.wav", 44100, 1, range(1000), before=chunk(b"JUNK", b"x" * 200_001), between=chunk(b"LIST", b"y" * 70_000))
+    chunked_wav(tmp_path / "plain.wav", 22050, 1, [])
+    got = {r.path.rsplit("/", 1)[-1]: r for r in wav.probe(wav.list_wavs(spark, str(tmp_path))).collect()}
+    for name in ("junk.wav", "list.wav", "far.wav", "plain.wav"):
+        with wave.open(str(tmp_path / name)) as w:
+            assert (got[name].sample_rate, got[name].channels, got[name].sample_width, got[name].frame_count) == (w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes())
+            assert math.isclose(got[name].duration_s, w.getnframes() / w.getframerate())
+    (tmp_path / "no.wav").write_bytes(b"RIFF1234WAVE")
+    (tmp_path / "text.wav").write_bytes(b"words")
+    bad = wav.probe(wav.list_wavs(spark, str(tmp_path)).where("length < 40")).collect()
+    assert len(bad) == 2 and all(r.sample_rate is None and r.duration_s is None for r in bad)
+
+
+def test_a_header_costs_few_bytes(tmp_path):
+    class Counting:
+        def __init__(self, file):
+            self.file, self.n = file, 0
+
+        def read(self, size):
+            self.n += size
+            return self.file.read(size)
+
+        def seek(self, at):
+            return self.file.seek(at)
+
+    chunked_wav(tmp_path / "big.wav", 16000, 1, range(30_000), before=b"JUNK" + struct.pack("<I", 1 << 20) + b"\0" * (1 << 20))
+    with open(tmp_path / "big.wav", "rb") as f:
+        counted = Counting(f)
+        assert wav.read_header(counted) == (16000, 1, 2, 30_000) and counted.n < 100
+
+
 def test_wav_files(spark, tmp_path):
     samples = [int(8000 * math.sin(k / 5)) for k in range(1600)]
     (tmp_path / "a.wav").write_bytes(wav.wav_bytes(16000, 1, samples))
@@ -112,11 +184,10 @@ def test_wav_files(spark, tmp_path):
     assert sorted(f.name for f in out.iterdir()) == ["a.wav", "b.wav"]
     assert (out / "a.wav").read_bytes() == wav.wav_bytes(16000, 1, samples)
     for bad in (b"nope", plain[:20] + struct.pack("<H", 3) + plain[22:]):
-        try:
+        with pytest.raises(ValueError):
             wav.parse_wav(bad)
-        except ValueError:
-            continue
-        raise AssertionError("a file that isn't 16-bit PCM must fail")
+    with pytest.raises(ValueError):
+        wav.wav_bytes(8000, 1, [40_000])
 
 
 def test_transcript_files(spark, tmp_path):
@@ -145,3 +216,32 @@ def test_publish_and_upsert(spark, tmp_path):
     transcripts.publish(a, str(tmp_path / "pub"), "r1")
     transcripts.publish(transcripts.upsert(a, spark.createDataFrame([(2, "c")], "id long, name string"), "id"), str(tmp_path / "pub"), "r2")
     assert rows(transcripts.read_published(spark, str(tmp_path / "pub")), "id") == [(1, "a"), (2, "c")]
+
+
+def test_refused_and_withdrawn_publications(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    rows_of = lambda n: spark.createDataFrame([(n,)], "id long")
+    transcripts.publish(rows_of(1), root, "r1")
+    with pytest.raises(ValueError):
+        transcripts.publish(rows_of(2), root, "r2", valid=lambda df: df.where("id < 2").count() == df.count())
+    assert rows(transcripts.read_published(spark, root)) == [(1,)]
+    transcripts.publish(rows_of(3), root, "r3")
+    assert rows(transcripts.read_published(spark, root)) == [(3,)] and transcripts.roll_back(spark, root) == "r1"
+    assert rows(transcripts.read_published(spark, root)) == [(1,)]
+
+
+def test_profile_store(spark, tmp_path):
+    folder = str(tmp_path / "profiles")
+    assert transcripts.profile_index(spark, folder).count() == 0
+    columns = "id string, displayName string, createdAt string, updatedAt string, embeddingProvider string, embeddingModel string, embedding array<double>"
+    p = spark.createDataFrame([(str(k), n, "c", "u", "bands", "v1", [1.0 * k]) for k, n in enumerate(["Ana 10", "ana 9", "Zoe", "Ben"])], columns)
+    written = transcripts.save_profiles(p, folder)
+    assert written.count() == 5 and sorted(f.name for f in (tmp_path / "profiles").iterdir()) == ["0.json", "1.json", "2.json", "3.json", "index.json"]
+    index, back = transcripts.profile_index(spark, folder), transcripts.profiles(spark, folder)
+    assert [r.displayName for r in transcripts.list_profiles(index).collect()] == ["ana 9", "Ana 10", "Ben", "Zoe"]
+    assert [r.embedding for r in transcripts.list_profiles(index.where("id <> '2'"), back).collect()] == [[1.0], [0.0], [3.0]]
+    change = spark.createDataFrame([("3", "Aaron"), ("9", "x")], "id string, new_name string")
+    renamed = transcripts.rename(p, change, F.lit("now"))
+    assert rows(renamed.where("id = '3'").select("displayName", "updatedAt", "createdAt")) == [("Aaron", "now", "c")] and renamed.count() == 4
+    assert rows(transcripts.unknown_ids(p, change)) == [("9",)]
+    assert [r.id for r in transcripts.list_profiles(transcripts.index_of(transcripts.remove(renamed, change))).collect()] == ["1", "0", "2"]
