@@ -1,36 +1,39 @@
 """Near-duplicate vectors by iterative quantisation (ITQ) and multi-index Hamming tables.
 
-1. Equal vectors collapse to classes (128 bits of hash), each with a member count; its smallest vec_id stands for it.
-2. A rotation of the principal axes is learned on a bounded sample (``SAMPLE`` classes of smallest hash), so that the signs
-   of the rotated coordinates are balanced binary codes. Every class is coded.
+1. Equal vectors collapse to classes (128 bits of hash), each with a member count. Vectors of different lengths are apart.
+2. A rotation of the principal axes is learned on a bounded sample (``SAMPLE`` classes of smallest hash, ``SAMPLE_CELLS``
+   components at most), so that the signs of the rotated coordinates are balanced binary codes. Every class is coded.
 3. Hamming tables index the codes by different subsets of bits. Their width grows with the logarithm of the number of
    classes, so the size of a bucket doesn't grow with the input; their number grows with the width, until a share ``RECALL``
    of trial pairs at the least cosine (and of the sample's own links) have a bucket in common. Of the widths that do so the
    cheapest is taken; where none is cheaper than comparing all pairs, one table of width 0 compares all.
-4. Bucket mates are reranked with their original vectors in double precision. A bucket of more than ``CHUNK`` rows is split
+4. Ids and codes alone are dealt to the tables. A row stays there if some code in its bucket differs in no more bits than
+   all but ``FAR`` of the trial pairs do; only such rows fetch their vectors. Chance mates don't move a vector.
+5. Bucket mates are reranked with their original vectors in double precision. A bucket of more than ``CHUNK`` rows is split
    into chunks that meet pair by pair, so that no task holds more than two chunks. A pair counts in the first table that
    holds it. Buckets give counts per class and a spanning forest of their links, never their pairs.
 
-Defined cases: vectors that are null, zero, not of the most common length, or hold null or non-finite components link
-with nothing and are kept; equal vectors link with each other, scaled ones through their codes; repeated rows count as other
-vectors; a null vec_id links, but names no component (its own is null if nothing with an id is linked); an empty table
-gives an empty table; extra columns are ignored.
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept;
+equal vectors link with each other, scaled ones through their codes; repeated rows count as other vectors; a cosine of
+exactly the least one links; a null vec_id links, but names no component (its own is null if nothing with an id is linked,
+and it isn't kept but then); very long vectors are rotated in batches; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, group_starts, table, whole_groups
 from .components import components
 
-SAMPLE, RECALL, CHUNK, BITS, ROUNDS = 20_000, 0.95, 2048, 64, 40
+SAMPLE, SAMPLE_CELLS, RECALL, FAR, CHUNK, BITS, ROUNDS = 20_000, 8_000_000, 0.95, 0.001, 2048, 64, 40
 #: Trial pairs of each kind; the cost of an indexed row in products of two vectors.
 TRIALS, ROW_COST = 4000, 64
 
@@ -149,42 +152,29 @@ def _links_in(rep: np.ndarray, members: np.ndarray, codes: np.ndarray, unit: np.
 def link_buckets(rows: DataFrame, mask_list: list[int], least: float, kind: str) -> DataFrame:
     """Bucket rows, grouped and sorted by (table, bucket, i, j) -> ``(a, b, n)``: edges have n = 0, counts have b = a."""
 
+    keys = ["t", "bucket", "i", "j"]
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        rep, members = part["rep"].to_numpy(), part["members"].to_numpy().astype(float)
+        codes, chunk = part["code"].to_numpy().view(np.uint64), part["chunk"].to_numpy()
+        vectors = np.frombuffer(b"".join(part["vector"]), kind).reshape(len(part), -1).astype(np.float64)
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        found_a, found_b, found_n = [], [], []
+        for s, e in group_starts(part, keys):
+            if e - s < 2:
+                continue
+            t, _, i, j = part[keys].iloc[s].tolist()
+            count, edges = _links_in(rep[s:e], members[s:e], codes[s:e], unit[s:e], chunk[s:e] == i, chunk[s:e] == j, mask_list[:t], least)
+            of = np.flatnonzero(count)
+            found_a += [rep[s:e][of], np.array([rep[s + x] for x, _ in edges], np.int64)]
+            found_b += [rep[s:e][of], np.array([rep[s + y] for _, y in edges], np.int64)]
+            found_n += [count[of].astype(np.int64), np.zeros(len(edges), np.int64)]
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": cat(found_a), "b": cat(found_b), "n": cat(found_n)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def work(part: pd.DataFrame) -> pd.DataFrame:
-            keys = part[["t", "bucket", "i", "j"]].to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(part)]))
-            rep, members = part["rep"].to_numpy(), part["members"].to_numpy().astype(float)
-            codes, chunk = part["code"].to_numpy().view(np.uint64), part["chunk"].to_numpy()
-            vectors = np.frombuffer(b"".join(part["vector"]), kind).reshape(len(part), -1).astype(np.float64)
-            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            found_a, found_b, found_n = [], [], []
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if e - s < 2:
-                    continue
-                t, _, i, j = keys[s].tolist()
-                count, edges = _links_in(rep[s:e], members[s:e], codes[s:e], unit[s:e], chunk[s:e] == i, chunk[s:e] == j, mask_list[:t], least)
-                of = np.flatnonzero(count)
-                found_a += [rep[s:e][of], np.array([rep[s + x] for x, _ in edges], np.int64)]
-                found_b += [rep[s:e][of], np.array([rep[s + y] for _, y in edges], np.int64)]
-                found_n += [count[of].astype(np.int64), np.zeros(len(edges), np.int64)]
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            return pd.DataFrame({"a": cat(found_a), "b": cat(found_b), "n": cat(found_n)})
-
-        for batch in batches:
-            keys = batch[["t", "bucket", "i", "j"]].to_numpy()
-            starts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            if held and len(keys) and (held[-1][["t", "bucket", "i", "j"]].iloc[-1].to_numpy() != keys[0]).any():
-                starts = np.concatenate(([0], starts))
-            if len(starts):  # what lies before the last start is whole groups
-                ready = pd.concat([*held, batch.iloc[: starts[-1]]])
-                held, batch = [], batch.iloc[starts[-1] :]
-                if len(ready):
-                    yield work(ready)
-            held.append(batch)
-        if held and sum(map(len, held)):
-            yield work(pd.concat(held))
+        for part in whole_groups(batches, keys):
+            yield work(part)
 
     return rows.mapInPandas(run, "a long, b long, n long")
 
@@ -197,34 +187,46 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = RECA
     usable = F.size(e) > 0
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(number(x)) & (F.abs(number(x)) < float("inf"))) & F.exists(e, lambda x: number(x) != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable & finite, e).alias("embedding"))
-    sizes = rows.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = sizes["d"] if sizes else 0
-    rows = rows.withColumn("embedding", F.when(F.size("embedding") == dims, F.col("embedding")))
-    marked = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(3), "embedding").alias("h2"))
-    ids = marked.select("vec_id", F.when(F.col("embedding").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("embedding").isNotNull(), F.col("h2")).alias("h2"))
-    classes = marked.where("embedding is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"), F.min_by("embedding", F.coalesce("vec_id", F.lit(2**62))).alias("embedding"))
-    classes = checkpointed(classes.where("rep is not null"))
-    n = classes.count()
-    if n < 2:
-        groups, counts = None, None
-    else:
-        x = np.array([r.embedding for r in classes.orderBy("h1", "h2").select("embedding").limit(sample).collect()], dtype=np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    marked = rows.select("vec_id", "embedding", *[F.when(F.col("embedding").isNotNull(), h).alias(n) for n, h in (("h1", F.xxhash64("embedding")), ("h2", F.xxhash64(F.lit(3), "embedding")))])
+    classes = marked.where("embedding is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("members"), F.first("embedding").alias("embedding"))
+    classes = checkpointed(classes.select("*", F.size("embedding").alias("dims"), F.monotonically_increasing_id().alias("rep")))
+    found = []
+    for dims, n in sorted((r["dims"], r["count"]) for r in classes.groupBy("dims").count().where("count > 1").collect()):  # a row per length
+        alike = classes.where(F.col("dims") == dims)
+        x = _sample(alike, dims, min(sample, max(SAMPLE_CELLS // dims, 1000)))
         mean, projection = learn(x, BITS)
-        found = checkpointed(_link(classes, mean, projection, choose_tables(x, mean, projection, n, least, recall), least, chunk, kind))
-        counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_linked"))
-        groups = components(found.where("n = 0").select("a", "b"))
-    about = classes.select("h1", "h2", "rep", "members")
-    if groups is not None:
-        about = about.join(counts, "rep", "left").join(groups, about.rep == groups.node, "left")
+        tables = choose_tables(x, mean, projection, n, least, recall)
+        within = BITS if tables == [0] else farthest(x, mean, projection, least)  # comparing all pairs, compare all
+        found.append(_link(alike, mean, projection, tables, within, least, chunk, kind))
+    about = classes.select("h1", "h2", "rep", "first", "members")
+    if found:
+        linked = checkpointed(reduce(DataFrame.unionByName, found))
+        counts = linked.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_linked"))
+        groups = components(linked.where("n = 0").select("a", "b"))
+        about = checkpointed(about.join(counts, "rep", "left").join(groups, about.rep == groups.node, "left").withColumn("_group", F.coalesce("component", "rep")))
+        named = checkpointed(about.groupBy("_group").agg(F.min("first").alias("_c")))
+        about = about.join(named, "_group")
     else:
-        about = about.withColumn("_linked", F.lit(0).cast("long")).withColumn("component", F.lit(None).cast("long"))
-    about = about.select("h1", "h2", (F.col("members") - 1 + F.coalesce("_linked", F.lit(0))).alias("_n"), F.coalesce("component", "rep").alias("_c"))
+        about = about.withColumns({"_linked": F.lit(0).cast("long"), "_c": F.col("first")})
+    about = checkpointed(about.select("h1", "h2", (F.col("members") - 1 + F.coalesce("_linked", F.lit(0))).alias("_n"), "_c"))
+    ids = marked.select("vec_id", "h1", "h2")
     out = ids.join(about, ["h1", "h2"], "left").select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _link(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, mask_list: list[int], least: float, chunk: int, kind: str) -> DataFrame:
+def _sample(classes: DataFrame, dims: int, rows: int) -> np.ndarray:
+    """Unit vectors of the classes of smallest hash: ``rows`` of them at most, through Arrow."""
+    chosen = classes.orderBy("h1", "h2").select("embedding").limit(rows).toArrow().column("embedding")
+    x = np.concatenate([np.asarray(c.flatten()) for c in chosen.chunks]).astype(np.float64).reshape(-1, dims)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def farthest(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, least: float, far: float = FAR) -> int:
+    """The number of bits in which all but ``far`` of each kind of trial pairs differ at most."""
+    return max((int(np.quantile(np.bitwise_count(x), 1 - far, method="higher")) for x in trials(unit, mean, projection, least)), default=projection.shape[1])
+
+
+def _link(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, mask_list: list[int], within: int, least: float, chunk: int, kind: str) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast((mean, projection))
 
     @F.pandas_udf("struct<code:long,vector:binary>")
@@ -241,16 +243,38 @@ def _link(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, mask_lis
     coded = checkpointed(classes.select("rep", "members", coding("embedding").alias("_c")).select("rep", "members", "_c.code", "_c.vector"))
     signed = [m - (1 << 64) if m >> 63 else m for m in mask_list]
     keys = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for t, m in enumerate(signed)])
-    placed = coded.select("rep", F.explode(keys).alias("_k")).select("rep", "_k.t", "_k.bucket")
-    sizes = placed.groupBy("t", "bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-    split = placed.join(sizes, ["t", "bucket"]).withColumn("k", F.ceil(F.col("_n") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("rep"), "k"))
+    placed = coded.select("rep", "code", F.explode(keys).alias("_k")).select("rep", "code", "_k.t", "_k.bucket")
+    a, b = placed.alias("a"), placed.alias("b")
+    near = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= within
+    alive = checkpointed(a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") != F.col("b.rep")) & near, "left_semi").select("rep", "t", "bucket"))
+    sizes = checkpointed(alive.groupBy("t", "bucket").agg(F.ceil(F.count("*") / chunk).alias("k")))
+    split = alive.join(sizes, ["t", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), "k"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.struct(F.least(F.col("chunk"), o).alias("i"), F.greatest(F.col("chunk"), o).alias("j")))
     tasks = split.select("rep", "t", "bucket", "chunk", F.explode(pairs).alias("_p")).select("rep", "t", "bucket", "chunk", "_p.i", "_p.j")
-    full = tasks.join(coded, "rep")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = full.repartition(parts, "t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "rep")
+    grouped = tasks.join(coded, "rep").repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "rep")
     return link_buckets(grouped, mask_list, least, kind)
 
 
 def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+#: All pairs, so for small tables only.
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS q FROM embeddings
+), usable AS (
+  SELECT vec_id, e, sqrt(q) AS size FROM v WHERE q > 0 AND isfinite(q) AND len(list_filter(e, lambda x: x IS NULL)) = 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9
+), reach(a, b) AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), counts AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+), least_ids AS (
+  SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least_ids ON least_ids.a = vec_id
+"""
