@@ -20,7 +20,10 @@ QUERIES = {
 }
 SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op5_url_filter": url_filter.OP5_SQL,
+    "op6_itq": itq.OP6_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }
 
 

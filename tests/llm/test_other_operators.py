@@ -2,8 +2,10 @@
 
 import base64
 import random
+import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -217,43 +219,70 @@ def test_urls_and_rules(spark):
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
-def test_propagation_equals_dense_iteration(spark):
-    rng = random.Random(2)
-    hosts = [f"h{i}.org" for i in range(15)] + ["bad.net", "good.org"]
-    pages = [(i, f"http://{h}/{'fr' if h == 'good.org' else 'en'}/1", "".join(f'<a href="//{rng.choice(hosts).upper()}/p">x</a><A HREF=http://{rng.choice(hosts)}>y</a><a href="/local">z</a>' for _ in range(3))) for i, h in enumerate(hosts)]
+def web(seed=2):
+    rng = random.Random(seed)
+    hosts = [f"h{i}.org" for i in range(15)] + ["bad.net", "worse.net", "good.org", "x.example.net"]
+    links = lambda: "".join(f'<a href="//{rng.choice(hosts).upper()}/p">x</a><A HREF=http://{rng.choice(hosts[:8])}>y</a><a href="/local">z</a>' for _ in range(3))
+    return hosts, [(i, f"http://{h}/{'fr' if h == 'good.org' else 'en'}/1", links() if i % 5 else None) for i, h in enumerate(hosts)]
+
+
+def test_propagation_is_personalised_pagerank(spark):
+    hosts, pages = web()
     df = spark.createDataFrame([*pages, (99, "http://h0.org/en/", None)], "page_id long, url string, html string")
-    got = {r.host: (r.host_trust, r.host_distrust) for r in url_filter.judge_urls(df, rounds=200, settled=1e-9).collect()}
+    judged = url_filter.judge_urls(df, settled=1e-7).collect()
+    got = {r.host: (r.host_trust, r.host_distrust) for r in judged}
     n, k = len(hosts), {h: i for i, h in enumerate(hosts)}
     w = np.zeros((n, n))
-    import re
-
     for i, _, html in pages:
-        for to in re.findall(url_filter.LINK, html):
+        for to in re.findall(url_filter.LINK, html or ""):
             if k[to.lower()] != i:
                 w[i, k[to.lower()]] += 1
-    out, into = w.sum(axis=1, keepdims=True), w.sum(axis=0, keepdims=True)
-    forth, back = (w / np.where(out > 0, out, 1)).T, w / np.where(into > 0, into, 1)
-    st, sd = np.array([h == "good.org" for h in hosts], float), np.array([h == "bad.net" for h in hosts], float)
-    t = np.linalg.solve(np.eye(n) - 0.85 * forth, st)
-    d = np.linalg.solve(np.eye(n) - 0.85 * back, sd)
+    st, sd = np.array([h in ("good.org", "x.example.net") for h in hosts], float), np.array([h in ("bad.net", "worse.net") for h in hosts], float)
+
+    def rank(step, jump):  # power iteration with teleports, dangling mass included
+        jump = jump / jump.sum()
+        x = jump
+        for _ in range(500):
+            x = 0.15 * jump + 0.85 * (x @ step + x[step.sum(axis=1) == 0].sum() * jump)
+        return x
+
+    row = lambda m: m / np.where(m.sum(axis=1) > 0, m.sum(axis=1), 1)[:, None]
+    trust, distrust = rank(row(w), st), rank(row(w.T), sd)
     for h in hosts:
-        assert np.allclose(got[h], (t[k[h]], d[k[h]]), atol=1e-5)
+        assert np.allclose(got[h], (trust[k[h]], distrust[k[h]]), atol=1e-6)
+    assert np.isclose(sum(x for x, _ in got.values()), 1) and np.isclose(sum(x for _, x in got.values()), 1)
+    assert {r.verdict for r in judged if r.rule is None} == {"allow", "block"}
+
+
+def test_verdicts_equal_sql_on_a_linked_web(spark):
+    data = [(k * 100 + i, u, h) for k in range(3) for i, u, h in web(k)[1]] + [(999, None, "x"), (998, "//no", None)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    want = sorted(con.execute(url_filter.OP5_SQL).fetchall())
+    got = rows(url_filter.judge_urls(df).select("page_id", "host", "path", "rule", "verdict"), "page_id")
+    assert got == want and {r[4] for r in got if r[3] is None} == {"allow", "block"}
 
 
 def test_propagation_settles_or_raises(spark):
     seeds = spark.createDataFrame([("a", 1.0, 1.0)], "host string, trust double, distrust double")
-    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
-    got = {r.host: r.trust for r in url_filter.propagate(seeds, edges).collect()}
-    assert abs(got["a"] - 1 / (1 - 0.85**2)) < 1e-3 and abs(got["b"] - 0.85 / (1 - 0.85**2)) < 1e-3
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 3)], "src string, dst string, n long")
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(seeds, edges).collect()}
+    a = 0.15 / (1 - 0.85**2 / 4)
+    assert np.allclose([got[h][0] for h in "abc"], [a, 0.85 * a, 0.85**2 * a * 3 / 4], atol=2e-4)
+    b = 0.15 / (1 - 0.85**2)  # against the links every step is whole, and c, which links nowhere, gets none
+    assert np.allclose([got[h][1] for h in "abc"], [b, 0.85 * b, 0], atol=2e-4)
     with pytest.raises(RuntimeError):
         url_filter.propagate(seeds, edges, rounds=5)
 
 
 def test_distrust_flows_against_links(spark):
     farm = [(i, f"http://farm{i}.org/en/", '<a href="http://bad.net/x">') for i in range(3)]
-    df = spark.createDataFrame([*farm, (9, "http://bad.net/x", ""), (10, "http://fine.org/en/", '<a href="http://farm0.org/">')], "page_id long, url string, html string")
-    got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, threshold=0.25).collect()}
-    assert got == {0: "block", 1: "block", 2: "block", 9: "block", 10: "allow"}
+    far = [(20 + i, f"http://far{i}.org/en/", f'<a href="http://{"farm0" if i == 0 else f"far{i - 1}"}.org/"><a href="http://fine.org/">') for i in range(25)]
+    df = spark.createDataFrame([*farm, *far, (9, "http://bad.net/x", ""), (10, "http://fine.org/fr/", ""), (11, "http://fine.org/en/", '<a href="http://other.org/">')], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(df).collect()}
+    assert [got[i] for i in range(3)] == ["block"] * 3 and got[9] == "block" and got[10] == got[11] == "allow"
+    assert got[20] == "block" and got[44] == "allow"  # linked to a farm, and 25 links away from it
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------------
@@ -311,13 +340,50 @@ def test_recall_holds_as_tables_grow(n):
     assert n < 100_000 or len(chosen) * n / 2 ** min(m.bit_count() for m in chosen) < n / 20  # far from all pairs
 
 
+def test_codes_that_are_too_far_lose_next_to_nothing():
+    rng = np.random.default_rng(5)
+    u = rng.normal(size=(20_000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    mean, projection = itq.learn(u[:10_000], 64)
+    within = itq.farthest(u[:10_000], mean, projection, 0.9)
+    side = rng.normal(size=u.shape)
+    side -= (side * u).sum(axis=1, keepdims=True) * u
+    for cosine in (0.9, 0.91, 0.92):
+        turned = cosine * u + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        differ = np.bitwise_count(itq.encode(u, mean, projection) ^ itq.encode(turned, mean, projection))[10_000:]
+        assert (differ <= within).mean() > 0.995
+    chance = np.bitwise_count(itq.encode(u[:10_000], mean, projection) ^ itq.encode(u[10_000:], mean, projection))
+    assert (chance <= within).mean() < 0.01
+
+
+def test_recall_between_least_and_a_little_more(spark):
+    """Pairs spread over cosines from 0.90 to 0.92, among vectors that have no others."""
+    rng = np.random.default_rng(9)
+    u = rng.normal(size=(6000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    side = rng.normal(size=u[:2000].shape)
+    side -= (side * u[:2000]).sum(axis=1, keepdims=True) * u[:2000]
+    c = rng.uniform(0.9001, 0.92, 2000)[:, None]
+    x = np.vstack([u, c * u[:2000] + np.sqrt(1 - c**2) * side / np.linalg.norm(side, axis=1, keepdims=True)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in itq.near_duplicates(df).collect()}
+    right = sum(got[6000 + i].component_id == i for i in range(2000))
+    assert right >= 0.9 * 2000 and sum(r.n_links for r in got.values()) == 2 * right
+
+
 def test_vector_cases(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0]), (9, []), (None, [1.0, 0.0]), (10, [0.0, 1.0])]
+    data += [(11, [1.0, 0.0, 0.0]), (12, [3.0, 0.0, 0.1]), (13, [0.0, 1.0, 0.0])]  # another length has its own links
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     got = rows(itq.near_duplicates(df), "vec_id")
-    assert got[0][:3] == (None, 2, 1) and got[1] == (1, 2, 1, True) and got[2] == (2, 2, 1, False)
-    assert all(r[1:] == (0, r[0], True) for r in got[3:])
+    assert got[0] == (None, 2, 1, False) and got[1] == (1, 2, 1, True) and got[2] == (2, 2, 1, False)
+    assert all(r[1:] == (0, r[0], True) for r in got[3:] if r[0] not in (11, 12))
+    assert got[11:13] == [(11, 1, 11, True), (12, 1, 11, False)]
+    nobody = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.1]), (None, [1.0, 0.0]), (5, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r[:3] for r in rows(itq.near_duplicates(nobody), "vec_id")] == [(None, 2, None)] * 3 + [(5, 0, 5)]
+    some = spark.createDataFrame([(None, [1.0, 0.0]), (7, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert [r[:3] for r in rows(itq.near_duplicates(some), "vec_id")] == [(None, 1, 7), (7, 1, 7)]
     assert itq.near_duplicates(df.where("false")).count() == 0
     assert itq.near_duplicates(df.where("vec_id = 3")).count() == 1
 

@@ -135,21 +135,49 @@ def edited(seed=9):
     return out
 
 
-def test_pipeline_links_texts_of_similarity_four_fifths(spark):
-    import corpus_pipeline
-
-    items = [*edited(), None, "", "one two", "ONE  two"]
+def similar_classes(items):
     sets = []
     for t in items:
         w = WORD.findall((t or "").translate(LOW))
         sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
     near = lambda p, q: len(p & q) >= 0.8 * len(p | q)
-    want = groups([(i, i) for i in range(len(items))] + [(i, j) for i in range(len(items)) for j in range(i) if near(sets[i], sets[j])])
+    return groups([(i, i) for i in range(len(items))] + [(i, j) for i in range(len(items)) for j in range(i) if near(sets[i], sets[j])])
+
+
+def test_pipeline_links_texts_of_similarity_four_fifths(spark):
+    import corpus_pipeline
+
+    items = [*edited(), None, "", "one two", "ONE  two"]
+    want = similar_classes(items)
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, items), "").where("doc_id is not null").collect()}
     first = {i for i, c in want.items() if i == c}
     assert kept == first and len(first) < len(items) - 40
 
 
+@pytest.mark.parametrize("chunk", [7, 1024])
+def test_a_group_of_texts_near_the_threshold(spark, chunk):
+    """Copies of one text with so many changes that some pairs are above the threshold and others below."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    items = []
+    for _ in range(120):
+        copy = base[:]
+        for k in rng.sample(range(150), rng.randint(0, 5)):
+            copy[k] = f"new{rng.randrange(10**6)}"
+        items.append(" ".join(copy))
+    want = similar_classes(items)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, items), chunk=chunk).collect()}
+    assert got == want and 1 < len(set(want.values())) < 100
+
+
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))).astype(np.int32) for _ in range(30)]
+    left, right = np.arange(12), np.arange(9, 30)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    assert (simhash.common_counts(sets, left, right, width=7) == want).all()
+
+
 def test_similar_cases(spark):
     assert simhash.keep_first_similar(empty(spark)).count() == 0
     kept = simhash.keep_first_similar(frame(spark, ["a b c d", "A B  C D", None, "", "other words here"]))
