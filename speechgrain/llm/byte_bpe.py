@@ -20,13 +20,15 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .pieces import Cache, cut_before
 
+HELD = 8 << 20
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -127,27 +129,46 @@ def _row(mode: str, text: str | None, ids: bytes, back: bytes) -> tuple:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, mode: str = "checked") -> DataFrame:
-    """``docs`` with the columns of ``MODES[mode]``; columns of these names are replaced.
+def encode_documents(docs: DataFrame, path: str, pattern: str, mode: str = "checked", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the columns of ``MODES[mode]``; columns of these names are replaced. Without ``keep_text`` the text goes.
 
-    ``ids`` are little-endian unsigned 32-bit integers. Every text is encoded, and its ids are decoded again.
+    ``ids`` are little-endian unsigned 32-bit integers. Every text is encoded, and its ids are decoded again. A worker holds one
+    Arrow batch of texts, and results of some ``HELD`` bytes; the other columns pass through it as they are.
     """
     model = docs.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(_vocabulary(docs.sparkSession, path))))
-    names = [x.split()[0] for x in MODES[mode].split(", ")]
+    made = dict(x.split() for x in MODES[mode].split(", "))
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in made and (keep_text or c != "text")}
+    arrow = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
 
-    @F.pandas_udf("struct<" + MODES[mode].replace(" ", ":").replace(",:", ",") + ">")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ByteBpe(model.value, pattern)
-        for texts in batches:
-            rows = [_row(mode, text, ids := coder.encode(text), coder.decode(ids)) for text in texts]
-            yield pd.DataFrame(rows, columns=names)
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), run("text").alias("_run"))
-    return whole.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in names], *(F.col(f"_run.{n}") for n in names))
+        def done(batch: pa.RecordBatch, begin: int, rows: list[tuple]) -> pa.RecordBatch:
+            new = [pa.array(c, arrow[t]) for c, t in zip(zip(*rows, strict=True), made.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.slice(begin, len(rows)).columns[1:], *new], [*own.values(), *made])
+
+        for batch in batches:
+            begin, rows, held = 0, [], 0
+            for text in batch.column(0):
+                text = text.as_py()
+                ids = coder.encode(text)
+                rows.append(_row(mode, text, ids, coder.decode(ids)))
+                held += len(ids) + (len(rows[-1][2]) if mode == "bytes" else 0)
+                if len(rows) == 500 or held > HELD:
+                    yield done(batch, begin, rows)
+                    begin, rows, held = begin + len(rows), [], 0
+            if rows:
+                yield done(batch, begin, rows)
+
+    asked = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    schema = T.StructType([T.StructField(n, asked.schema[n].dataType) for n in own.values()])
+    for name, kind in made.items():
+        schema = schema.add(name, kind)
+    return asked.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in own.items()], *made)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, mode="digests").drop("text")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, mode="digests", keep_text=False)
