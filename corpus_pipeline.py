@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechgrain.llm import byte_bpe, line_dedup, mixing, quality_rules, simhash
-from speechgrain.llm.common import shared_folder, table
+from speechgrain.llm.common import remove_folder, shared_folder, table
 
 
 def _sized(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -46,9 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, checked by decoding."""
-    found = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return found.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
+    """Token ids, checked by decoding, in place of the texts and their lengths; other columns stay."""
+    return byte_bpe.encode_documents(docs.drop("n_chars"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
 
 
 STAGES = [
@@ -70,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove_folder(spark, f"{folder}/{k - 1}")
     return docs
