@@ -136,31 +136,43 @@ def marginals(emission: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Likelihood:
-    """Gradient of the weighted conditional log-likelihood of documents whose lines all have the document's label, negated."""
+    """Gradient of the weighted conditional log-likelihood of documents whose lines all have the document's label, negated.
+
+    Own features are held once; those of neighbours are the same rows, moved by one line within their document.
+    """
 
     def __init__(self, docs: list[np.ndarray], y: np.ndarray, penalty: float):
         self.penalty, self.y = penalty, y
-        inputs = [with_neighbours(d) for d in docs]
-        self.sizes = np.array([len(d) for d in inputs])
-        self.x, self.of = np.vstack(inputs), np.repeat(np.arange(len(docs)), self.sizes)
+        self.sizes = np.array([len(d) for d in docs])
+        self.own, self.of = np.vstack(docs), np.repeat(np.arange(len(docs)), self.sizes)
         self.begin = np.cumsum(self.sizes) - self.sizes
+        self.follows = np.append(self.of[1:] == self.of[:-1], False)  # the next line is of the same document
         self.weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) / self.sizes.mean()
         self.order = np.argsort(-self.sizes, kind="stable")
         self.seen = np.zeros((2, 2))
         for k in (0, 1):
             self.seen[k, k] = ((self.sizes - 1) * self.weight * (y == k)).sum()
 
+    def _to_next(self, x: np.ndarray) -> np.ndarray:
+        return np.append(0.0, np.where(self.follows, x, 0.0)[:-1])
+
+    def _to_last(self, x: np.ndarray) -> np.ndarray:
+        return np.where(self.follows, np.append(x[1:], 0.0), 0.0)
+
     def gradient(self, theta: np.ndarray) -> np.ndarray:
-        p, pairs = _batch(self.x @ theta[:-4], theta[-4:].reshape(2, 2), self.begin[self.order], self.sizes[self.order])
+        own, before, after = theta[:-4].reshape(3, OWN)
+        emission = self.own @ own + self._to_next(self.own @ before) + self._to_last(self.own @ after)
+        p, pairs = _batch(emission, theta[-4:].reshape(2, 2), self.begin[self.order], self.sizes[self.order])
         by_doc = pairs[np.argsort(self.order)] * self.weight[:, None, None]
         miss = (p - self.y[self.of]) * self.weight[self.of]
-        return np.concatenate([self.x.T @ miss, (by_doc.sum(axis=0) - self.seen).ravel()]) + self.penalty * theta
+        by_feature = [self.own.T @ x for x in (miss, self._to_last(miss), self._to_next(miss))]
+        return np.concatenate([*by_feature, (by_doc.sum(axis=0) - self.seen).ravel()]) + self.penalty * theta
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, rounds: int = 120, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights and chain weights from own-feature matrices and a label for each, by Adam steps."""
     loss = Likelihood(docs, y, penalty)
-    theta, m, v = (np.zeros(loss.x.shape[1] + 4) for _ in range(3))
+    theta, m, v = (np.zeros(3 * OWN + 4) for _ in range(3))
     for t in range(1, rounds + 1):
         g = loss.gradient(theta)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -236,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class
     y = np.array([r.label for r in rows], dtype=np.int64)
     if len(y) == 0 or y.min() == y.max():
         return None
-    own = [np.frombuffer(r.found, "<f4").reshape(-1, OWN).astype(float) for r in rows]
+    own = [np.frombuffer(r.found, "<f4").reshape(-1, OWN) for r in rows]
     weights, chain = fit(own, y)
     raw = np.array([np.average(marginals(with_neighbours(o) @ weights, chain)[0], weights=np.frombuffer(r.sizes, "<i4")) for o, r in zip(own, rows, strict=True)])
     return weights, chain, _best_cut(raw, y)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, table, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEATS, HELD = 8, 20, 0.30, 100_000
@@ -133,7 +133,7 @@ def _judged(docs: DataFrame, listed: bool, host: str = "source", share: float =
     once = lines.select("_host", "line", "doc_id", "_none").distinct()
     counts = once.groupBy("_host", "line").agg(F.count("*").alias("_docs"), F.min("doc_id").alias("_first")).where(F.col("_docs") > least_docs)
     hosts = found.select("_host", "doc_id", "_none").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
-    often = checkpointed(counts.join(hosts, "_host").where(F.col("_docs") > share * F.col("_all")).select("_host", "line", "_first"))
+    often = written(counts.join(hosts, "_host").where(F.col("_docs") > share * F.col("_all")).select("_host", "line", "_first"))
     held = lines.join(often, ["_host", "line"])
     if keep_first:
         held = held.where(~F.col("doc_id").eqNullSafe(F.col("_first")))

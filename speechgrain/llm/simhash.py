@@ -1,7 +1,7 @@
 """SimHash near-duplicates through pivot distance tables.
 
 1. Fingerprints are made in Arrow batches (XXH64 of word shingles, bit majorities counted in NumPy).
-2. Equal fingerprints collapse to one node, the smallest ``doc_id`` that has it; copies are never paired.
+2. Equal fingerprints collapse to one node; copies are never paired.
 3. Every distinct fingerprint gets its row of the pivot table: Hamming distances to ``PIVOTS`` reference fingerprints.
    If two fingerprints differ in at most k bits, no coordinate of theirs differs by more than k.
 4. A bare pivot table would have to compare all pairs of rows. The rows are therefore first joined by block: of four
@@ -12,9 +12,12 @@
    2 bits if and only if they have an emitted value in common. At most 65 fingerprints share a value.
 6. Links become components by alternating stars.
 
+``similar_groups`` also links texts by the similarity of their shingles; see there.
+
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a shingle count
-as one shingle; a null ``doc_id`` gets its component but never names it (a group of nulls alone has a null component);
-repeated rows each get their row; an empty table gives an empty table; extra columns are ignored.
+as one shingle; a bit that just half of the shingles set (a tie) is 0; a null ``doc_id`` links and gets its component but
+never names it (a group of nulls alone has a null component); repeated rows each get their row; very long texts are hashed in
+pieces of bounded size; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,10 +136,12 @@ def links(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``; the component is its smallest doc_id."""
     made = checkpointed(fingerprints(docs, words, seed))
-    nodes = made.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    named = checkpointed(nodes)
-    groups = components(links(named.where("node is not null"), bits, bucket))
-    labels = named.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    groups = components(links(named.select("fp", "node"), bits, bucket))
+    joined = checkpointed(named.join(groups, "node", "left").select("fp", "first", F.coalesce("component", "node").alias("c")))
+    least = checkpointed(joined.groupBy("c").agg(F.min("first").alias("component_id")))
+    # copies share a fingerprint: a join of written tables is one that Spark may split there
+    labels = checkpointed(joined.join(least, "c").select("fp", "component_id"))
     return made.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 

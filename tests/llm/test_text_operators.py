@@ -119,6 +119,32 @@ def test_links_of_random_fingerprints_are_complete(spark):
         assert dict(rows(C.components(simhash.links(df, bucket=bucket)))) == want
 
 
+def test_coordinates_discard_what_blocks_let_through(spark):
+    """Fingerprints that share two blocks: nearly all pairs beyond 2 bits go by their coordinates, and no pair within."""
+    rng = np.random.default_rng(3)
+    rest = rng.integers(0, 1 << 32, 400, dtype=np.uint64)
+    near = rest[:200] ^ (np.uint64(1) << rng.integers(0, 32, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 200, dtype=np.uint64))
+    fps = np.unique(np.concatenate([rest, near]) | np.uint64(0x1234ABCD << 32))
+    far = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    table = np.stack([np.bitwise_count(fps ^ np.uint64(p % (1 << 64))) for p in simhash.pivots()], axis=1).astype(int)
+    close = np.abs(table[:, None, :] - table[None, :, :]).max(axis=2) <= 2
+    assert close[far <= 2].all() and close[far > 2].mean() < 1e-3
+    rows_ = simhash.pivot_table(spark.createDataFrame([(int(x.astype(np.int64)), i) for i, x in enumerate(fps)], "fp long, node long"))
+    packed = {r.node: (r._p0 % (1 << 64), r._p1 % (1 << 64)) for r in rows_.collect()}
+    assert all([packed[i][k // 8] >> 8 * (k % 8) & 255 for k in range(16)] == table[i].tolist() for i in range(len(fps)))
+
+
+def test_a_null_id_links_others(spark):
+    d = spark.createDataFrame([(1, "x"), (None, "y"), (2, "z")], "doc_id long, text string")
+    fps = {"x": 0b0011, "y": 0b1111, "z": 0b1100}
+    made = d.select("doc_id", F.element_at(F.create_map(*[F.lit(v) for kv in fps.items() for v in kv]), F.col("text")).cast("long").alias("fp"))
+    keep, simhash.fingerprints = simhash.fingerprints, lambda docs, words, seed: made
+    try:
+        assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(d).collect()} == {(1, 1), (2, 1), (None, 1)}
+    finally:
+        simhash.fingerprints = keep
+
+
 def edited(seed=9):
     """Texts, and copies of each with more and more single words replaced."""
     rng = random.Random(seed)
