@@ -136,6 +136,40 @@ def confident_names(suggested: DataFrame) -> DataFrame:
     return suggested.where("status = 'matched'").select(*GROUP, F.col("display_name").alias("speaker_name"))
 
 
+# --- clips -------------------------------------------------------------------------------------------------------------
+
+
+def best_clips(rows: DataFrame, audio: DataFrame, max_ms: int = 60_000, normalize: bool = False, loudest: bool = True) -> DataFrame:
+    """A clip of each speaker: ``(session_id, speaker_id, source, name, sample_rate, samples, ranges, clip_ms)``.
+
+    The loudest of the speaker's ranges (or, without ``loudest``, the first) up to ``max_ms`` of speech, put together in order
+    of time; with ``normalize`` lifted to the level of speech. ``audio`` is as in ``extract``. Speakers without audio have none.
+    """
+    known = clusters_of(rows).select(*GROUP, "source")
+    files = audio.select("session_id", F.col("source").alias("path"), "source", F.row_number().over(W.partitionBy("session_id").orderBy("source")).alias("ordinal"))
+    heard = audio.select("session_id", F.col("source").alias("audio_path"), "sample_rate", "samples")
+    placed = clips.audio_for_source(known, files).join(heard, ["session_id", "audio_path"])
+    seconds = lambda c: F.col(c) / 1000.0
+    ranges = intervals.speaker_ranges(rows)
+    if loudest:
+        sound = ranges.join(placed.select(*GROUP, "sample_rate", "samples"), GROUP)
+        scored = sound.withColumn("score", F.coalesce(pcm.range_energy(F.col("samples"), seconds("start_ms"), seconds("end_ms"), F.col("sample_rate")), F.lit(0.0)))
+        ranges = intervals.best_energy(scored.select(*ranges.columns, "score"), max_ms)
+    else:
+        ranges = intervals.cap(ranges, max_ms)
+    chosen = ranges.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct(seconds("start_ms").alias("start"), seconds("end_ms").alias("end")))).alias("ranges"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("clip_ms"))
+    cut = placed.join(chosen, GROUP).withColumn("samples", pcm.concat_ranges(F.col("samples"), F.col("ranges"), F.col("sample_rate"), may_be_empty=True)).where(F.size("samples") > 0)
+    named = cut.withColumn("name", clips.clip_name(F.col("speaker_id"), F.lit(max_ms), F.lit(normalize)))
+    if normalize:
+        flat = named.select(F.concat_ws("/", *GROUP).alias("track"), F.posexplode("samples").alias("idx", "value"), "sample_rate")
+        frame = F.floor(F.col("sample_rate") / 20)  # 50 ms
+        loud = flat.select("track", F.col("value") / 32768.0, F.floor(F.col("idx") / F.greatest(frame, F.lit(1))).alias("frame"), F.greatest(frame, F.lit(1)).alias("n")).toDF("track", "value", "frame", "n")
+        gains = pcm.loudness_of_frames(loud).select("track", pcm.speech_gain(F.col("loudness")).alias("gain"))
+        lifted = lambda v: F.when(F.col("gain") == 1.0, v.cast("long")).otherwise(pcm.clamp16(F.rint(v * F.col("gain")).cast("long")))
+        named = named.withColumn("track", F.concat_ws("/", *GROUP)).join(gains, "track").withColumn("samples", F.transform("samples", lifted))
+    return named.select(*GROUP, "source", "name", "sample_rate", "samples", "ranges", "clip_ms")
+
+
 # --- naming and relabelling --------------------------------------------------------------------------------------------
 
 

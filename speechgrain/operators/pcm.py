@@ -56,11 +56,18 @@ def speech_loudness(samples: DataFrame, frame: int, by: str = "track", floor: fl
 
     With fewer than ten audible frames it is the plain RMS. ``value`` is in [-1, 1].
     """
-    frames = frame_rms(samples, frame, by).where(F.col("rms") > floor)
+    rows = samples.select(by, "value", F.floor(F.col("idx") / frame).alias("frame"), F.lit(frame).alias("n"))
+    return loudness_of_frames(rows, by, floor)
+
+
+def loudness_of_frames(rows: DataFrame, by: str = "track", floor: float = FLOOR) -> DataFrame:
+    """``speech_loudness`` of ``rows(by, value, frame, n)``: a sample, its frame, and the samples of a whole frame."""
+    square = F.col("value") * F.col("value")
+    frames = rows.groupBy(by, "frame").agg(F.sqrt(F.avg(square)).alias("rms"), F.count("*").alias("_n"), F.first("n").alias("_whole")).where((F.col("_n") == F.col("_whole")) & (F.col("rms") > floor))
     bounds = frames.groupBy(by).agg(F.percentile("rms", LOW).alias("_lo"), F.percentile("rms", HIGH).alias("_hi"), F.count("*").alias("frames"))
     inside = frames.join(bounds, by).where(F.col("rms").between(F.col("_lo"), F.col("_hi")))
     band = inside.groupBy(by).agg(F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("_band"), F.max("frames").alias("frames"))
-    plain = samples.groupBy(by).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("_plain"))
+    plain = rows.groupBy(by).agg(F.sqrt(F.avg(square)).alias("_plain"))
     out = plain.join(band, by, "left")
     return out.select(by, F.coalesce("frames", F.lit(0)).cast("long").alias("frames"), F.when(F.coalesce("frames", F.lit(0)) < LEAST_FRAMES, F.col("_plain")).otherwise(F.col("_band")).alias("loudness"))
 
@@ -217,6 +224,34 @@ def interleave(channels: Column, n: int = 2) -> Column:
     return F.when(F.size(channels) == 1, F.get(channels, F.lit(0))).when(frames > 0, F.flatten(rows))
 
 
+def float_track(frames: Column, channels: int, source: Column | int, target: int = 16_000) -> Column:
+    """Interleaved 16-bit samples as one channel of numbers in [-1, 1] at another rate, as models take it.
+
+    Channels are averaged. Other rates are reached by linear interpolation over evenly spaced places from the first sample to
+    the last; a rate that is reached already changes nothing.
+    """
+    n = F.floor(F.size(frames) / channels).cast("int")
+    rate = source if isinstance(source, Column) else F.lit(source)
+    mean = lambda i: F.aggregate(F.slice(frames, i * channels + 1, channels), F.lit(0.0), lambda t, x: t + x) / (channels * 32768.0)
+    none = F.array().cast("array<double>")
+    one = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), mean)).otherwise(none)
+
+    def resampled(x: Column) -> Column:
+        size = F.size(x)
+        out = F.rint(size * (F.lit(float(target)) / rate)).cast("int")
+
+        def at(i: Column) -> Column:
+            place = F.when(out > 1, i * (size - 1.0) / (out - 1)).otherwise(F.lit(0.0))
+            k = F.least(F.floor(place).cast("int"), size - 1)
+            a = F.get(x, k)
+            return a + (F.get(x, F.least(k + 1, size - 1)) - a) * (place - k)
+
+        return F.when((size == 0) | (rate == target), x).when(out < 1, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(out, F.lit(1)) - 1), at))
+
+    # the mean is bound once, as the only element of an array
+    return F.get(F.transform(F.array(one), resampled), F.lit(0))
+
+
 def rms(samples: Column) -> Column:
     total = F.aggregate(samples, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return F.when(F.size(samples) > 0, F.sqrt(total / F.size(samples)))

@@ -20,17 +20,19 @@ def transcript(segments: DataFrame, order: str = "seg_idx") -> DataFrame:
     return rows.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_l"))), lambda x: x["_l"]), "\n").alias("text"))
 
 
-def transcript_json(segments: DataFrame, backend: Column | None = None) -> DataFrame:
-    """One JSON document per session: sources, duration, text, and segments in position order with times in seconds."""
+def transcript_json(segments: DataFrame, backend: Column | None = None, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """One JSON document per session: sources, duration, text, and segments in position order with times in seconds.
+
+    With ``by`` of session and source there is one for each track."""
     seconds = lambda c: (F.col(c) / 1000.0)
     item = F.struct(F.col("position").alias("_o"), F.struct("text", seconds("start_ms").alias("start_time"), seconds("end_ms").alias("end_time"), (seconds("end_ms") - seconds("start_ms")).alias("duration"), "speaker_id", "source", "speaker_name").alias("s"))
-    docs = segments.groupBy("session_id").agg(
+    docs = segments.groupBy(*by).agg(
         F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("segments"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
+        F.array_sort(F.collect_set(F.col("source"))).alias("sources"),
         (F.max("end_ms") / 1000.0).alias("duration_seconds"),
     )
     doc = F.struct((F.lit("spark") if backend is None else backend).alias("backend"), "duration_seconds", "segments", "sources", F.array_join(F.transform("segments", lambda s: s["text"]), "\n").alias("text"))
-    return docs.select("session_id", F.to_json(doc).alias("json"))
+    return docs.select(*by, F.to_json(doc).alias("json"))
 
 
 def backends(headers: DataFrame) -> DataFrame:

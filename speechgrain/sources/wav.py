@@ -114,6 +114,18 @@ def _row(path: str, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rate], pa.int64()), pa.array([channels], pa.int32()), pa.array([bits], pa.int32()), packed], schema=ARROW)
 
 
+def as_files(clips: DataFrame) -> DataFrame:
+    """``(path, content)`` of ``clips(path, sample_rate, samples)`` of one channel, for ``files.write_files``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, rate, samples in zip(*batch.columns, strict=True):
+                content = wav_bytes(rate.as_py(), 1, samples.values.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([content], pa.binary())], ["path", "content"])
+
+    return clips.select("path", F.col("sample_rate").cast("long"), F.col("samples").cast("array<int>")).mapInArrow(run, "path string, content binary")
+
+
 def read_wavs(spark: SparkSession, path: str) -> DataFrame:
     """Samples of every file below ``path``, through Spark's own file listing (any file system that Spark knows)."""
 

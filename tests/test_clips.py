@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from speechgrain.functions import text as T
-from speechgrain.functions.config import Matching
+from speechgrain.functions.config import Matching, Settings
 from speechgrain.operators import catalog, clips
 
 
@@ -120,3 +120,20 @@ def test_settings(tmp_path):
     for bad in ({"threshold": 1.1}, {"margin": -1}, {"min_speech_s": 0}):
         with pytest.raises(ValueError):
             Matching(**bad)
+
+
+def test_where_settings_are(tmp_path):
+    at = tmp_path / "s.json"
+    at.write_text(json.dumps({"speakerProfilesDir": "/p", "speakerIdentification": {"enabled": True, "matchThreshold": 0.5}, "artifactExport": {"targetDir": "/t", "enabled": True}, "more": 1}))
+    found = Settings.read(str(at), {})
+    assert (found.speakerProfilesDir, found.matching.threshold, found.matching.enabled, found.export.targetDir) == ("/p", 0.5, True, "/t")
+    assert found.chosen(threshold=0.6) == {"provider": "bands", "threshold": 0.6, "margin": 0.05, "min_speech_s": 8.0, "profiles": "/p"}
+    assert Settings.read(None, {"STT_CONFIG": str(at)}) == found and Settings.path("x", {"STT_CONFIG": "y"})[0].name == "x"
+    assert Settings.read(None, {"HOME": str(tmp_path)}) == Settings()
+    for asked, env in ((str(tmp_path / "none"), {}), (None, {"STT_CONFIG": str(tmp_path / "none")})):
+        with pytest.raises(ValueError):
+            Settings.read(asked, env)
+    for bad in ("{", '{"speakerProfilesDir": ""}', '{"artifactExport": {"enabled": true}}', '{"artifactExport": {"hookTimeoutSeconds": 0}}', '{"artifactExport": {"postPipelineCommand": {"executable": ""}}}', '{"speakerIdentification": {"matchMargin": -1}}'):
+        at.write_text(bad)
+        with pytest.raises(ValueError):
+            Settings.read(str(at), {})

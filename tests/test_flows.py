@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from speechgrain.functions.vectors import cosine
 from speechgrain.operators import catalog, flows, matching, segments
-from speechgrain.sources import files
+from speechgrain.sources import files, wav
 
 SEG = "session_id long, speaker_id string, seg_idx long, source string, start_ms long, end_ms long, text string"
 PROF = "profile_id string, display_name string, provider string, model string, embedding array<double>"
@@ -77,6 +77,20 @@ def test_default_extraction_cuts_the_speaker_out_of_the_audio(spark):
     assert flows.extract(flows.clusters_of(talk(spark)), audio).where("session_id = 2").first().extraction == "too_short"  # no audio at all
 
 
+def test_best_clips_are_the_loudest_ranges(spark, tmp_path):
+    level = [100, 3000, 50, 50, 2000, 50, 9]
+    audio = spark.createDataFrame([(1, "mic", 10, [level[k // 100] * (-1) ** k for k in range(700)])], "session_id long, source string, sample_rate long, samples array<long>")
+    got = {r.speaker_id: r for r in flows.best_clips(talk(spark), audio, max_ms=8_000).collect()}
+    assert got["2"].samples == [3000 * (-1) ** k for k in range(50)] + [2000 * (-1) ** k for k in range(30)] and got["2"].clip_ms == 8_000 and got["2"].name == "speaker-2-8s-raw"
+    assert got["3"].clip_ms == 8_000 and set(map(abs, got["3"].samples)) == {50}
+    first = flows.best_clips(talk(spark), audio, max_ms=8_000, loudest=False).where("speaker_id = '2'").first()
+    assert first.samples[:50] == [100 * (-1) ** k for k in range(50)]
+    loud = {r.speaker_id: r for r in flows.best_clips(talk(spark), audio, max_ms=0, normalize=True).collect()}
+    assert loud["3"].name == "speaker-3-all-norm" and set(map(abs, loud["3"].samples)) == {2000}  # the gain is 40 at most
+    written = files.write_files(wav.as_files(flows.best_clips(talk(spark), audio).select(F.concat("name", F.lit(".wav")).alias("path"), "sample_rate", "samples")), str(tmp_path))
+    assert written.count() == 3 and wav.parse_wav((tmp_path / "speaker-10-60s-raw.wav").read_bytes())[0] == 10
+
+
 def test_cosine_of_unlike_vectors_raises(spark):
     d = spark.createDataFrame([([1.0, 0.0], [1.0]), (None, [1.0])], "a array<double>, b array<double>")
     with pytest.raises(Exception, match="vectors of lengths 2 and 1"):

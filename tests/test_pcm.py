@@ -2,6 +2,7 @@ import math
 import random
 import struct
 
+import numpy as np
 import pytest
 from conftest import rows
 
@@ -115,6 +116,18 @@ def test_rows_equal_arrays(spark):
     assert got == {k: [v for pair in zip(x, x[::2], strict=False) for v in pair] for k, x in data.items()}
 
 
+def test_float_tracks(spark):
+    rng = np.random.default_rng(2)
+    for channels, a, b in ((1, 8000, 16000), (2, 44100, 16000), (3, 16000, 16000), (1, 48000, 16000)):
+        x = rng.integers(-32768, 32768, 30 * channels)
+        got = spark.createDataFrame([(x.tolist(),)], "s array<int>").select(pcm.float_track(F.col("s"), channels, a, b)).first()[0]
+        mean = x.reshape(-1, channels).mean(axis=1) / 32768
+        n = round(len(mean) * b / a)
+        want = mean if a == b else np.interp(np.linspace(0, len(mean) - 1, n), np.arange(len(mean)), mean)
+        assert np.allclose(got, want, atol=1e-12)
+    assert spark.createDataFrame([([],)], "s array<int>").select(pcm.float_track(F.col("s"), 2, 8000)).first()[0] == []
+
+
 def test_nothing_to_concatenate_raises(spark):
     df = spark.createDataFrame([([1, 2, 3],)], "s array<int>")
     none = F.array(F.struct(F.lit(9.0).alias("start"), F.lit(9.5).alias("end")))
