@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import byte_bpe, itq, line_crf, line_dedup, mixing, quality_rules, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
@@ -28,8 +26,8 @@ SQL = {
 
 
 def queries() -> dict:
-    return QUERIES | {"pipeline": corpus_pipeline.run}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return dict(SQL)

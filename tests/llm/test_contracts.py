@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
+import __spark_entry__
 import corpus_pipeline
 from speechgrain.llm import line_crf, registry, toxicity
 
@@ -86,7 +87,7 @@ def test_columns_and_rows(results, small, name):
 
 @pytest.mark.parametrize("name", [*CONTRACTS, "pipeline"])
 def test_empty_tables(spark, small, name):
-    df = registry.queries()[name](spark, small[0] + "/empty")
+    df = __spark_entry__.queries()[name](spark, small[0] + "/empty")
     assert df.count() == 0 and len(df.columns) > 2
 
 
