@@ -313,6 +313,22 @@ SELECT count(*)::BIGINT AS cluster_count, count(*) FILTER (status = 'matched')::
        (SELECT count(*) FROM mixed)::BIGINT AS mixed_cluster_count, count(*) FILTER (status <> 'matched')::BIGINT AS unmatched_count, 'ok' AS status
 FROM m""",
         "centroid_nearest": f"WITH {CLUSTERED} SELECT session_id, cluster, target, round(similarity, 6) AS similarity FROM near WHERE r = 1",
+        "agglomerative": """
+WITH RECURSIVE v AS (SELECT vec_id // 100 AS session_id, vec_id AS seg_idx, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (
+  SELECT a.session_id, a.seg_idx AS i, b.seg_idx AS j, 1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS d
+  FROM v a JOIN v b ON a.session_id = b.session_id AND a.seg_idx <> b.seg_idx),
+s(step, session_id, seg_idx, c) AS (
+  SELECT 0, session_id, seg_idx, seg_idx FROM v
+  UNION ALL
+  SELECT step + 1, s.session_id, s.seg_idx, CASE WHEN c = m.hi THEN m.lo ELSE c END
+  FROM s JOIN (
+    SELECT session_id, arg_min(lo, (h, lo, hi)) AS lo, arg_min(hi, (h, lo, hi)) AS hi
+    FROM (SELECT x.session_id, x.c AS lo, y.c AS hi, avg(d) AS h FROM s x JOIN d ON d.session_id = x.session_id AND i = x.seg_idx JOIN s y ON y.session_id = x.session_id AND y.seg_idx = j WHERE x.c < y.c GROUP BY ALL)
+    WHERE h <= 0.85 GROUP BY session_id) m ON m.session_id = s.session_id),
+e AS (SELECT * FROM s QUALIFY step = max(step) OVER (PARTITION BY session_id)),
+n AS (SELECT session_id, c, row_number() OVER (PARTITION BY session_id ORDER BY min(seg_idx)) - 1 AS k FROM e GROUP BY session_id, c)
+SELECT session_id, seg_idx, k::VARCHAR AS cluster FROM e JOIN n USING (session_id, c)""",
         "merged_clusters": f"""
 WITH {CLUSTERED}, g AS (SELECT cl.session_id, seg_idx, coalesce(target, cl.cluster) AS c FROM cl LEFT JOIN (SELECT * FROM near WHERE r = 1) n USING (session_id, cluster)),
 f AS (SELECT session_id, c, row_number() OVER (PARTITION BY session_id ORDER BY min(seg_idx)) - 1 AS k FROM g GROUP BY session_id, c)

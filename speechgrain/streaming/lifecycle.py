@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from speechgrain.operators.catalog import GRACE_S, fold_status
+from speechgrain.sources.files import shared_folder
 
 STATES = "session_id long, status string, at_ms long, events long"
 
@@ -62,23 +62,13 @@ def payload_stats(samples: DataFrame) -> DataFrame:
     return payload(samples)
 
 
-def folder(spark: SparkSession) -> str:
-    """Where a stream keeps its log and output: the shared checkpoint folder, or a temporary one under a local master."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="speechgrain-")
-    return f"{known}/stream-{uuid.uuid4().hex}"
-
-
 def run_to_end(states: DataFrame, spark: SparkSession) -> DataFrame:
     """Run a streaming aggregate with ``session_id`` over what is there and return its final rows.
 
     Each batch writes the rows that it changed, under its number; a batch that is run again writes the same place. The last
     row of each session counts.
     """
-    at = folder(spark)
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
