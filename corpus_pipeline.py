@@ -2,6 +2,12 @@
 
 Order: quality rules, line de-duplication, near-duplicates, mixing, byte-level BPE. All stages but the last return the
 columns of ``documents``; the last returns token ids.
+
+Defined cases: a null or blank text has no words, so the first stage rejects it; a null host is a host of its own; rows
+without an id count nowhere and are never near-duplicates; rows that repeat a doc_id are one document, each with its own
+fate; ties go to the smallest doc_id; very long texts pass whole; other columns pass all stages as they are, whatever their
+names, save that the last replaces ``n_tokens``, ``ids`` and ``round_trip`` and drops the text and its length; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
