@@ -2,6 +2,7 @@
 
 import math
 import os
+import zipfile
 
 import duckdb
 import pytest
@@ -52,3 +53,23 @@ def test_query_without_sql_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_package_reaches_other_machines():
+    class Context:
+        environment, master, listFiles = {}, "spark://far:7077", []
+
+        def addPyFile(self, path):  # noqa: N802
+            self.listFiles = [*self.listFiles, f"spark://far/files/{os.path.basename(path)}"]
+            self.names = zipfile.ZipFile(path).namelist()
+
+    class Session:
+        sparkContext = Context()
+
+    for _ in range(2):
+        __spark_entry__._ship(Session)
+    found = Session.sparkContext
+    assert len(found.listFiles) == 1 and "speechgrain/plans/catalogue.py" in found.names and not found.environment
+    found.master, found.environment = "local[4]", {}
+    __spark_entry__._ship(Session)
+    assert found.environment["PYTHONPATH"] == os.path.dirname(os.path.abspath(__spark_entry__.__file__))
