@@ -99,8 +99,22 @@ ADVICE = {
 }
 
 
+#: Why a speaker has its status; the figures themselves are columns of the audit.
+REASONS = {
+    "unknown": ("useful_speech_below_minimum",),
+    "mixed_suspected": ("span_to_speech_ratio_exceeds_threshold", "distinct_early_and_late_windows_span_wide_timeline"),
+    "pure_likely": ("span_to_speech_ratio_within_threshold", "no_widely_separated_window_pair"),
+}
+
+
+def reasons(status: Column, speech: Column) -> Column:
+    """The reasons of a status as an array of codes; without any speech there is one of its own."""
+    known = F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.when(F.coalesce(speech, F.lit(0)) <= 0, F.array(F.lit("no_useful_speech"))).otherwise(F.element_at(known, status))
+
+
 def audit(segments: DataFrame, preview_ms: int = 12_000, min_useful_ms: int = MIN_USEFUL_MS, ratio: float = MIXED_RATIO, with_windows: bool = False) -> DataFrame:
-    """The summary of each speaker with times, span, status and whether the whole cluster may be enrolled.
+    """The summary of each speaker with times, span, status, its reasons, and whether the whole cluster may be enrolled.
 
     ``with_windows`` adds the purity windows with their counts, which costs a join back to the ranges.
     """
@@ -113,7 +127,7 @@ def audit(segments: DataFrame, preview_ms: int = 12_000, min_useful_ms: int = MI
     false = F.lit(False)
     status = safety(F.col("range_ms"), F.col("span_ms"), F.coalesce("has_e", false), F.coalesce("has_l", false), min_useful_ms, ratio)
     advice = F.element_at(F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv]), F.col("status"))
-    return out.withColumn("status", status).withColumn("safe", F.col("status") == "pure_likely").withColumn("recommendation", advice).drop("has_e", "has_l")
+    return out.withColumn("status", status).withColumn("safe", F.col("status") == "pure_likely").withColumn("reasons", reasons(F.col("status"), F.col("range_ms"))).withColumn("recommendation", advice).drop("has_e", "has_l")
 
 
 def all_safe(audited: DataFrame) -> DataFrame:

@@ -241,7 +241,7 @@ def equal_speech_windows(spark, sf):
 
 @query
 def safety_audit(spark, sf):
-    return speakers.audit(D.seg(spark, sf)).select("session_id", "speaker_id", "segments", "useful_segments", "useful_speech_ms", "first_ms", "middle_half_ms", "last_ms", "span_ms", "status", "safe")
+    return speakers.audit(D.seg(spark, sf)).select("session_id", "speaker_id", "segments", "useful_segments", "useful_speech_ms", "first_ms", "middle_half_ms", "last_ms", "span_ms", "status", "safe", joined("reasons"))
 
 
 @query

@@ -255,7 +255,11 @@ x AS (
          arg_min(2 * start_ms + high - 2 * before_ms, ord) FILTER (2 * before_ms + 2 * (end_ms - start_ms) >= high) AS end_part
   FROM w GROUP BY ALL)
 SELECT * FROM x WHERE end_part - start_part >= 1000""",
-        "safety_audit": f"WITH {SEG}, {audit()} SELECT {audit_columns} FROM final",
+        "safety_audit": f"""
+WITH {SEG}, {audit()}
+SELECT {audit_columns}, CASE WHEN span_ms IS NULL THEN 'no_useful_speech' WHEN status = 'unknown' THEN 'useful_speech_below_minimum'
+       WHEN safe THEN 'span_to_speech_ratio_within_threshold|no_widely_separated_window_pair' ELSE 'span_to_speech_ratio_exceeds_threshold|distinct_early_and_late_windows_span_wide_timeline' END AS reasons
+FROM final""",
         "audit_join_list": f"WITH {SEG}, {audit()} SELECT session_id, speaker_id, segments, useful_speech_ms, status, safe FROM final WHERE NOT (session_id % 2 = 0 AND speaker_id = 'click')",
         "enrolment_guard": f"""
 WITH {SEG}, mic AS (SELECT * FROM seg WHERE source = 'mic'), {audit(source='mic')},
