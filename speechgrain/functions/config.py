@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 #: Where settings are found if nobody says where.
-VARIABLE, DEFAULT = "STT_CONFIG", ".config/stt/config.json"
+VARIABLE, DEFAULT = "SPEECHGRAIN_CONFIG", ".config/speechgrain/config.json"
 
 
 def _only(kind, found: dict) -> dict:

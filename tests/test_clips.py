@@ -128,9 +128,9 @@ def test_where_settings_are(tmp_path):
     found = Settings.read(str(at), {})
     assert (found.speakerProfilesDir, found.matching.threshold, found.matching.enabled, found.export.targetDir) == ("/p", 0.5, True, "/t")
     assert found.chosen(threshold=0.6) == {"provider": "bands", "threshold": 0.6, "margin": 0.05, "min_speech_s": 8.0, "profiles": "/p"}
-    assert Settings.read(None, {"STT_CONFIG": str(at)}) == found and Settings.path("x", {"STT_CONFIG": "y"})[0].name == "x"
+    assert Settings.read(None, {"SPEECHGRAIN_CONFIG": str(at)}) == found and Settings.path("x", {"SPEECHGRAIN_CONFIG": "y"})[0].name == "x"
     assert Settings.read(None, {"HOME": str(tmp_path)}) == Settings()
-    for asked, env in ((str(tmp_path / "none"), {}), (None, {"STT_CONFIG": str(tmp_path / "none")})):
+    for asked, env in ((str(tmp_path / "none"), {}), (None, {"SPEECHGRAIN_CONFIG": str(tmp_path / "none")})):
         with pytest.raises(ValueError):
             Settings.read(asked, env)
     for bad in ("{", '{"speakerProfilesDir": ""}', '{"artifactExport": {"enabled": true}}', '{"artifactExport": {"hookTimeoutSeconds": 0}}', '{"artifactExport": {"postPipelineCommand": {"executable": ""}}}', '{"speakerIdentification": {"matchMargin": -1}}'):
