@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -90,9 +91,9 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.cache = Cache(self._encode, cache)
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        mapped = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown) for p in parts]
-        return [np.array(ids, dtype="<u4").tobytes() for ids in self.model.encode(mapped, num_threads=1)]
+    def _encode(self, part: str) -> bytes:
+        mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        return array("I", self.model.encode(mapped, num_threads=1)).tobytes()
 
     @staticmethod
     def _sure(text: str, i: int) -> bool:

@@ -224,12 +224,9 @@ class WordTokenizer:
         mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
         return array("I", [t.id for t in self.bpe.tokenize(mapped)]).tobytes()
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        out = [self._direct(p) for p in parts]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.model.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = array("I", e.ids).tobytes()
-        return out
+    def _encode(self, part: str) -> bytes:
+        known = self._direct(part)
+        return array("I", self.model.encode(part, add_special_tokens=False).ids).tobytes() if known is None else known
 
     def _pieces(self, text: str) -> list[str]:
         # lower-casing first gives more cache hits; where normalising could move marks, words stay whole and as they are
