@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 
 class Cache(dict):
@@ -37,6 +37,38 @@ class Cache(dict):
         return b"".join(map(self.__getitem__, parts))
 
 
+class BatchCache:
+    """The same memo for an encoder of many pieces at once: what a text lacks is encoded together."""
+
+    ENTRY = Cache.ENTRY
+
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence[bytes]], size: int = 32 << 20):
+        self.encode, self.size, self.held = encode, size, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def join(self, parts: list[str]) -> bytes:
+        """The encodings of ``parts``, joined."""
+        try:
+            return b"".join(map(self.young.__getitem__, parts))
+        except KeyError:
+            pass
+        young, old = self.young, self.old
+        missing = set(parts).difference(young)
+        now = {k: old[k] for k in missing if k in old}
+        new = [k for k in missing if k not in now]
+        now.update(zip(new, self.encode(new), strict=True))
+        cost = sum(map(len, now)) + sum(map(len, now.values())) + self.ENTRY * len(now)
+        if self.held + cost > self.size:
+            out = b"".join([now[p] if p in now else young[p] for p in parts])
+            self.old = young
+            self.young, self.held = (now, cost) if cost <= self.size else ({}, 0)
+            return out
+        young.update(now)
+        self.held += cost
+        return b"".join(map(young.__getitem__, parts))
+
+
 def cut_before(text: str, is_cut: Callable[[str, int], bool], size: int = 1 << 20) -> Iterator[str]:
     """``text`` in pieces of about ``size``, each later one beginning where ``is_cut(text, i)`` holds; whole if it never does."""
     begin = 0

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_characters
 from .common import shared_folder, table
-from .pieces import Cache, cut_before
+from .pieces import BatchCache, cut_before
 
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
@@ -216,7 +216,7 @@ class WordTokenizer:
         self.find = re.compile(r"[^\W_]+(?=[!-/:-@\[-`{-~ \t\n\r]|\Z)|[^ \t\n\r]+").findall
         self.find_whole = re.compile(r"[^ \t\n\r]+").findall
         self.joins = re.compile("[\u0130\u03a3\u0300-\u036f]").search
-        self.cache = Cache(self._encode, cache)
+        self.cache = BatchCache(self._encode, cache)
 
     def _direct(self, part: str) -> bytes | None:
         if not part.isalpha() or part != part.lower() or not (part.isascii() or is_normalized("NFC", part)):
@@ -224,9 +224,12 @@ class WordTokenizer:
         mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
         return array("I", [t.id for t in self.bpe.tokenize(mapped)]).tobytes()
 
-    def _encode(self, part: str) -> bytes:
-        known = self._direct(part)
-        return array("I", self.model.encode(part, add_special_tokens=False).ids).tobytes() if known is None else known
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        out = [self._direct(p) for p in parts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.model.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
     def _pieces(self, text: str) -> list[str]:
         # lower-casing first gives more cache hits; where normalising could move marks, words stay whole and as they are

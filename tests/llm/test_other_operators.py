@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from speechgrain.llm import byte_bpe, itq, labelled, line_crf, registry, token_files, toxicity, url_filter
-from speechgrain.llm.pieces import Cache, cut_before
+from speechgrain.llm.pieces import BatchCache, Cache, cut_before
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = ["a", " ", "  ", "\n", "\t", "é", "ß", "日本", "🙂", "1", "23", "'s", "'", "don't", "\x00", "the", "ing", " of", "<|endoftext|>", "\u00a0", "\u2003"]
@@ -66,6 +66,10 @@ def test_cache_is_bounded_and_right():
     for _ in range(300):
         parts = [str(rng.randint(0, 60)) for _ in range(rng.randint(0, 30))]
         assert cache.join(parts) == "".join(parts).encode() and len(cache) <= 10 and len(cache.old) <= 10 and cache.held <= cache.size
+    batch = BatchCache(lambda parts: [p.encode() for p in parts], size=10 * (Cache.ENTRY + 4))
+    for _ in range(300):
+        parts = [str(rng.randint(0, 60)) for _ in range(rng.randint(0, 30))]
+        assert batch.join(parts) == "".join(parts).encode() and len(batch.young) <= 10
     long = "x" * 3000
     assert cache.join(["1", long, "1"]) == f"1{long}1".encode() and long not in cache and len(asked) < 4000
     text = "ab cd " * 1000
