@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, itq, line_crf, line_dedup, mixing, quality_rules, simhash, token_files, toxicity, url_filter
+from . import byte_bpe, concurrency, decontamination, itq, line_crf, line_dedup, mixing, quality_rules, simhash, token_files, toxicity, url_filter, vector_codes
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_mixing": mixing.op10_mixing,
+    "op11_open_sales": concurrency.op11_open_sales,
+    "op12_decontamination": decontamination.op12_decontamination,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
@@ -22,6 +25,9 @@ SQL = {
     "op6_itq": itq.OP6_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_open_sales": concurrency.OP11_SQL,
+    "op12_decontamination": decontamination.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
 
 

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_queries_equal_sql(spark):
     con = duckdb.connect()
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "benchmark", "sales", "sale_lines", "clients"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, SF)
