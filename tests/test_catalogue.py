@@ -2,6 +2,7 @@
 
 import math
 import os
+import sys
 import zipfile
 
 import duckdb
@@ -11,7 +12,7 @@ import __spark_entry__
 from speechgrain.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
@@ -55,6 +56,14 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_queries_stay_where_the_optional_part_cannot_be_imported(monkeypatch):
+    for name in ("corpus_pipeline", "speechgrain.llm.registry"):
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, name, None)  # importing it raises
+            found = __spark_entry__.queries()
+            assert set(found) == set(catalogue.queries()) and set(__spark_entry__.oracle_sql()) == set(catalogue.oracle_sql())
+
+
 def test_the_package_reaches_other_machines():
     class Context:
         environment, master, listFiles = {}, "spark://far:7077", []
