@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, group_starts, table, whole_groups, written
+from .common import checkpointed, group_starts, table, unused, whole_groups, written
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -121,7 +121,7 @@ def links(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for t, (i, j) in enumerate(combinations(range(4), 2))]
     rows = nodes.select("fp", "node", F.explode(F.array(*keys)).alias("_key"))
     sizes = rows.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = checkpointed(rows.join(sizes, "_key"))
+    shared = checkpointed(rows.join(written(sizes), "_key"))  # a written side, so that Spark may split the key of a dense group
     cold = pivot_table(shared.where(F.col("_n") <= bucket))
     within = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits
     pairs = cold.alias("a").join(cold.alias("b"), (F.col("a._key") == F.col("b._key")) & (F.col("a.fp") < F.col("b.fp")) & _close(bits) & within)
@@ -145,13 +145,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits:
     return made.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest ``doc_id``. Rows without an id all stay."""
-    first = near_duplicates(docs.select("doc_id", "text"), **options).where("doc_id = component_id").select("doc_id").distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(first, "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id is null"))
-
-
 def shingle_set(text: str | None, words: int = SIMILAR_WORDS, seed: int = SEED) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; none without words."""
     found = _words(text)
@@ -344,9 +337,9 @@ def keep_first_similar(docs: DataFrame, **options) -> DataFrame:
     The ids that go are fewer than those that stay, and are written first; so texts are shuffled only if the ids are too many to
     broadcast.
     """
-    mine = F.bool_or(F.col("doc_id") == F.col("component_id"))
-    gone = written(similar_groups(docs, **options).groupBy("doc_id").agg(mine.alias("_mine")).where("not _mine").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    mine, name = F.bool_or(F.col("doc_id") == F.col("component_id")), unused(docs, "gone")
+    gone = written(similar_groups(docs, **options).groupBy("doc_id").agg(mine.alias("mine")).where("not mine").select(F.col("doc_id").alias(name)))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ from .labelled import held_out, sample
 
 LENGTHS = (3, 4, 5, 6, 7)
 SIEVE_BITS, FEATURES, PER_CLASS = 20, 8000, 2000
+#: Sampled texts that an n-gram has to be in, to become a feature.
+LEAST_TEXTS = 4
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 PIECE = 1 << 18
 #: N-grams that a task holds before it counts them.
@@ -102,12 +104,12 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"hash": pd.array([None], dtype="Int64"), "n0": [docs[0]], "n1": [docs[1]]})
 
 
-def choose_features(rows: DataFrame, features: int = FEATURES, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray] | None:
+def choose_features(rows: DataFrame, features: int = FEATURES, smooth: float = 1.0, least_texts: int = LEAST_TEXTS) -> tuple[np.ndarray, np.ndarray] | None:
     """Hashes (ascending) and log-count ratios of the strongest n-grams of ``rows(text, label)``, or None without both classes.
 
     Counts meet in Spark; the driver gets ``features`` rows.
     """
-    counts = checkpointed(rows.mapInPandas(_counts, "hash long, n0 long, n1 long").groupBy("hash").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("hash is null or n0 + n1 >= 4"))
+    counts = checkpointed(rows.mapInPandas(_counts, "hash long, n0 long, n1 long").groupBy("hash").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("hash").isNull() | (F.col("n0") + F.col("n1") >= least_texts)))
     docs = counts.where("hash is null").first()
     if docs is None or not docs.n0 or not docs.n1:
         return None

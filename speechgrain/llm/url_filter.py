@@ -142,7 +142,7 @@ WITH RECURSIVE parts AS (
   SELECT 0, host, trust, distrust FROM seeds
   UNION ALL
   SELECT k + 1, dst, sum(0.85::DOUBLE * forth * trust), sum(0.85::DOUBLE * back * distrust)
-  FROM carried JOIN steps ON host = src WHERE k < 150 GROUP BY k, dst HAVING sum(forth * trust) > 0 OR sum(back * distrust) > 0
+  FROM carried JOIN steps ON host = src WHERE k < 300 GROUP BY k, dst HAVING sum(forth * trust) > 0 OR sum(back * distrust) > 0
 ), scores AS (
   SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM carried GROUP BY host
 )

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -171,6 +172,28 @@ def test_stages_take_nulls_and_clashing_columns(spark, small):
     assert last.count() == docs.count() and last.where("not round_trip").count() == 0
 
 
+def test_stages_take_every_name_that_they_use_themselves(spark):
+    """Columns called like anything that the stages' modules quote; the rows that stay are those of the plain columns."""
+    import inspect
+
+    from speechgrain.llm import byte_bpe, common, components, line_dedup, mixing, quality_rules, simhash
+
+    quoted = {w for m in (byte_bpe, common, components, line_dedup, mixing, quality_rules, simhash) for w in re.findall(r"[\"'.](_?[a-z]\w{0,14})[\"']", inspect.getsource(m))}
+    made = {"n_tokens", "ids", "round_trip", "n_lines", "n_dropped"}
+    names = sorted({w.lower() for w in quoted} - {"doc_id", "text", "lang", "source", "n_chars"} - made)
+    assert {"gone", "_key", "component_id", "h", "_row"} <= set(names) and len(names) > 80
+    docs = documents()[:30] * 2
+    plain = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    more = plain.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES:
+        kept = sorted((tuple(r) for r in stage(spark, plain, "").collect()), key=repr)
+        out = stage(spark, more, "")
+        columns = stage(spark, plain.limit(0), "").columns
+        found = out.select(*columns, *names).collect()
+        assert sorted((tuple(r)[: len(columns)] for r in found), key=repr) == kept
+        assert all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+
+
 def test_near_copies_leave_one_row(spark, small):
     docs = spark.read.parquet(f"{small[0]}/documents.parquet")
     ids = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
