@@ -38,35 +38,31 @@ class Cache(dict):
 
 
 class BatchCache:
-    """The same memo for an encoder of many pieces at once: what a text lacks is encoded together."""
+    """The same memo for an encoder of many pieces at once: what is missing is encoded together."""
 
     ENTRY = Cache.ENTRY
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence[bytes]], size: int = 32 << 20):
+    def __init__(self, encode: Callable[[Sequence[bytes]], Sequence[bytes]], size: int = 32 << 20):
         self.encode, self.size, self.held = encode, size, 0
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def join(self, parts: list[str]) -> bytes:
-        """The encodings of ``parts``, joined."""
-        try:
-            return b"".join(map(self.young.__getitem__, parts))
-        except KeyError:
-            pass
-        young, old = self.young, self.old
-        missing = set(parts).difference(young)
-        now = {k: old[k] for k in missing if k in old}
-        new = [k for k in missing if k not in now]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def many(self, parts: list[bytes]) -> list[bytes]:
+        """The encoding of each of ``parts``, which are distinct."""
+        out = list(map(self.young.get, parts))
+        missing = [i for i, x in enumerate(out) if x is None]
+        now = {parts[i]: x for i in missing if (x := self.old.get(parts[i])) is not None}
+        new = [parts[i] for i in missing if parts[i] not in now]
         now.update(zip(new, self.encode(new), strict=True))
+        for i in missing:
+            out[i] = now[parts[i]]
         cost = sum(map(len, now)) + sum(map(len, now.values())) + self.ENTRY * len(now)
         if self.held + cost > self.size:
-            out = b"".join([now[p] if p in now else young[p] for p in parts])
-            self.old = young
-            self.young, self.held = (now, cost) if cost <= self.size else ({}, 0)
-            return out
-        young.update(now)
-        self.held += cost
-        return b"".join(map(young.__getitem__, parts))
+            self.old, self.young, self.held = self.young, {}, 0
+        if cost <= self.size:
+            self.young.update(now)
+            self.held += cost
+        return out
 
 
 def cut_before(text: str, is_cut: Callable[[str, int], bool], size: int = 1 << 20) -> Iterator[str]:

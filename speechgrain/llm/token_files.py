@@ -33,17 +33,25 @@ from unicodedata import is_normalized
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_characters
-from .common import shared_folder, table
+from .common import shared_folder, table, written
 from .pieces import BatchCache, cut_before
 
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK = 1 << 16
+#: Files whose ids are added up together before the groups' sums are.
+GROUP = 1024
 MAGIC = b"SGS8B-1\n"
 _CUTS = " \t\n\r"
+#: Characters of texts that are encoded together.
+HELD_CHARS = 4 << 20
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Of each byte: 0 where pieces are cut, 1 ASCII letters and digits, 2 other ASCII characters, 3 bytes of other characters.
+_KINDS = np.array([0 if chr(b) in _CUTS else 3 if b >= 128 else 1 if chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -197,11 +205,14 @@ class Reader:
 class WordTokenizer:
     """Ids of a tokenizers file whose normaliser lower-cases and whose pre-tokens never cross white space.
 
-    A text is cut at spaces, tabs and line ends, and where letters or digits meet an ASCII mark; both are ends of pre-tokens. Pieces are encoded once each and kept in a bounded cache. A piece of letters that normalising leaves as
-    it is goes straight to the library's BPE model, all others through its whole chain.
+    Texts are encoded many at a time. Their bytes are cut at spaces, tabs and line ends, and where an ASCII letter or digit meets an
+    ASCII mark: ends of pre-tokens that no normalising moves, since only what follows an ASCII character can join with it. Each distinct
+    piece of the texts is looked up once, in a bounded cache, and its ids are gathered for all its places. Pieces of up to 16 bytes are
+    told apart by their bytes as two integers, longer ones by a dictionary. A piece of letters that normalising leaves as it is goes
+    straight to the library's BPE model, all others through its whole chain.
     """
 
-    def __init__(self, definition: str, cache: int = 32 << 20, special_as_text: bool = True):
+    def __init__(self, definition: str, cache: int = 64 << 20, special_as_text: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -213,9 +224,6 @@ class WordTokenizer:
         self.special = re.compile("|".join(map(re.escape, special))).search if special else None
         self.bpe = self.model.model
         self.shown = dict(enumerate(byte_characters()))
-        self.find = re.compile(r"[^\W_]+(?=[!-/:-@\[-`{-~ \t\n\r]|\Z)|[^ \t\n\r]+").findall
-        self.find_whole = re.compile(r"[^ \t\n\r]+").findall
-        self.joins = re.compile("[\u0130\u03a3\u0300-\u036f]").search
         self.cache = BatchCache(self._encode, cache)
 
     def _direct(self, part: str) -> bytes | None:
@@ -224,24 +232,93 @@ class WordTokenizer:
         mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
         return array("I", [t.id for t in self.bpe.tokenize(mapped)]).tobytes()
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        parts = [p.decode() for p in pieces]
         out = [self._direct(p) for p in parts]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(rest, self.model.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    def _pieces(self, text: str) -> list[str]:
-        # lower-casing first gives more cache hits; where normalising could move marks, words stay whole and as they are
-        if not text.isascii() and (self.joins(text) or not is_normalized("NFC", text)):
-            return self.find_whole(text)
-        return self.find(text.lower())
+    def _alone(self, text: str) -> bool:
+        """A special token may hold or touch white space, and a capital sigma looks at its neighbours."""
+        return "\u03a3" in text or bool(self.special and self.special(text))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; texts are held together up to some ``HELD_CHARS`` characters, longer ones in pieces."""
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        held, size = [], 0
+
+        def flush() -> None:
+            for i, ids in zip(held, self._joined([texts[i] for i in held]), strict=True):
+                out[i] = ids
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self._alone(text):
+                out[i] = self._whole(text)
+            elif len(text) > HELD_CHARS:
+                out[i] = np.concatenate([self._joined([p])[0] for p in cut_before(text, lambda t, k: t[k] in _CUTS, HELD_CHARS)])
+            else:
+                held.append(i)
+                size += len(text)
+                if size > HELD_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return out
 
-    def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if self.special and self.special(text):  # a special token may hold or touch white space
-            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(self.cache.join(self._pieces(piece)) for piece in cut_before(text, lambda t, i: t[i] in _CUTS))
+    def _joined(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode() for t in texts]
+        as_is = np.frombuffer(b" ".join(raw) + bytes(17), np.uint8)
+        # a letter before other characters may combine with them before it becomes a small one
+        buffer = np.where(np.concatenate((as_is[1:] >= 128, [False])), as_is, _LOWER[as_is])
+        data = buffer.tobytes()
+        kind = _KINDS[buffer[:-17]]
+        before = np.concatenate(([0], kind[:-1])).astype(np.uint8)
+        opens = (kind != 0) & ((before == 0) | (before == 1) & (kind == 2))
+        starts = np.flatnonzero(opens)
+        ends = np.flatnonzero(np.concatenate(((before != 0) & ((kind == 0) | opens), [bool(len(kind)) and kind[-1] != 0])))
+        number, pieces = _distinct(data, buffer, starts, ends - starts)
+        ids = self.cache.many(pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[number]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        flat = pool[np.arange(upto[-1]) + np.repeat(first[number] - upto[:-1], each)]
+        begins = np.cumsum([0] + [len(r) + 1 for r in raw])
+        cuts = upto[np.searchsorted(starts, begins)].tolist()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _distinct(data: bytes, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each piece's text, the texts by number); ``buffer`` has 16 bytes or more beyond the last piece."""
+    eight = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    low = eight[starts] & masks[np.minimum(lengths, 8)]
+    high = eight[np.minimum(starts + 8, len(eight) - 1)] & masks[np.clip(lengths - 8, 0, 8)]
+    mixed = (low ^ (low >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (high ^ (high >> np.uint64(31)) ^ lengths.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    number, found = pd.factorize(mixed)
+    model = np.zeros(len(found), np.int64)
+    model[number] = np.arange(len(number))  # one place of each number
+    at = model[number]
+    other = (lengths > 16) | (low != low[at]) | (high != high[at]) | (lengths != lengths[at])
+    pieces = [data[s:e] for s, e in zip(starts[model].tolist(), (starts + lengths)[model].tolist(), strict=True)]
+    if other.any():
+        apart: dict[bytes, int] = {}
+        for i in np.flatnonzero(other).tolist():
+            piece = data[starts[i] : starts[i] + lengths[i]]
+            number[i] = apart.setdefault(piece, len(pieces) + len(apart))
+        pieces += apart
+    return number, pieces
 
 
 _CODERS: dict[tuple[str, bool], WordTokenizer] = {}
@@ -263,8 +340,11 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str, special_as_text: bool = True) -> list[tuple[str, int, int]]:
-    """Encode ``docs(doc_id, text)`` and write a file for each non-empty partition; returns (path, n documents, n ids) in order."""
+def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str, special_as_text: bool = True) -> DataFrame:
+    """Encode ``docs(doc_id, text)`` and write a file for each non-empty partition.
+
+    Returns the manifest, a written table ``(part, path, n_docs, n_ids, base)``: files in order of ``part``, ``base`` the ids before each.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(definition)
 
@@ -281,9 +361,10 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str, spe
                 where.create_dir(base, recursive=True)
                 stream = where.open_output_stream(f"{base}/{name}")
                 writer = Writer(stream)
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids = np.frombuffer(coder.encode(text), "<u4")
-                writer.add(None if pd.isna(doc_id) else int(doc_id), np.append(ids, np.uint32(end_id)))
+            for k in range(0, len(batch), 1000):
+                part = batch.iloc[k : k + 1000]
+                for doc_id, ids in zip(part["doc_id"].tolist(), coder.encode_many(part["text"].tolist()), strict=True):
+                    writer.add(None if pd.isna(doc_id) else int(doc_id), np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             stream.close()
@@ -291,14 +372,16 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str, spe
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    done = ordered.mapInPandas(run, "part long, path string, n_docs long, n_ids long")
-    return [(r.path, r.n_docs, r.n_ids) for r in sorted(done.collect(), key=lambda r: r.part)]  # a row per file
+    listed = written(ordered.mapInPandas(run, "part long, path string, n_docs long, n_ids long").withColumn("_group", F.floor(F.col("part") / GROUP)))
+    # sums of two levels, so that no window holds a row of every file
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = listed.groupBy("_group").agg(F.sum("n_ids").alias("n_ids")).select("_group", before(W.orderBy("_group")).alias("_before"))
+    inside = listed.withColumn("_inside", before(W.partitionBy("_group").orderBy("part")))
+    return written(inside.join(groups, "_group").select("part", "path", "n_docs", "n_ids", (F.col("_before") + F.col("_inside")).alias("base")))
 
 
-def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` for the documents in ``files``, as their bytes have it."""
-    starts = np.cumsum([0, *(n for _, _, n in files)]).tolist()
-    listed = spark.createDataFrame([(path, base) for (path, _, _), base in zip(files, starts, strict=False)], "path string, base long")
+def read_tokens(manifest: DataFrame) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` for the documents in the files of ``manifest(path, base)``, as their bytes have it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -309,7 +392,7 @@ def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataF
                 docs, begin, n, crc = zip(*rows, strict=True)
                 yield pd.DataFrame({"doc_id": pd.array(docs, dtype="Int64"), "start": np.array(begin) + base, "n_tokens": n, "ids_crc32": crc})
 
-    return listed.repartition(max(1, len(files))).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "base").repartition(max(1, manifest.count())).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,4 +400,4 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
     folder = f"{shared_folder(spark)}/token-files/{uuid.uuid4().hex}"
-    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), definition, 2, folder))
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), definition, 2, folder))

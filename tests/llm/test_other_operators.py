@@ -66,10 +66,10 @@ def test_cache_is_bounded_and_right():
     for _ in range(300):
         parts = [str(rng.randint(0, 60)) for _ in range(rng.randint(0, 30))]
         assert cache.join(parts) == "".join(parts).encode() and len(cache) <= 10 and len(cache.old) <= 10 and cache.held <= cache.size
-    batch = BatchCache(lambda parts: [p.encode() for p in parts], size=10 * (Cache.ENTRY + 4))
+    batch = BatchCache(list, size=10 * (Cache.ENTRY + 4))
     for _ in range(300):
-        parts = [str(rng.randint(0, 60)) for _ in range(rng.randint(0, 30))]
-        assert batch.join(parts) == "".join(parts).encode() and len(batch.young) <= 10
+        parts = [str(k).encode() for k in rng.sample(range(61), rng.randint(0, 30))]
+        assert batch.many(parts) == parts and len(batch.young) <= 10 and len(batch.old) <= 10
     long = "x" * 3000
     assert cache.join(["1", long, "1"]) == f"1{long}1".encode() and long not in cache and len(asked) < 4000
     text = "ab cd " * 1000
@@ -103,19 +103,19 @@ def test_token_files_equal_the_library(spark, tmp_path):
     df = spark.createDataFrame([(i * 3, items[i], 1) for i in order] + [(None, "no id", 1)], "doc_id long, text string, start long")
     folder = "file://" + str(tmp_path / "tokens")
     files = token_files.write_tokens(df, open(path).read(), 2, folder)
-    got = {r.doc_id: r for r in token_files.read_tokens(spark, files).collect()}
+    got = {r.doc_id: r for r in token_files.read_tokens(files).collect()}
     at, none = 0, plain.encode("no id", add_special_tokens=False).ids + [2]
     for doc, ids in [(None, none), *((i * 3, plain.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in enumerate(items))]:
         assert (got[doc].start, got[doc].n_tokens, got[doc].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    assert sum(n for _, _, n in files) == at and sum(n for _, n, _ in files) == len(items) + 1
-    assert token_files.read_tokens(spark, token_files.write_tokens(df.where("false"), open(path).read(), 2, folder)).count() == 0
+    assert [(r.path, r.base) for r in files.orderBy("part").collect()] and files.agg({"n_ids": "sum", "n_docs": "sum"}).first().asDict() == {"sum(n_ids)": at, "sum(n_docs)": len(items) + 1}
+    assert token_files.read_tokens(token_files.write_tokens(df.where("false"), open(path).read(), 2, folder)).count() == 0
     with pytest.raises(Exception):
         (tmp_path / "bad").write_bytes(b"x" * 100)
         token_files.Reader(token_files._open(str(tmp_path / "bad"))[0].open_input_file(str(tmp_path / "bad")))
 
 
-def test_pieces_equal_the_library():
+def test_pieces_equal_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -126,8 +126,20 @@ def test_pieces_equal_the_library():
     letters = [*ODD, "B", "\u03a3", "\u03c2", "\u0130", "I\u0307", "J\u030c", "e\u0301", "E\u0301", "\u1e9e", "\u00bd", "\x0b", "\x1c", "\x85", "\u0301", ".", "...", "_", "-", "\u03a9", "\u01c5", "\uff41", "\ufb01", "\u212b", "\u0345", "\u0958", "\u0915\u094d", "\u200d", "DON'T"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 8, 30, 100]))) for _ in range(4000)]
     texts += ["".join(chr(rng.randint(1, 0x2FFF)) for _ in range(20)) for _ in range(4000)]
-    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == want.ids, ascii(text)
+    texts += ["a\u03a3 b" * 3, "x" * 17 + " " + "x" * 18 + " " + "x" * 17, "\x00 a\x00 a \x00", "word " * 9, ""]
+    for held in (1 << 22, 300):  # all together, and long texts in pieces
+        monkeypatch.setattr(token_files, "HELD_CHARS", held)
+        for text, got, want in zip(texts, own.encode_many(texts), plain.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert got.tolist() == want.ids, ascii(text)
+
+
+def test_pieces_whose_hashes_meet_are_told_apart(monkeypatch):
+    data = b"one two one three" + bytes(17)
+    starts, lengths = np.array([0, 4, 8, 12]), np.array([3, 3, 3, 5])
+    for factorize in (token_files.pd.factorize, lambda x: (np.zeros(len(x), np.int64), x[:1])):
+        monkeypatch.setattr(token_files.pd, "factorize", factorize)
+        number, pieces = token_files._distinct(data, np.frombuffer(data, np.uint8), starts, lengths)
+        assert [pieces[k] for k in number] == [b"one", b"two", b"one", b"three"]
 
 
 # --- classifiers -------------------------------------------------------------------------------------------------------
@@ -415,5 +427,5 @@ def test_pipeline(spark):
 
 def test_registry():
     names = list(registry.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
     assert {*names, "pipeline"} <= set(__spark_entry__.queries()) and "pipeline" not in __spark_entry__.oracle_sql()
