@@ -7,8 +7,10 @@
    classes, so the size of a bucket doesn't grow with the input; their number grows with the width, until a share ``RECALL``
    of trial pairs at the least cosine (and of the sample's own links) have a bucket in common. Of the widths that do so the
    cheapest is taken; where none is cheaper than comparing all pairs, one table of width 0 compares all.
-4. Ids and codes alone are dealt to the tables. A row stays there if some code in its bucket differs in no more bits than
-   all but ``FAR`` of the trial pairs do; only such rows fetch their vectors. Chance mates don't move a vector.
+4. Ids and codes alone are dealt to the tables, ``GROUP`` tables at a time, so that the rows in flight are that many times the
+   vectors, however many tables there are. A row stays there if some code in its bucket differs in no more bits than all but
+   ``FAR`` of the trial pairs do; the stayers of a group are written before the next one is dealt, and only they fetch their
+   vectors. Chance mates don't move a vector.
 5. Bucket mates are reranked with their original vectors in double precision. A bucket of more than ``CHUNK`` rows is split
    into chunks that meet pair by pair, so that no task holds more than two chunks. A pair counts in the first table that
    holds it. Buckets give counts per class and a spanning forest of their links, never their pairs.
@@ -36,6 +38,8 @@ from .components import components
 SAMPLE, SAMPLE_CELLS, RECALL, FAR, CHUNK, BITS, ROUNDS = 20_000, 8_000_000, 0.95, 0.001, 2048, 64, 40
 #: Trial pairs of each kind; the cost of an indexed row in products of two vectors.
 TRIALS, ROW_COST = 4000, 64
+#: Tables that are dealt out at once.
+GROUP = 16
 
 
 def learn(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -241,12 +245,7 @@ def _link(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, mask_lis
             yield pd.DataFrame({"code": encode(unit, centre, axes).view(np.int64), "vector": [v.tobytes() for v in x.astype(kind)]})
 
     coded = checkpointed(classes.select("rep", "members", coding("embedding").alias("_c")).select("rep", "members", "_c.code", "_c.vector"))
-    signed = [m - (1 << 64) if m >> 63 else m for m in mask_list]
-    keys = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for t, m in enumerate(signed)])
-    placed = coded.select("rep", "code", F.explode(keys).alias("_k")).select("rep", "code", "_k.t", "_k.bucket")
-    a, b = placed.alias("a"), placed.alias("b")
-    near = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= within
-    alive = checkpointed(a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") != F.col("b.rep")) & near, "left_semi").select("rep", "t", "bucket"))
+    alive = reduce(DataFrame.unionByName, _with_mates(coded.select("rep", "code"), mask_list, within))
     sizes = checkpointed(alive.groupBy("t", "bucket").agg(F.ceil(F.count("*") / chunk).alias("k")))
     split = alive.join(sizes, ["t", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), "k"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.struct(F.least(F.col("chunk"), o).alias("i"), F.greatest(F.col("chunk"), o).alias("j")))
@@ -255,6 +254,21 @@ def _link(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, mask_lis
     return link_buckets(grouped, mask_list, least, kind)
 
 
+def _with_mates(coded: DataFrame, mask_list: list[int], within: int, group: int = GROUP) -> Iterator[DataFrame]:
+    """``(rep, t, bucket)`` for the places of ``coded(rep, code)`` that have another code within ``within`` bits, for a group of tables each."""
+    jvm = coded.sparkSession._jvm
+    for first in range(0, len(mask_list), group):
+        signed = [m - (1 << 64) if m >> 63 else m for m in mask_list[first : first + group]]
+        keys = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for t, m in enumerate(signed, first)])
+        placed = coded.select("rep", "code", F.explode(keys).alias("_k")).select("rep", "code", "_k.t", "_k.bucket")
+        a, b = placed.alias("a"), placed.alias("b")
+        near = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= within
+        alive = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") != F.col("b.rep")) & near, "left_semi")
+        yield checkpointed(alive.select("rep", "t", "bucket"))
+        if first + group < len(mask_list):
+            jvm.System.gc()  # Spark removes the shuffle files of plans that nothing refers to
+
+
 def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
