@@ -40,16 +40,29 @@ def match_words(text: Column) -> Column:
     return F.when(key == "", F.array().cast("array<string>")).otherwise(F.split(key, " "))
 
 
+def _block_share(a, b, least: float) -> bool:
+    """Whether the matching blocks of two sequences make up ``least`` of them; cheap upper bounds come first."""
+    blocks = SequenceMatcher(None, a, b)
+    return all(share() >= least for share in (blocks.real_quick_ratio, blocks.quick_ratio, blocks.ratio))
+
+
 def _same_text(left: str, right: str, by_letters: float, by_words: float) -> bool:
-    if not left or not right:
+    if not (left and right):
         return False
-    if left in right or right in left:
-        return True
-    letters = SequenceMatcher(None, left, right)
-    if letters.real_quick_ratio() >= by_letters and letters.quick_ratio() >= by_letters and letters.ratio() >= by_letters:
+    shorter, longer = sorted((left, right), key=len)
+    if shorter in longer or _block_share(left, right, by_letters):
         return True
-    short, long = sorted((left.split(), right.split()), key=len)
-    return SequenceMatcher(None, long[-len(short) :], short).ratio() >= by_words
+    few, many = sorted((left.split(), right.split()), key=len)
+    return _block_share(many[len(many) - len(few) :], few, by_words)
+
+
+def may_be_same(left: Column, right: Column, by_letters: float = 0.85, by_words: float = 0.72) -> Column:
+    """False only where ``same_text`` is: neither contained, nor enough letters, nor enough of the last words in common."""
+    few = lambda: F.least(F.size(F.split(left, " ")), F.size(F.split(right, " ")))
+    ends = lambda c: F.slice(F.split(c, " "), F.size(F.split(c, " ")) - few() + 1, few())
+    # words in common, repeats counted generously: those of one side that the other has at all
+    both = F.size(F.filter(ends(left), lambda w: F.array_contains(ends(right), w)))
+    return left.contains(right) | right.contains(left) | (letter_bound(left, right) >= by_letters - 1e-9) | (both / few() >= by_words - 1e-9)
 
 
 def same_text(left: Column, right: Column, by_letters: float = 0.85, by_words: float = 0.72) -> Column:

@@ -6,10 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechgrain.functions.text import _same_text, match_key, same_text
+from speechgrain.functions.text import _same_text, match_key, may_be_same, same_text
 
 LENGTH_MS, OVERLAP_MS = 300_000, 15_000
 NEAR_MS = 3_000
+#: Stretches of time by which segments meet.
+BUCKET_MS = 60_000
 
 
 def windows(recordings: DataFrame, length_ms: int = LENGTH_MS, overlap_ms: int = OVERLAP_MS) -> DataFrame:
@@ -51,11 +53,34 @@ def boundary_dedup(segments: DataFrame, overlap_ms: int = OVERLAP_MS, length_ms:
     cond = (F.col("a.session_id") == F.col("b.session_id")) & (F.col("b.chunk_idx") < F.col("a.chunk_idx")) & head & recent & near_in_time("a", "b")
     if exact:
         return a.join(b, cond & (F.col("a._match") == F.col("b._match")), "left_anti").drop("_match")
-    pairs = a.where(head).join(b, cond).select(F.col("a.session_id").alias("session_id"), F.col("a.chunk_idx").alias("chunk_idx"), F.col("a.seg_idx").alias("seg_idx"), F.col("a._match").alias("_x"), F.col("b._match").alias("_y"))
-    gone = pairs.where(same_text(F.col("_x"), F.col("_y"))).select("session_id", "chunk_idx", "seg_idx").distinct()
+    pairs = _near_pairs(a.where(head).select("a.*"), keyed.where("_match <> ''"), cond)
+    gone = pairs.where(may_be_same(F.col("_x"), F.col("_y"))).where(same_text(F.col("_x"), F.col("_y"))).select("session_id", "chunk_idx", "seg_idx").distinct()
     return keyed.join(gone, ["session_id", "chunk_idx", "seg_idx"], "left_anti").drop("_match")
 
 
+def _near_pairs(heads: DataFrame, others: DataFrame, cond: Column) -> DataFrame:
+    """``(session_id, chunk_idx, seg_idx, _x, _y)``: pairs of a head and another segment for which ``cond`` holds.
+
+    Segments that are near in time have a stretch of ``BUCKET_MS`` in common once heads are widened by 3 s, which is the key they
+    meet by; a pair counts in its first one. Segments without all times are near to all, and meet by the session alone.
+    """
+    timed = lambda df: df.where("start_ms is not null and end_ms is not null")
+    untimed = lambda df: df.where("start_ms is null or end_ms is null")
+    low, high = F.least("start_ms", "end_ms"), F.greatest("start_ms", "end_ms")
+
+    def dealt(df: DataFrame, wide: int) -> DataFrame:
+        first = F.floor((low - wide) / BUCKET_MS)
+        return timed(df).withColumn("_first", first).withColumn("_bucket", F.explode(F.sequence(first, F.floor((high + wide) / BUCKET_MS))))
+
+    def joined(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
+        out = x.alias("a").join(y.alias("b"), on & cond)
+        return out.select(F.col("a.session_id").alias("session_id"), F.col("a.chunk_idx").alias("chunk_idx"), F.col("a.seg_idx").alias("seg_idx"), F.col("a._match").alias("_x"), F.col("b._match").alias("_y"))
+
+    met = (F.col("a._bucket") == F.col("b._bucket")) & (F.col("a._bucket") == F.greatest("a._first", "b._first"))
+    every = F.lit(True)
+    return joined(dealt(heads, NEAR_MS), dealt(others, 0), met).unionByName(joined(untimed(heads), others, every)).unionByName(joined(timed(heads), untimed(others), every))
+
+
 def _in_order(segments: DataFrame, overlap_ms: int, exact: bool) -> DataFrame:
     keyed = segments.withColumn("_match", match_key(F.col("text")))
 

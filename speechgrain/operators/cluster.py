@@ -1,4 +1,4 @@
-"""Diarisation: average-linkage clustering, merging of tiny clusters, and labels for every segment."""
+"""Diarisation: average-linkage clustering by sums of vectors, merging of tiny clusters, and labels for every segment."""
 
 from __future__ import annotations
 
@@ -15,41 +15,76 @@ from speechgrain.operators.speakers import fill_labels, sequential_labels
 DISTANCE, TINY_MS = 0.40, 30_000
 
 
-def cosine_distances(x: np.ndarray) -> np.ndarray:
-    """Pairwise cosine distances; a pair with a zero vector is at distance 0."""
-    lengths = np.linalg.norm(x, axis=1)
-    whole = np.where(lengths > 0, lengths, 1.0)
-    out = 1.0 - np.clip((x / whole[:, None]) @ (x / whole[:, None]).T, -1.0, 1.0)
-    out[lengths == 0, :] = 0.0
-    out[:, lengths == 0] = 0.0
-    np.fill_diagonal(out, 0.0)
-    return out
+class Sums:
+    """Clusters as sums of unit vectors: the mean similarity of two is the product of their sums over the product of their sizes.
 
+    A zero vector is at similarity 1 to all, so ``zeros`` counts those of a cluster apart. Memory is that of the sums.
+    """
 
-def merge_heights(distances: np.ndarray) -> list[tuple[int, int, float]]:
-    """Average-linkage merges (a member of each side, height) by following chains of nearest neighbours."""
-    n = len(distances)
-    d = distances.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, alive, out, chain = np.ones(n), np.ones(n, bool), [], []
-    while len(out) < n - 1:
-        if not chain:
-            chain.append(int(np.flatnonzero(alive)[0]))
-        a = chain[-1]
-        row = np.where(alive, d[a], np.inf)
-        b = int(np.argmin(row))
-        if len(chain) > 1 and row[chain[-2]] <= row[b]:
-            b = chain[-2]
-        if len(chain) > 1 and b == chain[-2]:
-            chain = chain[:-2]
-            out.append((a, b, float(d[a, b])))
-            joined = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-            d[b], d[:, b] = joined, joined
-            d[b, b] = np.inf
-            size[b] += size[a]
-            alive[a] = False
-        else:
-            chain.append(b)
+    def __init__(self, x: np.ndarray):
+        lengths = np.linalg.norm(x, axis=1)
+        self.sums = x / np.where(lengths > 0, lengths, 1.0)[:, None]
+        self.zeros, self.sizes = (lengths == 0).astype(float), np.ones(len(x))
+
+    def similarities(self, rows: np.ndarray) -> np.ndarray:
+        """Mean similarities of the clusters ``rows`` to all."""
+        both = self.sums[rows] @ self.sums.T
+        z, n = self.zeros, self.sizes
+        if z.any():
+            both += z[rows][:, None] * n[None, :] + n[rows][:, None] * z[None, :] - z[rows][:, None] * z[None, :]
+        return both / (n[rows][:, None] * n[None, :])
+
+    def nearest(self, rows: np.ndarray, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """(the nearest other cluster of each of ``rows``, its distance), some ``cells`` similarities at a time; ties to the lower number."""
+        at, far, step = np.zeros(len(rows), np.int64), np.zeros(len(rows)), max(1, cells // len(self.sums))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            s = np.clip(self.similarities(part), -1.0, 1.0)
+            s[np.arange(len(part)), part] = -np.inf
+            at[k : k + step] = first = s.argmax(axis=1)
+            far[k : k + step] = 1.0 - s[np.arange(len(part)), first]
+        return at, far
+
+    def join(self, into: np.ndarray, gone: np.ndarray) -> None:
+        for values in (self.sums, self.zeros, self.sizes):
+            values[into] += values[gone]
+
+    def keep(self, alive: np.ndarray) -> None:
+        self.sums, self.zeros, self.sizes = self.sums[alive], self.zeros[alive], self.sizes[alive]
+
+
+def merge_heights(x: np.ndarray, highest: float = np.inf) -> list[tuple[int, int, float]]:
+    """Average-linkage merges of the vectors ``x`` (a member of each side, height), up to height ``highest``.
+
+    In a round all pairs of clusters that are each other's nearest are merged; no merge brings a cluster nearer to a third than
+    the nearer of its parts was, so these are the merges that would be made one at a time. Nearest clusters are looked for
+    anew only where the known one was merged.
+    """
+    if len(x) < 2:
+        return []
+    clusters, name, out = Sums(np.asarray(x, float)), np.arange(len(x)), []
+    near, far = clusters.nearest(np.arange(len(x)))
+    while len(name) > 1:
+        all_ = np.arange(len(name))
+        pairs = all_[(near[near] == all_) & (all_ < near) & (far <= highest)]
+        if not len(pairs):
+            least = int(far.argmin())  # rounding can part the nearest two of equals
+            if far[least] > highest:
+                break
+            pairs = np.array([min(least, near[least])])
+            near[pairs[0]] = max(least, near[least])
+        mates = near[pairs]
+        out += zip(name[mates].tolist(), name[pairs].tolist(), np.minimum(far[pairs], far[mates]).tolist(), strict=True)
+        clusters.join(pairs, mates)
+        alive, touched = np.ones(len(name), bool), np.zeros(len(name), bool)
+        alive[mates] = False
+        touched[pairs] = touched[mates] = True
+        again = (touched | touched[near])[alive]
+        place = np.cumsum(alive) - 1
+        clusters.keep(alive)
+        name, near, far = name[alive], place[near][alive], far[alive]
+        if len(name) > 1:
+            near[again], far[again] = clusters.nearest(np.flatnonzero(again))
     return out
 
 
@@ -61,7 +96,7 @@ def linkage_labels(x: np.ndarray, n_clusters: int | None = None, distance: float
     n = len(x)
     if n < 2:
         return np.zeros(n, int)
-    merges = merge_heights(cosine_distances(np.asarray(x, float)))
+    merges = merge_heights(x, np.inf if n_clusters is not None else distance)
     heights = sorted(h for _, _, h in merges)
     if n_clusters is None:
         cut = distance
@@ -86,13 +121,13 @@ def linkage_labels(x: np.ndarray, n_clusters: int | None = None, distance: float
 def cluster(vectors: DataFrame, by: tuple[str, ...] = ("session_id",), n_clusters: int | None = None, distance: float = DISTANCE) -> DataFrame:
     """``vectors(*by, seg_idx, embedding)`` with ``cluster`` for each recording.
 
-    The matrix of a recording's n clips is held in one task, so memory grows with the square of a recording's length,
-    not with the number of recordings.
+    A recording's clips are held in one task as sums of vectors, never as a matrix of pairs, so memory grows with its length;
+    time grows with the square of it, in products of matrices.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg_idx", kind="stable")
-        labels = linkage_labels(np.array(pdf["embedding"].tolist(), float), n_clusters, distance)
+        labels = linkage_labels(np.stack(pdf["embedding"].to_numpy()).astype(float), n_clusters, distance)
         return pdf[[*by, "seg_idx"]].assign(cluster=labels.astype(str))
 
     kinds = dict(vectors.dtypes)

@@ -79,7 +79,7 @@ def by_score(threshold: float = matching.THRESHOLD, margin: float = matching.MAR
     """The matching hook that is used by default: best cosine against the profiles, with threshold and margin."""
 
     def match(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
-        return matching.best(matching.scores(candidates, profiles), threshold, margin)
+        return matching.best(candidates, profiles, threshold, margin)
 
     return match
 

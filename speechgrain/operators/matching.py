@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,13 +38,103 @@ def scores(candidates: DataFrame, profiles: DataFrame, cells: int = BROADCAST_CE
     return pairs.select("candidate_id", "profile_id", "display_name", cosine(F.col("_a"), F.col("_b"), F.col("_na"), F.col("_nb")).alias("score"))
 
 
-def best(scored: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """The best profile of each candidate with its margin over the runner-up (the score itself without one) and a status."""
-    order = W.partitionBy("candidate_id").orderBy(F.desc("score"), "profile_id")
-    ranked = scored.select("*", F.row_number().over(order).alias("_r"), F.lead("score").over(order).alias("_next")).where("_r = 1")
-    gap = F.col("score") - F.coalesce("_next", F.lit(0.0))
+#: Rows of a block of profiles or candidates that meet as one product of matrices.
+BLOCK = 4096
+KEYS = ("provider", "model", "_k")
+
+
+def _top_two(mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the best of ``theirs`` for each of ``mine``, its cosine, the next cosine or NaN); ties go to the earlier row.
+
+    Cosines are compared by twelve digits, for the products of equal vectors may differ in the last ones. A zero vector has cosine 0.
+    """
+    size = lambda x: np.linalg.norm(x, axis=1)
+    scores = mine @ theirs.T
+    lengths = size(mine)[:, None] * size(theirs)[None, :]
+    scores = np.divide(scores, lengths, out=np.zeros_like(scores), where=lengths > 0)
+    coarse = scores.round(12)
+    first = coarse.argmax(axis=1)
+    every = np.arange(len(mine))
+    coarse[every, first] = -np.inf
+    second = coarse.argmax(axis=1)
+    return first, scores[every, first], scores[every, second] if theirs.shape[0] > 1 else np.full(len(mine), np.nan)
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    """Rows with an embedding of numbers, and its length as ``_k``."""
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    return rows.where((F.size("embedding") > 0) & whole).withColumn("_k", F.size("embedding")).withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
+def _packed(rows: DataFrame, ident: str, names: list[str], block: int) -> DataFrame:
+    """``rows`` as blocks of about ``block`` of a class: (provider, model, _k, _block, _blocks, the rows in order of ``ident``)."""
+    sizes = rows.groupBy(*KEYS).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = rows.join(F.broadcast(sizes), list(KEYS)).withColumn("_block", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
+    return dealt.groupBy(*KEYS, "_blocks", "_block").agg(F.array_sort(F.collect_list(F.struct(ident, *names, "embedding"))).alias("_rows"))
+
+
+def _by_blocks(c: DataFrame, p: DataFrame, kinds: tuple[str, str], block: int) -> DataFrame:
+    """``(candidate_id, profile_id, display_name, score, next)``: the best two of each block of profiles, for profiles of any number."""
+    mine, theirs = _packed(c, "candidate_id", [], block), _packed(p, "profile_id", ["display_name"], block)
+    left = mine.select(*KEYS, F.col("_block").alias("_i"), F.col("_blocks").alias("_ni"), F.col("_rows").alias("_a"))
+    right = theirs.select(*KEYS, F.col("_block").alias("_j"), F.col("_blocks").alias("_nj"), F.col("_rows").alias("_b"))
+    of = lambda rows, n: F.broadcast(rows.select(*KEYS, n).distinct())  # noqa: E731  # a row for each class
+    left = left.join(of(right, "_nj"), list(KEYS)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nj") - 1))).drop("_nj")
+    right = right.join(of(left, "_ni"), list(KEYS)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1))).drop("_ni")
+    pairs = left.drop("_ni").join(right.drop("_nj"), [*KEYS, "_i", "_j"]).select(F.col("_a.candidate_id").alias("c"), F.col("_a.embedding").alias("x"), F.col("_b.profile_id").alias("p"), F.col("_b.display_name").alias("n"), F.col("_b.embedding").alias("y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c_, x, p_, n, y in batch.itertuples(index=False):
+                at, score, second = _top_two(np.stack(x), np.stack(y))
+                yield pd.DataFrame({"candidate_id": c_, "profile_id": np.asarray(p_)[at], "display_name": np.asarray(n)[at], "score": score, "next": second})
+
+    return pairs.mapInPandas(run, f"candidate_id {kinds[0]}, profile_id {kinds[1]}, display_name string, score double, next double")
+
+
+def _by_broadcast(c: DataFrame, p: DataFrame, kinds: tuple[str, str]) -> DataFrame:
+    """The same for profiles that fit in a broadcast: every batch of candidates meets them where it lies, nothing is shuffled."""
+    classes: dict[tuple, list] = {}
+    for r in p.select(*KEYS, "profile_id", "display_name", "embedding").orderBy("profile_id").collect():
+        classes.setdefault((r.provider, r.model, r["_k"]), []).append((r.profile_id, r.display_name, r.embedding))
+    known = {k: (np.array([i for i, _, _ in v], object), np.array([n for _, n, _ in v], object), np.array([e for _, _, e in v])) for k, v in classes.items()}
+    shared = c.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(list(KEYS), sort=False):
+                if key in shared.value:
+                    ids, names, theirs = shared.value[key]
+                    for k in range(0, len(part), BLOCK):
+                        some = part.iloc[k : k + BLOCK]
+                        at, score, second = _top_two(np.stack(some["embedding"].to_numpy()), theirs)
+                        yield pd.DataFrame({"candidate_id": some["candidate_id"].to_numpy(), "profile_id": ids[at], "display_name": names[at], "score": score, "next": second})
+
+    return c.select("candidate_id", *KEYS, "embedding").mapInPandas(run, f"candidate_id {kinds[0]}, profile_id {kinds[1]}, display_name string, score double, next double")
+
+
+def best(candidates: DataFrame, profiles: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, cells: int = BROADCAST_CELLS, block: int = BLOCK) -> DataFrame:
+    """The best profile of each candidate with its margin over the runner-up (the score itself without one) and a status.
+
+    Only profiles of a candidate's provider, model and dimension count; candidates without any have no row. Ties go to the lower
+    profile id. Scores are products of matrices, and of a block only the best and the next of each candidate leave the task; where profiles
+    come in several blocks, these are merged by candidate. Profiles of up to ``cells`` numbers are broadcast. Rows without provider
+    or model match nothing, nor do vectors with null or NaN components.
+    """
+    c = _usable(candidates).where("provider is not null and model is not null").select("candidate_id", *KEYS, "embedding")
+    p = _usable(profiles).where("provider is not null and model is not null").select("profile_id", "display_name", *KEYS, "embedding")
+    kinds = dict(candidates.dtypes)["candidate_id"], dict(profiles.dtypes)["profile_id"]
+    if (profiles.agg(F.sum(F.greatest(F.size("embedding"), F.lit(1)))).first()[0] or 0) <= cells:
+        tops = _by_broadcast(c, p, kinds)
+    else:
+        found = _by_blocks(c, p, kinds, block).withColumn("next", F.nanvl("next", F.lit(None)))
+        order = F.struct((-F.round("score", 12)).alias("s"), F.col("profile_id"))
+        # of the best of each block the overall best leads; the next is the second of all that the blocks gave
+        scores_ = F.array_sort(F.filter(F.flatten(F.collect_list(F.array("score", "next"))), lambda x: x.isNotNull()), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0))
+        tops = found.groupBy("candidate_id").agg(F.min_by(F.struct("profile_id", "display_name", "score"), order).alias("_b"), F.get(scores_, F.lit(1)).alias("next")).select("candidate_id", "_b.*", "next")
+    gap = F.col("score") - F.coalesce(F.nanvl("next", F.lit(None)), F.lit(0.0))
     status = F.when(F.col("score") < threshold, "below_threshold").when(gap < margin, "ambiguous").otherwise("matched")
-    return ranked.select("candidate_id", "profile_id", "display_name", F.col("score").alias("confidence"), gap.alias("margin"), status.alias("status"))
+    return tops.select("candidate_id", "profile_id", "display_name", F.col("score").alias("confidence"), gap.alias("margin"), status.alias("status"))
 
 
 def skipped(candidates: DataFrame, profiles: DataFrame) -> DataFrame:

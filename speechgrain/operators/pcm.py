@@ -109,6 +109,53 @@ def resample_rows(samples: DataFrame, source: int, target: int, by: str = "track
     return spread.where(mine).select(by, "idx", clamp16(round_away(value)).alias("value"))
 
 
+#: Samples of a block of running sums.
+ENERGY_BLOCK = 1024
+
+
+def energy_blocks(samples: DataFrame, by: str = "track", block: int = ENERGY_BLOCK) -> DataFrame:
+    """Running sums of squares: ``(by, block, before, before_n, places, sums)`` for ``samples(by, idx, value)``.
+
+    ``before`` and ``before_n`` are the sum and number of all samples in earlier blocks of the track; ``places`` are the block's places
+    that have a sample, ``sums`` the sums up to each of them, itself included. A track has a row a block in the window.
+    """
+    square = F.col("value").cast("long") * F.col("value").cast("long")
+    rows = samples.where("idx is not null and value is not null").select(by, F.floor(F.col("idx") / block).alias("block"), F.pmod("idx", F.lit(block)).cast("int").alias("place"), square.alias("square"))
+    held = rows.groupBy(by, "block").agg(F.array_sort(F.collect_list(F.struct("place", "square"))).alias("_s"))
+    sums = F.aggregate("_s.square", F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
+    made = held.select(by, "block", F.col("_s.place").alias("places"), sums.alias("sums"))
+    earlier = W.partitionBy(by).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("long")
+    return made.select(by, "block", total(F.element_at("sums", -1)).alias("before"), total(F.size("sums")).alias("before_n"), "places", "sums")
+
+
+def energy_of_ranges(ranges: DataFrame, blocks: DataFrame, by: str = "track", block: int = ENERGY_BLOCK) -> DataFrame:
+    """``ranges(by, first, last, ...)`` with ``energy``, the RMS of the samples from ``first`` to ``last`` - 1 on the scale of 1, or null if there are none.
+
+    A range meets two blocks whatever its length, by track and block number: the last block that begins up to its end, and the one
+    up to its begin. ``blocks`` come from ``energy_blocks``; what lies between existing blocks belongs to the one before.
+    """
+    # a block counts up to the next one of its track, so that every place has one row to look at
+    following = F.lead("block").over(W.partitionBy(by).orderBy("block"))
+    spans = blocks.withColumn("_until", F.coalesce(following, F.col("block") + 1))
+    gaps = spans.where(F.col("_until") > F.col("block") + 1).select(by, F.explode(F.sequence(F.col("block") + 1, F.col("_until") - 1)).alias("block"), (F.col("before") + F.element_at("sums", -1)).alias("before"), (F.col("before_n") + F.size("sums")).alias("before_n"))
+    none = F.array().cast("array<int>").alias("places"), F.array().cast("array<long>").alias("sums")
+    every = blocks.unionByName(gaps.select(by, "block", "before", "before_n", *none))
+    ends = blocks.groupBy(by).agg(F.max("block").alias("_top"), F.min("block").alias("_low"))
+    placed = ranges.join(ends, by, "left")
+    for end, at in (("lo", "first"), ("hi", "last")):
+        # places beyond the track count as the end of its last block
+        number = F.greatest(F.least(F.floor(F.col(at) / block), F.col("_top")), F.col("_low"))
+        inside = F.col(at) - number * block
+        found = every.select(by, F.col("block").alias("_b"), "before", "before_n", "places", "sums")
+        k = F.size(F.filter("places", lambda p: p < F.col("_inside")))
+        joined = placed.withColumns({"_b": number, "_inside": inside}).join(found, [by, "_b"], "left")
+        placed = joined.withColumns({f"_{end}": F.col("before") + F.when(k > 0, F.try_element_at("sums", k)).otherwise(0), f"_{end}_n": F.col("before_n") + k}).drop("_b", "_inside", "before", "before_n", "places", "sums")
+    n = F.col("_hi_n") - F.col("_lo_n")
+    energy = F.when(n > 0, F.sqrt((F.col("_hi") - F.col("_lo")) / n) / 32768.0)
+    return placed.withColumn("energy", energy).drop("_top", "_low", "_lo", "_hi", "_lo_n", "_hi_n")
+
+
 def interleave_rows(channels: list[DataFrame], by: str = "track") -> DataFrame:
     """Frames of channels of rows ``(by, idx, value)``, up to the end of the shortest; one channel passes as it is."""
     n = len(channels)

@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from speechgrain.functions import text as T
-from speechgrain.operators import catalog, chunks, clips, cluster, flows, intervals, matching, pcm, render, segments, speakers
+from speechgrain.operators import catalog, chunks, clips, cluster, flows, fuzzy, intervals, matching, pcm, render, segments, speakers
 from speechgrain.plans import datasets as D
-from speechgrain.plans import oracle
+from speechgrain.plans import jobs, oracle
 from speechgrain.sources import transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +31,11 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    return oracle.sql() | jobs.SQL
 
 
 def joined(c: str) -> Column:
@@ -317,21 +317,16 @@ def boundary_dedup_fuzzy(spark, sf):
 
 @query
 def fuzzy_dup_pairs(spark, sf):
-    """Different names of parts of one brand that are alike by matching blocks of letters; each name is compared once.
-
-    Lengths and letters bound the ratio from above, in the JVM, so that Python sees only pairs that may reach it.
-    """
-    names = D.table(spark, sf, "part").select("p_brand", T.match_key(F.col("p_name")).alias("k")).distinct()
-    pairs = names.select("p_brand", F.col("k").alias("left_key")).join(names.select("p_brand", F.col("k").alias("right_key")), "p_brand").where("left_key < right_key")
-    may = pairs.where(T.letter_bound(F.col("left_key"), F.col("right_key")) >= 0.7)
-    return may.withColumn("ratio", F.round(T.letter_ratio(F.col("left_key"), F.col("right_key")), 6)).where("ratio >= 0.7")
+    """Different names of parts of one brand that are alike by matching blocks of letters, by an index of their letters."""
+    names = D.table(spark, sf, "part").select("p_brand", T.match_key(F.col("p_name")).alias("k"))
+    return fuzzy.alike_pairs(names, 0.7, "p_brand").withColumn("ratio", F.round("ratio", 6))
 
 
 # --- embeddings --------------------------------------------------------------------------------------------------------
 
 
 def matches(spark, sf) -> DataFrame:
-    return matching.best(matching.scores(D.candidates(spark, sf), D.profiles(spark, sf)), THRESHOLD, MARGIN)
+    return matching.best(D.candidates(spark, sf), D.profiles(spark, sf), THRESHOLD, MARGIN)
 
 
 @query
@@ -538,9 +533,8 @@ def with_energy(spark, sf) -> DataFrame:
     r = intervals.speaker_ranges(D.seg(spark, sf)).withColumn("first", F.col("start_ms") % 40)
     s = D.samples(spark, sf).select(F.col("track").alias("session_id"), "idx", "value")
     count = F.greatest(F.floor((F.col("end_ms") - F.col("start_ms")) / 4000), F.lit(1))
-    joined = r.withColumn("n", count).join(s, "session_id").where((F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("first") + F.col("n")))
-    energy = joined.groupBy("session_id", "speaker_id", "seg_idx").agg((F.sqrt(F.avg(F.col("value") * F.col("value"))) / 32768.0).alias("score"))
-    return r.drop("first").join(energy, ["session_id", "speaker_id", "seg_idx"], "left")
+    found = pcm.energy_of_ranges(r.withColumn("last", F.col("first") + count), pcm.energy_blocks(s, "session_id", 64), "session_id", 64)
+    return found.drop("first", "last").withColumnRenamed("energy", "score")
 
 
 @query

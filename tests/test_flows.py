@@ -59,7 +59,7 @@ def test_windows_of_different_speakers_warn(spark):
 
     got = flows.suggest_labels(talk(spark), p, hook({"2": (1.0, 0.0), "3": (1.0, 0.0), "0": (1.0, 0.0)}), window, n_windows=2)
     assert rows(got["mixed"].select("session_id", "speaker_id", "profile_ids", "names")) == [(1, "2", ["a", "b"], ["Ana", "Ben"])]
-    never = lambda candidates, profiles: matching.best(matching.scores(candidates, profiles), 2.0, 0.0)
+    never = lambda candidates, profiles: matching.best(candidates, profiles, 2.0, 0.0)
     assert flows.suggest_labels(talk(spark), p, hook({"2": (1.0, 0.0)}), match=never)["summary"].first().matched_count == 0
 
 

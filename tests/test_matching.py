@@ -12,7 +12,7 @@ PROF = "profile_id string, display_name string, provider string, model string, e
 def decide(spark, profiles, threshold, margin, candidate=(1.0, 0.0)):
     c = spark.createDataFrame([(1, "p", "m", list(candidate) if candidate else None)], CAND)
     p = spark.createDataFrame([(i, i.upper(), prov, "m", e) for i, prov, e in profiles], PROF)
-    return rows(matching.best(matching.scores(c, p), threshold, margin).select("profile_id", "status")), rows(matching.skipped(c, p).select("profile_id", "reason"), "profile_id")
+    return rows(matching.best(c, p, threshold, margin).select("profile_id", "status")), rows(matching.skipped(c, p).select("profile_id", "reason"), "profile_id")
 
 
 def test_decisions(spark):
@@ -58,8 +58,15 @@ def test_linkage_examples():
     assert cluster.linkage_labels(np.array([v, [0.0, 0.0]]), distance=0.1).tolist() == [0, 0]  # a zero vector is at distance 0
 
 
+def distances(x):
+    size = np.linalg.norm(x, axis=1)
+    d = np.array([[1 - min(max(a @ b / (p * q), -1), 1) if p * q else 0.0 for b, q in zip(x, size, strict=True)] for a, p in zip(x, size, strict=True)])
+    np.fill_diagonal(d, 0)
+    return d
+
+
 def naive(x, cut):
-    d = cluster.cosine_distances(x)
+    d = distances(x)
     groups = [[i] for i in range(len(x))]
     while len(groups) > 1:
         h, i, j = min((np.mean([d[a, b] for a in p for b in q]), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
@@ -77,6 +84,51 @@ def test_linkage_equals_the_plain_algorithm():
         assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist())} == naive(x, 0.7)
 
 
+def test_linkage_with_zero_vectors_ties_and_forced_numbers():
+    rng = np.random.default_rng(4)
+    for k in range(20):
+        x = rng.normal(size=(rng.integers(3, 30), 4))
+        x[rng.random(len(x)) < 0.15] = 0
+        labels = cluster.linkage_labels(x, distance=0.6)
+        assert {frozenset(np.flatnonzero(labels == i).tolist()) for i in set(labels.tolist())} == naive(x, 0.6)
+        heights = sorted(h for *_, h in cluster.merge_heights(x))
+        assert len(heights) == len(x) - 1
+        for n in (1, 2, len(x)):
+            assert len(set(cluster.linkage_labels(x, n).tolist())) <= n
+    assert cluster.linkage_labels(np.repeat(rng.normal(size=(3, 7)), 40, axis=0), distance=0.05).max() == 2
+
+
+def test_a_long_recording_takes_memory_in_proportion(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    n = 20_000
+    voices = rng.normal(size=(40, 32))
+    x = voices[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 32))
+    tracemalloc.start()
+    labels = cluster.linkage_labels(x, distance=0.4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert labels.max() == 39 and peak < 200e6  # a matrix of pairs would take 3.2 GB
+
+
+def test_best_equals_all_scores_for_profiles_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    c = [(i, rng.choice(["p", "q"]), "m", v) for i, v in enumerate(rng.normal(size=(60, 6)).round(2).tolist())] + [(100, "p", "m", [0.0] * 6), (101, "p", "m", None), (102, "z", "m", [1.0]), (103, None, "m", [1.0] * 6), (104, "p", "m", [None] * 6), (105, "p", "m", [1.0])]
+    p = [(f"{i:03}", f"N{i % 7}", rng.choice(["p", "q"]), "m", v) for i, v in enumerate(rng.normal(size=(40, 6)).round(2).tolist())]
+    p += [("900", "same", "p", "m", p[0][4]), ("000a", "same", "p", "m", p[0][4]), ("901", None, "p", "m", [2.0]), ("902", "n", "p", "m", [None] * 6), ("903", "n", "p", "m", []), ("904", "n", None, "m", [1.0] * 6)]
+    c += [(200, "p", "m", p[0][4]), (201, "q", "m", p[0][4])]
+    cf, pf = spark.createDataFrame(c, CAND).repartition(3), spark.createDataFrame(p, PROF).repartition(3)
+    want = {}
+    for r in matching.scores(cf, pf.where("profile_id <> '902'")).where("candidate_id <> 104").collect():
+        want.setdefault(r.candidate_id, []).append((-round(r.score, 9), r.profile_id, r.display_name))
+    want = sorted((i, s[0][1], s[0][2], -s[0][0], round(-s[0][0] + (s[1][0] if len(s) > 1 else 0), 9)) for i, s in ((i, sorted(s)) for i, s in want.items()))
+    for options in ({}, {"cells": 3, "block": 5}, {"cells": 3, "block": 1000}):
+        got = [(*r[:3], round(r[3], 9), round(r[4], 9)) for r in rows(matching.best(cf, pf, -2.0, -9.0, **options), "candidate_id")]
+        assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=1e-8)
+    assert matching.best(cf.where("false"), pf).count() == 0 and matching.best(cf, pf.where("false")).count() == 0
+
+
 def test_diarize_labels_every_segment(spark):
     seg = [(1, 0, 0, 40_000, "a"), (1, 1, 40_000, 40_500, "b"), (1, 2, 41_000, 80_000, "c"), (1, 3, 80_000, 82_000, "d")]
     s = spark.createDataFrame([(*r, None) for r in seg], "session_id long, seg_idx long, start_ms long, end_ms long, text string, speaker_id string")

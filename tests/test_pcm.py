@@ -258,3 +258,20 @@ def test_profile_store(spark, tmp_path):
     assert rows(renamed.where("id = '3'").select("displayName", "updatedAt", "createdAt")) == [("Aaron", "now", "c")] and renamed.count() == 4
     assert rows(transcripts.unknown_ids(p, change)) == [("9",)]
     assert [r.id for r in transcripts.list_profiles(transcripts.index_of(transcripts.remove(renamed, change))).collect()] == ["1", "0", "2"]
+
+
+def test_energy_of_ranges_by_running_sums(spark):
+    rng = np.random.default_rng(6)
+    tracks = {"a": {k: int(rng.integers(-32768, 32767)) for k in range(70)}, "b": {k: int(rng.integers(-9, 9)) for k in (0, 3, 4, 40, 41, 42, 99)}}
+    samples = spark.createDataFrame([(t, k, v) for t, x in tracks.items() for k, v in x.items()] + [("a", None, 5), ("b", 5, None)], "track string, idx long, value long")
+    ranges = [(t, i, *sorted(map(int, rng.integers(-20, 130, 2)))) for t in "abc" for i in range(60)] + [("a", 100, 8, 16), ("a", 101, 5, 5), ("b", 102, 10, 39)]
+    frame = spark.createDataFrame(ranges, "track string, id int, first long, last long")
+    for block in (1, 8, 1024):
+        found = pcm.energy_of_ranges(frame, pcm.energy_blocks(samples, block=block), block=block)
+        assert found.columns == ["track", "id", "first", "last", "energy"]
+        got = {(r.track, r.id): r.energy for r in found.collect()}
+        assert len(got) == len(ranges)
+        for t, i, a, b in ranges:
+            x = [v for k, v in tracks.get(t, {}).items() if a <= k < b]
+            want = np.sqrt(np.mean(np.square(np.array(x, float)))) / 32768 if x else None
+            assert (got[t, i] is None) == (want is None) and (want is None or np.isclose(got[t, i], want, atol=1e-12)), (block, t, a, b)
