@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -46,9 +48,26 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_HELD = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``written`` makes inside, at the end: what is made from them has to be stored by then."""
+    before, _HELD.paths = getattr(_HELD, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _HELD.paths:
+            remove_folder(spark, path)
+        _HELD.paths = before
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its size is known, so Spark may broadcast it if it is small."""
     at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if getattr(_HELD, "paths", None) is not None:
+        _HELD.paths.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.parquet(at)
 
