@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechgrain.llm import byte_bpe, line_dedup, mixing, quality_rules, simhash
-from speechgrain.llm.common import remove_folder, shared_folder, table
+from speechgrain.llm.common import remove_folder, scratch, shared_folder, table
 
 
 def _sized(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -71,11 +71,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-            if k:
-                remove_folder(spark, f"{folder}/{k - 1}")
-    return docs
+    *first, (_, last) = STAGES
+    for k, (_, stage) in enumerate(first):
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
+    return last(spark, docs, sf_dir)
