@@ -176,8 +176,8 @@ def best_clips(rows: DataFrame, audio: DataFrame, max_ms: int = 60_000, normaliz
 def transcribe_meeting(tracks: dict[str, DataFrame], vectors: dict[str, DataFrame], names: DataFrame | None = None, distance: float = cluster.DISTANCE) -> DataFrame:
     """Tracks diarised one after the other, their speakers numbered through, merged in order, and named.
 
-    ``tracks`` has segments by source, ``vectors(session_id, seg_idx, embedding)`` their embeddings; the second track's ids
-    begin where the first's end. ``names(session_id, speaker_id, speaker_name)`` may name speakers.
+    ``tracks`` has segments by source, ``vectors(session_id, seg_idx, embedding)`` their embeddings; a track's ids begin
+    where those of the tracks before it end. ``names(session_id, speaker_id, speaker_name)`` may name speakers.
     """
     done: dict[str, DataFrame] = {}
     offset: DataFrame | None = None
@@ -187,7 +187,7 @@ def transcribe_meeting(tracks: dict[str, DataFrame], vectors: dict[str, DataFram
             found = found.join(offset, "session_id", "left").withColumn("assigned_id", (F.col("assigned_id").cast("int") + F.coalesce("id_offset", F.lit(0))).cast("string")).drop("id_offset")
         done[source] = found.drop("speaker_id").withColumnRenamed("assigned_id", "speaker_id")
         counted = cluster.track_offsets(found)
-        offset = counted if offset is None else offset
+        offset = counted if offset is None else offset.unionByName(counted).groupBy("session_id").agg(F.sum("id_offset").alias("id_offset"))
     merged = segments.merge_tracks({k: v.drop("source") for k, v in done.items()})
     return segments.stamp_names(merged, names, ("session_id", "speaker_id")) if names is not None else merged
 

@@ -123,6 +123,9 @@ def test_a_meeting_is_transcribed_track_by_track(spark):
     got = rows(flows.transcribe_meeting(tracks, vectors, names).where("seg_idx < 2").select("source", "seg_idx", "speaker_id", "speaker_name"), "source", "seg_idx")
     # both microphone speakers are tiny without a large one, so they stay two; the other track's ids go on from there
     assert got == [("mic", 0, "0", None), ("mic", 1, "1", None), ("system", 0, "2", "Cy"), ("system", 1, "2", "Cy")]
+    tracks["third"], vectors["third"] = tracks["mic"], vectors["mic"]
+    ids = rows(flows.transcribe_meeting(tracks, vectors).select("source", "speaker_id").distinct(), "source", "speaker_id")
+    assert ids == [("mic", "0"), ("mic", "1"), ("system", "2"), ("third", "3"), ("third", "4")]  # a third track's ids follow both
 
 
 def test_retry_on_the_cpu(spark):
