@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from speechgrain.llm import concurrency, decontamination, registry, vector_codes
+from speechgrain.llm import common, concurrency, decontamination, itq, registry, vector_codes
 
 SALES = "sale_id long, client_id long, total double, sold_at timestamp_ntz, extra string"
 LINES = "sale_id long, shipped_at timestamp_ntz, sold_at string"
@@ -224,3 +224,31 @@ def test_vector_query(spark, tmp_path):
     assert {r.vec_id: (r.code, r.error) for r in df.collect()} == want and {r.codebooks_sha256 for r in df.collect()} == {sha}
     write(spark, tmp_path, {"embeddings": ([], schema)})
     assert registry.queries()["op13_vector_codes"](spark, str(tmp_path)).count() == 0
+
+
+# --- what earlier operators gained -------------------------------------------------------------------------------------
+
+
+def test_tables_in_groups_find_the_same_mates(spark):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 1 << 62, 40, dtype=np.int64)
+    codes = np.concatenate((codes, codes ^ (np.int64(1) << rng.integers(0, 60, 40))))
+    frame = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "rep long, code long")
+    masks = [m for m, _ in zip(itq.masks(64, 9), range(7), strict=False)]
+    each = [list(itq._with_mates(frame, masks, 3, group=g)) for g in (2, 16)]
+    assert [len(x) for x in each] == [4, 1]
+    found = [sorted(tuple(r) for part in x for r in part.collect()) for x in each]
+    want = sorted((i, t, int(np.int64(np.uint64(codes[i]) & np.uint64(m)))) for t, m in enumerate(masks) for i in range(80) if any(j != i and not ((int(codes[i]) ^ int(codes[j])) & m) and (int(codes[i]) ^ int(codes[j])).bit_count() <= 3 for j in range(80)))
+    assert found[0] == found[1] == want and want
+
+
+def test_written_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    stays = common.written(spark.range(3))
+    with common.scratch(spark):
+        with common.scratch(spark):
+            common.written(spark.range(4))
+        assert len(list(tmp_path.glob("table-*"))) == 1
+        common.written(spark.range(5))
+        assert len(list(tmp_path.glob("table-*"))) == 2
+    assert len(list(tmp_path.glob("table-*"))) == 1 and stays.count() == 3
