@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from speechgrain.llm import common, concurrency, decontamination, itq, registry, vector_codes
+from speechgrain.llm import common, components, concurrency, decontamination, itq, registry, simhash, vector_codes
 
 SALES = "sale_id long, client_id long, total double, sold_at timestamp_ntz, extra string"
 LINES = "sale_id long, shipped_at timestamp_ntz, sold_at string"
@@ -252,3 +252,12 @@ def test_written_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
         common.written(spark.range(5))
         assert len(list(tmp_path.glob("table-*"))) == 2
     assert len(list(tmp_path.glob("table-*"))) == 1 and stays.count() == 3
+
+
+def test_both_ways_of_a_dense_group_give_the_same_components(spark):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 62, 6)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 5), replace=False)) for b in base for _ in range(60)]
+    frame = spark.createDataFrame([(i, f) for i, f in enumerate(sorted(set(near)))], "node long, fp long")
+    found = [sorted(map(tuple, components.components(simhash.links(frame, bucket=b)).collect())) for b in (1, 8, 10**9)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
