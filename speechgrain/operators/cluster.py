@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from speechgrain.functions.vectors import dot, norm
 from speechgrain.operators.segments import clusterable
 from speechgrain.operators.speakers import fill_labels, sequential_labels
+from speechgrain.sources.files import stored
 
 DISTANCE, TINY_MS = 0.40, 30_000
 
@@ -167,9 +168,10 @@ def diarize(segments: DataFrame, vectors: DataFrame, n_clusters: int | None = No
     """``segments`` with ``assigned_id`` for every row, from embeddings of the clusterable ones.
 
     ``vectors(session_id, seg_idx, embedding)``. Ids start at ``id_offset``, so that a second track doesn't reuse the first's.
+    The clusters are written once to the shared folder, since several steps look at them.
     """
     fit = segments.where(clusterable(min_ms)).select("session_id", "seg_idx", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
-    found = cluster(fit.join(vectors, ["session_id", "seg_idx"]), n_clusters=n_clusters, distance=distance)
+    found = stored(cluster(fit.join(vectors, ["session_id", "seg_idx"]), n_clusters=n_clusters, distance=distance), "clusters")
     if n_clusters is None:
         found = merge_tiny(found, tiny_ms)
     labels = found.select("session_id", "seg_idx", F.col("cluster").alias("speaker_id"))

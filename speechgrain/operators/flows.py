@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from speechgrain.functions import providers
 from speechgrain.functions.text import device_error
 from speechgrain.operators import chunks, clips, cluster, intervals, matching, pcm, render, segments, speakers
+from speechgrain.sources.files import stored
 
 GROUP = ["session_id", "speaker_id"]
 Extract = Callable[[DataFrame], DataFrame]
@@ -23,14 +24,15 @@ Match = Callable[[DataFrame, DataFrame], DataFrame]
 # --- transcribing ------------------------------------------------------------------------------------------------------
 
 
-def retried_on_cpu(attempts: DataFrame, run: Callable[[DataFrame, str], DataFrame], device: str = "gpu") -> DataFrame:
+def retried_on_cpu(attempts: DataFrame, run: Callable[[DataFrame, str], DataFrame], device: str = "gpu", keys: list[str] | None = None) -> DataFrame:
     """``run(attempts, device)`` and, for those whose ``error`` is the device's time-out or want of memory, again on the CPU.
 
-    ``run`` returns its rows with ``error`` (null if it worked) and is the provider's; other errors stay as they are.
+    ``run`` returns its rows with ``error`` (null if it worked) and is the provider's; other errors stay as they are. With ``keys``,
+    which tell attempts apart, the rows need not carry the attempts' other columns.
     """
     first = run(attempts, device).withColumn("device", F.lit(device))
     again = device_error(F.col("error")).isNotNull() if device != "cpu" else F.lit(False)
-    failed = first.where(again).select(*attempts.columns)
+    failed = first.where(again).select(*attempts.columns) if keys is None else attempts.join(first.where(again).select(*keys).distinct(), keys, "left_semi")
     return first.where(~again).unionByName(run(failed, "cpu").withColumn("device", F.lit("cpu")))
 
 
@@ -177,7 +179,7 @@ def transcribe_meeting(tracks: dict[str, DataFrame], vectors: dict[str, DataFram
     """Tracks diarised one after the other, their speakers numbered through, merged in order, and named.
 
     ``tracks`` has segments by source, ``vectors(session_id, seg_idx, embedding)`` their embeddings; a track's ids begin
-    where those of the tracks before it end. ``names(session_id, speaker_id, speaker_name)`` may name speakers.
+    where those of the tracks before it end. Each track is written once as it is done. ``names(session_id, speaker_id, speaker_name)`` may name speakers.
     """
     done: dict[str, DataFrame] = {}
     offset: DataFrame | None = None
@@ -185,6 +187,7 @@ def transcribe_meeting(tracks: dict[str, DataFrame], vectors: dict[str, DataFram
         found = cluster.diarize(rows, vectors[source], distance=distance)
         if offset is not None:
             found = found.join(offset, "session_id", "left").withColumn("assigned_id", (F.col("assigned_id").cast("int") + F.coalesce("id_offset", F.lit(0))).cast("string")).drop("id_offset")
+        found = stored(found, "voices")  # else every use clusters again
         done[source] = found.drop("speaker_id").withColumnRenamed("assigned_id", "speaker_id")
         counted = cluster.track_offsets(found)
         offset = counted if offset is None else offset.unionByName(counted).groupBy("session_id").agg(F.sum("id_offset").alias("id_offset"))

@@ -445,23 +445,43 @@ def profile_listing(spark, sf):
     return p.select("id", "displayName", "updatedAt", F.row_number().over(place).cast("long").alias("place"))
 
 
-@query
-def suggested_labels(spark, sf):
-    """The whole flow over clusters whose embeddings come from the vectors: a hook in place of audio."""
-    v = D.candidates(spark, sf)
-    key = F.lpad(F.col("candidate_id").cast("string"), 8, "0")
+def tentative(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(vectors, segments) of clusters that each stand for a vector, one to three segments each."""
+    v = D.candidates(spark, sf).withColumn("key", F.lpad(F.col("candidate_id").cast("string"), 8, "0"))
     seconds = F.col("candidate_id") % 7 + 1
-    rows = v.select((F.col("candidate_id") % 20).alias("session_id"), key.alias("speaker_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("candidate_id") % 3)).alias("seg_idx"), seconds.alias("_s"))
+    rows = v.select((F.col("candidate_id") % 20).alias("session_id"), F.col("key").alias("speaker_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("candidate_id") % 3)).alias("seg_idx"), seconds.alias("_s"))
     rows = rows.select("session_id", "speaker_id", "seg_idx", F.lit("mic").alias("source"), (F.col("seg_idx") * 10_000).alias("start_ms"), (F.col("seg_idx") * 10_000 + F.col("_s") * 1000).alias("end_ms"), F.lit("words").alias("text"))
+    return v, rows
+
+
+def looked_up(v: DataFrame) -> flows.Extract:
+    """A hook in place of audio: a cluster's embedding is its vector, and a later window's that of the candidate 20 further on, if there is one."""
 
     def hook(asked: DataFrame) -> DataFrame:
-        of = v.select(key.alias("speaker_id"), "provider", "model", "embedding")
-        return asked.join(of, "speaker_id").withColumn("extraction", F.when(F.col("speech_ms") < 8000, "too_short").otherwise("ok"))
+        of = v.select(F.col("key").alias("_key"), "provider", "model", "embedding")
+        later = F.lpad((F.col("speaker_id").cast("long") + 20 * (F.col("window") - 1)).cast("string"), 8, "0") if "window" in asked.columns else F.col("speaker_id")
+        short = F.lit(False) if "window" in asked.columns else F.col("speech_ms") < 8000
+        return asked.withColumn("_key", later).join(of, "_key").drop("_key").withColumn("extraction", F.when(short, "too_short").otherwise("ok"))
+
+    return hook
+
 
-    found = flows.suggest_labels(rows, D.profiles(spark, sf), hook, match=flows.by_score(THRESHOLD, MARGIN))
+@query
+def suggested_labels(spark, sf):
+    """The whole flow over clusters whose embeddings come from the vectors: a hook in place of audio."""
+    v, rows = tentative(spark, sf)
+    found = flows.suggest_labels(rows, D.profiles(spark, sf), looked_up(v), match=flows.by_score(THRESHOLD, MARGIN))
     return found["clusters"].select("session_id", "position", "speaker_id", "source", "segments", "speech_ms", "extraction", F.when(F.col("status") == "matched", F.col("profile_id")).alias("profile_id"), "status", "recommendation", "detail")
 
 
+@query
+def suggested_windows(spark, sf):
+    """Clusters of whose two windows of equal speech the hook says that they are of different people, by the same flow."""
+    v, rows = tentative(spark, sf)
+    found = flows.suggest_labels(rows, D.profiles(spark, sf), looked_up(v), match=flows.by_score(THRESHOLD, MARGIN), n_windows=2)
+    return found["mixed"].select("session_id", "speaker_id", joined("profile_ids"), joined("names"))
+
+
 # --- samples -----------------------------------------------------------------------------------------------------------
 
 

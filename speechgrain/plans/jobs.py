@@ -1,16 +1,17 @@
-"""Named queries that write and read again: conversion, kept audits, streams. Each stands beside its SQL."""
+"""Named queries that write and read again: conversion, WAV files, transcribing, kept audits, streams. Each stands beside its SQL."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechgrain.operators import resample, speakers
+from speechgrain.operators import resample, speakers, transcribing
 from speechgrain.plans import datasets as D
 from speechgrain.plans.oracle import SEG, SMP, audit
+from speechgrain.sources import wav
 from speechgrain.sources.audits import AuditStore
 from speechgrain.sources.files import shared_folder
 from speechgrain.streaming import detection, lifecycle, recording, windows
@@ -62,6 +63,97 @@ def polyphase_tracks(spark, sf):
     return out.select("track", "idx", (F.round("value", 4) + 0.0).alias("value"))
 
 
+# --- recordings --------------------------------------------------------------------------------------------------------
+
+
+def as_recordings(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples as recordings of two a second: every second track has two channels, by turns."""
+    lists = samples.groupBy(*keys, "track").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_s"))
+    return lists.select(*keys, "track", F.lit(2).cast("long").alias("sample_rate"), F.when(F.col("track") % 2 == 0, 2).otherwise(1).alias("channels"), F.lit(16).alias("bit_depth"), F.col("_s.value").cast("array<int>").alias("samples"))
+
+
+@query(f"""
+WITH {SMP}, f AS (SELECT track, count(*) AS n, max(abs(value)) AS peak, CASE WHEN track % 2 = 0 THEN 2 ELSE 1 END AS channels FROM smp GROUP BY track)
+SELECT track, 2::BIGINT AS sample_rate, channels, 2 AS sample_width, n // channels AS frame_count, (n // channels) / 2.0::DOUBLE AS duration_s, false AS normalized, n::BIGINT AS samples, peak FROM f""")
+def wav_figures(spark, sf):
+    """Tracks written as WAV files: the figures of their heads, and the samples that are read back."""
+    at = folder(spark, "wavs")
+    wav.register(spark)
+    made = as_recordings(D.samples(spark, sf), [])
+    made.select(F.concat(F.col("track").cast("string"), F.lit(".wav")).alias("path"), *made.columns[1:]).write.format("wav").mode("append").save(at)
+    track = F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("track")
+    heads = wav.is_normalized(wav.probe(wav.list_wavs(spark, at))).select(track, "sample_rate", "channels", "sample_width", "frame_count", "duration_s", "normalized")
+    read = wav.read_wavs(spark, at).select(track, F.size("samples").cast("long").alias("samples"), F.array_max(F.transform("samples", F.abs)).cast("long").alias("peak"))
+    return heads.join(read, "track")
+
+
+CELL_MS, LOUD = 2_000, 9_000
+SHORT = {"target": 2, "trigger_ms": 30_000, "length_ms": 20_000, "overlap_ms": 4_000, "exact": True}
+
+
+def hearing(broken: Column) -> transcribing.Recognise:
+    """A hook in place of a model: every stretch of two seconds with a loud sample is a segment. Odd pieces fail off the CPU, ``broken`` ones everywhere."""
+
+    def recognise(part: DataFrame, device: str) -> DataFrame:
+        fault = F.when(broken, "unreadable audio").when(F.lit(device != "cpu") & (F.col("chunk_idx") % 2 == 1), "out of memory")
+        each = part.select(*transcribing.PIECE, "chunk_start_ms", fault.alias("error"), "sample_rate", F.posexplode("samples").alias("at", "value"))
+        cell = F.when(F.col("error").isNull(), F.floor(F.col("at") * 1000 / F.col("sample_rate") / CELL_MS)).alias("seg_idx")
+        heard = each.groupBy(*transcribing.PIECE, "chunk_start_ms", "error", cell).agg(F.max(F.abs("value")).alias("peak")).where((F.col("peak") >= LOUD) | F.col("error").isNotNull())
+        number = F.col("seg_idx") + F.floor(F.col("chunk_start_ms") / CELL_MS)
+        text = F.concat(F.lit(" sound "), number.cast("string"), F.lit(" of "), F.col("peak").cast("string"))
+        seconds = lambda k: F.col("seg_idx") * (CELL_MS / 1000.0) + k * CELL_MS / 1000.0
+        return heard.select(*transcribing.PIECE, "chunk_start_ms", "seg_idx", seconds(0).alias("start"), seconds(1).cast("string").alias("end"), F.lit(None).cast("string").alias("speaker"), F.when(F.col("error").isNull(), text).alias("text"), "error")
+
+    return recognise
+
+
+def _heard_sql(keys: str) -> str:
+    """Loud stretches of the recordings of ``s(keys, track, idx, value)``: what pieces that overlap have to come to."""
+    return f"""
+fr AS (
+  SELECT {keys}, track, idx // 2 AS i, floor(sum(value) / 2.0)::BIGINT AS value FROM s WHERE track % 2 = 0 GROUP BY {keys}, track, idx // 2 HAVING count(*) = 2
+  UNION ALL SELECT {keys}, track, idx, value FROM s WHERE track % 2 <> 0),
+ce AS (SELECT {keys}, track, i * 500 // {CELL_MS} AS cell, max(abs(value)) AS peak FROM fr GROUP BY ALL HAVING max(abs(value)) >= {LOUD})"""
+
+
+@query(f"""
+WITH {SMP}, s AS (SELECT 0 AS k, track, idx, value FROM smp), {_heard_sql("k")},
+d AS (SELECT track, (count(*) // CASE WHEN track % 2 = 0 THEN 2 ELSE 1 END) * 500 AS duration_ms FROM smp GROUP BY track),
+t AS (SELECT track, count(*) AS n, string_agg('sound ' || cell || ' of ' || peak, chr(10) || chr(10) ORDER BY cell) AS text FROM ce GROUP BY track)
+SELECT track, CASE WHEN track % 17 <> 3 THEN duration_ms END::BIGINT AS duration_ms, CASE WHEN track % 17 <> 3 THEN duration_ms >= 30000 END AS chunked,
+       CASE WHEN track % 17 <> 3 THEN coalesce(n, 0) END::BIGINT AS segments, CASE WHEN track % 17 <> 3 THEN coalesce(text, '') END AS text, CASE WHEN track % 17 = 3 AND duration_ms > 0 THEN 'unreadable audio' END AS error
+FROM d LEFT JOIN t USING (track)""")
+def transcribed_recordings(spark, sf):
+    """Tracks as recordings, transcribed: converted to one channel, cut into pieces, heard by a hook, put together without duplicates."""
+    recordings = as_recordings(D.samples(spark, sf), []).withColumn("path", F.col("track").cast("string"))
+    done = transcribing.transcribe(recordings, hearing(F.col("path").cast("long") % 17 == 3), **SHORT)
+    out = done["documents"].select("path", "duration_ms", "chunked", "segments", "text", F.lit(None).cast("string").alias("error")).unionByName(done["failed"], allowMissingColumns=True)
+    return out.select(F.col("path").cast("long").alias("track"), "duration_ms", "chunked", "segments", "text", "error")
+
+
+@query(f"""
+WITH {SMP},
+s AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'mic' ELSE 'system' END AS source, track, row_number() OVER (PARTITION BY track, event_id % 2 ORDER BY event_id) - 1 AS idx, value FROM smp),
+{_heard_sql("source")},
+gone AS (SELECT DISTINCT track FROM s WHERE track % 17 = 3 AND source = 'system' AND NOT (track % 2 = 0 AND idx = 0)),
+v AS (SELECT *, (cell + track) % 3 AS voice FROM ce WHERE track NOT IN (SELECT track FROM gone)),
+o AS (SELECT track, source, voice, row_number() OVER (PARTITION BY track, source ORDER BY min(cell)) - 1 AS k FROM v GROUP BY track, source, voice),
+m AS (SELECT track, count(DISTINCT voice) AS k0 FROM v WHERE source = 'mic' GROUP BY track)
+SELECT track AS session_id, source, row_number() OVER (PARTITION BY track ORDER BY cell, source) AS position, (k + CASE WHEN source = 'system' THEN coalesce(k0, 0) ELSE 0 END)::VARCHAR AS speaker_id,
+       cell * {CELL_MS} AS start_ms, (cell + 1) * {CELL_MS} AS end_ms, 'sound ' || cell || ' of ' || peak AS text
+FROM v JOIN o USING (track, source, voice) LEFT JOIN m USING (track)""")
+def transcribed_meetings(spark, sf):
+    """Users as meetings of two tracks: both transcribed and diarised, speakers numbered through, tracks merged by time."""
+    s = D.samples(spark, sf).withColumn("source", F.when(F.col("event_id") % 2 == 0, "mic").otherwise("system"))
+    s = s.withColumn("idx", F.row_number().over(Window.partitionBy("track", "source").orderBy("event_id")).cast("long") - 1)
+    part = lambda c: F.get_json_object("path", f"$.{c}")
+    broken = (part("session_id").cast("long") % 17 == 3) & (part("source") == "system")
+    voice = (F.floor(F.col("start_ms") / CELL_MS) + F.col("session_id")) % 3
+    embed = lambda asked: asked.withColumn("embedding", F.array(*[F.when(voice == k, 1.0).otherwise(0.0) for k in range(3)]))
+    done = transcribing.meeting(as_recordings(s, ["source"]).withColumnRenamed("track", "session_id"), hearing(broken), embed, **SHORT)
+    return done["segments"].select("session_id", "source", "position", "speaker_id", "start_ms", "end_ms", "text")
+
+
 # --- kept audits -------------------------------------------------------------------------------------------------------
 
 

@@ -361,6 +361,11 @@ SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY speaker_i
        CASE WHEN st = 'matched' THEN 'Cluster ' || speaker_id || ' is ' || display_name || ' (' || profile_id || ') with confidence ' || printf('%.4f', confidence) || '; reuse the profile.'
             ELSE 'Cluster ' || speaker_id || ' has no confident match (status: ' || coalesce(st, 'no_match') || ').' END AS detail
 FROM y""",
+        "suggested_windows": f"""
+WITH {VEC}, w AS (SELECT session_id, speaker_id, unnest([candidate_id, candidate_id + 20]) AS other FROM sm WHERE (candidate_id % 3 + 1) * (candidate_id % 7 + 1) >= 8),
+h AS (SELECT DISTINCT w.session_id, w.speaker_id, m.profile_id, m.display_name FROM w JOIN m ON m.candidate_id = other WHERE m.status = 'matched')
+SELECT session_id, speaker_id, string_agg(profile_id::VARCHAR, '|' ORDER BY profile_id) AS profile_ids, string_agg(display_name, '|' ORDER BY display_name) AS names
+FROM h GROUP BY ALL HAVING count(*) >= 2""",
         "loudness_band": f"WITH {loud('500.0')} SELECT track, frames, round(loudness, 6) AS loudness FROM ld",
         "speech_gain": f"WITH {loud('50000.0')} SELECT track, round(CASE WHEN loudness <= 1e-9 THEN 1 ELSE greatest(least(pow(10, -19.0 / 20) / loudness, 40), 1) END, 6)::DOUBLE AS gain FROM ld",
         "gated_rms_peak": f"WITH {SMP} SELECT track, round(coalesce(sqrt(avg(value::DOUBLE * value) FILTER (abs(value) >= 32)), 0), 6) AS rms, count(*) FILTER (value <> 0)::BIGINT AS non_zero, max(least(abs(value), 32767)) AS peak FROM smp GROUP BY ALL",
