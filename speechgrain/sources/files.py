@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +61,9 @@ def write_bytes(path: str, data: bytes) -> None:
     draft = f"{name}.{uuid.uuid4().hex}.tmp"
     with where.open_output_stream(draft) as file:
         file.write(data)
+    if where.type_name == "local":
+        with open(draft, "rb+") as file:
+            os.fsync(file.fileno())
     where.move(draft, name)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,33 +116,58 @@ def publish(df: DataFrame, root: str, run_id: str, valid: Callable[[DataFrame],
     """Write under ``root/staging/run_id`` with a completion mark; readers use ``read_published``.
 
     Spark's committer makes the run's files appear together; a run that died leaves no ``_SUCCESS`` and is never read. A run
-    whose written rows ``valid`` refuses stays staged, and what was published before stays in place.
+    whose written rows ``valid`` refuses stays staged, and what was published before stays in place; so does a run during which
+    another was published, which may have been made from older data.
     """
-    at = f"{root}/staging/{run_id}"
+    at, spark = f"{root}/staging/{run_id}", df.sparkSession
+    seen = _entries(spark, root)
     df.write.mode("errorifexists").parquet(at)
-    spark = df.sparkSession
     if valid is not None and not valid(spark.read.parquet(at)):
         raise ValueError(f"run {run_id} isn't valid; it stays in {at}")
-    _point(spark, root, run_id, at)
+    _point(spark, root, seen, run_id, at)
     return spark.read.parquet(at)
 
 
-def _point(spark: SparkSession, root: str, run_id: str, at: str) -> None:
-    manifest = spark.createDataFrame([(run_id, at)], "run_id string, path string").withColumn("published_at", F.current_timestamp())
-    manifest.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+def _entries(spark: SparkSession, root: str) -> list[tuple[int, dict | None]]:
+    """(number, run) of what was published, in order; None for an entry without content, which a run is just writing or died at."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/published")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    numbers = sorted(int(n) for n in names if n.isdigit())
+    texts = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in spark.read.format("binaryFile").load(f"{root}/published").select("path", "content").collect()} if numbers else {}
+    return [(n, json.loads(texts[str(n)]) if texts.get(str(n)) else None) for n in numbers]
+
+
+def _point(spark: SparkSession, root: str, seen: list[tuple[int, dict | None]], run_id: str, at: str) -> None:
+    """Publish by creating the entry after those ``seen``, which only one run can."""
+    if seen and seen[-1][1] is None:
+        raise RuntimeError(f"{root}/published/{seen[-1][0]} is empty: a run is being published, or died as it was; remove it in that case")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/published/{seen[-1][0] + 1 if seen else 1}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path.getParent())
+    try:
+        out = files.create(path, False)
+    except Exception as error:
+        raise RuntimeError(f"another run was published meanwhile; {run_id} stays in {at}") from error
+    out.write(bytearray(json.dumps({"run_id": run_id, "path": at}).encode()))
+    out.hsync()
+    out.close()
 
 
 def roll_back(spark: SparkSession, root: str) -> str | None:
     """Publish again what was published before the present run; returns its run id, or None if there is none."""
-    runs = spark.read.parquet(f"{root}/manifest").orderBy(F.desc("published_at"), F.desc("run_id"))
-    earlier = runs.where(F.col("path") != runs.first()["path"]).first()
-    if earlier is None:
+    seen = _entries(spark, root)
+    runs = [run for _, run in seen if run]
+    earlier = [run for run in runs if run["path"] != runs[-1]["path"]]
+    if not earlier:
         return None
-    _point(spark, root, earlier["run_id"], earlier["path"])
-    return earlier["run_id"]
+    _point(spark, root, seen, earlier[-1]["run_id"], earlier[-1]["path"])
+    return earlier[-1]["run_id"]
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
     """The data of the run that was published last."""
-    last = spark.read.parquet(f"{root}/manifest").agg(F.max_by("path", F.struct("published_at", "run_id"))).first()[0]
-    return spark.read.parquet(last)
+    runs = [run for _, run in _entries(spark, root) if run]
+    if not runs:
+        raise ValueError(f"nothing is published in {root}")
+    return spark.read.parquet(runs[-1]["path"])

@@ -243,6 +243,21 @@ def test_refused_and_withdrawn_publications(spark, tmp_path):
     assert rows(transcripts.read_published(spark, root)) == [(1,)]
 
 
+def test_of_two_publications_at_once_one_wins(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    rows_of = lambda n: spark.createDataFrame([(n,)], "id long")
+    with pytest.raises(ValueError, match="nothing is published"):
+        transcripts.read_published(spark, root)
+    other = lambda df: transcripts.publish(rows_of(2), root, "faster") is not None
+    with pytest.raises(RuntimeError, match="slower stays"):
+        transcripts.publish(rows_of(1), root, "slower", valid=other)
+    assert rows(transcripts.read_published(spark, root)) == [(2,)]
+    (tmp_path / "pub/published/2").write_bytes(b"")  # a run that died as it was published
+    assert rows(transcripts.read_published(spark, root)) == [(2,)]
+    with pytest.raises(RuntimeError, match="remove it"):
+        transcripts.publish(rows_of(3), root, "later")
+
+
 def test_profile_store(spark, tmp_path):
     folder = str(tmp_path / "profiles")
     assert transcripts.profile_index(spark, folder).count() == 0
