@@ -14,6 +14,7 @@ from speechgrain.operators.speakers import fill_labels, sequential_labels
 from speechgrain.sources.files import stored
 
 DISTANCE, TINY_MS = 0.40, 30_000
+ROUNDING = 1e-9  # of a distance between two clusters
 
 
 class Sums:
@@ -27,24 +28,40 @@ class Sums:
         self.sums = x / np.where(lengths > 0, lengths, 1.0)[:, None]
         self.zeros, self.sizes = (lengths == 0).astype(float), np.ones(len(x))
 
-    def similarities(self, rows: np.ndarray) -> np.ndarray:
-        """Mean similarities of the clusters ``rows`` to all."""
-        both = self.sums[rows] @ self.sums.T
-        z, n = self.zeros, self.sizes
-        if z.any():
-            both += z[rows][:, None] * n[None, :] + n[rows][:, None] * z[None, :] - z[rows][:, None] * z[None, :]
-        return both / (n[rows][:, None] * n[None, :])
-
-    def nearest(self, rows: np.ndarray, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-        """(the nearest other cluster of each of ``rows``, its distance), some ``cells`` similarities at a time; ties to the lower number."""
-        at, far, step = np.zeros(len(rows), np.int64), np.zeros(len(rows)), max(1, cells // len(self.sums))
-        for k in range(0, len(rows), step):
-            part = rows[k : k + step]
-            s = np.clip(self.similarities(part), -1.0, 1.0)
-            s[np.arange(len(part)), part] = -np.inf
-            at[k : k + step] = first = s.argmax(axis=1)
-            far[k : k + step] = 1.0 - s[np.arange(len(part)), first]
-        return at, far
+    def fold_copies(self) -> tuple[np.ndarray, np.ndarray]:
+        """Makes a cluster of each group of equal vectors: (the first rows of the groups, for each row the first of its group)."""
+        keys = np.hstack([self.sums + 0.0, self.zeros[:, None]])  # -0.0 and 0.0 are equal
+        _, first, group, count = np.unique(keys.view(f"V{keys.shape[1] * keys.itemsize}").ravel(), return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(first)
+        self.keep(first[order])
+        for values in (self.sums.T, self.zeros, self.sizes):
+            values *= count[order]
+        return first[order], first[group]
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two matrices of a row for each cluster; the product of a row of either is the mean similarity of two clusters."""
+        mean = self.sums / self.sizes[:, None]
+        if not self.zeros.any():
+            return mean, mean
+        w = (self.zeros / self.sizes)[:, None]  # the share of zero vectors: all pairs but those without any add 1
+        return np.hstack([mean, w, 1 - w]), np.hstack([mean, np.ones_like(w), w])
+
+    def nearest(self, rows: np.ndarray, height: int = 512, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """(the nearest other cluster of each of ``rows``, its distance), ``height`` by ``width`` similarities at a time; ties to the lower number."""
+        left, right = self.sides()
+        at, best = np.zeros(len(rows), np.int64), np.full(len(rows), -np.inf)
+        for k in range(0, len(rows), height):
+            part = rows[k : k + height]
+            own, some = np.arange(len(part)), left[part]
+            for first in range(0, len(right), width):
+                s = some @ right[first : first + width].T
+                here = (part >= first) & (part < first + s.shape[1])
+                s[own[here], part[here] - first] = -np.inf
+                place = s.argmax(axis=1)
+                found = s[own, place]
+                more = found > best[k : k + height]
+                at[k : k + height][more], best[k : k + height][more] = place[more] + first, found[more]
+        return at, 1.0 - np.clip(best, -1.0, 1.0)
 
     def join(self, into: np.ndarray, gone: np.ndarray) -> None:
         for values in (self.sums, self.zeros, self.sizes):
@@ -59,12 +76,17 @@ def merge_heights(x: np.ndarray, highest: float = np.inf) -> list[tuple[int, int
 
     In a round all pairs of clusters that are each other's nearest are merged; no merge brings a cluster nearer to a third than
     the nearer of its parts was, so these are the merges that would be made one at a time. Nearest clusters are looked for
-    anew only where the known one was merged.
+    anew only where the known one was merged. A cluster whose nearest is above ``highest`` will merge no more and is left out.
+    Equal vectors are one cluster from the start, at height 0.
     """
-    if len(x) < 2:
+    if len(x) < 2 or highest < 0:
         return []
-    clusters, name, out = Sums(np.asarray(x, float)), np.arange(len(x)), []
-    near, far = clusters.nearest(np.arange(len(x)))
+    clusters = Sums(np.asarray(x, float))
+    name, first = clusters.fold_copies()
+    out = [(int(k), int(first[k]), 0.0) for k in np.flatnonzero(first != np.arange(len(x)))]
+    if len(name) < 2:
+        return out
+    near, far = clusters.nearest(np.arange(len(name)))
     while len(name) > 1:
         all_ = np.arange(len(name))
         pairs = all_[(near[near] == all_) & (all_ < near) & (far <= highest)]
@@ -77,9 +99,10 @@ def merge_heights(x: np.ndarray, highest: float = np.inf) -> list[tuple[int, int
         mates = near[pairs]
         out += zip(name[mates].tolist(), name[pairs].tolist(), np.minimum(far[pairs], far[mates]).tolist(), strict=True)
         clusters.join(pairs, mates)
-        alive, touched = np.ones(len(name), bool), np.zeros(len(name), bool)
-        alive[mates] = False
+        alive, touched = far <= highest + ROUNDING, np.zeros(len(name), bool)
         touched[pairs] = touched[mates] = True
+        touched |= ~alive
+        alive[mates] = False
         again = (touched | touched[near])[alive]
         place = np.cumsum(alive) - 1
         clusters.keep(alive)

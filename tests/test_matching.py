@@ -91,6 +91,9 @@ def test_linkage_with_zero_vectors_ties_and_forced_numbers():
         x[rng.random(len(x)) < 0.15] = 0
         labels = cluster.linkage_labels(x, distance=0.6)
         assert {frozenset(np.flatnonzero(labels == i).tolist()) for i in set(labels.tolist())} == naive(x, 0.6)
+        x = x[rng.integers(0, len(x), len(x))]
+        labels = cluster.linkage_labels(x, distance=0.4)
+        assert {frozenset(np.flatnonzero(labels == i).tolist()) for i in set(labels.tolist())} == naive(x, 0.4)
         heights = sorted(h for *_, h in cluster.merge_heights(x))
         assert len(heights) == len(x) - 1
         for n in (1, 2, len(x)):
@@ -98,6 +101,24 @@ def test_linkage_with_zero_vectors_ties_and_forced_numbers():
     assert cluster.linkage_labels(np.repeat(rng.normal(size=(3, 7)), 40, axis=0), distance=0.05).max() == 2
 
 
+def test_copies_and_far_vectors_cost_no_rounds(monkeypatch):
+    rng = np.random.default_rng(6)
+    searched = []
+    nearest = cluster.Sums.nearest
+    monkeypatch.setattr(cluster.Sums, "nearest", lambda self, rows: searched.append(len(rows)) or nearest(self, rows))
+    one = rng.normal(size=8)
+    x = np.concatenate([np.tile(one, (3000, 1)), rng.normal(size=(20, 8)), np.zeros((50, 8)), np.full((1, 8), -0.0)])
+    x = x[rng.permutation(len(x))]
+    labels = cluster.linkage_labels(x, distance=0.3)
+    copies = (x == one).all(axis=1)
+    assert len(set(labels[copies].tolist())) == 1 and len(set(labels[(x == 0).all(axis=1)].tolist())) == 1
+    assert searched[0] == 22 and sum(searched) < 100
+    searched.clear()
+    alone = np.eye(300)  # all at distance 1
+    assert cluster.linkage_labels(alone, distance=0.5).tolist() == list(range(300)) and searched == [300]
+    assert cluster.merge_heights(x[:5], highest=-1) == [] and cluster.linkage_labels(np.zeros((3, 0))).tolist() == [0, 0, 0]
+
+
 def test_a_long_recording_takes_memory_in_proportion(monkeypatch):
     import tracemalloc
 
