@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import os
 import struct
+import time
 from collections.abc import Iterator
-from contextlib import ExitStack
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ from speechgrain.sources.files import file_system
 from speechgrain.sources.wav import wav_bytes
 
 HEAD, PATCH, PIECE = 44, 1 << 20, 1 << 20
-#: Files that a task holds open.
-OPEN = 64
+#: Files that a task holds open, samples of rows that it holds at once, and what a row counts for itself.
+OPEN, HELD, ROW = 16, 1 << 20, 64
+#: Pieces that a task reads at most, and seconds after which a file's time tells whether it changed.
+PACK, SETTLED_S = 512, 10
 SCHEMA = "path string, sample_rate long, channels int, first_frame long, samples array<int>"
 ARROW = pa.schema([("path", pa.string()), ("sample_rate", pa.int64()), ("channels", pa.int32()), ("first_frame", pa.int64()), ("samples", pa.list_(pa.int32()))])
 
@@ -105,21 +108,42 @@ class _Done(WriterCommitMessage):
         self.frames = frames
 
 
+def _gathered(rows: Iterator) -> Iterator[dict[str, list]]:
+    """Rows by file name, some ``HELD`` samples together, so that a file is opened once for many rows. What came before a row that fails is given out first."""
+    held, size, failed = {}, 0, None
+    while failed is None:
+        try:
+            row = next(rows)
+        except Exception as e:  # the end too
+            failed = e
+        else:
+            held.setdefault(os.path.basename(row["path"]), []).append(row)
+            size += len(row["samples"]) + ROW
+        if held and (failed is not None or size >= HELD):
+            yield held
+            held, size = {}, 0
+    if not isinstance(failed, StopIteration):
+        raise failed
+
+
 class _Sink(DataSourceStreamWriter):
     def __init__(self, path: str):
         self.path = path
 
     def write(self, rows: Iterator) -> _Done:
-        root, frames, open_ = _local(self.path), 0, {}
-        with ExitStack() as kept:  # what is open when a row fails is closed as it is, without a new header
-            for row in rows:
-                name = os.path.join(root, os.path.basename(row["path"]))
-                if name not in open_:
-                    if len(open_) == OPEN:
-                        open_.pop(next(iter(open_))).__exit__(None, None, None)
-                    open_[name] = kept.enter_context(GrowingWav(name, row["sample_rate"], row["channels"]))
-                open_[name].put(row["first_frame"], row["samples"])
-                frames += len(row["samples"]) // row["channels"]
+        root, frames = _local(self.path), 0
+
+        def put(name: str, rows: list) -> None:
+            # a file in which a row fails is closed as it is, without a new header
+            with GrowingWav(os.path.join(root, name), rows[0]["sample_rate"], rows[0]["channels"]) as file:
+                for row in rows:
+                    file.put(row["first_frame"], row["samples"])
+
+        with ThreadPoolExecutor(OPEN) as pool:  # most of the time goes to waiting for the disk
+            for held in _gathered(rows):
+                for done in [pool.submit(put, *of) for of in held.items()]:
+                    done.result()
+                frames += sum(len(row["samples"]) // row["channels"] for of in held.values() for row in of)
         return _Done(frames)
 
     def _note(self, name: str, text: str) -> None:
@@ -144,6 +168,13 @@ class _Piece(InputPartition):
         self.path, self.begin, self.end = path, begin, end
 
 
+class _Pack(InputPartition):
+    """Pieces that one task reads: many files are short."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        self.pieces = pieces
+
+
 def whole_frames(path: str) -> tuple[int, int, int, int] | None:
     """(rate, channels, place of the data, whole frames so far) of a 16-bit file, or None while its head isn't complete."""
     size = os.path.getsize(path)
@@ -173,30 +204,54 @@ def whole_frames(path: str) -> tuple[int, int, int, int] | None:
 class _Source(DataSourceStreamReader):
     def __init__(self, path: str, piece: int):
         self.path, self.piece = path, piece
+        self.seen: dict[str, tuple[tuple[int, int], int]] = {}
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
 
+    def _frames(self, file: os.DirEntry) -> int | None:
+        """Whole frames of a file. A head isn't read again while size and time stay as they were."""
+        about = file.stat()
+        key = about.st_size, about.st_mtime_ns
+        if (known := self.seen.get(file.name)) and known[0] == key:
+            return known[1]
+        found, settled = whole_frames(file.path), time.time() - about.st_mtime > SETTLED_S
+        if found and settled:
+            self.seen[file.name] = key, found[3]
+        return found and found[3]
+
     def latestOffset(self) -> dict:  # noqa: N802
-        root, out = _local(self.path), {}
-        for name in sorted(os.listdir(root)) if os.path.isdir(root) else ():
-            if name.endswith(".wav") and (found := whole_frames(os.path.join(root, name))):
-                out[name] = found[3]
-        return out
+        root = _local(self.path)
+        files = sorted((f for f in os.scandir(root) if f.name.endswith(".wav")), key=lambda f: f.name) if os.path.isdir(root) else []
+        with ThreadPoolExecutor(OPEN) as pool:
+            return {f.name: n for f, n in zip(files, pool.map(self._frames, files), strict=True) if n is not None}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Piece(name, k, min(k + self.piece, n)) for name, n in end.items() for k in range(start.get(name, 0), n, self.piece)]
-
-    def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
-        path = os.path.join(_local(self.path), partition.path)
-        rate, channels, at, frames = whole_frames(path)
-        if frames < partition.end:
-            raise ValueError(f"{path} has become shorter")
-        with open(path, "rb") as file:
-            file.seek(at + 2 * channels * partition.begin)
-            samples = np.frombuffer(file.read(2 * channels * (partition.end - partition.begin)), "<i2").astype(np.int32)
-        packed = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples))
-        yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([rate]), pa.array([channels], pa.int32()), pa.array([partition.begin]), packed], schema=ARROW)
+        packs, frames = [], 0
+        for name, n in end.items():
+            for k in range(start.get(name, 0), n, self.piece):
+                piece = name, k, min(k + self.piece, n)
+                if not packs or len(packs[-1]) == PACK or frames + piece[2] - k > self.piece:
+                    packs.append([])
+                    frames = 0
+                packs[-1].append(piece)
+                frames += piece[2] - k
+        return [_Pack(p) for p in packs]
+
+    def read(self, partition: _Pack | _Piece) -> Iterator[pa.RecordBatch]:
+        root, rows, found = _local(self.path), [], []
+        for name, begin, end in partition.pieces if isinstance(partition, _Pack) else [(partition.path, partition.begin, partition.end)]:
+            path = os.path.join(root, name)
+            rate, channels, at, frames = whole_frames(path)
+            if frames < end:
+                raise ValueError(f"{path} has become shorter")
+            with open(path, "rb") as file:
+                file.seek(at + 2 * channels * begin)
+                found.append(np.frombuffer(file.read(2 * channels * (end - begin)), "<i2").astype(np.int32))
+            rows.append((name, rate, channels, begin))
+        if rows:
+            packed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=False)), packed], schema=ARROW)
 
     def commit(self, end: dict) -> None:
         pass

@@ -69,6 +69,15 @@ def test_a_stream_of_rows_becomes_files_and_restarts(spark, tmp_path):
     assert sorted(n for n in os.listdir(tmp_path / "wavs" / ".batches") if n.isdigit()) == ["0", "1", "2"]
 
 
+def test_rows_in_any_order_open_each_file_once(tmp_path, monkeypatch):
+    opened, plain = [], recording.GrowingWav.__enter__
+    monkeypatch.setattr(recording.GrowingWav, "__enter__", lambda self: opened.append(self.path) or plain(self))
+    sink = recording._Sink(str(tmp_path))
+    done = sink.write({"path": f"f{k % 100}.wav", "sample_rate": 4, "channels": 1, "first_frame": k // 100, "samples": [k // 100 + 1]} for k in range(300))
+    assert done.frames == 300 and len(opened) == 100
+    assert all(open(tmp_path / f"f{k}.wav", "rb").read() == wav_bytes(4, 1, [1, 2, 3]) for k in range(100))
+
+
 # --- the source --------------------------------------------------------------------------------------------------------
 
 
@@ -109,6 +118,22 @@ def test_growing_files_are_followed(spark, tmp_path):
         list(source.read(recording._Piece("b.wav", 0, 99)))
 
 
+def test_a_task_reads_many_short_files_and_a_long_one_is_read_by_many(tmp_path, monkeypatch):
+    monkeypatch.setattr(recording, "PACK", 40)
+    made = {f"{k:03d}.wav": list(range(k, k + 5)) for k in range(100)} | {"long.wav": list(range(1000))}
+    for name, x in made.items():
+        open(tmp_path / name, "wb").write(wav_bytes(8000, 1, x))
+    source = recording._Source(str(tmp_path), 300)
+    end = source.latestOffset()
+    assert end == {n: len(x) for n, x in made.items()} == source.latestOffset()
+    parts = source.partitions({"000.wav": 2}, end)
+    assert [len(p.pieces) for p in parts] == [40, 40, 20, 1, 1, 1, 1]
+    found = {}
+    for r in (r for p in parts for batch in source.read(p) for r in batch.to_pylist()):
+        found.setdefault(r["path"], []).extend(r["samples"])
+    assert found == made | {"000.wav": [2, 3, 4]}
+
+
 # --- detection and windows ---------------------------------------------------------------------------------------------
 
 
