@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -244,28 +245,40 @@ def _person(entry: Column) -> Column:
 # --- times -------------------------------------------------------------------------------------------------------------
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body has it; written out, nested uses multiply."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_timestamp(text: Column) -> Column:
     """Seconds from ``s``, ``MM:SS`` or ``HH:MM:SS``; null for what is malformed or negative."""
-    t = F.trim(text)
-    parts = F.split(t, ":")
-    part = lambda k: F.trim(F.get(parts, F.lit(k)))
     number = lambda c: F.when(c.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), c.try_cast("double"))
     whole = lambda c: F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("long"))
-    positive = lambda c: F.when(c >= 0, c)
-    one = positive(number(part(0)))
-    two = positive(whole(part(0))) * 60.0 + positive(number(part(1)))
-    three = positive(whole(part(0))) * 3600.0 + positive(whole(part(1))) * 60.0 + positive(number(part(2)))
-    return F.when(F.size(parts) == 1, one).when(F.size(parts) == 2, two).when(F.size(parts) == 3, three)
+    positive = lambda c: _bound(c, lambda v: F.when(v >= 0, v))
+
+    def read(parts: Column) -> Column:
+        part = lambda k: F.get(parts, F.lit(k))
+        two = positive(whole(part(0))) * 60.0 + positive(number(part(1)))
+        three = positive(whole(part(0))) * 3600.0 + positive(whole(part(1))) * 60.0 + positive(number(part(2)))
+        return F.when(F.size(parts) == 1, positive(number(part(0)))).when(F.size(parts) == 2, two).when(F.size(parts) == 3, three)
+
+    return _bound(F.transform(F.split(F.trim(text), ":"), lambda p: F.trim(p)), read)
 
 
 def parse_range(text: Column, strict: bool = True) -> Column:
     """``struct<start, end>`` of ``start-end``, split at the first dash; null if malformed or, when strict, not ascending."""
-    t = F.trim(text)
-    at = F.instr(t, "-")
-    start = F.when(at > 1, parse_timestamp(F.substring(t, F.lit(1), at - 1)))
-    end = F.when(at > 0, parse_timestamp(F.substring(t, at + 1, F.length(t))))
-    good = start.isNotNull() & end.isNotNull() & ((start < end) if strict else F.lit(True))
-    return F.when(good, F.struct(start.alias("start"), end.alias("end")))
+
+    def read(t: Column) -> Column:
+        at = F.instr(t, "-")
+        start = F.when(at > 1, parse_timestamp(F.substring(t, F.lit(1), at - 1)))
+        end = F.when(at > 0, parse_timestamp(F.substring(t, at + 1, F.length(t))))
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    def checked(r: Column) -> Column:
+        good = r["start"].isNotNull() & r["end"].isNotNull() & ((r["start"] < r["end"]) if strict else F.lit(True))
+        return F.when(good, r)
+
+    return _bound(_bound(F.trim(text), read), checked)
 
 
 def seconds_2(ms: Column) -> Column:

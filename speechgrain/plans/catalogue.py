@@ -751,8 +751,8 @@ def parse_ranges(spark, sf):
         .when(F.col("k") == 5, F.concat(F.lit("0:"), clock, F.lit("-")))
         .otherwise(F.concat(F.lit("00:"), clock, F.lit("-"), F.lit("01:00:"), F.lpad(F.col("p"), 2, "0"), F.lit(".25")))
     )
-    r = li.withColumn("text", text)
-    return r.select("l_orderkey", "n", "text", T.parse_range(F.col("text"))["start"].alias("start_s"), T.parse_range(F.col("text"))["end"].alias("end_s"))
+    r = li.withColumn("text", text).withColumn("range", T.parse_range(F.col("text")))
+    return r.select("l_orderkey", "n", "text", F.col("range.start").alias("start_s"), F.col("range.end").alias("end_s"))
 
 
 def people(spark, sf) -> DataFrame:

@@ -138,6 +138,15 @@ def test_times_and_names(spark):
     assert [[tuple(a) for a in r[0]] for r in p.select(T.attendees(F.col("t"))).collect()] == [[("Sam Rivera", "sam@x.org"), ("", "alex@y.org"), ("Dana Vega", "")], [("WU, Park", "p@x.org")]]
 
 
+def test_ranges_compute_each_time_once(spark):
+    texts = ["0-5", " 1.5 - 02:03 ", "00:41:30-1:00:00.25", "5-5", "5-3", "-3", "x-3", "3-", "3", "1-2-3", "+1-1e1", "1:x-9:00", "1:2:3:4-9:00:00", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("r", T.parse_range(F.col("t")))
+    assert [r and tuple(r) for (r,) in df.select("r").collect()] == [(0.0, 5.0), (1.5, 123.0), (2490.0, 3600.25), *[None] * 7, (1.0, 10.0), *[None] * 4]
+    assert [r and tuple(r) for (r,) in df.select(T.parse_range(F.col("t"), strict=False)).collect()][3:5] == [(5.0, 5.0), (5.0, 3.0)]
+    plan = df.select(F.col("r.start"), F.col("r.end"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 12 * 2  # six patterns for each of both times, written twice at most
+
+
 def test_labels_fill_and_number(spark):
     s = seg(spark, [("x", 0, 1000, "a"), ("b", 1000, 9000, "b"), ("x", 9000, 9100, "c"), ("a", 9100, 9900, "d")])
     s = s.withColumn("speaker_id", F.when(F.col("speaker_id") != "x", F.col("speaker_id")))
