@@ -82,7 +82,7 @@ def wav_figures(spark, sf):
     made = as_recordings(D.samples(spark, sf), [])
     made.select(F.concat(F.col("track").cast("string"), F.lit(".wav")).alias("path"), *made.columns[1:]).write.format("wav").mode("append").save(at)
     track = F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("track")
-    heads = wav.is_normalized(wav.probe(wav.list_wavs(spark, at))).select(track, "sample_rate", "channels", "sample_width", "frame_count", "duration_s", "normalized")
+    heads = wav.is_normalized(wav.probe(wav.merged(wav.list_wavs(spark, at).select("path", "length")))).select(track, "sample_rate", "channels", "sample_width", "frame_count", "duration_s", "normalized")
     read = wav.read_wavs(spark, at).select(track, F.size("samples").cast("long").alias("samples"), F.array_max(F.transform("samples", F.abs)).cast("long").alias("peak"))
     return heads.join(read, "track")
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from speechgrain.sources.files import file_system
 
@@ -17,6 +18,8 @@ SCHEMA = "path string, sample_rate long, channels int, bit_depth int, samples ar
 ARROW = pa.schema([("path", pa.string()), ("sample_rate", pa.int64()), ("channels", pa.int32()), ("bit_depth", pa.int32()), ("samples", pa.list_(pa.int32()))])
 #: Codes of PCM data in a format chunk: plain, and extensible.
 PCM = (1, 0xFFFE)
+#: Files and bytes of files that a task of the data source reads, partitions of Spark's own listing in one, and moves at a time.
+PACK, PACK_BYTES, MERGED, MOVING = 512, 64 << 20, 16, 16
 
 
 def read_header(file) -> tuple[int, int, int, int] | None:
@@ -73,6 +76,12 @@ def list_wavs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
 
 
+def merged(files: DataFrame) -> DataFrame:
+    """Files that Spark lists, in fewer tasks: it counts 4 MB for the opening of each, so that a task has some 32 short ones."""
+    tasks, cores = files.rdd.getNumPartitions(), files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(tasks // MERGED, 4 * cores)) if tasks > 4 * cores else files
+
+
 def is_normalized(probed: DataFrame, rate: int = 16_000) -> DataFrame:
     """Whether a file needs no conversion: mono, 16 bits, the wanted rate."""
     return probed.withColumn("normalized", F.coalesce((F.col("sample_rate") == rate) & (F.col("channels") == 1) & (F.col("sample_width") == 2), F.lit(False)))
@@ -134,12 +143,12 @@ def read_wavs(spark: SparkSession, path: str) -> DataFrame:
             for p, c in zip(*batch.columns, strict=True):
                 yield _row(p.as_py(), c.as_py())
 
-    return list_wavs(spark, path).select("path", "content").mapInArrow(run, SCHEMA)
+    return merged(list_wavs(spark, path).select("path", "content")).mapInArrow(run, SCHEMA)
 
 
 class _Partition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
@@ -151,50 +160,69 @@ class _Reader(DataSourceReader):
 
         where, base = file_system(self.path)
         found = where.get_file_info(fs.FileSelector(base, recursive=True))
-        return [_Partition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(".wav")]
+        packs, held = [], 0
+        for f in sorted((f for f in found if f.is_file and f.path.endswith(".wav")), key=lambda f: f.path):
+            if not packs or len(packs[-1]) == PACK or held + f.size > PACK_BYTES:
+                packs.append([])
+                held = 0
+            packs[-1].append(f.path)
+            held += f.size
+        return [_Partition(p) for p in packs]
 
     def read(self, partition: _Partition) -> Iterator[pa.RecordBatch]:
         where, _ = file_system(self.path)
-        with where.open_input_file(partition.path) as f:
-            yield _row(partition.path, f.read())
+        for path in partition.paths:
+            with where.open_input_file(path) as f:
+                yield _row(path, f.read())
 
 
 class _Message(WriterCommitMessage):
-    def __init__(self, moves: list[tuple[str, str]]):
-        self.moves = moves
+    def __init__(self, mark: str, names: list[str]):
+        self.mark, self.names = mark, names
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Files are written under names of the task attempt and take their own names when the whole job commits."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, rows: Iterator) -> _Message:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Message:
         from pyspark import TaskContext
 
         where, base = file_system(self.path)
         where.create_dir(base, recursive=True)
-        moves = []
-        for k, row in enumerate(rows):
-            target = f"{base}/{row['path'].rsplit('/', 1)[-1]}"
-            draft = f"{target}.{TaskContext.get().taskAttemptId()}-{k}.tmp"
-            with where.open_output_stream(draft) as f:
-                f.write(wav_bytes(row["sample_rate"], row["channels"], row["samples"]))
-            moves.append((draft, target))
-        return _Message(moves)
+        mark, names = str(TaskContext.get().taskAttemptId()), []
+        for batch in iterator:
+            for path, rate, channels, samples in zip(*(batch.column(c) for c in ("path", "sample_rate", "channels", "samples")), strict=True):
+                if samples.values is None or samples.values.null_count:
+                    raise ValueError(f"{path} has samples that are null")
+                names.append(path.as_py().rsplit("/", 1)[-1])
+                with where.open_output_stream(self._draft(base, mark, len(names) - 1, names[-1])) as f:
+                    f.write(wav_bytes(rate.as_py(), channels.as_py(), samples.values.to_numpy(zero_copy_only=False)))
+        return _Message(mark, names)
+
+    @staticmethod
+    def _draft(base: str, mark: str, k: int, name: str) -> str:
+        return f"{base}/{name}.{mark}-{k}.tmp"
 
     def commit(self, messages: list) -> None:
-        where, _ = file_system(self.path)
-        for m in messages:
-            for draft, target in m.moves if m else ():
-                where.move(draft, target)
+        where, base = file_system(self.path)
+
+        def move(m: _Message) -> None:
+            for k, name in enumerate(m.names):
+                where.move(self._draft(base, m.mark, k, name), f"{base}/{name}")
+
+        made = [m for m in messages if m]
+        apart = len({n for m in made for n in m.names}) == sum(len(m.names) for m in made)
+        with ThreadPoolExecutor(MOVING if apart else 1) as pool:  # of files of one name the last task's stays
+            list(pool.map(move, made))
 
     def abort(self, messages: list) -> None:
-        where, _ = file_system(self.path)
-        for m in messages:
-            for draft, _ in m.moves if m else ():
-                where.delete_file(draft)
+        where, base = file_system(self.path)
+        for m in filter(None, messages):
+            for k, name in enumerate(m.names):
+                where.delete_file(self._draft(base, m.mark, k, name))
 
 
 class WavDataSource(DataSource):
@@ -210,7 +238,7 @@ class WavDataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"])
 
 

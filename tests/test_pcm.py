@@ -290,3 +290,16 @@ def test_energy_of_ranges_by_running_sums(spark):
             x = [v for k, v in tracks.get(t, {}).items() if a <= k < b]
             want = np.sqrt(np.mean(np.square(np.array(x, float)))) / 32768 if x else None
             assert (got[t, i] is None) == (want is None) and (want is None or np.isclose(got[t, i], want, atol=1e-12)), (block, t, a, b)
+
+
+def test_short_files_are_read_together_and_all_moved(spark, tmp_path, monkeypatch):
+    df = spark.range(0, 600, 1, 6).select(F.concat("id", F.lit(".wav")).alias("path"), F.lit(8000).cast("long").alias("sample_rate"), F.lit(1).alias("channels"), F.lit(16).alias("bit_depth"), F.array(F.col("id").cast("int"), F.lit(-1)).alias("samples"))
+    wav.register(spark)
+    df.write.format("wav").mode("append").save(str(tmp_path))
+    made = {f"{k}.wav": [k, -1] for k in range(600)}
+    assert {f.name for f in tmp_path.iterdir()} == set(made)
+    parts = wav._Reader(str(tmp_path)).partitions()
+    assert [len(p.paths) for p in parts] == [512, 88]
+    for back in (spark.read.format("wav").load(str(tmp_path)), wav.read_wavs(spark, str(tmp_path))):
+        assert {r.path.rsplit("/", 1)[-1]: r.samples for r in back.collect()} == made
+    assert wav.list_wavs(spark, str(tmp_path)).rdd.getNumPartitions() > 16 == wav.merged(wav.list_wavs(spark, str(tmp_path))).rdd.getNumPartitions()
