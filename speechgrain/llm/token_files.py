@@ -69,14 +69,13 @@ def pack(ids: np.ndarray) -> np.ndarray:
             by = min(run, count - run)
             fits, run = fits[:-by] & fits[by:], run + by
         choice[: len(fits)][fits] = s
-    at = np.arange(n)
     ids = ids.astype(np.uint64)
-    step = np.ones(16, np.int64)
+    step = np.ones(16, np.uint8)
     step[: len(COUNTS)] = COUNTS
-    follow, starts, p = (at + step[choice]).tolist(), [], 0
+    steps, starts, p = step[choice].tobytes(), [], 0
     while p < n:
         starts.append(p)
-        p = follow[p]
+        p += steps[p]
     starts = np.array(starts)
     chosen = choice[starts]
     places = np.cumsum(1 + (chosen == ESCAPE)) - 1 - (chosen == ESCAPE)
@@ -84,8 +83,10 @@ def pack(ids: np.ndarray) -> np.ndarray:
     words[places] = chosen.astype(np.uint64) << np.uint64(60)
     for s, count in enumerate(COUNTS):
         if (of := chosen == s).any():
-            shifts = np.arange(count, dtype=np.uint64) * np.uint64(60 // count)
-            words[places[of]] |= np.bitwise_or.reduce(ids[starts[of][:, None] + np.arange(count)] << shifts, axis=1)
+            first, word = starts[of], words[places[of]]
+            for k in range(count):
+                word |= ids[first + k] << np.uint64(60 // count * k)
+            words[places[of]] = word
     of = chosen == ESCAPE
     words[places[of] + 1] = ids[starts[of]]
     return words
