@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, group_starts, table, whole_groups
+from .common import checkpointed, group_starts, scratch, table, whole_groups, written
 from .components import components
 
 SAMPLE, SAMPLE_CELLS, RECALL, FAR, CHUNK, BITS, ROUNDS = 20_000, 8_000_000, 0.95, 0.001, 2048, 64, 40
@@ -195,16 +195,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = RECA
     classes = marked.where("embedding is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("members"), F.first("embedding").alias("embedding"))
     classes = checkpointed(classes.select("*", F.size("embedding").alias("dims"), F.monotonically_increasing_id().alias("rep")))
     found = []
-    for dims, n in sorted((r["dims"], r["count"]) for r in classes.groupBy("dims").count().where("count > 1").collect()):  # a row per length
-        alike = classes.where(F.col("dims") == dims)
-        x = _sample(alike, dims, min(sample, max(SAMPLE_CELLS // dims, 1000)))
-        mean, projection = learn(x, BITS)
-        tables = choose_tables(x, mean, projection, n, least, recall)
-        within = BITS if tables == [0] else farthest(x, mean, projection, least)  # comparing all pairs, compare all
-        found.append(_link(alike, mean, projection, tables, within, least, chunk, kind))
+    with scratch(vectors.sparkSession):
+        for dims, n in sorted((r["dims"], r["count"]) for r in classes.groupBy("dims").count().where("count > 1").collect()):  # a row per length
+            alike = classes.where(F.col("dims") == dims)
+            x = _sample(alike, dims, min(sample, max(SAMPLE_CELLS // dims, 1000)))
+            mean, projection = learn(x, BITS)
+            tables = choose_tables(x, mean, projection, n, least, recall)
+            within = BITS if tables == [0] else farthest(x, mean, projection, least)  # comparing all pairs, compare all
+            found.append(_link(alike, mean, projection, tables, within, least, chunk, kind))
+        linked = checkpointed(reduce(DataFrame.unionByName, found)) if found else None
     about = classes.select("h1", "h2", "rep", "first", "members")
-    if found:
-        linked = checkpointed(reduce(DataFrame.unionByName, found))
+    if linked is not None:
         counts = linked.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_linked"))
         groups = components(linked.where("n = 0").select("a", "b"))
         about = checkpointed(about.join(counts, "rep", "left").join(groups, about.rep == groups.node, "left").withColumn("_group", F.coalesce("component", "rep")))
@@ -264,7 +265,7 @@ def _with_mates(coded: DataFrame, mask_list: list[int], within: int, group: int
         a, b = placed.alias("a"), placed.alias("b")
         near = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= within
         alive = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") != F.col("b.rep")) & near, "left_semi")
-        yield checkpointed(alive.select("rep", "t", "bucket"))
+        yield written(alive.select("rep", "t", "bucket"))  # columns of its own: Spark can't plan a union of checkpoints of one table
         if first + group < len(mask_list):
             jvm.System.gc()  # Spark removes the shuffle files of plans that nothing refers to
 

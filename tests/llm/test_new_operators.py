@@ -242,6 +242,21 @@ def test_tables_in_groups_find_the_same_mates(spark):
     assert found[0] == found[1] == want and want
 
 
+def test_vectors_with_more_tables_than_a_group(spark, monkeypatch):
+    """40 tables, more than are dealt out at once: the whole query, against brute force."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(300, 64))
+    x = np.vstack([base, base[:100] + 0.3 * rng.normal(size=(100, 64)), base[0] + 0.1 * rng.normal(size=(50, 64))])
+    monkeypatch.setattr(itq, "choose_tables", lambda *_: [m for m, _ in zip(itq.masks(64, 4), range(40), strict=False)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in itq.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum() > 2000
+    assert sum(got[400 + i].component_id == 0 for i in range(50)) >= 48 and got[299].kept
+
+
 def test_written_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
     stays = common.written(spark.range(3))
