@@ -7,10 +7,11 @@
    classes, so the size of a bucket doesn't grow with the input; their number grows with the width, until a share ``RECALL``
    of trial pairs at the least cosine (and of the sample's own links) have a bucket in common. Of the widths that do so the
    cheapest is taken; where none is cheaper than comparing all pairs, one table of width 0 compares all.
-4. Ids and codes alone are dealt to the tables, ``GROUP`` tables at a time, so that the rows in flight are that many times the
-   vectors, however many tables there are. A row stays there if some code in its bucket differs in no more bits than all but
-   ``FAR`` of the trial pairs do; the stayers of a group are written before the next one is dealt, and only they fetch their
-   vectors. Chance mates don't move a vector.
+4. Ids and sketches alone are dealt to the tables, ``GROUP`` tables at a time, so that the rows in flight are that many times the
+   vectors, however many tables there are. A sketch has ``SKETCH`` bits of other rotations: of codes of 64 bits that agree in a
+   bucket's bits, many more are near by chance than are links. A row stays if some sketch in its bucket differs in no more bits
+   than all but ``FAR`` of the trial pairs do, and didn't meet it in an earlier table of the group; the stayers of a group are
+   written before the next one is dealt, and only they fetch their vectors.
 5. Bucket mates are reranked with their original vectors in double precision. A bucket of more than ``CHUNK`` rows is split
    into chunks that meet pair by pair, so that no task holds more than two chunks. A pair counts in the first table that
    holds it. Buckets give counts per class and a spanning forest of their links, never their pairs.
@@ -24,8 +25,9 @@ and it isn't kept but then); very long vectors are rotated in batches; an empty
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -35,11 +37,13 @@ from pyspark.sql import functions as F
 from .common import checkpointed, group_starts, scratch, table, whole_groups, written
 from .components import components
 
-SAMPLE, SAMPLE_CELLS, RECALL, FAR, CHUNK, BITS, ROUNDS = 20_000, 8_000_000, 0.95, 0.001, 2048, 64, 40
-#: Trial pairs of each kind; the cost of an indexed row in products of two vectors.
-TRIALS, ROW_COST = 4000, 64
+SAMPLE, SAMPLE_CELLS, RECALL, FAR, BITS, ROUNDS = 20_000, 8_000_000, 0.95, 0.001, 64, 40
+#: Bits that mates are compared by; rows of a bucket that go to a task together, and that meet at once there.
+SKETCH, CHUNK, BLOCK = 192, 8192, 1024
+#: Trial pairs of each kind; the cost of an indexed row in comparisons of two sketches.
+TRIALS, ROW_COST = 4000, 300
 #: Tables that are dealt out at once.
-GROUP = 16
+GROUP = 8
 
 
 def learn(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -124,51 +128,76 @@ def choose_tables(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, n:
     return best
 
 
-def _links_in(rep: np.ndarray, members: np.ndarray, codes: np.ndarray, unit: np.ndarray, left: np.ndarray, right: np.ndarray, earlier: list[int], least: float):
-    """Counts for each row and spanning edges of one bucket, or of two chunks of one: rows marked left meet those marked right."""
-    a, b = np.flatnonzero(left), np.flatnonzero(right)
-    near = unit[a] @ unit[b].T >= least
-    i, j = (x[k] for x, k in zip((a, b), np.nonzero(near), strict=True))
-    once = rep[i] < rep[j] if (left & right).all() else np.ones(len(i), bool)
-    i, j = i[once], j[once]
-    new = np.ones(len(i), bool)
-    differ = codes[i] ^ codes[j]
-    for mask in earlier:
-        new &= (differ & np.uint64(mask)) != 0
-    count = np.bincount(i[new], members[j[new]], len(rep)) + np.bincount(j[new], members[i[new]], len(rep))
-    parent = list(range(len(rep)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
-    for x, y in zip(i[new].tolist(), j[new].tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            edges.append((x, y))
-    return count, edges
-
-
-def link_buckets(rows: DataFrame, mask_list: list[int], least: float, kind: str) -> DataFrame:
+def _new(near: np.ndarray, a: np.ndarray, b: np.ndarray, earlier: np.ndarray) -> None:
+    """Takes out of ``near`` the pairs that a table of ``earlier`` holds; a has the codes of its rows, b of its columns."""
+    if np.count_nonzero(near) < 10_000:
+        i, j = np.nonzero(near)
+        near[i, j] = (((a[i] ^ b[j])[:, None] & earlier) != 0).all(axis=1)
+        return
+    for mask in earlier:  # small numbers for the buckets: comparing them is many times faster than comparing codes
+        bucket = np.unique(np.concatenate((a, b)) & mask, return_inverse=True)[1].astype(np.int16)
+        near &= bucket[: len(a), None] != bucket[len(a) :]
+
+
+def _links_in(rep: np.ndarray, members: np.ndarray, codes: np.ndarray, unit: np.ndarray, left: np.ndarray, right: np.ndarray, earlier: np.ndarray, least: float):
+    """Counts for each row and spanning edges of one bucket, or of two chunks of one: rows marked left meet those marked right.
+
+    Rows meet in blocks of ``BLOCK``, so the memory doesn't grow with the chunks; ``tree`` names each row's tree of the forest so far.
+    """
+    count, tree, edges = np.zeros(len(rep)), np.arange(len(rep)), []
+    alone = (left & right).all()
+    a = np.arange(len(rep)) if alone else np.concatenate((np.flatnonzero(left), np.flatnonzero(right)))
+    members, codes, unit, half = members[a], codes[a], unit[a], len(a) if alone else np.count_nonzero(left)
+    for p in range(0, half, BLOCK):
+        for q in range(p if alone else half, len(a), BLOCK):
+            rows, cols = slice(p, min(p + BLOCK, half)), slice(q, min(q + BLOCK, len(a)))
+            near = unit[rows] @ unit[cols].T >= least
+            if p == q:
+                near = np.triu(near, 1)  # each pair once
+            if not near.any():
+                continue
+            _new(near, codes[rows], codes[cols], earlier)
+            count[rows] += near @ members[cols]
+            count[cols] += members[rows] @ near
+            for x in np.flatnonzero(near.any(axis=1)).tolist():
+                while (other := near[x] & (tree[cols] != tree[p + x])).any():
+                    y = q + int(other.argmax())
+                    edges.append((a[p + x], a[y]))
+                    tree[tree == tree[y]] = tree[p + x]
+    back = np.zeros(len(rep))
+    back[a] = count
+    return back, edges
+
+
+def _linked_twos(begin: np.ndarray, tables: np.ndarray, codes: np.ndarray, unit: np.ndarray, earlier: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The links of buckets of two rows, which most are, all at once: rows ``begin`` and the next ones."""
+    near = np.einsum("ij,ij->i", unit[begin], unit[begin + 1]) >= least
+    begin, tables = begin[near], tables[near]
+    differ, new = codes[begin] ^ codes[begin + 1], np.ones(len(begin), bool)
+    for t, mask in enumerate(earlier):
+        new &= (tables <= t) | ((differ & mask) != 0)
+    return begin[new], begin[new] + 1
+
+
+def link_buckets(rows: DataFrame, mask_list: list[int], least: float) -> DataFrame:
     """Bucket rows, grouped and sorted by (table, bucket, i, j) -> ``(a, b, n)``: edges have n = 0, counts have b = a."""
 
-    keys = ["t", "bucket", "i", "j"]
+    keys, earlier = ["t", "bucket", "i", "j"], np.array(mask_list, np.uint64)
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         rep, members = part["rep"].to_numpy(), part["members"].to_numpy().astype(float)
         codes, chunk = part["code"].to_numpy().view(np.uint64), part["chunk"].to_numpy()
-        vectors = np.frombuffer(b"".join(part["vector"]), kind).reshape(len(part), -1).astype(np.float64)
+        vectors = np.concatenate(part["embedding"].to_numpy()).astype(np.float64).reshape(len(part), -1)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        found_a, found_b, found_n = [], [], []
-        for s, e in group_starts(part, keys):
-            if e - s < 2:
-                continue
-            t, _, i, j = part[keys].iloc[s].tolist()
-            count, edges = _links_in(rep[s:e], members[s:e], codes[s:e], unit[s:e], chunk[s:e] == i, chunk[s:e] == j, mask_list[:t], least)
+        of_group = part[keys].to_numpy()
+        bounds = np.array(group_starts(part, keys))
+        begin, size = bounds[:, 0], bounds[:, 1] - bounds[:, 0]
+        two = (size == 2) & (of_group[begin, 2] == of_group[begin, 3])
+        x, y = _linked_twos(begin[two], of_group[begin[two], 0], codes, unit, earlier, least)
+        found_a, found_b, found_n = [rep[x], rep[y], rep[x]], [rep[x], rep[y], rep[y]], [members[y].astype(np.int64), members[x].astype(np.int64), np.zeros(len(x), np.int64)]
+        for s, e in bounds[(size > 1) & ~two].tolist():
+            t, _, i, j = of_group[s].tolist()
+            count, edges = _links_in(rep[s:e], members[s:e], codes[s:e], unit[s:e], chunk[s:e] == i, chunk[s:e] == j, earlier[:t], least)
             of = np.flatnonzero(count)
             found_a += [rep[s:e][of], np.array([rep[s + x] for x, _ in edges], np.int64)]
             found_b += [rep[s:e][of], np.array([rep[s + y] for _, y in edges], np.int64)]
@@ -185,7 +214,6 @@ def link_buckets(rows: DataFrame, mask_list: list[int], least: float, kind: str)
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = RECALL, chunk: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``."""
-    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     e = F.col("embedding")
     number = lambda x: x.cast("double")
     usable = F.size(e) > 0
@@ -198,11 +226,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = RECA
     with scratch(vectors.sparkSession):
         for dims, n in sorted((r["dims"], r["count"]) for r in classes.groupBy("dims").count().where("count > 1").collect()):  # a row per length
             alike = classes.where(F.col("dims") == dims)
-            x = _sample(alike, dims, min(sample, max(SAMPLE_CELLS // dims, 1000)))
+            x = _sample(alike, dims, n, min(sample, max(SAMPLE_CELLS // dims, 1000)))
             mean, projection = learn(x, BITS)
+            sketching = learn(x, SKETCH, rounds=0, seed=6)[1]
             tables = choose_tables(x, mean, projection, n, least, recall)
-            within = BITS if tables == [0] else farthest(x, mean, projection, least)  # comparing all pairs, compare all
-            found.append(_link(alike, mean, projection, tables, within, least, chunk, kind))
+            within = SKETCH if tables == [0] else farthest(x, mean, sketching, least)  # comparing all pairs, compare all
+            found.append(_link(alike, mean, np.hstack((projection, sketching)), tables, within, least, chunk))
         linked = checkpointed(reduce(DataFrame.unionByName, found)) if found else None
     about = classes.select("h1", "h2", "rep", "first", "members")
     if linked is not None:
@@ -219,55 +248,71 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = RECA
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _sample(classes: DataFrame, dims: int, rows: int) -> np.ndarray:
-    """Unit vectors of the classes of smallest hash: ``rows`` of them at most, through Arrow."""
-    chosen = classes.orderBy("h1", "h2").select("embedding").limit(rows).toArrow().column("embedding")
+def _sample(classes: DataFrame, dims: int, n: int, rows: int) -> np.ndarray:
+    """Unit vectors of the classes of smallest hash: ``rows`` of the ``n`` at most, through Arrow."""
+    some = classes.where(F.col("h1") < int(2**64 * 2 * rows / n) - 2**63) if 4 * rows < n else classes  # about twice as many, so that few are sorted
+    chosen = some.orderBy("h1", "h2").select("embedding").limit(rows).toArrow().column("embedding")
     x = np.concatenate([np.asarray(c.flatten()) for c in chosen.chunks]).astype(np.float64).reshape(-1, dims)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def words(projection: np.ndarray) -> list[np.ndarray]:
+    """The columns in parts whose code has 64 bits at most."""
+    return [projection[:, k : k + 64] for k in range(0, projection.shape[1], 64)]
+
+
 def farthest(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, least: float, far: float = FAR) -> int:
     """The number of bits in which all but ``far`` of each kind of trial pairs differ at most."""
-    return max((int(np.quantile(np.bitwise_count(x), 1 - far, method="higher")) for x in trials(unit, mean, projection, least)), default=projection.shape[1])
+    kinds = zip(*[trials(unit, mean, part, least) for part in words(projection)], strict=True)
+    return max((int(np.quantile(sum(np.bitwise_count(x).astype(int) for x in kind), 1 - far, method="higher")) for kind in kinds), default=projection.shape[1])
 
 
-def _link(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, mask_list: list[int], within: int, least: float, chunk: int, kind: str) -> DataFrame:
+def _link(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, mask_list: list[int], within: int, least: float, chunk: int) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast((mean, projection))
+    names = ["code", *[f"s{k}" for k in range(len(words(projection)) - 1)]]
 
-    @F.pandas_udf("struct<code:long,vector:binary>")
+    @F.pandas_udf(", ".join(f"{name} long" for name in names))
     def coding(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         centre, axes = shared.value
         for part in batches:
             if part.empty:
-                yield pd.DataFrame({"code": np.zeros(0, np.int64), "vector": []})
+                yield pd.DataFrame({name: np.zeros(0, np.int64) for name in names})
                 continue
-            x = np.stack(part.to_numpy())
-            unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-            yield pd.DataFrame({"code": encode(unit, centre, axes).view(np.int64), "vector": [v.tobytes() for v in x.astype(kind)]})
+            x = np.stack(part.to_numpy()).astype(np.float64)
+            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            yield pd.DataFrame({name: encode(unit, centre, own).view(np.int64) for name, own in zip(names, words(axes), strict=True)})
 
-    coded = checkpointed(classes.select("rep", "members", coding("embedding").alias("_c")).select("rep", "members", "_c.code", "_c.vector"))
-    alive = reduce(DataFrame.unionByName, _with_mates(coded.select("rep", "code"), mask_list, within))
+    coded = checkpointed(classes.select("rep", coding("embedding").alias("_c")).select("rep", "_c.*"))
+    alive = reduce(DataFrame.unionByName, _with_mates(coded, mask_list, within, by=names[1:], once=True))
     sizes = checkpointed(alive.groupBy("t", "bucket").agg(F.ceil(F.count("*") / chunk).alias("k")))
     split = alive.join(sizes, ["t", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), "k"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.struct(F.least(F.col("chunk"), o).alias("i"), F.greatest(F.col("chunk"), o).alias("j")))
     tasks = split.select("rep", "t", "bucket", "chunk", F.explode(pairs).alias("_p")).select("rep", "t", "bucket", "chunk", "_p.i", "_p.j")
-    grouped = tasks.join(coded, "rep").repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "rep")
-    return link_buckets(grouped, mask_list, least, kind)
+    whole = tasks.join(coded.select("rep", "code"), "rep").join(classes.select("rep", "members", "embedding"), "rep")
+    grouped = whole.repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "rep")
+    return link_buckets(grouped, mask_list, least)
 
 
-def _with_mates(coded: DataFrame, mask_list: list[int], within: int, group: int = GROUP) -> Iterator[DataFrame]:
-    """``(rep, t, bucket)`` for the places of ``coded(rep, code)`` that have another code within ``within`` bits, for a group of tables each."""
+def _with_mates(coded: DataFrame, mask_list: list[int], within: int, group: int = GROUP, by: Sequence[str] = ("code",), once: bool = False) -> Iterator[DataFrame]:
+    """``(rep, t, bucket)`` for the places of ``coded(rep, code, ...)`` that have a mate within ``within`` bits of the columns ``by``, for a group of tables each.
+
+    ``once``: mates that met in an earlier table of the group don't count.
+    """
     jvm = coded.sparkSession._jvm
     for first in range(0, len(mask_list), group):
+        jvm.System.gc()  # Spark removes the shuffle files of plans that nothing refers to
         signed = [m - (1 << 64) if m >> 63 else m for m in mask_list[first : first + group]]
-        keys = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for t, m in enumerate(signed, first)])
-        placed = coded.select("rep", "code", F.explode(keys).alias("_k")).select("rep", "code", "_k.t", "_k.bucket")
+        every = F.array(*[F.lit(m).cast("long") for m in signed])
+        bucket = lambda x: F.col(f"{x}code").bitwiseAND(F.element_at(every, F.col(f"{x}t") + 1))  # noqa: E731, B023
+        placed = coded.select(*dict.fromkeys(["rep", "code", *by]), F.explode(F.sequence(F.lit(0), F.lit(len(signed) - 1))).alias("t"))
         a, b = placed.alias("a"), placed.alias("b")
-        near = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= within
-        alive = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") != F.col("b.rep")) & near, "left_semi")
-        yield written(alive.select("rep", "t", "bucket"))  # columns of its own: Spark can't plan a union of checkpoints of one table
-        if first + group < len(mask_list):
-            jvm.System.gc()  # Spark removes the shuffle files of plans that nothing refers to
+        differ = [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in by]
+        near = (reduce(add, differ[:2]) <= within) & (reduce(add, differ) <= within)  # the first two settle most
+        for t, m in enumerate(signed[:-1] if once else []):
+            near &= (F.col("a.t") <= t) | (F.col("a.code").bitwiseXOR(F.col("b.code")).bitwiseAND(F.lit(m).cast("long")) != 0)
+        same = F.xxhash64("a.t", bucket("a.")) == F.xxhash64("b.t", bucket("b."))  # one long sorts by radix; equal hashes of two buckets do no harm
+        alive = a.join(b, same & (F.col("a.rep") != F.col("b.rep")) & near, "left_semi")
+        yield written(alive.select("rep", (F.col("t") + first).cast("long").alias("t"), bucket("").alias("bucket")))  # columns of its own: Spark can't plan a union of checkpoints of one table
 
 
 def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,6 +257,46 @@ def test_vectors_with_more_tables_than_a_group(spark, monkeypatch):
     assert sum(got[400 + i].component_id == 0 for i in range(50)) >= 48 and got[299].kept
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_links_of_a_bucket_in_blocks(monkeypatch, block):
+    """Counts and forest of a dense bucket and of two of its chunks, without the pairs that earlier tables hold."""
+    monkeypatch.setattr(itq, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=64) + 0.1 * rng.normal(size=(220, 64)), rng.normal(size=(20, 64))])
+    unit, n = x / np.linalg.norm(x, axis=1, keepdims=True), len(x)
+    rep, members, earlier = np.arange(n) * 3, rng.integers(1, 4, n).astype(float), np.array([0b1111, 0b1111000], np.uint64)
+    codes, chunk = rng.integers(0, 128, n).astype(np.uint64), rng.integers(0, 2, n)
+    want = (unit @ unit.T >= 0.9) & (((codes[:, None] ^ codes) & earlier[0]) != 0) & (((codes[:, None] ^ codes) & earlier[1]) != 0) & ~np.eye(n, dtype=bool)
+    assert np.triu(want).sum() > 15_000
+    for left, right, pairs in ((chunk >= 0, chunk >= 0, want), (chunk == 0, chunk == 1, want & (chunk[:, None] != chunk))):
+        count, edges = itq._links_in(rep, members, codes, unit, left, right, earlier, 0.9)
+        assert (count == pairs @ members).all() and all(pairs[i, j] for i, j in edges)
+        assert len(edges) == 219 and len({i for e in edges for i in e}) == 220  # one tree
+
+
+def test_sketches_leave_chance_mates_out():
+    """Of random vectors whose codes agree in the bits of a table, few are as near by their sketches as links are; by their codes many."""
+    rng = np.random.default_rng(5)
+    u = rng.normal(size=(20_000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    mean, projection = itq.learn(u, 64)
+    sketching = itq.learn(u, itq.SKETCH, rounds=0, seed=6)[1]
+    codes, near = itq.encode(u, mean, projection), []
+    order = np.argsort(codes & np.uint64((1 << 10) - 1))
+    i, j = (np.concatenate([order[k:] if side else order[:-k] for k in range(1, 6)]) for side in (0, 1))
+    i, j = (x[((codes[i] ^ codes[j]) & np.uint64((1 << 10) - 1)) == 0] for x in (i, j))
+    for bits in (projection, sketching):
+        differ = sum(np.bitwise_count(encoded[i] ^ encoded[j]).astype(int) for encoded in (itq.encode(u, mean, part) for part in itq.words(bits)))
+        near.append((differ <= itq.farthest(u, mean, bits, 0.9)).mean())
+    assert len(i) > 50_000 and near[0] > 0.003 and near[1] < 0.0003
+
+
+def test_sample_is_that_of_the_smallest_hashes(spark):
+    frame = spark.range(3000).selectExpr("xxhash64(id) h1", "xxhash64(id, 7) h2", "array(float(id), 1f) embedding")
+    want = np.array([r.embedding for r in frame.orderBy("h1").limit(100).collect()])
+    assert np.allclose(itq._sample(frame, 2, 3000, 100), want / np.linalg.norm(want, axis=1, keepdims=True))
+
+
 def test_written_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
     stays = common.written(spark.range(3))
